@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe_codec, token_files
+from corpusloom.llm import bpe_codec, decontaminate, line_dedup, quality_rules, secret_scan, token_files
 from corpusloom.llm.common import table
 
 
@@ -19,10 +19,65 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(docs, tokenizer_file("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_codec.digests(bpe_codec.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken")))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_bpe_codec)}
-SQL: dict[str, str] = {}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(line_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_secret_scan, op8_line_dedup)}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(string_split_regex(" + _LOWER.format("coalesce(text, '')") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL: dict[str, str] = {
+    "op4_decontaminate": f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+bw AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[i:i + 9], ' ') AS w
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM bw WHERE len(ws) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM win),
+occ AS (
+  SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS w
+  FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS p FROM dw, sizes WHERE len(ws) >= n)
+),
+hit AS (SELECT DISTINCT doc_id, item_id, p, n FROM occ JOIN win USING (n, w)),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS joined
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op8_line_dedup": f"""
+WITH l AS (
+  SELECT doc_id, i, line, {_LOWER.format(f"trim(line, {_BLANKS})")} AS k
+  FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+),
+often AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(often.k) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN often ON l.k = often.k GROUP BY doc_id
+""",
+}
