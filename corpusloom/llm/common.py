@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the word and line definitions: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -65,3 +68,24 @@ def doc_key(id_col: str, text_col: str) -> list[Column]:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, though body uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]
+
+
+def with_columns(df: DataFrame, of: str, make: Callable[[], Callable[[list], list[list]]], new: dict[str, str]) -> DataFrame:
+    """df with columns that Python makes of column `of`; all others pass through as they are.
+
+    make() runs once in each task and returns what turns a batch of values into a list for each new column.
+    """
+    spark_schema = StructType(list(df.schema.fields))
+    for name, kind in new.items():
+        spark_schema = spark_schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "binary": pa.binary()}
+        for b in batches:
+            made = work(b.column(b.schema.get_field_index(of)).to_pylist())
+            for (name, kind), values in zip(new.items(), made):
+                b = b.append_column(name, pa.array(values, kinds[kind]))
+            yield b
+
+    return df.mapInArrow(run, spark_schema)

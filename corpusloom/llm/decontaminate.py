@@ -89,7 +89,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     chosen = stored(anchors(items, term_counts(docs, vocabulary, text_col), length), "anchors")
     index = postings(docs, chosen.select("term").distinct(), id_col, text_col)
     found = candidates(index, chosen).join(small(items), ["item", "item_id"])
-    per_doc = found.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("item_id", "diagonal", "firsts", "item_words")).alias("found"))
+    per_doc = found.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("item_id", "diagonal", "firsts", "item_words")).alias("_diagonals"))
 
     left = docs.select("*", *doc_key(id_col, text_col), words(F.col(text_col)).alias("_words"))
     joined = left.join(per_doc, ["_k1", "_k2"], "left")
@@ -97,13 +97,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     def exact(w: Column) -> Column:
         n = lambda x: F.least(F.lit(length), F.size(x["item_words"]))
         starts = lambda x: F.transform(F.filter(x["firsts"], lambda f: (f + x["diagonal"] >= 0) & (F.slice(w, F.greatest(f + x["diagonal"], F.lit(0)) + 1, n(x)) == F.slice(x["item_words"], f + 1, n(x)))), lambda f: f + x["diagonal"])
-        return F.filter(F.transform("found", lambda x: F.struct(x["item_id"].alias("item_id"), n(x).alias("n"), starts(x).alias("starts"))), lambda x: F.size(x["starts"]) > 0)
+        return F.filter(F.transform("_diagonals", lambda x: F.struct(x["item_id"].alias("item_id"), n(x).alias("n"), starts(x).alias("starts"))), lambda x: F.size(x["starts"]) > 0)
 
-    checked = joined.withColumn("_found", F.when(F.col("found").isNull(), F.lit(None)).otherwise(let(F.col("_words"), exact)))
+    checked = joined.withColumn("_found", F.when(F.col("_diagonals").isNull(), F.lit(None)).otherwise(let(F.col("_words"), exact)))
     covered = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(s, s + x["n"] - 1))))))
     out = checked.withColumn("_n_words", F.size("_words").cast("long")).withColumn("_hit", F.coalesce(covered, F.array().cast("array<int>")))
     out = out.withColumn("_items", F.coalesce(F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["item_id"]))), F.array().cast("array<string>")))
-    return out.drop("_k1", "_k2", "_words", "found", "_found")
+    return out.drop("_k1", "_k2", "_words", "_diagonals", "_found")
 
 
 def report(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe_codec, decontaminate, line_dedup, quality_rules, secret_scan, token_files
+from corpusloom.llm import bpe_codec, decontaminate, line_dedup, quality_cnn, quality_rules, secret_scan, token_files, toxicity
 from corpusloom.llm.common import table
 
 
@@ -14,6 +14,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.selectExpr("doc_id", "_held_out AS held_out", "_score AS score", "_predicted AS predicted")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.write_and_read(docs, tokenizer_file("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -40,7 +45,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(line_dedup.dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_secret_scan, op8_line_dedup)}
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_cnn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.selectExpr("doc_id", "_held_out AS held_out", "_score AS score", "_predicted AS predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_secret_scan, op8_line_dedup, op9_quality_cnn)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER.format("coalesce(text, '')") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
