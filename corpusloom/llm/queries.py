@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe_codec, decontaminate, line_dedup, near_dedup, quality_cnn, quality_rules, secret_scan, token_files, toxicity
+from corpusloom.llm import bpe_codec, decontaminate, html_extract, line_dedup, near_dedup, quality_cnn, quality_rules, secret_scan, token_files, toxicity
 from corpusloom.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.selectExpr("doc_id", "_held_out AS held_out", "_score AS score", "_predicted AS predicted")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = html_extract.extract(table(spark, sf_dir, "pages"))
+    return extracted.selectExpr("page_id", "url", "_main AS text", "CAST(char_length(_main) AS BIGINT) AS n_chars")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.write_and_read(docs, tokenizer_file("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -54,7 +59,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_token_files, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_secret_scan, op8_line_dedup, op9_quality_cnn, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extract, op3_token_files, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_secret_scan, op8_line_dedup, op9_quality_cnn, op10_near_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER.format("coalesce(text, '')") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
