@@ -14,10 +14,11 @@ the end id alone. Null ids come first; rows with equal ids follow each other, al
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,8 @@ BITS = (5, 10, 15, 20, 30, 60)
 MAGIC = b"S8B1"
 BLOCK_IDS = 65_536
 END_ID = 0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+BATCH_DOCS = 1_024
 BLOCKS = "shard int, block int, first_id long, n_ids long, payload binary"
 
 
@@ -107,17 +109,31 @@ def from_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(numbers, known)], lengths, unpack(w, at, values, n)
 
 
-#: A text with any of these goes to the tokenizer whole; in others every single space and line end starts a pre-token.
-_ODD = re.compile("[\\x00-\\x09\\x0b-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|  | \\n|\\n[ \\n]|^[ \\n]|[ \\n]\\Z|<\\|")
 _encoders: dict = {}
+#: Byte-level BPE writes a byte as the character of that number where it is printable, else as the next one from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(b) if b in _PRINTABLE else chr(256 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)}
+
+
+def plain(text: str) -> bool:
+    """Whether every single space and line end of the text starts a pre-token: no other blanks, no two in a row, none at the ends."""
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and text.replace("\n", "").isprintable() and not any(x in text for x in ("  ", " \n", "\n ", "\n\n", "<|"))
+
+
+class Kept(dict):
+    """Words with their ids; a word that isn't kept is looked up in what was found for the batch at hand."""
+
+    def __missing__(self, word: str) -> bytes:
+        return self.found[word]
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each distinct word of a batch once.
 
-    With byte-level pre-tokens no merge crosses a single space or line end between two words, so a
-    text's ids are those of its words, each with the space or line end before it. The words that a
-    worker meets first are kept, at most CACHE_WORDS of them.
+    With byte-level pre-tokens no merge crosses a single space or line end between two words, or a
+    letter or digit and a comma or full stop that ends the word; so a text's ids are those of its
+    words, each with the space or line end before it. Texts with other blanks go to the tokenizer
+    whole. The words that a worker meets first are kept, at most CACHE_WORDS of them.
     """
 
     def __init__(self, path: str):
@@ -126,7 +142,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.line_end = self.whole("\n")
-        self.kept: dict[str, bytes] = {}
+        self.stops = {x: self.whole(x) for x in ",."}
+        self.kept = Kept()
+        self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -135,7 +153,7 @@ class Encoder:
         """Ids of words that hold no line end: one call for all, cut at the line ends between them."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
         (end,) = np.frombuffer(self.line_end, "<u4").tolist()
         cuts = np.flatnonzero(ids == end)
         if len(cuts) != len(words) - 1:
@@ -143,21 +161,31 @@ class Encoder:
         raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
         return [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]
 
+    def letters(self, word: str) -> bytes:
+        """Ids of a word of letters alone, with a space before it or not: one pre-token, so the model takes it as it is."""
+        chars = word.replace(" ", BYTE_CHARS[32]) if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [x.id for x in self.model.tokenize(chars)]).tobytes()
+
+    def look_up(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words with what precedes them: "\x02word" starts a text, "\nword" a line, any other has a space before it."""
+        stem = {w: w[:-1] if w[-1] in self.stops and w[-2:-1].isalnum() else w for w in new}
+        lack = list({x for x in stem.values() if x not in self.kept})
+        found = {w: self.letters(" " + w) for w in lack if w.isalpha()}
+        inner, outer = [w for w in lack if w[0] not in "\x02\n" and w not in found], [w for w in lack if w[0] in "\x02\n"]
+        found.update(zip(inner, self.words([" " + w for w in inner])))
+        found.update((w, self.line_end * (w[0] == "\n") + x) for w, x in zip(outer, self.words([w[1:] for w in outer])))
+        for w, x in stem.items():
+            if w not in found:
+                found[w] = (found[x] if x in found else self.kept[x]) + self.stops[w[-1]]
+        return found
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if not t or _ODD.search(t) else ("\x02" + t.replace("\n", " \n")).split(" ") for t in texts]
+        split = [("\x02" + t.replace("\n", " \n")).split(" ") if t and plain(t) else None for t in texts]
         kept = self.kept
-        new = list({w for words in split if words for w in words if w not in kept})
-        inner, outer = [w for w in new if w[0] not in "\x02\n"], [w for w in new if w[0] in "\x02\n"]
-        found = dict(zip(inner, self.words([" " + w for w in inner])))
-        found.update((w, self.line_end * (w[0] == "\n") + x) for w, x in zip(outer, self.words([w[1:] for w in outer])))
-        if len(kept) + len(found) <= CACHE_WORDS:
-            kept.update(found)
-            find = kept
-        else:
-            if len(kept) < CACHE_WORDS:
-                kept.update(list(found.items())[: CACHE_WORDS - len(kept)])
-            find = {w: found[w] if w in found else kept[w] for words in split if words for w in words}
-        return [b"".join(map(find.__getitem__, words)) if words else self.whole(t or "") for words, t in zip(split, texts)]
+        kept.found = self.look_up(set().union(*filter(None, split)).difference(kept))
+        if len(kept) < CACHE_WORDS:
+            kept.update(islice(kept.found.items(), CACHE_WORDS - len(kept)))
+        return [b"".join(map(kept.__getitem__, words)) if words else self.whole(t or "") for words, t in zip(split, texts)]
 
 
 def encoder(path: str) -> Encoder:
@@ -185,8 +213,8 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id"
 
         for b in batches:
             numbers = b["id"].astype(object).where(b["id"].notna(), None)
-            for lo in range(0, len(b), 256):
-                for doc, x in zip(numbers[lo : lo + 256], encoder(tokenizer_path).batch(list(b["text"][lo : lo + 256]))):
+            for lo in range(0, len(b), BATCH_DOCS):
+                for doc, x in zip(numbers[lo : lo + BATCH_DOCS], encoder(tokenizer_path).batch(list(b["text"][lo : lo + BATCH_DOCS]))):
                     ids.append(doc)
                     parts.append(x + end)
                     held += len(x) // 4 + 1
