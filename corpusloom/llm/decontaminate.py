@@ -91,8 +91,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     found = candidates(index, chosen).join(small(items), ["item", "item_id"])
     per_doc = found.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("item_id", "diagonal", "firsts", "item_words")).alias("_diagonals"))
 
-    left = docs.select("*", *doc_key(id_col, text_col), words(F.col(text_col)).alias("_words"))
-    joined = left.join(per_doc, ["_k1", "_k2"], "left")
+    left = docs.select("*", *doc_key(id_col, text_col))
+    # the words are cut after the join, so that the texts alone are shuffled
+    joined = left.join(per_doc, ["_k1", "_k2"], "left").withColumn("_words", words(F.col(text_col)))
 
     def exact(w: Column) -> Column:
         n = lambda x: F.least(F.lit(length), F.size(x["item_words"]))
