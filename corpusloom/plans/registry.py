@@ -5,6 +5,519 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import evaluation as V
+from corpusloom.operators import evidence as E
+from corpusloom.operators import retrieval as R
+from corpusloom.plans import sql as S
+from corpusloom.sources import corpus as C
+from corpusloom.streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- corpus ---------------------------------------------------------------------------------------
+
+
+def _sources(spark, d):
+    docs = C.read(spark, d, "documents")
+    return docs.groupBy(F.col("source").alias("source_id")).agg(F.min("lang").alias("name"))
+
+
+@query(f"""WITH {S.PASSAGES}, src AS (SELECT n_name AS source_id FROM nation)
+SELECT 'unknown source' AS rule, id AS key FROM p WHERE source_id NOT IN (SELECT source_id FROM src)
+UNION ALL SELECT 'unknown kind', id FROM p WHERE kind NOT IN ('en', 'de')
+UNION ALL SELECT 'passage without text', id FROM p WHERE trim(text) = ''
+UNION ALL SELECT 'no passages', source_id FROM src WHERE source_id NOT IN (SELECT source_id FROM p)
+UNION ALL SELECT 'passage id repeated', id FROM p GROUP BY id HAVING count(*) > 1""")
+def a9_validate_corpus(spark, d):
+    """Passages checked against a table of sources that isn't theirs, so that every rule has something to find."""
+    sources = C.read(spark, d, "nation").select(F.col("n_name").alias("source_id"), F.col("n_name").alias("name"))
+    kinds = spark.createDataFrame([("en",), ("de",)], "kind string")
+    return C.validate(sources, C.passages(spark, d), kinds)
+
+
+@query(f"""WITH {S.PASSAGES}, e AS (SELECT source AS source_id, 25 * count(*) AS expected FROM documents GROUP BY source),
+f AS (SELECT source_id, count(*) AS found FROM p GROUP BY source_id)
+SELECT source_id, expected, coalesce(found, 0) AS found FROM e LEFT JOIN f USING (source_id) WHERE coalesce(found, 0) < expected""")
+def a10_completeness_gate(spark, d):
+    expected = C.read(spark, d, "documents").groupBy(F.col("source").alias("source_id")).agg((25 * F.count("*")).alias("expected"))
+    return C.completeness(C.passages(spark, d), expected)
+
+
+@query("""SELECT c_custkey, string_agg(p_brand, '; ' ORDER BY f, p_brand) AS p_brand FROM (
+  SELECT o_custkey AS c_custkey, p_brand, min((o_orderdate, l_orderkey, l_linenumber)) AS f
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_custkey, p_brand) GROUP BY c_custkey""")
+def a14_topic_keywords(spark, d):
+    """Per customer, the brands bought, each once, in the order first bought."""
+    rows = C.read(spark, d, "orders").join(C.read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(C.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select(F.col("o_custkey").alias("c_custkey"), "p_brand", "o_orderdate", "l_orderkey", "l_linenumber")
+    return C.ordered_distinct("p_brand", ["o_orderdate", "l_orderkey", "l_linenumber"], ["c_custkey"], rows, "; ")
+
+
+@query(f"""WITH {S.PASSAGES} SELECT text, min(rid) AS first_rid, max(rid) AS last_rid, count(*) AS n_rows, arg_min(source_id, rid) AS source_id FROM p GROUP BY text""")
+def a15_group_identical_text(spark, d):
+    return C.group_identical(C.passages(spark, d))
+
+
+@query(f"""WITH {S.PASSAGES}, live AS (SELECT rid, id, source_id, text FROM p),
+cand AS (SELECT conv_id * 1000 + turn AS rid, conv_id || '/' || turn AS id, role AS source_id, text FROM conversations),
+s AS (SELECT source_id, count(*) AS n, min(rid) AS f FROM cand WHERE source_id NOT IN (SELECT source_id FROM live) GROUP BY source_id),
+o AS (SELECT source_id, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s)
+SELECT * FROM live UNION ALL
+SELECT CAST((SELECT max(rid) FROM live) + b + row_number() OVER (PARTITION BY source_id ORDER BY rid) AS BIGINT), id, source_id, text FROM cand JOIN o USING (source_id)""")
+def a16_merge_corpora(spark, d):
+    """Passages of documents, with the turns of conversations appended as new sources."""
+    live = C.passages(spark, d).select("rid", "id", "source_id", "text")
+    turns = C.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("rid"), F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("role").alias("source_id"), "text")
+    return C.merge(live, turns)
+
+
+@query(f"""WITH {S.PASSAGES} SELECT CAST(floor(rid / 10000000) AS BIGINT) AS stretch, count(*) AS n_rows, sha256(string_agg(sha256(id || chr(9) || text), '' ORDER BY rid)) AS digest FROM p GROUP BY 1""")
+def a17_corpus_fingerprint(spark, d):
+    return C.fingerprint(C.passages(spark, d))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+ '(?is)<(script|style|head)\b.*?</(?:script|style|head)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr|/article|/section)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM pages""")
+def a20_extract_html(spark, d):
+    return C.extract_html(C.read(spark, d, "pages"))
+
+
+# --- text -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {S.normal('text')} AS text FROM documents")
+def b1_normalize(spark, d):
+    return C.read(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)")
+def b2_tokenize(spark, d):
+    rows = C.read(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@query(f"""WITH w AS (SELECT item_id, regexp_extract_all(text, '\\S+') AS w, string_split_regex(text, '\\S+') AS g FROM benchmark),
+x AS (SELECT item_id, w[i] AS raw, list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda s: length(s))), 0) AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w))
+SELECT item_id, {S.normal('raw')} AS w, CAST(s AS BIGINT) AS s, CAST(s + length(raw) AS BIGINT) AS e FROM x WHERE {S.normal('raw')} <> ''""")
+def b3_word_offsets(spark, d):
+    rows = C.read(spark, d, "benchmark").select("item_id", F.explode(T.words_with_offsets(F.col("text"))).alias("x"))
+    return rows.select("item_id", "x.w", F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"))
+
+
+@query("""SELECT conv_id, turn, trim(trim(regexp_replace(replace(text, 'ـ', ''), '\\s+', ' ', 'g')), ' ' || chr(9) || chr(10) || '.,!?؟،؛:«»"''()') AS identity FROM conversations""")
+def b5_answer_identity(spark, d):
+    return C.read(spark, d, "conversations").select("conv_id", "turn", T.answer_identity(F.col("text")).alias("identity"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{0679}\x{0688}\x{0691}\x{06BA}\x{06BE}\x{06C1}\x{06D2}\x{06D3}]') THEN 'ur' WHEN regexp_matches(text, '[\x{0600}-\x{06FF}]') THEN 'ar'
+ WHEN regexp_matches(text, '[A-Za-z]{2,}') THEN 'en' ELSE lang END AS script,
+ CASE WHEN length(regexp_replace(text, '[^A-Za-z\x{0600}-\x{06FF}]', '', 'g')) = 0 THEN false
+ WHEN lang = 'en' THEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 0.5 * length(regexp_replace(text, '[^A-Za-z\x{0600}-\x{06FF}]', '', 'g'))
+ ELSE length(regexp_replace(text, '[^\x{0600}-\x{06FF}]', '', 'g')) >= 0.6 * length(regexp_replace(text, '[^A-Za-z\x{0600}-\x{06FF}]', '', 'g')) END AS fits FROM documents""")
+def b9_script_language(spark, d):
+    """B9 and B10: the script's language, and whether the letters fit the language on record."""
+    return C.read(spark, d, "documents").select("doc_id", T.script_language(F.col("text"), F.col("lang")).alias("script"), T.language_share_ok(F.col("text"), F.col("lang")).alias("fits"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'),
+ '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}]', '', 'g'), '[ \t\x{00A0}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM documents""")
+def b13_clean_print(spark, d):
+    return C.read(spark, d, "documents").select("doc_id", T.clean_print(F.col("text")).alias("text"))
+
+
+@query(rf"""WITH {S.PASSAGES}, s AS (SELECT *, CASE WHEN lag(text) OVER w IS NULL OR regexp_matches(lag(text) OVER w, '[.!?؟:»"]\s*$') THEN 1 ELSE 0 END AS b FROM p WINDOW w AS (PARTITION BY location ORDER BY rid)),
+i AS (SELECT *, sum(b) OVER (PARTITION BY location ORDER BY rid) AS island FROM s)
+SELECT location, min(rid) AS first_rid, count(*) AS n_joined, regexp_replace(string_agg(text, ' ' ORDER BY rid), ' +([,،])', '\1', 'g') AS text FROM i GROUP BY location, island""")
+def c4_join_cut_sentences(spark, d):
+    return C.join_cut(C.passages(spark, d))
+
+
+# --- retrieval ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {S.PASSAGES}, {S.QUESTIONS}, {S.TOKENS} SELECT token, rid, count(*) AS tf FROM tok GROUP BY token, rid")
+def d1_postings(spark, d):
+    return R.postings(C.passages(spark, d))
+
+
+@query(f"WITH {S.BM25} SELECT qid, rid, score, coverage, rank FROM hits")
+def d2_bm25(spark, d):
+    """D2 and D3: the best ten passages for every question, with coverage."""
+    return R.bm25(C.questions(spark, d), C.passages(spark, d))
+
+
+@query(f"WITH {S.BM25} SELECT qid, coalesce(score >= 1.0 AND coverage >= 0.5, false) AS answered FROM q LEFT JOIN (SELECT * FROM hits WHERE rank = 1) USING (qid)")
+def d4_sufficient(spark, d):
+    asked = C.questions(spark, d)
+    return R.sufficient(asked, R.bm25(asked, C.passages(spark, d)))
+
+
+@query(f"WITH {S.PASSAGES}, {S.QUESTIONS}, {S.TOKENS} SELECT token, count(DISTINCT rid) AS df, count(DISTINCT rid) <= 5 AS rare FROM tok WHERE token IN (SELECT token FROM qt) GROUP BY token")
+def d5_doc_frequency(spark, d):
+    wanted = R.query_terms(C.questions(spark, d)).select("token").distinct()
+    return R.postings(C.passages(spark, d)).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")).withColumn("rare", F.col("df") <= R.RARE)
+
+
+@query(f"WITH {S.RUNS}, {S.PHRASES} SELECT qid, rid FROM ph")
+def d6_phrase_match(spark, d):
+    return R.phrase_match(C.questions(spark, d), C.passages(spark, d))
+
+
+@query(f"""WITH {S.RUNS}, b AS (SELECT *, max(run) OVER (PARTITION BY qid) AS best FROM run WHERE run >= CASE WHEN n < 4 THEN n ELSE greatest(3, CAST(ceil(n / 2) AS BIGINT)) END)
+SELECT DISTINCT qid, rid, run FROM b WHERE run = best""")
+def d7_longest_subphrase(spark, d):
+    return R.longest_subphrase(C.questions(spark, d), C.passages(spark, d))
+
+
+@query(f"WITH {S.RUNS}, h AS (SELECT DISTINCT qid, rid FROM run WHERE run >= 4), c AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n_items FROM h) SELECT qid, rid, n_items FROM c WHERE n_items <= 60")
+def d8_drop_common_phrases(spark, d):
+    found = R.diagonals(C.questions(spark, d), C.passages(spark, d)).filter("run >= 4").select("qid", "rid").distinct()
+    return R.drop_common(found)
+
+
+@query(f"""WITH {S.BM25}, {S.RUNS[S.RUNS.index('qp AS'):]}, {S.PHRASES},
+b AS (SELECT qid, rid, 0 AS tier, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rid) AS r FROM ph) WHERE r <= 8 UNION ALL SELECT qid, rid, 1, rank FROM hits),
+o AS (SELECT qid, rid, min((tier, r)) AS a FROM b GROUP BY qid, rid)
+SELECT qid, rid, a[1] AS tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY a, rid) AS rank FROM o) WHERE rank <= 10""")
+def d10_tiered_search(spark, d):
+    asked, items = C.questions(spark, d), C.passages(spark, d)
+    return R.tiered(R.phrase_match(asked, items), R.bm25(asked, items))
+
+
+@query(f"WITH {S.PASSAGES}, {S.QUESTIONS}, {S.TOKENS} SELECT qid, rid FROM qt JOIN (SELECT DISTINCT token, rid FROM tok) USING (token) GROUP BY qid, rid HAVING count(*) = max(n_terms)")
+def d20_all_words_match(spark, d):
+    return R.all_words(C.questions(spark, d), C.passages(spark, d))
+
+
+_COS = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])) * list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))"
+_KNN = f"""sim AS (SELECT q.vec_id AS qid, v.vec_id AS rid, round({_COS.format(a='q.embedding', b='v.embedding')}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) AS rank FROM sim) WHERE rank <= 10)"""
+
+
+@query("SELECT vec_id, CAST(NULL AS VARCHAR) AS reason, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS length FROM embeddings")
+def e1_normalize_vectors(spark, d):
+    rows = R.normalize_vectors(C.read(spark, d, "embeddings"), 64)
+    return rows.select("vec_id", "reason", F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
+
+
+def _vectors(spark, d):
+    v = C.read(spark, d, "embeddings")
+    return v.filter("vec_id % 100 = 0"), v  # the stated query set: every id divisible by 100
+
+
+@query(f"WITH {_KNN} SELECT qid, rid, score, rank FROM knn")
+def e2_knn_exact(spark, d):
+    return R.knn(*_vectors(spark, d))
+
+
+@query()
+def e5_ann_recall(spark, d):
+    """E3 to E5: approximate neighbours by clusters around the per-label means, and their recall against exact ones."""
+    asked, v = _vectors(spark, d)
+    place = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    centres = place.groupBy(F.col("label").alias("centre")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"].cast("float")).alias("embedding"))
+    return R.recall(R.knn_clusters(asked, v, centres), R.knn(asked, v))
+
+
+@query(f"""WITH {S.BM25}, {_KNN},
+l AS (SELECT qid, rid, 0 AS list, rank FROM hits UNION ALL SELECT k.qid // 100 AS qid, p.rid, 1, min(k.rank) FROM knn k JOIN p ON p.location = k.rid GROUP BY 1, 2),
+f AS (SELECT qid, rid, round(sum(1 / (60 + rank)), 12) AS score, coalesce(min(rank) FILTER (list = 0), 1 << 30) AS a, coalesce(min(rank) FILTER (list = 1), 1 << 30) AS b FROM l GROUP BY qid, rid)
+SELECT qid, rid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, a, b, rid) AS rank FROM f) WHERE rank <= 10""")
+def e6_rrf(spark, d):
+    """Keyword hits fused with the passages of the nearest vectors' documents."""
+    items = C.passages(spark, d)
+    near = R.knn(*_vectors(spark, d)).select((F.col("qid") / 100).cast("long").alias("qid"), F.col("rid").alias("location"), "rank")
+    vector = near.join(items.select("rid", "location"), "location").groupBy("qid", "rid").agg(F.min("rank").alias("rank"))
+    return R.rrf([R.bm25(C.questions(spark, d), items), vector])
+
+
+@query("""SELECT d.doc_id, 'missing' AS why FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.vec_id IS NULL""")
+def e10_vector_delta(spark, d):
+    """Documents that still need a vector."""
+    docs, v = C.read(spark, d, "documents"), C.read(spark, d, "embeddings")
+    return docs.join(v.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id", F.lit("missing").alias("why"))
+
+
+@query(f"WITH {S.PASSAGES} SELECT rid, 'title: ' || source_id || ' — ' || location || ' | text: ' || text AS text FROM p")
+def e11_embedding_text(spark, d):
+    return C.passages(spark, d).select("rid", F.format_string("title: %s — %s | text: %s", "source_id", "location", "text").alias("text"))
+
+
+@query(f"""WITH {S.BM25}, l AS (SELECT qid // 4 AS question, CAST(qid % 4 AS BIGINT) AS list_no, rid, rank FROM hits),
+o AS (SELECT question, rid, min((rank, list_no)) AS a FROM l GROUP BY question, rid)
+SELECT question, rid, place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY a, rid) AS place FROM o) WHERE place <= 20""")
+def f1_round_robin_merge(spark, d):
+    """Four questions' hits taken in turns as one."""
+    hits = R.bm25(C.questions(spark, d), C.passages(spark, d))
+    return R.round_robin(hits.select(F.floor(F.col("qid") / 4).alias("question"), (F.col("qid") % 4).alias("list_no"), "rid", "rank"), 20)
+
+
+@query(f"""WITH {S.BM25}, h AS (SELECT qid, hits.rid, rank, kind = 'en' AS inside FROM hits JOIN p ON p.rid = hits.rid),
+i AS (SELECT *, row_number() OVER (PARTITION BY qid, inside ORDER BY rank) AS i FROM h)
+SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN inside THEN (i - 1) // 3 ELSE i - 1 END, inside DESC, i) AS place FROM i""")
+def f3_domain_interleave(spark, d):
+    items = C.passages(spark, d)
+    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", (F.col("kind") == "en").alias("inside")), "rid")
+    return R.interleave(hits)
+
+
+@query(f"WITH {S.PASSAGES} SELECT rid, lag(rid) OVER w AS previous, lead(rid) OVER w AS next FROM p WINDOW w AS (PARTITION BY location ORDER BY rid)")
+def f6_neighbours(spark, d):
+    return R.neighbours(C.passages(spark, d))
+
+
+@query("""SELECT conv_id, turn, role, substring(text, 1, 600) AS text, r > 1 AS repeated FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn) AS r FROM conversations) WHERE b <= 6""")
+def f12_history_window(spark, d):
+    return R.history(C.read(spark, d, "conversations"))
+
+
+# --- quotations -----------------------------------------------------------------------------------
+
+_LONGEST = f"""{S.RUNS}, lr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, rid ORDER BY run DESC, qstart, start) AS k FROM run) WHERE k = 1),
+cl AS (SELECT qid, rid, n, run, qstart, start, round(run / n, 3) AS coverage, CASE WHEN n < 3 THEN NULL WHEN run = n THEN 'exact' WHEN run / n >= 0.6 AND run >= 4 THEN 'close' END AS status FROM lr)"""
+
+
+@query(f"WITH {_LONGEST} SELECT qid, rid, n, run, qstart, start FROM lr")
+def g1_longest_run(spark, d):
+    return E.longest_runs(C.questions(spark, d), C.passages(spark, d))
+
+
+@query(f"WITH {_LONGEST} SELECT qid, rid, n, run, qstart, start, coverage, status, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN status = 'exact' THEN 0 ELSE 1 END, coverage DESC, rid) AS place FROM cl WHERE status IS NOT NULL) WHERE place <= 8")
+def g4_rank_quotes(spark, d):
+    """G2 and G4: findings classed exact or close, the best eight of each quotation."""
+    return E.rank_quotes(E.classify(E.longest_runs(C.questions(spark, d), C.passages(spark, d))))
+
+
+@query(f"""WITH w AS (SELECT item_id AS qid, string_split({S.normal('text')}, ' ') AS w FROM benchmark)
+SELECT DISTINCT qid, part FROM (SELECT qid, array_to_string(w, ' ') AS part FROM w WHERE w[1] <> '' UNION ALL
+SELECT qid, array_to_string(w[1:n], ' ') FROM (SELECT *, unnest(range(4, len(w))) AS n FROM w) UNION ALL SELECT qid, array_to_string(w[len(w) - n + 1:], ' ') FROM (SELECT *, unnest(range(4, len(w))) AS n FROM w))""")
+def g9_quote_parts(spark, d):
+    return E.quote_parts(C.questions(spark, d))
+
+
+_WRITTEN = f"""{S.PASSAGES}, ww AS (SELECT rid, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM p),
+wx AS (SELECT rid, w, i - 1 AS pos, w[i] AS written, {S.normal('w[i]')} AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ww)),
+wr AS (SELECT * FROM wx WHERE word <> '')"""
+
+
+@query(f"""WITH {_WRITTEN}, t AS (SELECT DISTINCT list_max(string_split({S.normal('text')}, ' ')) AS word FROM benchmark)
+SELECT word, rid, pos, array_to_string(w[greatest(pos - 4, 0) + 1:pos + 5], ' ') AS snippet FROM wx WHERE word IN (SELECT word FROM t)""")
+def g11_concordance(spark, d):
+    """Every place of the last word, in letter order, of each benchmark text."""
+    wanted = C.questions(spark, d).select(F.array_max(F.split(T.normalize(F.col("text")), " ")).alias("word")).distinct()
+    return E.concordance(wanted, C.passages(spark, d))
+
+
+@query(f"WITH {_WRITTEN} SELECT word, regexp_replace(written, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g') AS written, count(*) AS n FROM wr GROUP BY 1, 2")
+def g14_by_reading(spark, d):
+    return E.by_reading(C.passages(spark, d))
+
+
+@query(f"WITH {_WRITTEN} SELECT word, min(written) AS written FROM wr GROUP BY word HAVING count(DISTINCT written) = 1")
+def g16_unambiguous_forms(spark, d):
+    return E.unambiguous(C.passages(spark, d))
+
+
+_LEX = """SELECT {k}word, written, n FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY {k}word) AS BIGINT) AS n, row_number() OVER (PARTITION BY {k}word ORDER BY c DESC, a) AS r
+ FROM (SELECT {k}word, written, count(*) AS c, min((rid, pos)) AS a FROM {src} GROUP BY {k}word, written)) WHERE r = 1 AND n >= 3 AND c >= {share} * n"""
+
+
+@query(f"WITH {_WRITTEN} " + _LEX.format(k="", src="wr", share="0.9"))
+def g17_mark_lexicon(spark, d):
+    return E.mark_lexicon(C.passages(spark, d))
+
+
+@query(f"WITH {_WRITTEN}, wb AS (SELECT * FROM (SELECT *, lag(word) OVER (PARTITION BY rid ORDER BY pos) AS before FROM wr) WHERE before IS NOT NULL) " + _LEX.format(k="before, ", src="wb", share="0.8"))
+def g18_mark_bigrams(spark, d):
+    return E.bigram_lexicon(C.passages(spark, d))
+
+
+# --- claims ---------------------------------------------------------------------------------------
+
+_CLAIMS = """cs AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: true) AS ss FROM conversations WHERE role = 'assistant'),
+cl AS (SELECT conv_id, turn, i - 1 AS n, ss[i] AS text, (conv_id + i - 1) || ':0' AS cited FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM cs) WHERE trim(ss[i]) <> '')"""
+
+
+def _claims(spark, d):
+    return C.claims(spark, d).withColumn("claim", F.concat_ws("/", "conv_id", "turn", "n"))
+
+
+@query(f"""WITH {S.PASSAGES}, {_CLAIMS} SELECT conv_id || '/' || turn || '/' || n AS claim, CASE WHEN cited NOT IN (SELECT id FROM p) THEN 'not retrieved' END AS reason FROM cl""")
+def h1_verify(spark, d):
+    """H1 to H3 on the assistant's sentences; their text holds no quotation marks, so only citations can fail (fixtures test the rest)."""
+    items = C.passages(spark, d)
+    return E.verify(_claims(spark, d).withColumn("cited", F.array("cited")).withColumn("text", F.translate("text", '"«»', "")), items, items)
+
+
+@query(f"""WITH {_CLAIMS} SELECT conv_id, turn, CAST(n AS BIGINT) AS n, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, cited AS ids FROM cl""")
+def h22_cited_prose(spark, d):
+    """The assistant's sentences, each given its citation in brackets, parsed back into claims."""
+    prose = C.claims(spark, d).groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text", "cited"))), lambda x: F.regexp_replace(F.concat(F.lit("["), x["cited"], F.lit("] "), F.translate(x["text"], "[]", "")), "^(.*)$", "$1")), " ").alias("text"))
+    parsed = E.cited_prose(prose, ["conv_id", "turn"])
+    return parsed.select("conv_id", "turn", F.col("n").cast("long").alias("n"), "text", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"""WITH {S.PASSAGES}, {_CLAIMS} SELECT conv_id || '/' || turn AS claim, string_agg(id || ' (' || source_id || ')', '; ' ORDER BY pos) AS cards
+FROM (SELECT conv_id, turn, cited AS id, min(n) AS pos FROM cl GROUP BY conv_id, turn, cited) JOIN p USING (id) GROUP BY conv_id, turn""")
+def h33_source_cards(spark, d):
+    cites = C.claims(spark, d).select(F.concat_ws("/", "conv_id", "turn").alias("claim"), F.col("cited").alias("id"), F.col("n").alias("pos"))
+    return E.source_cards(cites, C.passages(spark, d))
+
+
+@query(f"""WITH {S.PASSAGES}, {_CLAIMS}, v AS (SELECT conv_id || '/' || turn AS answer, n, cited IN (SELECT id FROM p) AS ok FROM cl)
+SELECT answer, count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (ok) = 0 OR NOT arg_min(ok, n) OR count(*) FILTER (NOT ok) >= count(*) FILTER (ok) AS broken FROM v GROUP BY answer""")
+def h35_rejection_rollup(spark, d):
+    items = C.passages(spark, d)
+    verdicts = E.verify(_claims(spark, d).withColumn("cited", F.array("cited")).withColumn("text", F.translate("text", '"«»', "")), items, items)
+    return E.rejection_rollup(verdicts.select(F.substring_index("claim", "/", 2).alias("answer"), F.substring_index("claim", "/", -1).cast("int").alias("pos"), "reason"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------
+
+_QRELS = "qr AS (SELECT DISTINCT qid, rid FROM run WHERE run >= 5)"
+
+
+def _qrels(spark, d):
+    """Passages that hold five or more words of a benchmark text in a row are its answers."""
+    return R.diagonals(C.questions(spark, d), C.passages(spark, d)).filter("run >= 5").select("qid", "rid").distinct()
+
+
+@query(f"""WITH {S.BM25}, {S.RUNS[S.RUNS.index('qp AS'):]}, {_QRELS}, g AS (SELECT qid, rank, count(*) OVER (PARTITION BY qid ORDER BY rank) / rank AS pr FROM hits JOIN qr USING (qid, rid)),
+a AS (SELECT qid, sum(pr) AS ap, min(rank) AS first, count(*) AS found FROM g GROUP BY qid)
+SELECT count(*) AS questions, round(avg(coalesce(ap / n, 0)), 6) AS map, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(coalesce(found / n, 0)), 6) AS recall FROM (SELECT qid, count(*) AS n FROM qr GROUP BY qid) LEFT JOIN a USING (qid)""")
+def i1_rank_metrics(spark, d):
+    return V.rank_metrics(R.bm25(C.questions(spark, d), C.passages(spark, d)), _qrels(spark, d))
+
+
+@query(f"""WITH {S.BM25}, {S.RUNS[S.RUNS.index('qp AS'):]}, {_QRELS}, f AS (SELECT qid, min(rank) AS first FROM hits JOIN qr USING (qid, rid) GROUP BY qid)
+SELECT count(*) AS questions, count(*) FILTER (first <= 1) AS hit_1, count(*) FILTER (first <= 5) AS hit_5, count(*) FILTER (first <= 10) AS hit_10, round(avg(CASE WHEN first <= 10 THEN 1 / first ELSE 0 END), 6) AS mrr FROM q LEFT JOIN f USING (qid)""")
+def i2_hit_at(spark, d):
+    asked = C.questions(spark, d)
+    return V.hit_at(R.bm25(asked, C.passages(spark, d)), _qrels(spark, d), asked)
+
+
+@query("""SELECT qid, count(*) FILTER (d.doc_id IS NULL) AS missing, count(d.doc_id) = 0 AS none_left FROM (SELECT conv_id AS qid, 700 * turn + conv_id AS rid FROM conversations) LEFT JOIN documents d ON d.doc_id = rid GROUP BY qid HAVING count(*) FILTER (d.doc_id IS NULL) > 0""")
+def i4_missing_gold(spark, d):
+    gold = C.read(spark, d, "conversations").select(F.col("conv_id").alias("qid"), (700 * F.col("turn") + F.col("conv_id")).alias("rid"))
+    return V.missing_gold(gold, C.read(spark, d, "documents").select(F.col("doc_id").alias("rid")))
+
+
+@query(f"""WITH {S.BM25}, b AS (SELECT qid, rid, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coverage DESC, score DESC, rid) AS rank FROM (SELECT qid, rid, score, coverage FROM hits)))
+SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.rid, b.rid) AS rid, a.rank AS rank_a, b.rank AS rank_b, b.rank - a.rank AS shift FROM hits a FULL JOIN b ON a.qid = b.qid AND a.rid = b.rid WHERE a.rank IS DISTINCT FROM b.rank""")
+def i5_compare_runs(spark, d):
+    """BM25 order against the same hits ordered by coverage."""
+    from pyspark.sql import Window
+
+    hits = R.bm25(C.questions(spark, d), C.passages(spark, d))
+    other = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("coverage").desc(), F.col("score").desc(), "rid")).cast("long"))
+    return V.compare_runs(hits, other)
+
+
+@query("""SELECT lang, source, count(*) AS n, count(*) FILTER (quality = 1) AS good, round(median(n_chars), 6) AS median_chars, round(avg(toxic), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())""")
+def i7_summarize_gold(spark, d):
+    rows = C.read(spark, d, "documents").join(C.read(spark, d, "labels"), "doc_id")
+    return V.summarize(rows, [["lang"], ["source"], []], [F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.round(F.median("n_chars"), 6).alias("median_chars"), F.round(F.avg("toxic"), 6).alias("toxic")])
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n_values, count(*) AS n_runs, count(DISTINCT event_type) = 1 AS same FROM events GROUP BY user_id")
+def i9_run_consistency(spark, d):
+    return V.consistency(C.read(spark, d, "events"), "user_id", "event_type")
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('7' || doc_id)) AS k FROM documents) WHERE k <= 5")
+def i10_stratified_sample(spark, d):
+    return V.stratified(C.read(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 5, "7")
+
+
+@query("SELECT lang, source, count(*) AS n, round(avg(quality), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, source)")
+def i12_pass_rate(spark, d):
+    rows = C.read(spark, d, "documents").join(C.read(spark, d, "labels"), "doc_id")
+    return rows.rollup("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("rate"))
+
+
+@query("SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95, round(max(value), 6) AS most FROM events GROUP BY event_type")
+def i16_duration_stats(spark, d):
+    return V.duration_stats(C.read(spark, d, "events"), ["event_type"], "value")
+
+
+@query("SELECT event_type AS stage, 'k' AS key, count(DISTINCT user_id) AS answers, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY event_type")
+def i17_loss_summary(spark, d):
+    events = C.read(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("user_id").alias("answer"), F.from_json("props", "map<string,bigint>").alias("counts"))
+    return V.loss_summary(events, "counts").filter("total IS NOT NULL")
+
+
+@query("""SELECT user_id, count(*) AS calls, round(sum(CASE WHEN event_type <> 'error' THEN CAST(value AS DECIMAL(18, 4)) END), 4) AS known_cost, count(*) FILTER (event_type = 'error') AS unknown, count(*) FILTER (event_type = 'error') = 0 AS complete FROM events GROUP BY user_id""")
+def i18_cost_summary(spark, d):
+    """An event's value as its cost; that of an error is unknown."""
+    calls = C.read(spark, d, "events").withColumn("cost", F.when(F.col("event_type") != "error", F.col("value").cast("decimal(18,4)")))
+    return V.cost_summary(calls, ["user_id"], "cost")
+
+
+@query("SELECT event_type AS stage, count(*) AS calls, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def i20_model_usage(spark, d):
+    return C.read(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("calls"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT quality AS expected, CASE WHEN n_chars >= 200 THEN 1 ELSE 0 END AS got, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
+def i24_label_agreement(spark, d):
+    """Labels of quality against a rule on length."""
+    got = C.read(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") >= 200, 1).otherwise(0).alias("got"))
+    return V.label_agreement(C.read(spark, d, "labels").select("doc_id", F.col("quality").alias("expected")), got, "doc_id")
+
+
+# --- batch twins of the streams -------------------------------------------------------------------
+
+
+@query("SELECT user_id AS request_id, n_requests, coalesce(n_events, 0) AS n_events, coalesce(done, false) AS done FROM (SELECT user_id, count(*) AS n_requests FROM events WHERE event_type = 'view' GROUP BY user_id) LEFT JOIN (SELECT user_id, count(*) AS n_events, bool_or(event_type = 'purchase') AS done FROM events WHERE event_type <> 'view' GROUP BY user_id) USING (user_id)")
+def j1_assemble_traces(spark, d):
+    """I15 and J1: requests with their late events; a purchase closes one."""
+    events = C.read(spark, d, "events")
+    requests = events.filter("event_type = 'view'").groupBy(F.col("user_id").alias("request_id")).agg(F.count("*").alias("n_requests"))
+    kinds = events.filter("event_type <> 'view'").select(F.col("user_id").alias("request_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("event").alias("kind"))
+    return V.assemble(requests, kinds)
+
+
+@query()
+def j2_rate_limit(spark, d):
+    return J.rate_limit_batch(C.read(spark, d, "events"))
+
+
+@query("""SELECT key, version, kept_at, reply FROM (SELECT user_id AS key, event_type AS version, ts AS kept_at, props AS reply, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, props) AS k FROM events)
+WHERE k = 1 AND version = 'view' AND kept_at > (SELECT max(ts) FROM events) - INTERVAL 30 DAY ORDER BY kept_at DESC, key LIMIT 5000""")
+def j3_reply_cache(spark, d):
+    events = C.read(spark, d, "events")
+    replies = events.select(F.col("user_id").alias("key"), F.col("event_type").alias("version"), F.col("ts").alias("kept_at"), F.col("props").alias("reply"))
+    now = events.agg(F.max("ts").cast("string")).first()[0]
+    return J.merge_replies(replies.limit(0), replies, "view", now)
+
+
+@query("""SELECT key, event_id, ts FROM (SELECT user_id || event_type AS key, event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR ts - b > INTERVAL 86400 SECOND""")
+def j4_single_flight(spark, d):
+    return J.single_flight_batch(C.read(spark, d, "events").select(F.concat("user_id", "event_type").alias("key"), "event_id", "ts"), 86_400)
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def j5_counters(spark, d):
+    return J.counters(C.read(spark, d, "events"))
+
+
+@query(f"SELECT conv_id, turn FROM conversations WHERE NOT list_has_all({S.tokens('text')}, ['thanks', 'help'])")
+def j6_forget(spark, d):
+    rows = C.read(spark, d, "conversations").withColumn("tokens", T.tokenize(F.col("text")))
+    return J.forget(rows, ["thanks", "help"], "tokens").select("conv_id", "turn")
