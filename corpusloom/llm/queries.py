@@ -26,7 +26,7 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_files.write_and_read(docs, tokenizer_file("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.write_and_read(docs, tokenizer_file("byte_bpe_50k.json"), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

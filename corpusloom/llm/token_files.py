@@ -35,8 +35,8 @@ BITS = (5, 10, 15, 20, 30, 60)
 MAGIC = b"S8B1"
 BLOCK_IDS = 65_536
 END_ID = 0
-CACHE_WORDS = 500_000
-BATCH_DOCS = 1_024
+CACHE_WORDS = 700_000
+BATCH_DOCS = 2_048
 BLOCKS = "shard int, block int, first_id long, n_ids long, payload binary"
 
 
@@ -227,27 +227,28 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id"
     rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first()).mapInPandas(blocks, BLOCKS).write.parquet(out)
 
 
-def read(spark, path: str, id_col: str = "doc_id") -> DataFrame:
-    """From token files: each document's id, start (ids before it), n_tokens, ids_crc32 and its ids as bytes."""
+def read(spark, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """From token files: each document's id, start (ids before it), n_tokens, ids_crc32 and, if asked for, its ids as bytes."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for shard, first, payload in zip(b["shard"], b["first_id"], b["payload"]):
                 docs, lengths, ids = from_block(payload)
                 ends = np.cumsum(lengths, dtype=np.int64)
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 pieces = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pd.DataFrame({"id": pd.Series(docs, dtype="Int64"), "shard": shard, "at": first + ends - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": [zlib.crc32(p) for p in pieces], "ids": pieces})
+                out = pd.DataFrame({"id": pd.Series(docs, dtype="Int64"), "shard": shard, "at": first + ends - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": [zlib.crc32(p) for p in pieces]})
+                yield out.assign(ids=[bytes(p) for p in pieces]) if with_ids else out
 
     files = spark.read.schema(BLOCKS).parquet(path)
     # one row per shard, far fewer than blocks: summed before the window and small enough to broadcast
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    decoded = files.mapInPandas(decode, "id long, shard int, at long, n_tokens long, ids_crc32 long, ids binary")
-    return decoded.join(F.broadcast(before), "shard").select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    decoded = files.mapInPandas(decode, "id long, shard int, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return decoded.join(F.broadcast(before), "shard").select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def write_and_read(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_and_read(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     out = scratch_path(docs.sparkSession, "token-files")
     write(docs, tokenizer_path, out, id_col, text_col)
-    return read(docs.sparkSession, out, id_col)
+    return read(docs.sparkSession, out, id_col, with_ids)
