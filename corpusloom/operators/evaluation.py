@@ -82,3 +82,27 @@ def assemble(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Each request with the number of its events and whether one says that the work is done."""
     per = events.groupBy("request_id").agg(F.count("*").alias("n_events"), F.bool_or(F.col("kind") == "completed").alias("done"))
     return requests.join(per, "request_id", "left").select(requests["*"], F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("done", F.lit(False)).alias("done"))
+
+
+def score_gold(gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, status_ok, covered): the status that was expected, and the share of key points covered: 0 if unanswered, null if answered but not judged."""
+    joined = gold.join(answers, "id", "left")
+    share = F.size(F.filter("covered", lambda c: c)) / F.size("covered")
+    covered = F.when(F.coalesce(F.col("status") != "answered", F.lit(True)), 0.0).when(F.col("covered").isNull(), None).otherwise(share)
+    return joined.select("id", F.coalesce(F.col("status") == F.col("expect"), F.lit(False)).alias("status_ok"), covered.alias("covered"))
+
+
+def gold_regressions(before: DataFrame, after: DataFrame, drop: float = 0.25) -> DataFrame:
+    """(id, was, now): rows whose share of covered points fell by `drop` or more."""
+    joined = before.select("id", F.col("covered").alias("was")).join(after.select("id", F.col("covered").alias("now")), "id")
+    return joined.filter(F.col("was") - F.col("now") >= drop)
+
+
+TRACE = "schema_version int, request_id string, endpoint string, http_status int, duration_ns bigint, events array<struct<kind:string,stage:string,cost:decimal(18,9)>>"
+
+
+def parse_traces(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(traces, skipped) of log lines `value`: what follows TRACE, with version 1 and a request; other lines without the word are ignored."""
+    rows = lines.select(F.regexp_extract("value", "TRACE (.*)$", 1).alias("json")).filter("json <> ''").select("json", F.from_json("json", TRACE).alias("t"))
+    good = F.coalesce((F.col("t.schema_version") == 1) & F.col("t.request_id").isNotNull(), F.lit(False))
+    return rows.filter(good).select("t.*"), rows.filter(~good).select("json")

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import chunking as K
 from corpusloom.operators import evaluation as V
 from corpusloom.operators import evidence as E
 from corpusloom.operators import retrieval as R
 from corpusloom.plans import sql as S
 from corpusloom.sources import corpus as C
+from corpusloom.sources import readers as X
 from corpusloom.streaming import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +100,30 @@ def a20_extract_html(spark, d):
     return C.extract_html(C.read(spark, d, "pages"))
 
 
+@query(f"""WITH {S.PASSAGES}, s AS (SELECT rid, location, text, last_value(CASE WHEN length(text) < 40 THEN text END IGNORE NULLS) OVER (PARTITION BY location ORDER BY rid) AS h FROM p)
+SELECT rid, location FROM s WHERE h IS NULL OR NOT regexp_matches(h, '^[A-E]')""")
+def a5_skip_sections(spark, d):
+    """Short lines taken as headings; the sections under those that begin with A to E go."""
+    rows = C.passages(spark, d).withColumn("heading", F.when(F.char_length("text") < 40, F.col("text")))
+    return X.skip_sections(rows, "location", "rid", "heading", "^[A-E]").select("rid", "location")
+
+
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS id, CASE WHEN d.lang = 'en' THEN coalesce(b.text, '') ELSE '' END AS translation FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id""")
+def a12_attach_translations(spark, d):
+    """Benchmark texts as the translations of English documents of the same number."""
+    docs = C.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("kind"))
+    texts = C.read(spark, d, "benchmark").select(F.lit("xx").alias("lang"), F.col("item_id").cast("string").alias("passage_id"), "text")
+    return X.attach_translations(docs, texts, "xx", "en").select("id", "translation")
+
+
+@query(f"""WITH {S.PASSAGES} SELECT id, CASE WHEN kind = 'es' THEN 'unverified' WHEN kind = 'fr' THEN 'mismatch' ELSE 'matches' END AS state FROM p""")
+def a18_stamp_check(spark, d):
+    """Vectors stamped with the text's digest, with that of other text (fr), and not at all (es)."""
+    items = C.passages(spark, d)
+    stamp = F.when(F.col("kind") == "es", None).when(F.col("kind") == "fr", F.sha2(F.concat("text", F.lit("?")), 256)).otherwise(F.sha2("text", 256))
+    return X.stamp_check(items.select("id", stamp.alias("text_sha")), items)
+
+
 # --- text -----------------------------------------------------------------------------------------
 
 
@@ -148,6 +174,22 @@ def c4_join_cut_sentences(spark, d):
     return C.join_cut(C.passages(spark, d))
 
 
+@query(f"""WITH RECURSIVE {S.PASSAGES}, o AS (SELECT location, text, row_number() OVER (PARTITION BY location ORDER BY rid) AS k FROM p),
+r AS (SELECT location, k, 0 AS chunk, length(text) AS n FROM o WHERE k = 1
+ UNION ALL SELECT o.location, o.k, CASE WHEN n + 1 + length(text) > 1200 THEN chunk + 1 ELSE chunk END, CASE WHEN n + 1 + length(text) > 1200 THEN length(text) ELSE n + 1 + length(text) END FROM r JOIN o ON o.location = r.location AND o.k = r.k + 1)
+SELECT location, chunk, string_agg(text, chr(10) ORDER BY k) AS text FROM r JOIN o USING (location, k) GROUP BY location, chunk""")
+def c1_pack_paragraphs(spark, d):
+    return K.pack_paragraphs(C.passages(spark, d))
+
+
+@query(f"""WITH RECURSIVE {S.PASSAGES}, o AS (SELECT rid, ss[k] AS text, k FROM (SELECT rid, ss, unnest(range(1, len(ss) + 1)) AS k FROM (SELECT rid, CASE WHEN length(text) <= 300 THEN [text] ELSE string_split(regexp_replace(text, '([.!?؟])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS ss FROM p))),
+r AS (SELECT rid, k, 0 AS part, length(text) AS n FROM o WHERE k = 1
+ UNION ALL SELECT o.rid, o.k, CASE WHEN n + 1 + length(text) > 300 THEN part + 1 ELSE part END, CASE WHEN n + 1 + length(text) > 300 THEN length(text) ELSE n + 1 + length(text) END FROM r JOIN o ON o.rid = r.rid AND o.k = r.k + 1)
+SELECT rid, part, string_agg(text, ' ' ORDER BY k) AS text FROM r JOIN o USING (rid, k) GROUP BY rid, part""")
+def c2_split_sentences(spark, d):
+    return C.passages(spark, d).select("rid", F.posexplode(K.split_sentences(F.col("text"), 300)).alias("part", "text"))
+
+
 # --- retrieval ------------------------------------------------------------------------------------
 
 
@@ -277,6 +319,24 @@ def f3_domain_interleave(spark, d):
     return R.interleave(hits)
 
 
+@query(f"""WITH {S.BM25}, h AS (SELECT qid, hits.rid, rank, kind = 'de' AS w FROM hits JOIN p ON p.rid = hits.rid),
+t AS (SELECT *, CASE WHEN w AND row_number() OVER (PARTITION BY qid, w ORDER BY rank) <= 4 THEN 0 ELSE 1 END AS tier FROM h)
+SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY tier, rank) AS place FROM t""")
+def f5_wanted_first(spark, d):
+    items = C.passages(spark, d)
+    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", (F.col("kind") == "de").alias("wanted")), "rid")
+    return R.wanted_first(hits)
+
+
+@query(f"""WITH {S.BM25}, l AS (SELECT qid // 4 AS question, CAST(qid % 4 AS BIGINT) AS list_no, rid, rank FROM hits), f AS (SELECT DISTINCT question, rid FROM l WHERE rank <= 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY question, list_no ORDER BY rank, rid) AS k FROM l ANTI JOIN f USING (question, rid))
+SELECT question, rid, min(list_no) AS list_no FROM b WHERE k <= 4 GROUP BY question, rid""")
+def f14_gap_hits(spark, d):
+    hits = R.bm25(C.questions(spark, d), C.passages(spark, d))
+    lists = hits.select(F.floor(F.col("qid") / 4).alias("question"), (F.col("qid") % 4).alias("list_no"), "rid", "rank")
+    return R.gap_hits(lists, lists.filter("rank <= 2").select("question", "rid").distinct())
+
+
 @query(f"WITH {S.PASSAGES} SELECT rid, lag(rid) OVER w AS previous, lead(rid) OVER w AS next FROM p WINDOW w AS (PARTITION BY location ORDER BY rid)")
 def f6_neighbours(spark, d):
     return R.neighbours(C.passages(spark, d))
