@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import small
+
 FOLDS = 5
 
 
@@ -25,4 +27,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
     draw = F.pmod(F.xxhash64(F.lit(label), "id"), F.lit(1_000_000))
     bound = F.when(F.col("label") == 1, int(1_000_000 * min(1, most / max(1, counts.get(1, 0))))).otherwise(int(1_000_000 * min(1, most / max(1, counts.get(0, 0)))))
     picked = known.filter(draw < bound)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).join(picked, "id")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).join(small(picked), "id")
