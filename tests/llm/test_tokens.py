@@ -39,7 +39,9 @@ def test_codec(spark, sizes):
     assert bpe_codec.encode(empty(spark), RANKS).count() == 0
 
 
-def test_token_files(spark):
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_token_files(spark, coalesced):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)  # one shard, and several
     docs = documents(spark, EXTRA)
     tokenizer = Tokenizer.from_file(JSON)
     tokenizer.encode_special_tokens = True
@@ -56,6 +58,7 @@ def test_token_files(spark):
     in_order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert in_order == sorted(in_order, key=lambda i: (i is not None, i or 0))
     assert token_files.write_and_read(empty(spark), JSON).count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 @settings(max_examples=200, deadline=None)
