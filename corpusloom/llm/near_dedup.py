@@ -16,8 +16,11 @@ are candidates; in a larger one every node meets the LEADERS nodes that share mo
 (in a group of near copies, its centre) and its NEIGHBOURS successors in a hashed order of its slice
 of the bucket. Each node is
 first aligned with the candidate it shares most sketches with; pairs that this leaves in different
-components are then all aligned. No pair of a candidate set is skipped unless its nodes are already
-in one class. Components are found by label propagation over stored tables.
+components are then all aligned. Then every large bucket that still holds several components is taken
+whole: all pairs of its nodes in different components are candidates, in blocks of SLICE by SLICE
+nodes, without those that their lengths or the parities of their k-mers prove to lie below
+`similarity`. So no two nodes that share a sketch are left unaligned unless they are already in one
+class or cannot reach `similarity`. Components are found by label propagation over stored tables.
 
 Texts without words (null, empty) are classes of their own. Repeated rows and ids fall into the class
 of their words; class_id is the lowest id of the class.
@@ -44,6 +47,7 @@ BUCKET = 8
 LEADERS = 3
 NEIGHBOURS = 2
 SLICE = 200
+PARITIES = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(20_231).integers(1, 2**63 - 1, SKETCHES + SHORT_SKETCHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -112,6 +116,12 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return chain / (len(a) + len(b) - chain)
 
 
+def parities(labelled: np.ndarray) -> np.ndarray:
+    """PARITIES bits as longs: whether an odd number of the labelled k-mers falls to a bit. Two texts differ in no more bits than k-mers."""
+    odd = np.bincount((labelled % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, node, hashes): node is the digest of the words, null without words."""
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
@@ -121,17 +131,22 @@ def nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sketched(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sigs = [order_sketches(kmers(np.asarray(h, np.int64))) for h in b["hashes"]]
-            yield pd.DataFrame({"id": b["id"], "node": b["node"], "sigs": pd.Series(sigs, dtype=object, index=b.index)})
+            labelled = [kmers(np.asarray(h, np.int64)) for h in b["hashes"]]
+            columns = {"sigs": map(order_sketches, labelled), "n": map(len, labelled), "bits": map(parities, labelled)}
+            yield pd.DataFrame({"id": b["id"], "node": b["node"], **{k: pd.Series(list(v), dtype=object, index=b.index) for k, v in columns.items()}})
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, node string, sigs array<long>")
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, node string, sigs array<long>, n int, bits array<long>")
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b, shared): pairs of nodes to be aligned, a < b, and how often each came up."""
+def buckets(distinct: DataFrame) -> DataFrame:
+    """(sig, node, size): the sketches that several nodes share."""
     exploded = distinct.select("node", F.explode(F.array_distinct("sigs")).alias("sig"))
     shared = exploded.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
-    full = stored(exploded.join(shared, "sig"), "near-buckets")
+    return exploded.join(shared, "sig")
+
+
+def candidates(full: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs of nodes to be aligned first, a < b, and how often each came up."""
     few = full.filter(F.col("size") <= BUCKET).select("sig", "node")
     pairs = few.alias("x").join(few.alias("y"), "sig").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     many = full.filter(F.col("size") > BUCKET)
@@ -149,6 +164,31 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(wide).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def open_pairs(full: DataFrame, roots: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """(a, b, shared): all pairs of large buckets whose nodes lie in different components and may reach `least`."""
+    rooted = full.filter(F.col("size") > BUCKET).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rooted.groupBy("sig", "root").agg(F.count("*").alias("part"))
+    # a bucket's largest component meets the others only, so that its own pairs are never made
+    largest = parts.groupBy("sig").agg(F.max_by("root", F.struct("part", "root")).alias("major"), (F.sum("part") - F.max("part")).alias("rest")).filter("rest > 0")
+    placed = stored(rooted.join(largest, "sig").select("sig", "node", "root", "size", "rest", (F.col("root") == F.col("major")).alias("in_major")), "near-open")
+    marks = distinct.select("node", "n", "bits").join(placed.select("node").distinct(), "node", "left_semi")
+    dealt = lambda n: F.pmod(F.xxhash64("node", "sig"), F.ceil(F.col(n) / SLICE))
+    turns = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / SLICE) - 1))
+    placed = placed.join(marks, "node")
+    x = placed.filter("NOT in_major").withColumn("row", dealt("rest")).withColumn("column", turns("size")).alias("x")
+    y = placed.withColumn("column", dealt("size")).withColumn("row", turns("rest")).alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    unlike = sum((F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    met = (
+        (F.col("x.root") != F.col("y.root"))
+        & (F.col("y.in_major") | (F.col("x.node") < F.col("y.node")))
+        & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6)
+        & (unlike <= both * (1 - 2 * least / (1 + least)) + 1e-6)
+    )
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.column") == F.col("y.column")) & met)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
 def linked(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     """The pairs whose alignment reaches `least`."""
     left, right = (sequences.select(F.col("node").alias(k), F.col("hashes").alias(f"{k}_h")) for k in "ab")
@@ -176,21 +216,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_up(pairs: DataFrame, sequences: DataFrame, least: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links and the components they make, after all pairs: each node's likeliest first, then those in different components."""
+    likely = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "shared").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p"))
+    first = stored(linked(likely.select("p.a", "p.b").distinct(), sequences, least), "near-links")
+    links = links.unionByName(first) if links is not None else first
+    roots = components(links)
+    a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in "ab")
+    apart = pairs.join(a, "a", "left").join(b, "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root")
+    second = stored(linked(apart, sequences, least), "near-links")
+    if second.limit(1).count():
+        links = links.unionByName(second)
+        roots = components(links)
+    return links, roots
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: id, node (null without words) and class_id."""
     rows = stored(sketched(nodes(docs, id_col, text_col)), "near-sketches")
-    distinct = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("sigs").alias("sigs"), F.min("id").alias("first_id"))
-    pairs = stored(candidates(distinct), "near-pairs")
+    distinct = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("sigs").alias("sigs"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("first_id"))
+    full = stored(buckets(distinct.select("node", "sigs")), "near-buckets")
+    pairs = stored(candidates(full), "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sequences = stored(nodes(docs, id_col, text_col).filter("node IS NOT NULL").join(small(wanted), "node", "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "near-sequences")
 
-    likely = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "shared").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p"))
-    first = stored(linked(likely.select("p.a", "p.b").distinct(), sequences, least), "near-links")
-    roots = components(first)
-    a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in "ab")
-    open_pairs = pairs.join(a, "a", "left").join(b, "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root")
-    second = stored(linked(open_pairs, sequences, least), "near-links")
-    roots = components(first.unionByName(second)) if second.limit(1).count() else roots
+    links, roots = joined_up(pairs, sequences, least)
+    late = stored(open_pairs(full, roots, distinct, least), "near-pairs")
+    if late.limit(1).count():
+        _, roots = joined_up(late, sequences, least, links)
 
     named = distinct.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("class_id"))

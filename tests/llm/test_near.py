@@ -52,6 +52,21 @@ def test_classes_equal_all_pairs(spark):
     assert got == all_pairs(rows)
 
 
+def test_links_that_large_buckets_leave_open(spark):
+    """Texts with some of 40 edits each reach 0.8 with few others, though all share large buckets."""
+    draw = random.Random(3)
+    base = [f"b{i}" for i in range(240)]
+    rows = []
+    for n in range(500):
+        copy = list(base)
+        for k in draw.sample(range(40), 5):
+            copy[6 * k + 3] = f"edit{k}"
+        rows.append((n, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert got == all_pairs(rows)
+
+
 def test_similarity_follows_the_order():
     a = near_dedup.kmers(np.arange(100))
     swapped = near_dedup.kmers(np.concatenate([np.arange(50, 100), np.arange(50)]))
