@@ -116,7 +116,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", llr: f
     model = stored(train(docs, text_col, sample_docs), "secret-model")  # one row
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     tokens = F.filter(spans(F.col("_text"), TOKEN, 3, 0, LEAST_TOKEN), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    rows = rows.select("_id", base_spans(F.col("_text")).alias("base"), F.when(F.col("_text").rlike("[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]{4}") & F.col("_text").rlike(TOKEN), tokens).otherwise(F.array().cast(SPAN)).alias("tokens"))
+    rows = rows.select("_id", base_spans(F.col("_text")).alias("base"), F.when(F.col("_text").rlike("[0-9]") & F.col("_text").rlike(TOKEN), tokens).otherwise(F.array().cast(SPAN)).alias("tokens"))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     rows = rows.select("_id", "base", free.alias("tokens"), F.lit(0).alias("_one")).join(F.broadcast(model), "_one")
     return rows.select(F.col("_id").alias(id_col), "base", F.filter("tokens", lambda t: mean_llr(t["value"], F.col("llr")) >= llr).alias("added"))

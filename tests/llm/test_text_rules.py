@@ -83,6 +83,13 @@ def test_models_add_random_strings(spark):
     assert [s.value for s in row.added] == ["xK9vQ2mZ7pL4wR8tB3nY6cF1"]
 
 
+def test_token_with_its_digits_at_the_end(spark):
+    rows = [(1, "plain words and xKqTzRvWbLmNpQ7a alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    (row,) = secret_scan.scan(docs, llr=-100.0).collect()
+    assert [s.value for s in row.added] == ["xKqTzRvWbLmNpQ7a"]
+
+
 def words_by_hand(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
