@@ -9,13 +9,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 #: White space of the word and line definitions: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A side is broadcast only when it has at most so many rows; larger sides are shuffled.
+#: A side is broadcast only when it has at most so many rows and bytes; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,12 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset (a local session), one is made."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local session, whose tasks run on this machine, may do without: one is made for it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,23 +50,55 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_.scratch = path
+    return table_
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows, else as it is: the join then shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def discard(table_: DataFrame) -> None:
+    """Removes a stored() table that no later step reads."""
+    spark = table_.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_.scratch)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def width(field: StructField) -> Column:
+    """About how many bytes a value takes."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType) and not isinstance(kind.elementType, StringType | BinaryType | ArrayType | StructType):
+        return F.coalesce(8 * F.size(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType | StructType):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` rows and takes at most about `most_bytes`, else as it is: the join then shuffles both sides."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(sum((width(f) for f in df.schema.fields), F.lit(0)).cast("long")).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["size"] or 0) <= most_bytes else df
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1, ..., so that no name of an operator's own can clash with one; and what `names` are called there."""
+    lower = [c.lower() for c in df.columns]
+    return df.toDF(*[f"c{i}" for i in range(len(lower))]), [f"c{lower.index(n.lower())}" for n in names]
+
+
+def named_again(rows: DataFrame, df: DataFrame, new: dict[str, str | Column]) -> DataFrame:
+    """The columns of df (numbered in rows) under their own names, then the new ones; a column of df with the name of a new one gives way to it."""
+    taken = {n.lower() for n in new}
+    old = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() not in taken]
+    return rows.select(*old, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in new.items()])
 
 
 def doc_key(id_col: str, text_col: str) -> list[Column]:
-    """Two key columns without nulls that tell rows apart even where ids repeat or are null.
+    """Two key columns, k1 and k2, without nulls that tell rows apart even where ids repeat or are null.
 
     Rows that agree in both have the same id and the same text, so they share every result.
     """
-    return [
-        F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")).alias("_k1"),
-        F.xxhash64(F.lit(1), F.col(text_col)).alias("_k2"),
-    ]
+    return [F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("k2")]
 
 
 def let(value: Column, body) -> Column:
@@ -71,21 +107,22 @@ def let(value: Column, body) -> Column:
 
 
 def with_columns(df: DataFrame, of: str, make: Callable[[], Callable[[list], list[list]]], new: dict[str, str]) -> DataFrame:
-    """df with columns that Python makes of column `of`; all others pass through as they are.
+    """df with columns that Python makes of column `of`; all others pass through as they are, but for those that a new one replaces.
 
     make() runs once in each task and returns what turns a batch of values into a list for each new column.
     """
-    spark_schema = StructType(list(df.schema.fields))
-    for name, kind in new.items():
-        spark_schema = spark_schema.add(name, kind)
+    inner, (column,) = numbered(df, of)
+    schema = StructType(list(inner.schema.fields))
+    for k, kind in enumerate(new.values()):
+        schema = schema.add(f"new{k}", kind)
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "binary": pa.binary()}
         for b in batches:
-            made = work(b.column(b.schema.get_field_index(of)).to_pylist())
-            for (name, kind), values in zip(new.items(), made):
-                b = b.append_column(name, pa.array(values, kinds[kind]))
+            made = work(b.column(b.schema.get_field_index(column)).to_pylist())
+            for k, (kind, values) in enumerate(zip(new.values(), made)):
+                b = b.append_column(f"new{k}", pa.array(values, kinds[kind]))
             yield b
 
-    return df.mapInArrow(run, spark_schema)
+    return named_again(inner.mapInArrow(run, schema), df, {n: f"new{k}" for k, n in enumerate(new)})

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, doc_key, let, small, stored
+from corpusloom.llm.common import ascii_lower, doc_key, let, named_again, numbered, small, stored
 
 #: Fixed value: what separates words once A-Z are lower-cased.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -60,51 +60,62 @@ def anchors(items: DataFrame, counts: DataFrame, length: int = LENGTH, per_windo
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: (_k1, _k2, term, pos) for the given terms."""
+    """The stored index: (k1, k2, term, pos) for the given terms."""
     tokens = docs.select(*doc_key(id_col, text_col), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
-    return stored(tokens.join(small(terms), "term", "left_semi").select("_k1", "_k2", "term", "pos"), "postings")
+    return stored(tokens.join(small(terms), "term", "left_semi").select("k1", "k2", "term", "pos"), "postings")
 
 
 def candidates(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(_k1, _k2, item, item_id, diagonal, firsts): windows all of whose anchors lie on the diagonal."""
+    """(k1, k2, item, item_id, diagonal, firsts): windows all of whose anchors lie on the diagonal."""
     places = chosen.groupBy("item", "item_id", "term", "place").agg(F.collect_set(F.struct("first", "needed")).alias("windows"))
-    on_diagonals = index.join(small(places), "term").select("_k1", "_k2", "item", "item_id", (F.col("pos") - F.col("place")).alias("diagonal"), "place", "windows")
-    grouped = on_diagonals.groupBy("_k1", "_k2", "item", "item_id", "diagonal").agg(F.collect_set(F.struct("place", "windows")).alias("found"))
+    on_diagonals = index.join(small(places), "term").select("k1", "k2", "item", "item_id", (F.col("pos") - F.col("place")).alias("diagonal"), "place", "windows")
+    grouped = on_diagonals.groupBy("k1", "k2", "item", "item_id", "diagonal").agg(F.collect_set(F.struct("place", "windows")).alias("found"))
     opened = F.flatten(F.transform("found", lambda x: x["windows"]))
     full = let(opened, lambda w: F.transform(F.filter(F.array_distinct(w), lambda x: F.size(F.filter(w, lambda y: y["first"] == x["first"])) >= x["needed"]), lambda x: x["first"]))
     return grouped.withColumn("firsts", full).filter(F.size("firsts") > 0).drop("found")
 
 
 def proximity(index: DataFrame, pairs: DataFrame, distance: int) -> DataFrame:
-    """Occurrences of (left, right) term pairs at most `distance` words apart: (left, right, _k1, _k2, left_pos, right_pos)."""
+    """Occurrences of (left, right) term pairs at most `distance` words apart: (left, right, k1, k2, left_pos, right_pos)."""
     left = index.withColumnsRenamed({"term": "left", "pos": "left_pos"}).join(small(pairs), "left")
     right = index.withColumnsRenamed({"term": "right", "pos": "right_pos"})
-    return left.join(right, ["_k1", "_k2", "right"]).filter(F.abs(F.col("left_pos") - F.col("right_pos")) <= distance).select("left", "right", "_k1", "_k2", "left_pos", "right_pos")
+    return left.join(right, ["k1", "k2", "right"]).filter(F.abs(F.col("left_pos") - F.col("right_pos")) <= distance).select("left", "right", "k1", "k2", "left_pos", "right_pos")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with _n_words, _hit (positions inside occurrences of windows) and _items (item ids, sorted as strings)."""
+    """docs with _n_words, _hit (positions inside occurrences of windows) and _items (item ids, sorted as strings).
+
+    Columns of docs by these three names give way to them.
+    """
+    left, (doc, text) = numbered(docs, id_col, text_col)
     items = stored(item_words(benchmark, item_id_col, item_text_col), "benchmark-words")
     vocabulary = items.select(F.explode("item_words").alias("term")).distinct()
-    chosen = stored(anchors(items, term_counts(docs, vocabulary, text_col), length), "anchors")
-    index = postings(docs, chosen.select("term").distinct(), id_col, text_col)
-    found = candidates(index, chosen).join(small(items), ["item", "item_id"])
-    per_doc = found.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("item_id", "diagonal", "firsts", "item_words")).alias("_diagonals"))
+    chosen = stored(anchors(items, term_counts(left, vocabulary, text), length), "anchors")
+    index = postings(left, chosen.select("term").distinct(), doc, text)
+    # an item's words join once for each document that may hold it, not for each diagonal
+    found = candidates(index, chosen).groupBy("k1", "k2", "item", "item_id").agg(F.collect_list(F.struct("diagonal", "firsts")).alias("diagonals")).join(small(items), ["item", "item_id"])
+    per_doc = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "diagonals", "item_words")).alias("found"))
 
-    left = docs.select("*", *doc_key(id_col, text_col))
     # the words are cut after the join, so that the texts alone are shuffled
-    joined = left.join(per_doc, ["_k1", "_k2"], "left").withColumn("_words", words(F.col(text_col)))
+    joined = left.select("*", *doc_key(doc, text)).join(per_doc, ["k1", "k2"], "left").withColumn("words", words(F.col(text)))
 
     def exact(w: Column) -> Column:
-        n = lambda x: F.least(F.lit(length), F.size(x["item_words"]))
-        starts = lambda x: F.transform(F.filter(x["firsts"], lambda f: (f + x["diagonal"] >= 0) & (F.slice(w, F.greatest(f + x["diagonal"], F.lit(0)) + 1, n(x)) == F.slice(x["item_words"], f + 1, n(x)))), lambda f: f + x["diagonal"])
-        return F.filter(F.transform("_diagonals", lambda x: F.struct(x["item_id"].alias("item_id"), n(x).alias("n"), starts(x).alias("starts"))), lambda x: F.size(x["starts"]) > 0)
-
-    checked = joined.withColumn("_found", F.when(F.col("_diagonals").isNull(), F.lit(None)).otherwise(let(F.col("_words"), exact)))
-    covered = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(s, s + x["n"] - 1))))))
-    out = checked.withColumn("_n_words", F.size("_words").cast("long")).withColumn("_hit", F.coalesce(covered, F.array().cast("array<int>")))
-    out = out.withColumn("_items", F.coalesce(F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["item_id"]))), F.array().cast("array<string>")))
-    return out.drop("_k1", "_k2", "_words", "_diagonals", "_found")
+        """Of each item, (item_id, n words a window, starts in the document of its windows)."""
+
+        def starts(x: Column) -> Column:
+            n = F.least(F.lit(length), F.size(x["item_words"]))
+            alike = lambda d, f: (f + d >= 0) & (F.slice(w, F.greatest(f + d, F.lit(0)) + 1, n) == F.slice(x["item_words"], f + 1, n))
+            return F.flatten(F.transform(x["diagonals"], lambda d: F.transform(F.filter(d["firsts"], lambda f: alike(d["diagonal"], f)), lambda f: f + d["diagonal"])))
+
+        all_ = F.transform("found", lambda x: F.struct(x["item_id"].alias("item_id"), F.least(F.lit(length), F.size(x["item_words"])).alias("n"), starts(x).alias("starts")))
+        return F.filter(all_, lambda x: F.size(x["starts"]) > 0)
+
+    checked = joined.withColumn("exact", F.when(F.col("found").isNull(), F.lit(None)).otherwise(let(F.col("words"), exact)))
+    covered = F.array_distinct(F.flatten(F.transform("exact", lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(s, s + x["n"] - 1))))))
+    return named_again(checked, docs, {
+        "_n_words": F.size("words").cast("long"), "_hit": F.coalesce(covered, F.array().cast("array<int>")),
+        "_items": F.coalesce(F.array_sort(F.array_distinct(F.transform("exact", lambda x: x["item_id"]))), F.array().cast("array<string>")),
+    })
 
 
 def report(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:

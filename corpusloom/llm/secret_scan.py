@@ -2,12 +2,19 @@
 
 Base spans are the leftmost non-overlapping matches of three patterns. The method adds spans of kind
 `markov`: a token of LEAST_TOKEN or more key characters with a digit and a letter in it, outside all base spans,
-whose first-order character model of random strings beats the model of ordinary words by at least
-`llr` nats a character. Both models are counted from labelled samples taken from the documents
-themselves: values that the base patterns label as secrets, and words that they don't, in about
-SAMPLE_DOCS documents, which a hash of the text picks in each task. Where the sample holds no secret, the random model is uniform.
-
-DataFrame functions only. Offsets are code points, ends exclusive. Null texts count as empty.
+whose first-order character model of random strings beats the model of ordinary identifiers by at
+least `llr` nats a character. A token's verdict depends on the token and the models alone.
+
+Both models are counted over all documents, from samples that the documents label: the random model
+from the values that the base patterns name, the ordinary one from words outside base spans found in
+LEAST_TEXTS texts or more that differ. Each distinct value and word counts once, so that copies weigh
+nothing, and what the rule would score itself (LEAST_TOKEN characters with a digit and a letter) is
+never an ordinary word, however many texts repeat it. Counts are summed in each task first. Where no
+document holds a named secret, the random model is uniform.
+
+DataFrame functions only. Offsets are code points, ends exclusive. Null and empty texts have no
+spans. Repeated rows and ids get one result each, null ids too; only the id and the text are read, so
+extra columns of any name play no part. Overlapping kinds all stay in base; equal starts are ordered by kind.
 """
 
 from __future__ import annotations
@@ -30,14 +37,21 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LLR = 0.75
 SMOOTHING = 0.5
 BACKOFF = 20.0
-SAMPLE_DOCS = 4_000
+#: A word is ordinary if so many texts that differ hold it (at least: texts are told apart by 64 residues of a hash).
+LEAST_TEXTS = 8
+BLOCK = 256
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
 def spans(text: Column, pattern: str, rank: int, value_group: int = 0, least: int = 0) -> Column:
-    """All matches as (start, rank, end, value): the pieces between matches give the offsets."""
+    """All matches as (start, rank, end, value): the pieces between matches give the offsets.
+
+    Matches are folded in blocks of BLOCK, so that no long array grows by one at a time.
+    """
 
     def place(found: Column) -> Column:
+        n = F.size(found["whole"])
+
         def step(acc: Column, k: Column) -> Column:
             start = acc["at"] + F.char_length(F.get(found["pieces"], k))
             end = start + F.char_length(F.get(found["whole"], k))
@@ -45,12 +59,17 @@ def spans(text: Column, pattern: str, rank: int, value_group: int = 0, least: in
             row = F.array(F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"), value.alias("value")))
             return F.struct(end.cast("int").alias("at"), F.when(F.char_length(value) >= least, F.concat(acc["out"], row)).otherwise(acc["out"]).alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found["whole"]) - 1), start, step)["out"]
+        def block(acc: Column, b: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("out"))
+            done = F.aggregate(F.sequence(b * BLOCK, F.least(n, (b + 1) * BLOCK) - 1), start, step)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), start, block)["out"])
 
     all_of = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     found = F.struct(all_of(0).alias("whole"), all_of(value_group).alias("value"), F.split(text, pattern, -1).alias("pieces"))
-    return let(found, place)
+    return let(found, lambda f: F.when(F.size(f["whole"]) > 0, place(f)).otherwise(F.array().cast(SPAN)))
 
 
 def base_spans(text: Column) -> Column:
@@ -63,29 +82,33 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(assign, access, hexes))
 
 
-def training_tokens(docs: DataFrame, text_col: str, sample_docs: int) -> DataFrame:
-    """(secret, token) from the sample: what base spans hold, and words of six or more key characters outside them, found in two documents or more."""
-    texts = docs.select(F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    share = int(1_000_000 * min(1.0, sample_docs / max(1, texts.count())))
-    sample = texts.filter(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000)) < share)
-    rest = F.col("text")
+def scored_by_rule(token: Column) -> Column:
+    """Whether the models are asked about a token."""
+    return (F.char_length(token) >= LEAST_TOKEN) & token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+
+
+def training_tokens(docs: DataFrame, text_col: str) -> DataFrame:
+    """(secret, token): the distinct values that base spans hold, and the distinct ordinary words."""
+    text = F.col("text")
+    rows = docs.select(F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    secrets = rows.select(F.explode(F.transform(base_spans(text), lambda x: x["value"])).alias("token")).distinct()
+    bare = text
     for pattern in (ASSIGN, ACCESS, HEX):
-        rest = F.regexp_replace(rest, pattern, " ")
-    rows = sample.withColumn("secrets", base_spans(F.col("text"))).withColumn("words", F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{6,}"), F.lit(0)))
-    secrets = rows.select(F.lit(True).alias("secret"), F.explode(F.transform("secrets", lambda x: x["value"])).alias("token"))
-    # a word in two documents is no one's key; a string found once may be one that no pattern names
-    ordinary = rows.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").count().filter("count > 1")
-    return secrets.unionByName(ordinary.select(F.lit(False).alias("secret"), "token"))
+        bare = F.when(bare.rlike(pattern), F.regexp_replace(bare, pattern, " ")).otherwise(bare)
+    words = rows.select(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("text"), F.lit(64)).cast("int")).alias("mark"), F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9+/_=-]{6,}"), F.lit(0)))).alias("token"))
+    held = words.groupBy("token").agg(F.bit_or("mark").alias("marks"))
+    ordinary = held.filter((F.bit_count("marks") >= LEAST_TEXTS) & ~scored_by_rule(F.col("token"))).select("token")
+    return secrets.select(F.lit(True).alias("secret"), "token").unionByName(ordinary.select(F.lit(False).alias("secret"), "token"))
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: llr, an array of len(ALPHABET) ** 2 log-likelihood ratios, previous character first."""
     size = len(ALPHABET)
     pairs = (
-        training_tokens(docs, text_col, sample_docs)
+        training_tokens(docs, text_col)
         .filter(F.char_length("token") > 1)
-        .withColumn("k", F.explode(F.expr("sequence(1, char_length(token) - 1)")))
-        .select("secret", F.instr(F.lit(ALPHABET), F.substring("token", F.col("k"), F.lit(1))).alias("a"), F.instr(F.lit(ALPHABET), F.substring("token", F.col("k") + 1, F.lit(1))).alias("b"))
+        .select("secret", F.explode(let(places(F.col("token")), lambda i: F.transform(F.sequence(F.lit(1), F.size(i) - 1), lambda k: F.struct(F.get(i, k - 1).alias("a"), F.get(i, k).alias("b"))))).alias("p"))
+        .select("secret", "p.a", "p.b")
         .filter("a > 0 and b > 0")
         .groupBy("a", "b")
         .agg(F.count_if("secret").alias("s"), F.count_if(~F.col("secret")).alias("o"))
@@ -103,21 +126,27 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     return scored.groupBy(F.lit(0).alias("_one")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("llr"))
 
 
+def places(token: Column) -> Column:
+    """Where in ALPHABET each character of a token is, from 1 on; 0 for others."""
+    return F.transform(F.slice(F.split(token, ""), F.lit(1), F.char_length(token)), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
 def mean_llr(token: Column, model: Column) -> Column:
     """Log-likelihood ratio of the token's character pairs, per pair."""
     size = len(ALPHABET)
-    index = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    total = let(index, lambda i: F.aggregate(F.sequence(F.lit(1), F.size(i) - 1), F.lit(0.0), lambda acc, k: acc + F.coalesce(F.get(model, (F.get(i, k - 1) - 1) * size + F.get(i, k) - 1), F.lit(0.0))))
+    total = let(places(token), lambda i: F.aggregate(F.sequence(F.lit(1), F.size(i) - 1), F.lit(0.0), lambda acc, k: acc + F.coalesce(F.get(model, (F.get(i, k - 1) - 1) * size + F.get(i, k) - 1), F.lit(0.0))))
     return total / (F.char_length(token) - 1)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", llr: float = LLR, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", llr: float = LLR) -> DataFrame:
     """One row per row of docs: id, base (spans of the patterns), added (spans of the models)."""
-    model = stored(train(docs, text_col, sample_docs), "secret-model")  # one row
+    model = stored(train(docs, text_col), "secret-model")  # one row
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    tokens = F.filter(spans(F.col("_text"), TOKEN, 3, 0, LEAST_TOKEN), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    rows = rows.select("_id", base_spans(F.col("_text")).alias("base"), F.when(F.col("_text").rlike("[0-9]") & F.col("_text").rlike(TOKEN), tokens).otherwise(F.array().cast(SPAN)).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    tokens = F.filter(spans(F.col("_text"), TOKEN, 3, 0, LEAST_TOKEN), lambda s: scored_by_rule(s["value"]))
+    # a text without a digit has no token to score
+    rows = rows.select("_id", base_spans(F.col("_text")).alias("base"), F.when(F.col("_text").rlike("[0-9]"), tokens).otherwise(F.array().cast(SPAN)).alias("tokens"))
+    meets = lambda t, found: F.exists(found, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    free = let(F.col("base"), lambda found: F.filter("tokens", lambda t: ~meets(t, found)))  # else the optimiser may move the patterns into the filter
     rows = rows.select("_id", "base", free.alias("tokens"), F.lit(0).alias("_one")).join(F.broadcast(model), "_one")
     return rows.select(F.col("_id").alias(id_col), "base", F.filter("tokens", lambda t: mean_llr(t["value"], F.col("llr")) >= llr).alias("added"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 from corpusloom.llm import decontaminate, line_dedup, quality_rules, secret_scan
@@ -90,6 +91,77 @@ def test_token_with_its_digits_at_the_end(spark):
     assert [s.value for s in row.added] == ["xKqTzRvWbLmNpQ7a"]
 
 
+def markov_by_hand(docs, llr):
+    """Added spans of (id, text) rows by the two models, counted and scored in plain Python."""
+    import math
+
+    alphabet, key = secret_scan.ALPHABET, re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+    asked = lambda t: len(t) >= 16 and re.search("[0-9]", t) and re.search("[A-Za-z]", t)
+    secrets, marks = set(), {}
+    for i, text in docs:
+        spans = spans_by_hand(text)
+        for a, rank, b in spans:
+            piece = text[a:b]
+            secrets.add(re.fullmatch(r"(?s)(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(.*)", piece).group(1) if rank == 0 else piece)
+        bare = text or ""
+        for p in (secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX):
+            bare = re.sub(p, " ", bare)
+        for w in set(re.findall(r"[A-Za-z0-9+/_=-]{6,}", bare)):
+            marks.setdefault(w, set()).add(text)
+    ordinary = {w for w, texts in marks.items() if len(texts) >= 20 and not asked(w)}  # no word here is in 8 to 19 texts
+
+    def model(words):
+        n, pair, first, second = len(alphabet), Counter(), Counter(), Counter()
+        for w in words:
+            for a, b in zip(w, w[1:]):
+                if a in alphabet and b in alphabet:
+                    pair[a, b] += 1
+                    first[a] += 1
+                    second[b] += 1
+        total = sum(pair.values())
+        lone = lambda b: (second[b] + secret_scan.SMOOTHING) / (total + secret_scan.SMOOTHING * n)
+        return lambda a, b: math.log((pair[a, b] + secret_scan.BACKOFF * lone(b)) / (first[a] + secret_scan.BACKOFF))
+
+    s, o = model(secrets), model(ordinary)
+    out = {}
+    for i, text in docs:
+        taken = spans_by_hand(text)
+        found = []
+        for m in key.finditer(text or ""):
+            t = m.group()
+            if asked(t) and not any(a < m.end() and m.start() < b for a, _, b in taken):
+                if sum(s(a, b) - o(a, b) for a, b in zip(t, t[1:])) / (len(t) - 1) >= llr:
+                    found.append((m.start(), m.end(), t))
+        out[i] = found
+    return out
+
+
+def test_markov_spans_by_hand(spark):
+    """Spans equal those of models counted in plain Python, in one text or in many copies, wherever the digit stands."""
+    draw = random.Random(11)
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    key = lambda n: "".join(draw.choices(letters + digits, k=n))
+    late = ["".join(draw.choices(letters, k=22)) + draw.choice(digits) + "".join(draw.choices(letters, k=2)) for _ in range(20)]
+    plain = "configuration responsibilities internal_identifier version_of_things release2024 another-ordinary-word"
+    rows = [(i, f"{plain} number {i}" + (f" secret={key(24)}" if i % 2 else "")) for i in range(400)]
+    rows += [(1000 + i, f"see {k} there") for i, k in enumerate(late)]
+    rows += [(2000 + 100 * i + c, f"copied {k} here {c}") for i, k in enumerate(late[:5]) for c in range(10)]
+    rows += [(3000, "nothing here"), (3001, None), (3002, "2 words only"), (3003, f"token={late[0]} and {late[1]},{late[2]};")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end, s.value) for s in r.added] for r in secret_scan.scan(docs).collect()}
+    assert got == markov_by_hand(rows, secret_scan.LLR)
+    assert sum(bool(got[1000 + i]) for i in range(20)) >= 19
+    assert all(bool(got[2000 + 100 * i + c]) == bool(got[1000 + i]) for i in range(5) for c in range(10))
+
+
+def test_long_runs_end_soon(spark):
+    rows = [(1, "ab" * 500_000), (2, "Q7" * 500_000), (3, " ".join(f"word{i}wordwordword" for i in range(50_000))), (4, "x" * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert time.time() - began < 120 and len(got[1].base) == 1 and len(got) == 4
+
+
 def words_by_hand(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
@@ -123,7 +195,7 @@ def test_proximity(spark):
     terms = spark.createDataFrame([("red",), ("pear",)], "term string")
     pairs = spark.createDataFrame([("red", "pear")], "left string, right string")
     found = decontaminate.proximity(decontaminate.postings(docs, terms), pairs, 5).collect()
-    assert [(r._k1, r.left_pos, r.right_pos) for r in found] == [("1", 0, 5)]
+    assert [(r.k1, r.left_pos, r.right_pos) for r in found] == [("1", 0, 5)]
 
 
 def lines_by_hand(docs, least):
@@ -141,20 +213,46 @@ def test_line_dedup(spark):
     extra = [(50 + i, f"  Common LINE\t\nown {i}\ncommon line\n\nß", "en", "a") for i in range(5)]
     docs = documents(spark, extra)
     rows = docs.collect()
-    for size in (1 << 20, 0):  # with the filters, and with the exact join alone
+    for size in (1 << 20, 0):  # filters in every task, and keys dealt out to the filters
         out = line_dedup.report(line_dedup.dedup(docs, least_docs=3, filter_bytes=size))
         assert Counter(tuple(r) for r in out.collect()) == lines_by_hand(rows, 3)
     assert line_dedup.dedup(empty(spark)).count() == 0
 
 
-def test_references_can_be_taken_back(spark):
+def state(index):
+    return sorted(map(tuple, index.references.collect())), sorted(map(tuple, index.frequent().collect()))
+
+
+def held_by_filters(spark, index, keys):
+    """How many of the keys the stored filters pass."""
+    rows = [(str(i), 0, *k) for i, k in enumerate(keys)]
+    return line_dedup.probe_by_shard(spark.createDataFrame(rows, "k1 string, k2 long, h1 long, h2 long"), index).count() if rows else 0
+
+
+def test_documents_can_be_taken_back(spark):
+    """Filters and counts follow documents that come and go, and dedup by the kept index equals dedup from scratch."""
     a = spark.createDataFrame([(i, "shared\nown %d" % i) for i in range(4)], "doc_id long, text string")
-    b = spark.createDataFrame([(9, "shared\nother\nother")], "doc_id long, text string")
-    start = line_dedup.references(a)
+    b = spark.createDataFrame([(10 + i, "shared\nother\nother\nown %d" % (i % 2)) for i in range(5)], "doc_id long, text string")
+    start = line_dedup.build(a, least_docs=3)
     grown = line_dedup.insert_documents(start, b)
     back = line_dedup.delete_documents(grown, b)
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, start.collect()))
-    assert sorted(r.n for r in grown.collect()) == [1, 1, 1, 1, 1, 5]
+    assert state(back) == state(start) and state(grown) == state(line_dedup.build(a.unionByName(b), least_docs=3))
+    assert sorted(r.n for r in grown.references.collect()) == [1, 1, 3, 4, 5, 9]
+    for index, n in ((start, 1), (grown, 4), (back, 1)):
+        assert index.n_frequent == n and held_by_filters(spark, index, state(index)[1]) == n
+    left = set(state(grown)[1]) - set(state(back)[1])
+    assert held_by_filters(spark, back, left) == 0  # what is no longer frequent has left the filters
+    both = a.unionByName(b)
+    for docs, index in ((both, grown), (a, back)):
+        got = line_dedup.report(line_dedup.dedup(docs, index=index)).collect()
+        assert Counter(map(tuple, got)) == lines_by_hand(docs.collect(), 3)
+
+
+def test_a_full_filter_is_built_anew(spark):
+    few = spark.createDataFrame([(i, "a\nb") for i in range(3)], "doc_id long, text string")
+    many = spark.createDataFrame([(100 + i, "\n".join(f"line {k}" for k in range(3000))) for i in range(3)], "doc_id long, text string")
+    grown = line_dedup.insert_documents(line_dedup.build(few, least_docs=3), many)
+    assert grown.n_frequent == 3002 and held_by_filters(spark, grown, state(grown)[1]) == 3002
 
 
 def test_cuckoo_filter():
