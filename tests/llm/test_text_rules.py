@@ -142,8 +142,9 @@ def test_markov_spans_by_hand(spark):
     letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     key = lambda n: "".join(draw.choices(letters + digits, k=n))
     late = ["".join(draw.choices(letters, k=22)) + draw.choice(digits) + "".join(draw.choices(letters, k=2)) for _ in range(20)]
-    plain = "configuration responsibilities internal_identifier version_of_things release2024 another-ordinary-word"
-    rows = [(i, f"{plain} number {i}" + (f" secret={key(24)}" if i % 2 else "")) for i in range(400)]
+    syllables = "con fig ura tion res pon sib il ity in ter nal ver sion re lease an oth er or din ary".split()
+    plain = ["".join(draw.choices(syllables, k=draw.randint(3, 6))) for _ in range(300)]
+    rows = [(i, " ".join(draw.sample(plain, 60)) + f" number {i}" + (f" secret={key(24)}" if i % 2 else "")) for i in range(400)]
     rows += [(1000 + i, f"see {k} there") for i, k in enumerate(late)]
     rows += [(2000 + 100 * i + c, f"copied {k} here {c}") for i, k in enumerate(late[:5]) for c in range(10)]
     rows += [(3000, "nothing here"), (3001, None), (3002, "2 words only"), (3003, f"token={late[0]} and {late[1]},{late[2]};")]
