@@ -1,24 +1,30 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Tokens that look disguised (letters mixed with look-alike characters, a letter three times in a row,
-single letters set apart by blanks, dots or dashes) become character lattices: a look-alike stands for
-itself or for its letters, a run of one letter for one or two of it, a separator for nothing. A
-Viterbi pass under a character trigram model, counted over all documents, finds the likeliest
-restored word. The restored text is then scored: a lexicon of words and word beginnings, each with a
-cautious log-odds of toxicity (two standard errors below the estimate) from labelled rows, gives every
-word a weight; the largest weights of a text and the share of weighted words enter a logistic
-regression fitted on labelled rows that the lexicon has not seen.
+Tokens that may be disguised become character lattices, whatever their length: a look-alike stands for
+itself or for its letters, a run of one letter for one or two of it, a separator for nothing or for
+the edge of a word. A Viterbi pass under a character trigram model, counted over all documents, finds
+the likeliest restored words. Decoded are tokens with letters and look-alikes anywhere in them, tokens of
+look-alikes that are no number, tokens with a letter three times in a row, single letters set apart by
+blanks, dots or dashes, and, once the lexicon is known, tokens that would reach one of its entries
+with doubled letters made single or inner separators taken out.
+
+The restored text is then scored: a lexicon of words and word beginnings, each with a cautious
+log-odds of toxicity (two standard errors below the estimate) from labelled rows, gives every word a
+weight; the largest weights of a text and the number of weighted words enter a logistic regression
+fitted on labelled rows that the lexicon has not seen.
 
 At most SAMPLE labelled rows of each label are learned from; the character model counts every
 document. Null and empty texts score as texts without words. Without rows of both labels every score
-is the smoothed share of label 1.
+is the smoothed share of label 1. Ties between paths go to the option listed first. Each row, repeated
+or not, is scored from its text alone; columns named as the results give way to them, all others stay.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from math import log
 
 import numpy as np
@@ -32,6 +38,8 @@ from corpusloom.llm.labelled import fold, training_rows
 SAMPLE = 12_000
 PREFIXES = (4, 5, 6)
 LEAST_WEIGHT = 0.5
+WEAK, STRONG = 1.0, 2.0
+EVIDENCE = 5
 CALIBRATION_FOLD = 4
 CACHE_WORDS = 300_000
 #: Letters that a character may stand for.
@@ -42,9 +50,12 @@ SWAP, AS_IS, DOUBLE = -1.0, -6.0, -1.5
 #: Code points that the trigram counter handles at once.
 STRETCH = 200_000
 CLASSES = 60  # 0 a word's edge, 1-26 a-z, 27-58 U+00E0-U+00FF, 59 anything else
-_SIGNS = re.escape("".join(LOOKALIKES))
-_DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|(?<!\S)[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:([ .\-_*])[^\W\d_](?=\1|(?![^\W_]))){2,}")
+SEPARATORS = " .-_*"
+EDGES = ".,;:?\"'()[]{}<>"
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_SIGN = re.compile(rf"[{re.escape(''.join(LOOKALIKES))}]")
+_APART = re.compile(r"\w(?:[.\-_*]\w){2,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -115,98 +126,148 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each step of a disguised token, what it may stand for and the log cost."""
-    steps, k, token = [], 0, token.lower()
-    while k < len(token):
-        c = token[k]
-        n = len(token[k:]) - len(token[k:].lstrip(c))
-        if c in " .-_*" and 0 < k < len(token) - n:
-            steps.append([("", 0.0)])
+    """For each step of a token, what it may stand for and the log cost."""
+    runs = [(c, len(list(r))) for c, r in groupby(token.lower())]
+    steps = []
+    for k, (c, n) in enumerate(runs):
+        if c in SEPARATORS and 0 < k < len(runs) - 1:
+            steps.append([("", 0.0), (" ", 0.0)])
         elif c.isalpha():
             steps.append([(c, 0.0)] if n == 1 else [(c, 0.0), (c * 2, 0.0 if n == 2 else DOUBLE)])
         elif c in LOOKALIKES:
             steps.append([(x * m, SWAP + (0.0 if m == 1 else DOUBLE)) for x in LOOKALIKES[c] for m in range(1, 1 + min(2, n))] + [(c * n, AS_IS)])
         else:
             steps.append([(c * n, 0.0)])
-        k += n
     return steps
 
 
-def viterbi(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a token. States are the last two classes; the best path to each is kept."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def walk(model: list[float], state: tuple[int, int], out: str) -> tuple[float, tuple[int, int]]:
+    """Log probability of the characters of `out` after a state, and the state they lead to. Non-letters in a row are one edge."""
+    (x, y), total = state, 0.0
+    for c in out:
+        z = char_class(c) if c.isalpha() else 0
+        if z or y:
+            total += model[(x * CLASSES + y) * CLASSES + z]
+            x, y = y, z
+    return total, (x, y)
+
+
+def viterbi(token: str, model: np.ndarray | list[float]) -> str:
+    """The likeliest text behind a token. States are the last two classes; the best way to each is kept at every step."""
+    flat = model if isinstance(model, list) else model.ravel().tolist()
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: list[dict] = []
     for options in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, path) in best.items():
+        after: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for state, score in best.items():
             for out, cost in options:
-                s, x, y = score + cost, a, b
-                for c in out:
-                    z = char_class(c) if c.isalpha() else 0
-                    s, x, y = s + model[x, y, z], y, z
-                if (x, y) not in after or s > after[x, y][0]:
-                    after[x, y] = (s, path + out)
+                gain, to = walk(flat, state, out)
+                total = score + cost + gain
+                if to not in after or total > after[to]:
+                    after[to], came[to] = total, (state, out)
         best = after
-    return max((s + model[a, b, 0], p) for (a, b), (s, p) in best.items())[1]
+        back.append(came)
+    state = max(best, key=lambda x: best[x] + walk(flat, x, " ")[0])
+    pieces = []
+    for came in reversed(back):
+        state, out = came[state]
+        pieces.append(out)
+    return "".join(reversed(pieces))
 
 
-class Restorer:
-    """Restores disguised words, each distinct one once while it is kept."""
+def squeezed(word: str) -> str:
+    return _DOUBLE.sub(r"\1", word)
 
-    def __init__(self, model: np.ndarray):
-        self.model, self.kept = model, {}
 
-    def word(self, token: str) -> str:
-        if token not in self.kept:
-            if len(self.kept) >= CACHE_WORDS:
-                self.kept.clear()
-            self.kept[token] = viterbi(token, self.model) if len(token) <= 64 else token
-        return self.kept[token]
+class Restorer:
+    """Restores disguised tokens. `entries`: the lexicon, which tells tokens with doubled letters and inner separators worth a look."""
+
+    def __init__(self, model: np.ndarray, entries: Iterable[str] = ()):
+        self.model = model.ravel().tolist()
+        words = [e for e in entries if len(e) >= 4]
+        self.whole = {squeezed(e) for e in words if not e.endswith("*")}
+        self.starts = {squeezed(e[:-1]) for e in words if e.endswith("*")}
+
+    def listed(self, word: str) -> bool:
+        """Whether a word without its doubled letters reaches an entry of the lexicon."""
+        return word in self.whole or any(word[:n] in self.starts for n in range(3, 1 + min(max(PREFIXES), len(word))))
+
+    def disguised(self, core: str) -> bool:
+        if core.isalpha():
+            return bool(_TRIPLE.search(core)) or bool(self.whole) and bool(_DOUBLE.search(core)) and self.listed(squeezed(core.lower()))
+        letters, signs = _LETTERS.search(core), _SIGN.search(core)
+        if signs and (letters or not core.isdigit() and len(set(core)) > 1 and all(c in LOOKALIKES for c in core)):
+            return True
+        if letters and (_TRIPLE.search(core) or _APART.fullmatch(core)):
+            return True
+        return bool(letters and self.whole) and self.listed(squeezed("".join(_LETTERS.findall(core.lower()))))
 
     def token(self, token: str) -> str:
-        """A token between blanks, restored if it looks disguised."""
-        if token.isalpha() and not _DISGUISED.search(token) or not _DISGUISED.search(token):
+        """A token between blanks, restored if it may be disguised."""
+        core = token.strip(EDGES).rstrip("!")
+        if not core or not self.disguised(core):
             return token
-        core = token.strip(".,;:?\"'()[]{}<>")
-        core = core.rstrip("!") or core
-        return token.replace(core, self.word(core), 1) if core and _DISGUISED.search(core) else token
-
-    def spaced(self, text: str) -> list[str]:
-        """Words that the text spells with single letters set apart."""
-        return [self.word(m.group()) for m in _SPACED.finditer(text)]
+        at = token.index(core)
+        return token[:at] + viterbi(core, self.model) + token[at + len(core) :]
+
+    def apart(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """(first, end) of stretches of three or more tokens that are one letter or look-alike each, two letters at least."""
+        one = [len(c) == 1 and (c.isalpha() or c in LOOKALIKES) for c in (t if len(t) == 1 else t.strip(EDGES) for t in tokens)]
+        out, at = [], 0
+        for single, run in groupby(one):
+            end = at + len(list(run))
+            if single and end - at >= 3 and sum(map(str.isalpha, "".join(tokens[at:end]))) >= 2:
+                out.append((at, end))
+            at = end
+        return out
+
+    def words_apart(self, tokens: list[str]) -> list[str]:
+        """Words that single letters spell."""
+        return [w for lo, hi in self.apart(tokens) for w in viterbi(" ".join(t.strip(EDGES) or t for t in tokens[lo:hi]), self.model).split()]
 
     def text(self, text: str) -> str:
-        joined = _SPACED.sub(lambda m: self.word(m.group()), text)
-        return re.sub(r"\S+", lambda m: self.token(m.group()), joined) if _DISGUISED.search(joined) else joined
-
-
-def words_of(text: str, restorer: Restorer) -> set[str]:
-    """Distinct blank-separated tokens of the restored text."""
-    tokens = text.split()
-    found = {restorer.token(t) if not t.isalpha() or _DISGUISED.search(t) else t for t in set(tokens)}
-    if sum(map((1).__eq__, map(len, tokens))) >= 3 or "-" in text or "." in text or "_" in text or "*" in text:
-        found.update(restorer.spaced(text))
-    return found
-
-
-def features(token: str) -> set[str]:
-    """Words of a token, and their beginnings."""
+        pieces = re.split(r"(\s+)", text)
+        tokens, blanks = pieces[::2], [*pieces[1::2], ""]
+        out, at = [], 0
+        for lo, hi in [*self.apart(tokens), (len(tokens), len(tokens))]:
+            out += [self.token(t) + s for t, s in zip(tokens[at:lo], blanks[at:lo])]
+            if hi > lo:
+                out.append(" ".join(self.words_apart(tokens[lo:hi])) + blanks[hi - 1])
+            at = hi
+        return "".join(out)
+
+
+def features(text: str) -> set[str]:
+    """Words of a text, and their beginnings."""
     out = set()
-    for w in _LETTERS.findall(token.lower()):
+    for w in _LETTERS.findall(text.lower()):
         out.add(w)
         out.update(w[:n] + "*" for n in PREFIXES if len(w) > n)
     return out
 
 
-def lexicon(rows: DataFrame, restorer: Restorer) -> dict[str, float]:
+def many_single(tokens: list[str]) -> bool:
+    return sum(map((1).__eq__, map(len, tokens))) >= 2
+
+
+def lexicon(rows: DataFrame, model: np.ndarray) -> dict[str, float]:
     """Words and beginnings with a log-odds of label 1 that holds two standard errors below its estimate."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+        restorer, kept = Restorer(model), {}
         for b in batches:
             for text, label in zip(b["text"], b["label"]):
-                own: set[str] = set()
-                for t in words_of(text, restorer):
-                    own |= features(t)
+                tokens, own = text.split(), set()
+                for t in set(tokens):
+                    if t not in kept:
+                        if len(kept) >= CACHE_WORDS:
+                            kept.clear()
+                        kept[t] = features(restorer.token(t))
+                    own |= kept[t]
+                if many_single(tokens):
+                    own.update(*map(features, restorer.words_apart(tokens)))
                 seen[label].update(own)
         keys = [*{**seen[0], **seen[1]}]
         for lo in range(0, len(keys), 50_000):
@@ -224,24 +285,32 @@ def lexicon(rows: DataFrame, restorer: Restorer) -> dict[str, float]:
 
 
 class Weights(dict):
-    """Weight of a token: the largest of its words and their beginnings."""
+    """Weight of a token as it is written: the largest of its restored words and their beginnings. Each is restored once while it is kept."""
 
-    def __init__(self, entries: dict[str, float]):
+    def __init__(self, entries: dict[str, float], restorer: Restorer):
         super().__init__()
-        self.entries = entries
+        self.entries, self.restorer = entries, restorer
+
+    def of(self, text: str) -> float:
+        return max((self.entries.get(x, 0.0) for x in features(text)), default=0.0)
 
     def __missing__(self, token: str) -> float:
-        w = max((self.entries.get(x, 0.0) for x in features(token)), default=0.0)
-        if len(self) < CACHE_WORDS:
-            self[token] = w
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[token] = w = self.of(self.restorer.token(token))
         return w
 
 
-def evidence(text: str, weights: Weights, restorer: Restorer) -> tuple[float, float, float]:
-    """(largest weight, second largest, logarithm of the weighted words)"""
-    found = [w for w in map(weights.__getitem__, words_of(text, restorer)) if w]
+def evidence(text: str, weights: Weights) -> list[float]:
+    """What the regression sees: the two largest weights, logarithms of the numbers of strong and of weighted words, and of the share of the latter."""
+    tokens = text.split()
+    distinct = set(tokens)
+    found = [w for w in map(weights.__getitem__, distinct) if w]
+    if many_single(tokens):
+        found += [w for w in map(weights.of, set(weights.restorer.words_apart(tokens))) if w]
     found.sort()
-    return (found[-1] if found else 0.0, found[-2] if len(found) > 1 else 0.0, log(1 + sum(w > 2 for w in found)))
+    weighted = sum(w > WEAK for w in found)
+    return [found[-1] if found else 0.0, found[-2] if len(found) > 1 else 0.0, log(1 + sum(w > STRONG for w in found)), log(1 + weighted), log((weighted + 0.5) / (len(distinct) + 50))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -262,28 +331,30 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     """docs with _held_out, _score, _predicted and, if asked for, _restored."""
     rows = training_rows(docs, labels, label, sample, id_col, text_col)
     model = character_model(docs, text_col)
-    entries = lexicon(rows.filter(F.col("fold") != CALIBRATION_FOLD), Restorer(model))
+    entries = lexicon(rows.filter(F.col("fold") != CALIBRATION_FOLD), model)
     shared = docs.sparkSession.sparkContext.broadcast((model, entries))
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ready() -> Weights:
         model_, entries_ = shared.value
-        weights, restorer = Weights(entries_), Restorer(model_)
+        return Weights(entries_, Restorer(model_, entries_))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = ready()
         for b in batches:
-            yield pd.DataFrame([(*evidence(t, weights, restorer), y) for t, y in zip(b["text"], b["label"])], columns=["a", "b", "c", "y"])
+            yield pd.DataFrame([[*evidence(t, weights), y] for t, y in zip(b["text"], b["label"])], columns=[*"abcde", "y"])
 
-    held = rows.filter(F.col("fold") == CALIBRATION_FOLD).select("text", "label").mapInPandas(measure, "a double, b double, c double, y double").toPandas().to_numpy(float)
-    y = held[:, 3] if len(held) else np.zeros(0)
+    held = rows.filter(F.col("fold") == CALIBRATION_FOLD).select("text", "label").mapInPandas(measure, "a double, b double, c double, d double, e double, y double").toPandas().to_numpy(float)
+    y = held[:, EVIDENCE] if len(held) else np.zeros(0)
     constant = (y.sum() + 0.5) / (len(y) + 2)
-    w = fit_logistic(held[:, :3], y) if 0 < y.sum() < len(y) else np.array([0, 0, 0, log(constant / (1 - constant))])
+    w = fit_logistic(held[:, :EVIDENCE], y) if 0 < y.sum() < len(y) else np.array([0.0] * EVIDENCE + [log(constant / (1 - constant))])
 
     def make():
-        model_, entries_ = shared.value
-        weights, restorer = Weights(entries_), Restorer(model_)
+        weights = ready()
 
         def judge(texts: list) -> list[list]:
-            x = np.array([evidence(t or "", weights, restorer) for t in texts]).reshape(-1, 3)
-            found = [(1 / (1 + np.exp(-np.clip(x @ w[:3] + w[3], -30, 30)))).tolist()]
-            return [*found, [restorer.text(t or "") for t in texts]] if with_text else found
+            x = np.array([evidence(t or "", weights) for t in texts]).reshape(-1, EVIDENCE)
+            found = [(1 / (1 + np.exp(-np.clip(x @ w[:EVIDENCE] + w[EVIDENCE], -30, 30)))).tolist()]
+            return [*found, [weights.restorer.text(t or "") for t in texts]] if with_text else found
 
         return judge
 

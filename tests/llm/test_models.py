@@ -1,7 +1,11 @@
 """Operators 1, 2 and 9: held-out accuracy, restored words, page layouts, and odd rows."""
 
+import itertools
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from corpusloom.llm import html_extract, quality_cnn, toxicity
 from tests.llm.cases import LONG, documents, empty
 
@@ -40,11 +44,39 @@ def test_toxicity_held_out(spark):
     assert "dunderhead" in got[10_000]._restored and "nitwit" in got[10_001]._restored.lower() and got[10_002]._restored == "a quiet morning by the river"
 
 
+MODEL = toxicity.log_model(toxicity.count_trigrams(["silly idle lilies still fill hills until you stupid nitwit asshole idiot a tune"] * 20))
+
+
 def test_viterbi_picks_the_likelier_letter():
-    model = toxicity.log_model(toxicity.count_trigrams(["silly idle lilies still fill hills until"] * 20))
-    assert toxicity.viterbi("st1ll", model) == "still"
-    assert toxicity.viterbi("s-i-l-l-y", model) == "silly"
-    assert toxicity.viterbi("h1111s", model) == "hills" or toxicity.viterbi("hiiills", model) == "hills"
+    for token, word in (("st1ll", "still"), ("s-i-l-l-y", "silly"), ("h1lls", "hills"), ("hiiills", "hills"), ("you-1diot", "you idiot"), ("5tuuupid", "stupid"), ("n i t w i t", "nitwit")):
+        assert toxicity.viterbi(token, MODEL) == word
+    long = "s.t.u.p.i.d." * 20 + "i.d.i.o.t"
+    assert toxicity.viterbi(long, MODEL).replace(" ", "") == "stupid" * 20 + "idiot"
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(st.sampled_from("silyu10$!.-tn"), min_size=1, max_size=7))
+def test_viterbi_equals_enumeration(token):
+    """The best of all ways through the lattice, by trying each."""
+    flat = MODEL.ravel().tolist()
+    best = max(sum(c for _, c in way) + toxicity.walk(flat, (0, 0), "".join(o for o, _ in way) + " ")[0] for way in itertools.product(*toxicity.lattice(token)))
+    found = toxicity.viterbi(token, MODEL)
+    costs = [sum(c for _, c in way) for way in itertools.product(*toxicity.lattice(token)) if "".join(o for o, _ in way) == found]
+    assert abs(max(costs) + toxicity.walk(flat, (0, 0), found + " ")[0] - best) < 1e-9
+
+
+def test_disguises_that_are_decoded():
+    restorer = toxicity.Restorer(MODEL, ["idiot", "idio*", "stupid", "nitwit", "asshole"])
+    for token in ("a$$hole", "@$$hole", "455hole", "nitwi7", '"1diot', "(5tupid", "you-1diot", "stuupid", "nit-wit", "@$$", "sssstupid", "i.d.i.o.t"):
+        assert restorer.disguised(token.strip(toxicity.EDGES)), token
+    for token in ("idiot", "letter", "455", "1999", "well-known", "###", "hello!", "..."):
+        core = token.strip(toxicity.EDGES).rstrip("!")
+        assert not core or not restorer.disguised(core), token
+    for token, word in (('"1diot"', '"idiot"'), ("(5tupid)", "(stupid)"), ("stuupid,", "stupid,"), ("nit-wit", "nitwit"), ("nitwi7!!", "nitwit!!")):
+        assert restorer.token(token) == word
+    text = "you are  a\n n i t w i t\tand 5tupid"
+    assert restorer.text(text).replace("anitwit", "nitwit").split() == ["you", "are", *restorer.words_apart("a n i t w i t".split()), "and", "stupid"]
+    assert restorer.text("x" * 100_000 + " end").endswith(" end")
 
 
 def test_quality_held_out(spark):
