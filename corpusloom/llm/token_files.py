@@ -1,11 +1,11 @@
 """Token-id files: Simple-8b words in blocks, written in document order and read back.
 
 A 64-bit word holds a selector in its top four bits and, under selector s, COUNTS[s] ids of BITS[s]
-bits each, first id lowest. Ids are packed in groups of GROUP: all words of a group share the
-selector for which words and escapes together take the fewest bytes. An id too wide for its field is
-an escape: the field holds 0, and the block lists position and id. A block holds whole documents, at
-least BLOCK_IDS ids unless it is the last of its shard, with lengths per document and its own offset
-in the shard, so that any block decodes alone and by whole numpy arrays.
+bits each, first id lowest. Each word takes the selector that costs the fewest bytes an id from where
+it starts, escapes included. An id too wide for its field is an escape: the field holds 0, and the
+block lists position and id. A block holds whole documents, at least BLOCK_IDS ids unless it is the last of
+its shard, with lengths per document and its own offset in the shard, so that any block decodes alone
+and by whole numpy arrays.
 
 The files are Parquet files of blocks (`shard, block, first_id, n_ids, payload`) in one folder of the
 shared store, shards numbered in ascending order of document id. Null and empty texts are stored as
@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import scratch_path
 
-GROUP = 12
 #: Ids a word and bits an id, by selector.
-COUNTS = (12, 6, 4, 3, 2, 1)
-BITS = (5, 10, 15, 20, 30, 60)
+COUNTS = (12, 6, 5, 4, 3, 2, 1)
+BITS = (5, 10, 12, 15, 20, 30, 60)
 MAGIC = b"S8B1"
 BLOCK_IDS = 65_536
 END_ID = 0
@@ -43,30 +42,35 @@ BLOCKS = "shard int, block int, first_id long, n_ids long, payload binary"
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, positions of escapes, their ids)."""
     n = len(ids)
-    padded = np.zeros(-(-n // GROUP) * GROUP, np.uint64)
+    padded = np.zeros(n + COUNTS[0], np.uint32)
     padded[:n] = ids
-    groups = padded.reshape(-1, GROUP)
-    cost = np.stack([8 * (GROUP // c) + 8 * (groups >> np.uint64(b) > 0).sum(1) for c, b in zip(COUNTS, BITS)])
-    chosen = cost.argmin(0)
-    sizes = np.array([GROUP // c for c in COUNTS])[chosen]
-    offsets = np.cumsum(sizes) - sizes
-    words = np.zeros(int(sizes.sum()), np.uint64)
-    escaped = []
+    cheapest, chosen = np.full(n, np.inf, np.float32), np.zeros(n, np.int8)
     for s, (count, bits) in enumerate(zip(COUNTS, BITS)):
-        rows = np.flatnonzero(chosen == s)
+        wide = np.cumsum(np.concatenate(([False], padded >= np.uint32(1 << bits) if bits < 32 else np.zeros(len(padded), bool))), dtype=np.int32)
+        cost = (wide[count : count + n] - wide[:n] + 1).astype(np.float32) / count
+        better = cost < cheapest
+        cheapest[better], chosen[better] = cost[better], s
+    sizes = np.array(COUNTS)[chosen].tolist()
+    starts, at = [], 0
+    while at < n:
+        starts.append(at)
+        at += sizes[at]
+    starts = np.array(starts, np.int64)
+    words, escaped = np.zeros(len(starts), np.uint64), []
+    selectors = chosen[starts]
+    for s, (count, bits) in enumerate(zip(COUNTS, BITS)):
+        rows = np.flatnonzero(selectors == s)
         if not len(rows):
             continue
-        values = groups[rows]
+        places = starts[rows][:, None] + np.arange(count)
+        values = padded[places].astype(np.uint64)
         wide = values >> np.uint64(bits) > 0
         if wide.any():
-            r, c = np.nonzero(wide)
-            escaped.append(rows[r] * GROUP + c)
-            values = np.where(wide, np.uint64(0), values)
-        fields = values.reshape(len(rows), GROUP // count, count) << (np.arange(count, dtype=np.uint64) * np.uint64(bits))
-        packed = np.bitwise_or.reduce(fields, axis=2) | np.uint64(s << 60)
-        words[(offsets[rows][:, None] + np.arange(GROUP // count)).ravel()] = packed.ravel()
+            escaped.append(places[wide])
+            values[wide] = 0
+        words[rows] = np.bitwise_or.reduce(values << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1) | np.uint64(s << 60)
     at = np.sort(np.concatenate(escaped)) if escaped else np.zeros(0, np.int64)
-    return words, at.astype(np.uint32), padded[at].astype(np.uint32)
+    return words, at.astype(np.uint32), padded[at]
 
 
 def unpack(words: np.ndarray, at: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -140,7 +144,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.line_end = self.whole("\n")
         self.stops = {x: self.whole(x) for x in ",."}
         self.kept = Kept()

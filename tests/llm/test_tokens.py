@@ -44,7 +44,6 @@ def test_token_files(spark, coalesced):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)  # one shard, and several
     docs = documents(spark, EXTRA)
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for r in docs.collect():
         ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0]
