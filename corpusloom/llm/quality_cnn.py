@@ -4,12 +4,13 @@ A text's UTF-8 bytes are cut into chunks of CHUNK bytes that overlap by OVERLAP
 learned filters of WIDTH bytes slide over a chunk STRIDE bytes at a time; a filter is a table of one
 weight per place and byte value. Each filter keeps its largest response in the chunk, a hidden layer
 mixes these, and over the chunks of a document each hidden unit is max-pooled and averaged; a
-logistic unit combines both into one probability. Filters, hidden layer and output are learned
+logistic unit combines both into one probability (equal responses share no gradient: the first wins). Filters, hidden layer and output are learned
 together by Adam from labelled rows.
 
-At most SAMPLE labelled rows of each label are learned from, CHUNKS_SEEN chunks spread evenly over
-each; scoring reads every chunk. Null and empty texts are one chunk of zeros. Without rows of both
-labels every score is the smoothed share of label 1.
+Learned from are at most SAMPLE labelled rows of each label and about SAMPLE_CHUNKS chunks in all, every
+row with all its chunks; scoring reads every chunk too. Null and empty texts are one chunk of zeros.
+Without rows of both labels every score is the smoothed share of label 1. Each row, repeated or not,
+is scored from its text alone; columns named as the results give way to them, all others stay.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from corpusloom.llm.common import with_columns
 from corpusloom.llm.labelled import fold, training_rows
 
 CHUNK, OVERLAP = 512, 64
-WIDTH, STRIDE, FILTERS, HIDDEN = 8, 2, 16, 12
+WIDTH, STRIDE, FILTERS, HIDDEN = 8, 1, 16, 12
 SAMPLE = 1_500
-CHUNKS_SEEN = 4
-EPOCHS, BATCH, RATE = 8, 32, 0.01
+SAMPLE_CHUNKS = 24_000
+EPOCHS, BATCH, RATE = 6, 32, 0.01
 
 
 def chunks(text: str | None) -> np.ndarray:
@@ -109,18 +110,21 @@ class Network:
         return self
 
 
-def train(rows: DataFrame) -> tuple[Network, float]:
-    """A network fitted to (text, label) rows, and the smoothed share of label 1."""
+def train(rows: DataFrame, most_chunks: int = SAMPLE_CHUNKS) -> tuple[Network, float]:
+    """A network fitted to (id, text, label) rows, and the smoothed share of label 1.
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Where the rows have more than `most_chunks` chunks, whole rows are drawn by a hash of the id; a row that is a tenth of that alone is left out.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cut = []
-            for text in b["text"]:
-                c = chunks(text)
-                cut.append(c[np.unique(np.linspace(0, len(c) - 1, CHUNKS_SEEN).astype(int))].tobytes())
-            yield pd.DataFrame({"id": b["id"].astype(str), "label": b["label"], "chunks": pd.Series(cut, dtype=object, index=b.index)})
+            yield pd.DataFrame({"id": b["id"].astype(str), "label": b["label"], "chunks": pd.Series([chunks(t).tobytes() for t in b["text"]], dtype=object, index=b.index)})
 
-    picked = rows.select("id", "label", "text").mapInPandas(pick, "id string, label int, chunks binary").toPandas()  # bounded: SAMPLE rows a label
+    n = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - OVERLAP) / (CHUNK - OVERLAP)))
+    usable = rows.withColumn("n", n).filter(F.col("n") <= most_chunks // 10)
+    total = usable.agg(F.sum("n")).first()[0] or 0
+    drawn = usable.filter(F.pmod(F.xxhash64(F.lit("chunks"), "id"), F.lit(1_000_000)) < int(1_000_000 * min(1, most_chunks / max(1, total))))
+    picked = drawn.select("id", "label", "text").mapInPandas(cut, "id string, label int, chunks binary").toPandas()  # bounded: most_chunks chunks
     picked = picked.sort_values(["id", "label"])
     y = picked["label"].to_numpy(np.float32)
     network, share = Network(), float((y.sum() + 0.5) / (len(y) + 2))

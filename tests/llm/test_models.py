@@ -96,6 +96,47 @@ def test_odd_rows(spark):
         assert all(r._predicted == 0 for r in score(docs, labels.limit(0)).select("_predicted").collect())
 
 
+def test_gradients_equal_differences():
+    """The gradient of the loss by trying small steps of single weights."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    docs = [quality_cnn.chunks("".join(chr(c) for c in draw.integers(97, 123, n))) for n in (3, 600, 1500)]
+    x, starts, y, weight = np.concatenate(docs), np.array([0, 1, 1 + len(docs[1])]), np.array([0.0, 1.0, 1.0]), np.ones(3)
+    net = quality_cnn.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def loss():
+        z = net.combine(net.read(x), starts)
+        return float(np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))))
+
+    wanted = net.gradients(x, starts, y, weight)
+    used = np.argwhere(np.abs(wanted["filters"]) > 1e-6)
+    for name, places in {"out": [(3,), (17,)], "out0": [(0,)], "mix": [(2, 5)], "mix0": [(4,)], "filters": list(map(tuple, used[:: max(1, len(used) // 6)]))}.items():
+        for at in places:
+            was, got = net.p[name][at], []
+            for step in (1e-5, -1e-5):
+                net.p[name][at] = was + step
+                got.append(loss())
+            net.p[name][at] = was
+            assert abs((got[0] - got[1]) / 2e-5 - wanted[name][at]) < 1e-4
+
+
+def test_scores_read_the_whole_text(spark):
+    """A document's score is that of all its chunks, however long it is, and a change at its end changes it."""
+    import numpy as np
+
+    docs, labels = corpus(spark, 300)
+    long = spark.createDataFrame([(5_000, "calm words of a quiet text " * 4_000), (5_001, "calm words of a quiet text " * 4_000 + "LOUD!!%% " * 200)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_cnn.score(docs.unionByName(long), labels).collect()}
+    assert got[5_000]._score != got[5_001]._score
+    net = quality_cnn.Network()
+    cut = quality_cnn.chunks(got[5_001].text)
+    by_one = np.array([net.hidden(net.respond(c[None])[0])[0] for c in cut])
+    pooled = np.concatenate([by_one.max(0), by_one.mean(0)])
+    assert np.allclose(net.combine(net.read(cut), np.array([0])), pooled @ net.p["out"] + net.p["out0"], atol=1e-4)
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, 512, 513, 960, 961, 5000):
         cut = quality_cnn.chunks("x" * n)
