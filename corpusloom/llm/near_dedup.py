@@ -23,7 +23,9 @@ nodes, without those that their lengths or the parities of their k-mers prove to
 class or cannot reach `similarity`. Components are found by label propagation over stored tables.
 
 Texts without words (null, empty) are classes of their own. Repeated rows and ids fall into the class
-of their words; class_id is the lowest id of the class.
+of their words; class_id is the lowest id of the class. Rows without an id belong to the class of their
+words as well, and a class without any id has none for its class_id. Only the id and the text are
+read, so extra columns of any name play no part; keep_one() returns them as they are.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small, stored
+from corpusloom.llm.common import discard, named_again, numbered, small, stored
 from corpusloom.llm.decontaminate import words
 
 SHINGLE = 5
@@ -189,6 +191,15 @@ def open_pairs(full: DataFrame, roots: DataFrame, distinct: DataFrame, least: fl
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def sequences_of(docs: DataFrame, id_col: str, text_col: str, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, hashes) of the nodes of pairs. Only the texts of one row of each are cut into words again, found by its id."""
+    wanted = distinct.select("node", "first_id").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    ids = small(wanted.select(F.col("first_id").alias("wanted_id")).distinct())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = texts.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    return nodes(chosen, "id", "text").filter("node IS NOT NULL").dropDuplicates(["node"]).select("node", "hashes")
+
+
 def linked(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     """The pairs whose alignment reaches `least`."""
     left, right = (sequences.select(F.col("node").alias(k), F.col("hashes").alias(f"{k}_h")) for k in "ab")
@@ -206,12 +217,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the lowest node of each component, by label propagation with shortcuts."""
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "near-labels")
+    last = labels
     while True:
         offered = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         jumped = labels.join(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), "root")
         stepped = jumped.join(offered.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "far", "near").alias("next"), (F.least("far", "near") < F.col("root")).alias("moved"))
         stepped = stored(stepped, "near-labels")
-        labels = stepped.select("node", F.col("next").alias("root"))
+        discard(last)
+        last, labels = stepped, stepped.select("node", F.col("next").alias("root"))
         if not stepped.filter("moved").limit(1).count():
             return labels
 
@@ -237,8 +250,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     distinct = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("sigs").alias("sigs"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("first_id"))
     full = stored(buckets(distinct.select("node", "sigs")), "near-buckets")
     pairs = stored(candidates(full), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sequences = stored(nodes(docs, id_col, text_col).filter("node IS NOT NULL").join(small(wanted), "node", "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "near-sequences")
+    sequences = stored(sequences_of(docs, id_col, text_col, distinct, pairs), "near-sequences")
 
     links, roots = joined_up(pairs, sequences, least)
     late = stored(open_pairs(full, roots, distinct, least), "near-pairs")
@@ -253,13 +265,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class: that of the lowest id, one of them if several rows hold it."""
-    found = classes(docs, id_col, text_col, least)
-    first = found.filter(F.col("node").isNotNull() & F.col(id_col).eqNullSafe(F.col("class_id")))
+    found = classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", least)
+    first = found.filter(F.col("node").isNotNull() & F.col("id").eqNullSafe(F.col("class_id")))
     # a class without any id keeps one row of its words
-    chosen = first.groupBy(F.col("class_id").alias("_id")).agg(F.min("node").alias("_node")).select("_id", "_node")
-    marked = docs.withColumn("_words", words(F.col(text_col)))
-    marked = marked.withColumn("_node", F.when(F.size("_words") > 0, F.md5(F.concat_ws(" ", "_words").cast("binary")))).drop("_words")
-    alone = marked.filter("_node IS NULL").drop("_node")
-    chosen = chosen.withColumnsRenamed({"_id": "_cid", "_node": "_cnode"})
-    kept = marked.join(chosen, (F.col("_node") == F.col("_cnode")) & F.col(id_col).eqNullSafe(F.col("_cid")), "left_semi")
-    return kept.dropDuplicates([id_col, "_node"]).drop("_node").unionByName(alone)
+    chosen = first.groupBy(F.col("class_id").alias("first_id")).agg(F.min("node").alias("first_node"))
+    inner, (doc, text) = numbered(docs, id_col, text_col)
+    marked = inner.withColumn("w", words(F.col(text)))
+    marked = marked.withColumn("node", F.when(F.size("w") > 0, F.md5(F.concat_ws(" ", "w").cast("binary")))).drop("w")
+    alone = marked.filter("node IS NULL")
+    kept = marked.join(chosen, (F.col("node") == F.col("first_node")) & F.col(doc).eqNullSafe(F.col("first_id")), "left_semi")
+    return named_again(kept.dropDuplicates([doc, "node"]).unionByName(alone), docs, {})
