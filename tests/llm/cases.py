@@ -2,6 +2,9 @@
 
 LONG = "the quick brown fox jumps over a lazy dog and runs far away " * 700
 
+#: Extra columns by names that operators use or have used for their own.
+CLASHES = "k1 _k1 K2 words found lines drop c0 C1 node first_id id label h1 shard base tokens _words _lines _node".split()
+
 
 def documents(spark, extra=()):
     rows = [
@@ -16,8 +19,8 @@ def documents(spark, extra=()):
         (7, " ", "fr", "a"),
         *extra,
     ]
-    rows = [(*r, "clash", -1, "x") for r in rows]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, term string, n long, _text string")
+    rows = [(*r, "clash", -1, "x", *CLASHES) for r in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, term string, n long, _text string, " + ", ".join(f"{c} string" for c in CLASHES))
 
 
 def empty(spark):

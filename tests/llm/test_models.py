@@ -92,6 +92,8 @@ def test_odd_rows(spark):
         assert len(got) == docs.count() and all(0 <= r._score <= 1 for r in got)
         assert len({r._score for r in got if not (r.text or "").strip()} - {None}) <= 3
         assert {r.term for r in got} == {"clash"}
+        again = score(docs.withColumn("_score", docs["term"]), labels)
+        assert again.columns.count("_score") == 1 and sorted(str(r._score) for r in again.collect()) == sorted(str(r._score) for r in got)
         assert score(empty(spark), labels).count() == 0
         assert all(r._predicted == 0 for r in score(docs, labels.limit(0)).select("_predicted").collect())
 

@@ -163,6 +163,17 @@ def test_long_runs_end_soon(spark):
     assert time.time() - began < 120 and len(got[1].base) == 1 and len(got) == 4
 
 
+def test_results_replace_columns_of_their_names(spark):
+    """An input column named like a result gives way to it; all others come back as they were."""
+    docs = spark.createDataFrame([(i, "the same line\nalpha beta gamma", "old", "old", "old", "mine") for i in range(12)], "doc_id long, text string, _kept string, _HIT string, _score string, _k1 string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    for r in line_dedup.dedup(docs).collect():
+        assert r._kept == "" and r._n_dropped == 2 and r._k1 == "mine" and r._score == "old"
+    marked = decontaminate.hits(docs, bench)
+    assert sorted(c.lower() for c in marked.columns) == sorted(["doc_id", "text", "_kept", "_score", "_k1", "_n_words", "_hit", "_items"])
+    assert all(sorted(r._hit) == [3, 4, 5] and r._k1 == "mine" for r in marked.collect())
+
+
 def words_by_hand(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
