@@ -167,26 +167,53 @@ def test_main_text(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
-def test_no_contradictions():
+STORY = ["The river was calm in the early morning, and nobody on the bridge had seen the boat pass below it.", "A second paragraph follows, which tells more about the boat, the bridge and the men who waited there.", "Finally, the third one ends the story with a long look back at all that had been said before that day."]
+BODY = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in STORY)
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>'
+LAYOUTS = [
+    f'<body>{NAV}<article class="related-content">{BODY}</article><footer>&copy; x</footer></body>',
+    f'<body>{NAV}<main><div class="article-body social">{BODY}</div></main><footer>&copy; x</footer></body>',
+    f'<body><div class="a1">{NAV[5:-6]}</div><div class="b2">{BODY}</div><div class="c3"><p>Subscribe to our weekly letter</p></div><div class="d4"><p>I liked this article a lot, thanks!</p></div></body>',
+    f'<body><header><b>Site</b></header><div id="content"><div class="post">{BODY}</div><aside><p>See also other pages</p></aside><div id="comments"><div class="comment"><p>Great text, thank you so much for writing it.</p></div></div></div><div class="cookie-banner"><p>We use cookies on this site.</p></div></body>',
+]
+
+
+def test_layouts_whose_names_mislead_or_say_nothing(spark):
+    draw = random.Random(8)
+    line = lambda n: " ".join(draw.choice(WORDS) for _ in range(n)).capitalize() + "."
+    page = lambda: f"<body>{NAV}<div class='ad'>{line(6)}</div><article><h1>{line(4)}</h1>" + "".join(f"<p>{' '.join(line(draw.randint(4, 14)) for _ in range(draw.randint(1, 5)))}</p>" for _ in range(draw.randint(1, 8))) + f"</article><footer>&copy; {line(3)}</footer></body>"
+    long = f"<body>{NAV}<article>" + "".join(f"<p>{LONG[:2000]} {i}</p>" for i in range(300)) + "</article></body>"
+    rows = [(i, page()) for i in range(200)] + [(1000 + i, h) for i, h in enumerate(LAYOUTS)] + [(1000, LAYOUTS[0]), (2000, long)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    got = html_extract.extract(pages).collect()
+    assert len(got) == len(rows)  # repeated rows stay
+    for r in got:
+        if 1000 <= r.page_id < 2000:
+            assert r._main == "\n".join(["Title", *STORY]), r.page_id
+        if r.page_id == 2000:
+            assert r._main.count("\n") == 299
+
+
+def test_decoding_equals_all_choices():
+    """Of all sets of nodes that hold their nodes' parents, the one found has the most gain less cost."""
     import numpy as np
 
     draw = np.random.default_rng(2)
-    page = html_extract.Page(PAGE.replace("{i}", "7"))
-    for _ in range(50):
-        odds = draw.normal(0, 3, len(page.tag))
-        kept = page.decode(odds)
-        gain = (odds * np.maximum(np.log1p(np.array(page.own, float)), 0.1))[kept].sum()
-        assert gain >= -1e-9  # keeping nothing is always possible
-
-
-def test_long_page():
-    trees = html_extract.Trees()
-    trees.edges = [np_zeros() for _ in range(18)]
-    page = "<article>" + "".join(f"<p>{LONG[:2000]} {i}</p>" for i in range(300)) + "</article>"
-    assert html_extract.extract_pages([page], trees)[0].count("\n") in (299, 0)
-
-
-def np_zeros():
-    import numpy as np
-
-    return np.zeros(0)
+    for page in (html_extract.Page(PAGE.replace("{i}", "7")), html_extract.Page(OTHER)):
+        n = len(page.tag)
+        sets = [s for s in (np.array([(k >> i) & 1 for i in range(n)], bool) for k in range(1 << n)) if all(s[page.parent[i]] for i in range(1, n) if s[i])]
+        for _ in range(20):
+            odds = draw.normal(0, 3, n)
+            cost, gain = page.weights(odds)
+            kept = page.decode(odds)
+            best = max((gain - cost)[s].sum() for s in sets)
+            ways = [s for s in sets if (s & (odds > 0) == kept).all()]
+            assert abs(max((gain - cost)[s].sum() for s in ways) - best) < 1e-9
+            for i in range(1, n):  # what is kept lies below open nodes only
+                assert not kept[i] or any(s[page.parent[i]] for s in ways)
+
+
+def test_a_page_of_very_many_nodes_is_bounded(spark):
+    rows = [(1, "<article>" + "<p>word here.</p>" * 30_000 + "</article>"), (2, PAGE.replace("{i}", "1"))]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert len(html_extract.train(pages, sample_nodes=2_000).trees) == html_extract.TREES
