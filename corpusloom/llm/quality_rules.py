@@ -10,7 +10,10 @@ over its language, then the one over everything. The thresholds are joined back
 
 DataFrame functions only. Null texts count as empty. Null languages and sources are groups of their
 own. Texts of fewer than 10 words, or with more than a fifth of their words in repeated five-word
-windows, fail whatever the thresholds say, and only texts of 10 words or more enter the sketches.
+windows, fail whatever the thresholds say, and only texts of 10 words or more enter the sketches. A
+rate on its fence stays. Repeated rows and ids, null ids too, get one result each and each weighs in
+the sketches. Only the four named columns are read, so extra columns of any name play no part; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,8 +60,8 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, 0).otherwise(counted)
 
 
-def base(docs: DataFrame, text_col: str = "text", repeats: bool = True) -> DataFrame:
-    """docs with _text, _words, n_words, word_chars, n_symbols, n_dup_lines, n_lines and, if asked for, n_repeat_words."""
+def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with _text, _words, n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words."""
     rows = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     rows = rows.withColumn("_words", F.filter(F.split("_text", "[ \\t-\\r]+"), lambda w: w != "")).withColumn(
         "_lines", F.filter(F.split("_text", "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != "")
@@ -70,7 +73,7 @@ def base(docs: DataFrame, text_col: str = "text", repeats: bool = True) -> DataF
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     )
-    return rows.withColumn("n_repeat_words", repeat_words(F.col("_words")).cast("long")) if repeats else rows
+    return rows.withColumn("n_repeat_words", repeat_words(F.col("_words")).cast("long"))
 
 
 def rates(rows: DataFrame) -> DataFrame:
@@ -117,10 +120,11 @@ def thresholds(rows: DataFrame, lang_col: str, source_col: str, reach: dict[str,
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: dict[str, float] = REACH, least: int = LEAST_DOCS) -> DataFrame:
     """One row per row of docs: id, counts, base_failed, kept, and failed_rules (the rates beyond their thresholds)."""
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
-    limits = small(stored(thresholds(rates(base(picked, "_raw", repeats=False)), "_lang", "_source", reach, least), "rule-thresholds"))
-    limits = limits.withColumnsRenamed({"_lang": "_l", "_source": "_s"})
     rows = rates(base(picked, "_raw"))
-    rows = rows.select("_id", "_lang", "_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RATES)
+    # the texts are read once; sketches and verdicts both come from the stored counts
+    rows = stored(rows.select("_id", "_lang", "_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RATES), "rule-counts")
+    limits = small(stored(thresholds(rows, "_lang", "_source", reach, least), "rule-thresholds"))
+    limits = limits.withColumnsRenamed({"_lang": "_l", "_source": "_s"})
     joined = rows.join(limits, rows["_lang"].eqNullSafe(limits["_l"]) & rows["_source"].eqNullSafe(limits["_s"]), "left")
     beyond = [F.when(F.col(r) > F.col(f"high_{r}"), F.lit(r)) for r in RATES] + [F.when(F.col("word_length") < F.col("low_word_length"), F.lit("word_length"))]
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

@@ -47,6 +47,25 @@ def test_thresholds_follow_the_source(spark):
     assert kept == set(range(80)) | set(range(100, 180))
 
 
+def test_thresholds_near_exact_quantiles(spark):
+    """Each fence lies where exact quartiles of its group put it, within the ranks that the sketch may miss."""
+    import numpy as np
+
+    draw = random.Random(2)
+    rows = [(i, " ".join("#" * draw.randint(0, 3) + "w" * draw.randint(2, 9) + "!" * draw.randint(0, 1) for _ in range(draw.randint(12, 60))), "en", "ab"[i % 2] if i % 50 else "rare") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counts = quality_rules.rates(quality_rules.base(docs)).select("lang", "source", *quality_rules.RATES).toPandas()
+    limits = quality_rules.thresholds(quality_rules.rates(quality_rules.base(docs)), "lang", "source", least=100)
+    assert limits.count() == 3
+    for r in limits.collect():
+        own = counts if r._source == "rare" else counts[counts["source"] == r._source]  # too few of its own: those of its language
+        for rate in quality_rules.RATES:
+            reach = quality_rules.REACH[rate]
+            for name, near in ((f"high_{rate}", lambda lo, hi: hi + reach * max(hi - lo, 0.25)), (f"low_{rate}", lambda lo, hi: lo - reach * max(hi - lo, 0.25))):
+                around = [near(np.quantile(own[rate], 0.25 + a), np.quantile(own[rate], 0.75 + b)) for a in (-0.02, 0.02) for b in (-0.02, 0.02)]
+                assert min(around) - 1e-9 <= r[name] <= max(around) + 1e-9
+
+
 def spans_by_hand(text):
     text, out = text or "", []
     patterns = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
