@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The marks, letter variants, stopwords and joined prefixes that matching sets aside.
 MARKS = "[\\u0610-\\u061A\\u064B-\\u065F\\u0670\\u06D6-\\u06ED]"
 TATWEEL = "ـ"
-VARIANTS = ("أإآٱىئؤة", "اااايي" + "وه")
+VARIANTS = ("أإآٱىئؤة", "ااااييوه")
 STOPWORDS = """
 في من على عن الى الي ما ماذا هل هو هي هم انا انت نحن هذا هذه ذلك تلك التي الذي الذين
 او ام ثم لا لم لن قد كل بعض مع عند بين كيف لماذا متى اين كم اي ان كان يكون
@@ -27,31 +27,49 @@ def normalize(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.translate(bare, *VARIANTS)), "[^\\p{L}\\p{N}_]+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, though body uses it inside other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokenize(col: Column) -> Column:
-    """Content tokens: no stopword, one prefix off where two letters remain, two letters or more."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    raw = F.filter(F.split(normalize(col), " "), lambda t: ~F.array_contains(stop, t))
-    bare = F.transform(raw, lambda t: F.regexp_replace(t, f"^(?:{'|'.join(PREFIXES)})(.{{2,}})$", "$1"))
-    return F.filter(bare, lambda t: (F.char_length(t) >= 2) & ~F.array_contains(stop, t))
+    """Content tokens: no stopword, one prefix off where two letters remain, two letters or more.
+
+    Prefixes are cut in the whole text at once, and only where it holds the letter that each of them has.
+    """
+    bare = lambda text: F.when(F.contains(text, F.lit("ل")), F.regexp_replace(text, f"(?<![^ ])(?:{'|'.join(PREFIXES)})(?=[^ ]{{2}})", "")).otherwise(text)
+    both = lambda text: F.struct(F.split(text, " ").alias("raw"), F.split(bare(text), " ").alias("bare"))
+    kept = lambda x: F.filter(x["bare"], lambda t, i: (F.char_length(t) >= 2) & ~t.isin(STOPWORDS) & ~F.get(x["raw"], i).isin(STOPWORDS))
+    return let(let(normalize(col), both), kept)
 
 
 def words_with_offsets(col: Column) -> Column:
-    """(w, s, e): words as normalised, with code-point offsets; words that normalise to nothing are left out."""
+    """(w, s, e): words as normalised, with code-point offsets; words that normalise to nothing are left out.
+
+    Places are summed up in blocks of 256 words, so that no long array grows by one at a time.
+    """
     text = F.coalesce(col, F.lit(""))
     found = F.struct(F.regexp_extract_all(text, F.lit("\\S+"), F.lit(0)).alias("w"), F.split(text, "\\S+", -1).alias("gap"))
-    kind = "array<struct<w:string,s:int,e:int>>"
+    block, kind = 256, "array<struct<w:string,s:int,e:int>>"
 
     def place(x: Column) -> Column:
+        n = F.size(x["w"])
+
         def step(acc: Column, k: Column) -> Column:
             s = (acc["at"] + F.char_length(F.get(x["gap"], k))).cast("int")
             e = (s + F.char_length(F.get(x["w"], k))).cast("int")
             return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.get(x["w"], k).alias("w"), s.alias("s"), e.alias("e")))).alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-        folded = F.aggregate(F.sequence(F.lit(0), F.size(x["w"]) - 1), start, step)["out"]
-        return F.when(F.size(x["w"]) == 0, F.array().cast(kind)).otherwise(folded)
+        def blocks(acc: Column, b: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out"))
+            folded = F.aggregate(F.sequence(b * block, F.least(n, (b + 1) * block) - 1), start, step)
+            return let(folded, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        folded = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), start, blocks)["out"])
+        return F.when(n == 0, F.array().cast(kind)).otherwise(folded)
 
-    placed = F.transform(F.array(found), place)[0]
+    placed = let(found, place)
     return F.filter(F.transform(placed, lambda t: F.struct(normalize(t["w"]).alias("w"), t["s"].alias("s"), t["e"].alias("e"))), lambda t: t["w"] != "")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import evaluation as V
 from corpusloom.operators import evidence as E
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import vectors as W
 from corpusloom.sources import corpus as C
 
 ITEMS = [
@@ -70,7 +71,7 @@ def test_vectors(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert [r.reason for r in R.normalize_vectors(v, 2).orderBy("vec_id").collect()] == [None, None, "zero", None, "dimension", "dimension", "not finite"]
     usable = v.filter("vec_id < 4")
-    got = [(r.rid, r.score) for r in R.knn(usable.filter("vec_id = 0"), usable, 4).orderBy("rank").collect()]
+    got = [(r.rid, r.score) for r in W.knn(usable.filter("vec_id = 0"), usable, 4).orderBy("rank").collect()]
     assert got == [(0, 1.0), (3, 0.707107), (1, 0.0), (2, -1.0)]
 
 
