@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import collapse_spaces, normalize
-from corpusloom.operators.retrieval import diagonals
+from corpusloom.functions.tables import saved, small
+from corpusloom.functions.text import collapse_spaces, normalize, words_with_offsets
+from corpusloom.operators.retrieval import runs_of
 
 CLOSE_COVERAGE, CLOSE_RUN, LEAST_WORDS = 0.6, 4, 3
+FUZZY_WORD, FUZZY_COVERAGE, FUZZY_FOUND, FUZZY_SLACK = 4, 0.7, 4, 2
+# Kinds and sources that come first among equally exact findings.
+KIND_ORDER = ["quran", "hadith"]
+PRIMARY_SOURCES = ["sahih-bukhari", "sahih-muslim"]
+
+
+def quote_words(quotes: DataFrame) -> DataFrame:
+    """(qid, t): all words of a quotation, normalised; stopwords stay."""
+    return quotes.select("qid", F.filter(F.split(normalize(F.col("text")), " "), lambda w: w != "").alias("t"))
+
 
+def item_words(items: DataFrame) -> DataFrame:
+    """(rid, t, at): the normalised words of an item and (s, e), where each stands in its text. Stored, since the text is cut but once."""
+    rows = items.select("rid", words_with_offsets(F.col("text")).alias("x"))
+    return saved(rows.select("rid", F.transform("x", lambda w: w["w"]).alias("t"), F.transform("x", lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"))).alias("at")), "item-words")
 
-def longest_runs(quotes: DataFrame, items: DataFrame) -> DataFrame:
-    """(qid, rid, n, run, qstart, start): the longest run of a quotation in an item; on ties first in the quotation, then in the item."""
-    runs = diagonals(quotes, items)
+
+def longest_runs(quotes: DataFrame, items: DataFrame, least: int = 2) -> DataFrame:
+    """(qid, rid, n, run, qstart, start): the longest run of a quotation's words in an item; on ties first in the quotation, then in the item.
+
+    With least = 1 single words in common count as well where nothing longer is found; they meet on the word itself.
+    """
+    asked, held = quote_words(quotes), item_words(items)
+    return longest_of(runs_of(asked, held), asked, held, least)
+
+
+def longest_of(runs: DataFrame, asked: DataFrame, held: DataFrame, least: int) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("qid", "rid").orderBy(F.col("run").desc(), "qstart", "start"))
-    return runs.withColumn("k", best).filter("k = 1").drop("k")
+    columns = ["qid", "rid", "n", F.col("run").cast("long").alias("run"), F.col("qstart").cast("long").alias("qstart"), F.col("start").cast("long").alias("start")]
+    if least > 1:
+        return runs.withColumn("k", best).filter("k = 1").select(*columns)
+    first = lambda df, key, name: df.select(key, F.posexplode("t").alias(name, "w")).groupBy(key, "w").agg(F.min(name).alias(name))
+    q = first(asked, "qid", "qstart").join(asked.select("qid", F.size("t").alias("n")), "qid")
+    single = first(held, "rid", "start").join(small(q), "w").select("qid", "n", "rid", "start", "qstart", F.lit(1).cast("long").alias("run"))
+    return runs.unionByName(single).withColumn("k", best).filter("k = 1").select(*columns)
 
 
 def classify(runs: DataFrame) -> DataFrame:
@@ -25,20 +57,126 @@ def classify(runs: DataFrame) -> DataFrame:
     return runs.withColumn("coverage", F.round(coverage, 3)).withColumn("status", status)
 
 
-def rank_quotes(found: DataFrame, most: int = 8) -> DataFrame:
-    """The best findings of each quotation: exact first, then by coverage, then in corpus order."""
-    order = Window.partitionBy("qid").orderBy(F.when(F.col("status") == "exact", 0).otherwise(1), F.col("coverage").desc(), "rid")
+def one_letter_apart(a: str, b: str) -> bool:
+    """Whether two words are equal or, at FUZZY_WORD letters or more, differ by one letter changed, added or left out."""
+    if a == b:
+        return True
+    if min(len(a), len(b)) < FUZZY_WORD or abs(len(a) - len(b)) > 1:
+        return False
+    same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[same + (len(a) >= len(b)) :] == b[same + (len(b) >= len(a)) :]
+
+
+def fuzzy_place(quote: list[str], words: list[str]) -> tuple[int, int, int] | None:
+    """(found, first, last): where most of the quotation's words stand in order among n + FUZZY_SLACK words of the item.
+
+    A stretch begins where one of the first three words occurs. The longest common subsequence of the
+    quotation and a stretch is kept as one bit a word of the stretch; on ties the shortest stretch wins, then the first.
+    """
+    n, held = len(quote), set(words)
+    distinct = set(quote)
+    if 2 * len(distinct & held) < FUZZY_COVERAGE * len(distinct):
+        return None
+    places = {q: sum(1 << k for k, w in enumerate(words) if one_letter_apart(q, w)) for q in distinct}
+    starts = 0
+    for q in quote[:3]:
+        starts |= places[q]
+    best = None
+    for start in (k for k in range(len(words)) if starts >> k & 1):
+        width = min(n + FUZZY_SLACK, len(words) - start)
+        full = (1 << width) - 1
+        row = full  # a zero bit marks where the common subsequence grows
+        for q in quote:
+            hit = row & (places[q] >> start)
+            row = ((row + hit) | (row & ~hit)) & full
+        grown = full & ~row
+        found, length = grown.bit_count(), grown.bit_length()
+        if best is None or (-found, length) < best[0]:
+            best = (-found, length), start
+    if best is None:
+        return None
+    (found, length), start = best
+    return -found, start, start + length - 1
+
+
+def fuzzy_spans(pairs: DataFrame) -> DataFrame:
+    """(qid, rid, found, first, last) of candidate pairs (qid, rid, asked, held): those whose span holds enough of the quotation."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for qid, rid, asked, held in zip(b["qid"], b["rid"], b["asked"], b["held"]):
+                place = fuzzy_place(list(asked), list(held))
+                if place and place[0] >= FUZZY_FOUND and place[0] >= FUZZY_COVERAGE * len(asked):
+                    rows.append((qid, rid, *place))
+            yield pd.DataFrame(rows, columns=["qid", "rid", "found", "first", "last"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select("qid", "rid", "asked", "held").mapInPandas(search, f"qid {kinds['qid']}, rid {kinds['rid']}, found long, first long, last long")
+
+
+def find_quotes(quotes: DataFrame, items: DataFrame, candidates: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """(qid, rid, n, status, coverage, run, s, e): what each candidate item (qid, rid) holds of a quotation, s and e in its text.
+
+    Quotations of fewer than LEAST_WORDS words point nowhere. Candidates that hold no run long enough are
+    searched for a span with a wrong or missing word.
+    """
+    asked = quote_words(quotes).filter(F.size("t") >= LEAST_WORDS)
+    pairs = candidates.select("qid", "rid").distinct().join(small(asked.select("qid")), "qid", "left_semi")
+    held = item_words(items.join(small(pairs.select("rid").distinct()), "rid", "left_semi"))
+    met = pairs.join(small(asked.withColumnRenamed("t", "asked")), "qid").join(held.withColumnRenamed("t", "held"), "rid")
+    runs = runs_of(asked, held).join(small(pairs), ["qid", "rid"], "left_semi")
+    found = classify(longest_of(runs, asked, held, 2)).filter("status IS NOT NULL")
+    spans = found.select("qid", "rid", "n", "status", "coverage", "run", F.col("start").alias("first"), (F.col("start") + F.col("run") - 1).alias("last"))
+    if fuzzy:
+        rest = met.join(found.select("qid", "rid"), ["qid", "rid"], "left_anti")
+        loose = fuzzy_spans(rest).join(small(asked.select("qid", F.size("t").alias("n"))), "qid")
+        spans = spans.unionByName(loose.select("qid", "rid", "n", F.lit("close").alias("status"), F.round(F.col("found") / F.col("n"), 3).alias("coverage"), F.col("found").alias("run"), "first", "last"))
+    placed = spans.join(held.select("rid", "at"), "rid")
+    at = lambda k: F.get("at", F.col(k).cast("int"))
+    return placed.select("qid", "rid", "n", "status", "coverage", "run", at("first")["s"].alias("s"), at("last")["e"].alias("e"))
+
+
+def rank_quotes(found: DataFrame, most: int = 8, kinds: list[str] = KIND_ORDER, sources: list[str] = PRIMARY_SOURCES) -> DataFrame:
+    """The best findings of each quotation: exact first, then kinds as listed, first sources, coverage, and the search's rank.
+
+    found: (qid, rid, status, coverage, kind, source_id, rank) and whatever else.
+    """
+    kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(kinds)], F.lit(len(kinds)))
+    order = Window.partitionBy("qid").orderBy((F.col("status") != "exact").cast("int"), kind, (~F.col("source_id").isin(sources)).cast("int"), F.col("coverage").desc(), "rank", "rid")
     return found.filter("status IS NOT NULL").withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most)
 
 
+def collapse_wording(ranked: DataFrame, most: int = 3) -> DataFrame:
+    """Findings of one wording in one source as one, its other places in `also`: the first `most` of each quotation.
+
+    ranked: (qid, rid, place, source_id, location, excerpt) and whatever else.
+    """
+    same = ["qid", "source_id", "wording"]
+    worded = ranked.withColumn("wording", normalize(F.col("excerpt")))
+    groups = worded.groupBy(*same).agg(F.min("place").alias("place"), F.sort_array(F.collect_list(F.struct("place", "location"))).alias("all"))
+    also = groups.select(*same, "place", F.transform(F.slice("all", 2, F.size("all")), lambda x: x["location"]).alias("also"))  # a quotation has no more than its ranked findings
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("place")).cast("long")
+    return worded.join(also, [*same, "place"]).drop("wording").withColumn("nth", nth).filter(F.col("nth") <= most)
+
+
+def too_generic(quotes: DataFrame, hits: DataFrame, found: DataFrame, candidates: int = 12, least: int = 8, coverage: float = 0.8) -> DataFrame:
+    """(qid, outcome): the status of the first finding; without any, too_generic where many of the best hits hold nearly all the words, else not_found."""
+    wide = hits.filter(F.col("rank") <= candidates).groupBy("qid").agg((F.count_if(F.col("coverage") >= coverage) >= least).alias("generic"))
+    first = found.groupBy("qid").agg(F.min_by("status", "place").alias("status"))
+    joined = quotes.select("qid").join(wide, "qid", "left").join(first, "qid", "left")
+    return joined.select("qid", F.coalesce("status", F.when(F.col("generic"), "too_generic").otherwise("not_found")).alias("outcome"))
+
+
 def quote_parts(quotes: DataFrame, least: int = 4) -> DataFrame:
-    """(qid, part): the whole quotation, and every beginning and ending of `least` words or more."""
-    w = F.split(normalize(F.col("text")), " ")
-    rows = quotes.select("qid", w.alias("w")).filter("w[0] <> ''")
-    cuts = F.when(F.size("w") > least, F.sequence(F.lit(least), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
-    heads = F.transform(cuts, lambda n: F.array_join(F.slice("w", F.lit(1), n), " "))
-    tails = F.transform(cuts, lambda n: F.array_join(F.slice("w", F.size("w") - n + 1, n), " "))
-    return rows.select("qid", F.explode(F.array_distinct(F.concat(F.array(F.array_join("w", " ")), heads, tails))).alias("part"))
+    """(qid, nth, part): the whole quotation, what follows its first colon, then its endings and beginnings of fewer and fewer words, down to `least`; each once."""
+    w = F.filter(F.split(normalize(F.col("text")), " "), lambda x: x != "")
+    after = normalize(F.when(F.col("text").rlike("[:：]"), F.regexp_replace("text", "(?s)^[^:：]*[:：]", "")))
+    rows = quotes.select("qid", w.alias("w"), after.alias("after")).filter(F.size("w") > 0)
+    sizes = F.when(F.size("w") > least, F.sequence(F.size("w") - 1, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    ends = F.flatten(F.transform(sizes, lambda n: F.array(F.array_join(F.slice("w", F.size("w") - n + 1, n), " "), F.array_join(F.slice("w", F.lit(1), n), " "))))
+    parts = F.filter(F.array_distinct(F.concat(F.array(F.array_join("w", " "), "after"), ends)), lambda x: x != "")
+    return rows.select("qid", F.posexplode(parts).alias("nth", "part"))
 
 
 def written_words(items: DataFrame) -> DataFrame:
@@ -84,22 +222,6 @@ def bigram_lexicon(items: DataFrame, least: int = 3, share: float = 0.8) -> Data
     return ranked.filter((F.col("r") == 1) & (F.col("n") >= least) & (F.col("k") >= share * F.col("n"))).select("before", "word", "written", "n")
 
 
-def verify(claims: DataFrame, items: DataFrame, allowed: DataFrame) -> DataFrame:
-    """claims (claim, text, cited) with reason, null where kept: no citation, not retrieved, or a quotation in none of the cited passages.
-
-    The first rule that fails is the reason. Quotations stand in «» or double quotes.
-    """
-    cites = claims.select("claim", F.explode("cited").alias("id"))
-    outside = cites.join(allowed.select("id"), "id", "left_anti").select("claim").distinct().withColumn("outside", F.lit(True))
-    quotes = claims.select("claim", F.posexplode(F.regexp_extract_all("text", F.lit('[«"]([^«»"]+)[»"]'), F.lit(1))).alias("q", "quote")).withColumn("quote", normalize(F.col("quote"))).filter("quote <> ''")
-    cited_text = cites.join(items.select("id", normalize(F.col("text")).alias("body")), "id")
-    held = quotes.join(cited_text, "claim", "left").groupBy("claim", "q").agg(F.coalesce(F.bool_or(F.contains("body", "quote")), F.lit(False)).alias("held"))
-    loose = held.groupBy("claim").agg((~F.bool_and("held")).alias("loose"))
-    joined = claims.join(outside, "claim", "left").join(loose, "claim", "left")
-    reason = F.when(F.size("cited") <= 0, "no citation").when(F.col("outside"), "not retrieved").when(F.col("loose"), "quotation not found verbatim")
-    return joined.select("claim", reason.alias("reason"))
-
-
 def cited_prose(texts: DataFrame, key: list[str]) -> DataFrame:
     """(key, n, text, ids): sentences that carry [id, id]; others are dropped."""
     sentences = texts.select(*key, F.posexplode(F.split("text", "(?<=[.!?])\\s+")).alias("n", "sentence"))
@@ -127,9 +249,11 @@ def source_cards(cites: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def rejection_rollup(verdicts: DataFrame) -> DataFrame:
-    """(answer, kept, rejected, broken) of (answer, pos, reason): broken if none is kept, the first is lost, or as many go as stay."""
+    """(answer, kept, rejected, broken, reasons) of (answer, pos, reason): reasons as a map of counts; broken if none is kept, the first is lost, or as many go as stay."""
+    by_reason = verdicts.filter("reason IS NOT NULL").groupBy("answer", "reason").count().groupBy("answer").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "count")))).alias("reasons"))
     agg = verdicts.groupBy("answer").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.min_by(F.col("reason").isNull(), "pos").alias("first_kept"))
-    return agg.select("answer", "kept", "rejected", ((F.col("kept") == 0) | ~F.col("first_kept") | (F.col("rejected") >= F.col("kept"))).alias("broken"))
+    broken = (F.col("kept") == 0) | ~F.col("first_kept") | (F.col("rejected") >= F.col("kept"))
+    return agg.join(by_reason, "answer", "left").select("answer", "kept", "rejected", broken.alias("broken"), F.coalesce("reasons", F.create_map().cast("map<string,bigint>")).alias("reasons"))
 
 
 def pending(claims: DataFrame, memo: DataFrame, key: list[Column]) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking as K
+from corpusloom.operators import claims as M
 from corpusloom.operators import evaluation as V
 from corpusloom.operators import evidence as E
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import rulings as G
 from corpusloom.operators import vectors as W
 from corpusloom.plans import sql as S
 from corpusloom.sources import corpus as C
@@ -411,26 +413,93 @@ def f12_history_window(spark, d):
 
 # --- quotations -----------------------------------------------------------------------------------
 
-_LONGEST = f"""{S.RUNS}, lr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, rid ORDER BY run DESC, qstart, start) AS k FROM run) WHERE k = 1),
+_QUOTES = """q AS (SELECT qid, array_to_string(CASE qid % 3 WHEN 0 THEN w WHEN 1 THEN list_concat(list_concat(w[1:len(w) // 2], ['altered']), w[len(w) // 2 + 2:]) ELSE list_concat(['Before:', 'unrelated'], w[1:8]) END, ' ') AS text
+ FROM (SELECT item_id AS qid, string_split(text, ' ') AS w FROM benchmark))"""
+_ALL_WORDS = f"""ql AS MATERIALIZED (SELECT qid, list_filter(string_split({S.normal('text')}, ' '), lambda x: x <> '') AS t FROM q),
+pt AS MATERIALIZED (SELECT rid, list_filter(list_transform(regexp_extract_all(text, '\\S+'), lambda x: {S.normal('x')}), lambda x: x <> '') AS t FROM p)"""
+_WORD_RUNS = f"""{_ALL_WORDS},
+qp AS (SELECT qid, len(t) AS n, i - 1 AS pos, t[i] || chr(1) || t[i + 1] AS pair FROM (SELECT qid, t, unnest(range(1, len(t))) AS i FROM ql)),
+dp AS (SELECT rid, i - 1 AS dpos, t[i] || chr(1) || t[i + 1] AS pair FROM (SELECT rid, t, unnest(range(1, len(t))) AS i FROM pt)),
+met AS (SELECT qid, n, rid, pos, dpos - pos AS diagonal FROM qp JOIN dp USING (pair)),
+isl AS (SELECT *, pos - row_number() OVER (PARTITION BY qid, rid, diagonal ORDER BY pos) AS island FROM met),
+run AS (SELECT qid, n, rid, min(pos) + diagonal AS start, min(pos) AS qstart, count(*) + 1 AS run FROM isl GROUP BY qid, n, rid, diagonal, island),
+lr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, rid ORDER BY run DESC, qstart, start) AS k FROM run) WHERE k = 1),
 cl AS (SELECT qid, rid, n, run, qstart, start, round(run / n, 3) AS coverage, CASE WHEN n < 3 THEN NULL WHEN run = n THEN 'exact' WHEN run / n >= 0.6 AND run >= 4 THEN 'close' END AS status FROM lr)"""
+#: The search's candidates (its tokens, not all words), then what each holds.
+_QUOTE_HITS = "qhits AS MATERIALIZED (WITH " + S.BM25.replace(S.QUESTIONS, _QUOTES) + " SELECT * FROM hits)"
+_FOUND = f"""{S.PASSAGES}, {_QUOTES}, {_QUOTE_HITS}, {_WORD_RUNS},
+fd AS (SELECT cl.*, rank, source_id, kind, location, array_to_string(pt.t[start + 1:start + run], ' ') AS wording FROM cl JOIN qhits USING (qid, rid) JOIN p ON p.rid = cl.rid JOIN pt ON pt.rid = cl.rid WHERE status IS NOT NULL),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN status = 'exact' THEN 0 ELSE 1 END, CASE kind WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, coverage DESC, rank, rid) AS place FROM fd) WHERE place <= 8)"""
 
 
-@query(f"WITH {_LONGEST} SELECT qid, rid, n, run, qstart, start FROM lr")
+def _quotes(spark, d):
+    """Benchmark texts as quotations: as they are, with a word altered, and in part after words of another text."""
+    w, third = F.split("text", " "), F.col("qid") % 3
+    half = F.floor(F.size("w") / 2).cast("int")
+    altered = F.concat(F.slice("w", F.lit(1), half), F.array(F.lit("altered")), F.expr("slice(w, cast(size(w) div 2 as int) + 2, size(w))"))
+    partly = F.concat(F.array(F.lit("Before:"), F.lit("unrelated")), F.slice("w", 1, 8))
+    rows = C.questions(spark, d).withColumn("w", w)
+    return rows.select("qid", F.array_join(F.when(third == 0, F.col("w")).when(third == 1, altered).otherwise(partly), " ").alias("text"))
+
+
+def _found_quotes(spark, d, fuzzy=False):
+    items, quotes = C.passages(spark, d), _quotes(spark, d)
+    hits = R.bm25(quotes, items)
+    found = E.find_quotes(quotes, items, hits, fuzzy).join(hits.select("qid", "rid", "rank"), ["qid", "rid"])
+    named = found.join(items.select("rid", "source_id", "kind", "location", "text"), "rid")
+    return quotes, hits, E.rank_quotes(named.withColumn("excerpt", F.expr("substring(text, s + 1, e - s)")), kinds=["fr", "de"])
+
+
+@query(f"WITH {S.PASSAGES}, {_QUOTES}, {_WORD_RUNS} SELECT qid, rid, n, run, qstart, start FROM lr")
 def g1_longest_run(spark, d):
-    return E.longest_runs(C.questions(spark, d), C.passages(spark, d))
+    """Longest runs of all words, stopwords and short ones included, of whole, altered and partial quotations in every passage."""
+    return E.longest_runs(_quotes(spark, d), C.passages(spark, d))
 
 
-@query(f"WITH {_LONGEST} SELECT qid, rid, n, run, qstart, start, coverage, status, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN status = 'exact' THEN 0 ELSE 1 END, coverage DESC, rid) AS place FROM cl WHERE status IS NOT NULL) WHERE place <= 8")
+@query(f"WITH {S.PASSAGES}, {_QUOTES}, {_WORD_RUNS} SELECT qid, rid, coverage, status FROM cl WHERE status IS NOT NULL")
+def g2_classify_quote(spark, d):
+    return E.classify(E.longest_runs(_quotes(spark, d), C.passages(spark, d))).filter("status IS NOT NULL").select("qid", "rid", "coverage", "status")
+
+
+@query()
+def g3_fuzzy_span(spark, d):
+    """Spans of the search's candidates that hold most words of a quotation in order, one letter apart at most (a dynamic programme, tested against a plain one)."""
+    items, quotes = C.passages(spark, d), _quotes(spark, d)
+    asked = E.quote_words(quotes).filter(F.size("t") >= E.LEAST_WORDS).select("qid", F.col("t").alias("asked"))
+    pairs = R.bm25(quotes, items).select("qid", "rid")
+    held = E.item_words(items.join(pairs.select("rid").distinct(), "rid", "left_semi")).select("rid", F.col("t").alias("held"))
+    return E.fuzzy_spans(pairs.join(asked, "qid").join(held, "rid"))
+
+
+@query(f"WITH {_FOUND} SELECT qid, rid, status, coverage, run, wording, place FROM rk")
 def g4_rank_quotes(spark, d):
-    """G2 and G4: findings classed exact or close, the best eight of each quotation."""
-    return E.rank_quotes(E.classify(E.longest_runs(C.questions(spark, d), C.passages(spark, d))))
+    """Findings among the search's candidates in order: exact first, then kinds (fr, de), then coverage and the search's rank; excerpts normalised."""
+    _, _, ranked = _found_quotes(spark, d)
+    return ranked.select("qid", "rid", "status", "coverage", "run", T.normalize(F.col("excerpt")).alias("wording"), "place")
+
+
+@query(f"""WITH {_FOUND}, g AS (SELECT qid, source_id, wording, min(place) AS place, arg_min(rid, place) AS rid, string_agg(CAST(location AS VARCHAR), ',' ORDER BY place) AS places FROM rk GROUP BY qid, source_id, wording)
+SELECT qid, rid, nth, places FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS nth FROM g) WHERE nth <= 3""")
+def g5_collapse_same_wording(spark, d):
+    _, _, ranked = _found_quotes(spark, d)
+    shown = E.collapse_wording(ranked)
+    return shown.select("qid", "rid", "nth", F.concat_ws(",", F.col("location").cast("string"), F.array_join(F.transform("also", lambda x: x.cast("string")), ",")).alias("p")).select("qid", "rid", "nth", F.regexp_replace("p", ",$", "").alias("places"))
+
+
+@query(f"""WITH {_FOUND}, w AS (SELECT qid, count(*) FILTER (coverage >= 0.8) >= 8 AS generic FROM qhits WHERE rank <= 12 GROUP BY qid), f AS (SELECT qid, arg_min(status, place) AS status FROM rk GROUP BY qid)
+SELECT qid, coalesce(status, CASE WHEN generic THEN 'too_generic' ELSE 'not_found' END) AS outcome FROM q LEFT JOIN w USING (qid) LEFT JOIN f USING (qid)""")
+def g6_too_generic(spark, d):
+    quotes, hits, ranked = _found_quotes(spark, d)
+    return E.too_generic(quotes, hits, ranked)
 
 
-@query(f"""WITH w AS (SELECT item_id AS qid, string_split({S.normal('text')}, ' ') AS w FROM benchmark)
-SELECT DISTINCT qid, part FROM (SELECT qid, array_to_string(w, ' ') AS part FROM w WHERE w[1] <> '' UNION ALL
-SELECT qid, array_to_string(w[1:n], ' ') FROM (SELECT *, unnest(range(4, len(w))) AS n FROM w) UNION ALL SELECT qid, array_to_string(w[len(w) - n + 1:], ' ') FROM (SELECT *, unnest(range(4, len(w))) AS n FROM w))""")
+@query(f"""WITH {_QUOTES}, w AS (SELECT qid, list_filter(string_split({S.normal('text')}, ' '), lambda x: x <> '') AS w, CASE WHEN contains(text, ':') THEN {S.normal("regexp_replace(text, '^[^:]*:', '')")} ELSE '' END AS after FROM q),
+a AS (SELECT qid, 0 AS o, array_to_string(w, ' ') AS part FROM w UNION ALL SELECT qid, 1, after FROM w
+UNION ALL SELECT qid, 2 * (len(w) - n) + 2, array_to_string(w[len(w) - n + 1:], ' ') FROM (SELECT *, unnest(range(4, len(w))) AS n FROM w) UNION ALL SELECT qid, 2 * (len(w) - n) + 3, array_to_string(w[1:n], ' ') FROM (SELECT *, unnest(range(4, len(w))) AS n FROM w)),
+f AS (SELECT qid, part, min(o) AS o FROM a WHERE part <> '' GROUP BY qid, part)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY o) - 1 AS nth, part FROM f""")
 def g9_quote_parts(spark, d):
-    return E.quote_parts(C.questions(spark, d))
+    return E.quote_parts(_quotes(spark, d)).select("qid", F.col("nth").cast("long").alias("nth"), "part")
 
 
 _WRITTEN = f"""{S.PASSAGES}, ww AS (SELECT rid, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM p),
@@ -480,11 +549,84 @@ def _claims(spark, d):
     return C.claims(spark, d).withColumn("claim", F.concat_ws("/", "conv_id", "turn", "n"))
 
 
-@query(f"""WITH {S.PASSAGES}, {_CLAIMS} SELECT conv_id || '/' || turn || '/' || n AS claim, CASE WHEN cited NOT IN (SELECT id FROM p) THEN 'not retrieved' END AS reason FROM cl""")
+# Claims with one planted fault each, by k; passages with ruling words by document.
+_FAULTS = ["", "", "", "«كلام لا يوجد»", "", "في هذا الباب", "روى البخاري ومسلم", "وهو واجب", "يجوز ذلك", "لا يجوز ذلك", "«هذا حرام»", ""]
+_PLANTED = f"""{S.PASSAGES}, {_CLAIMS},
+it AS (SELECT id, CASE WHEN location % 5 = 0 THEN 'sahih-muslim' ELSE source_id END AS source_id, rid % 13 <> 0 AS answer_part, text || CASE location % 3 WHEN 0 THEN ' هذا حرام' WHEN 1 THEN ' لا يجوز ذلك' ELSE '' END AS text FROM p),
+cm AS (SELECT conv_id || '/' || turn || '/' || n AS claim, (conv_id + turn + n) % 12 AS k, text, cited FROM cl),
+c AS (SELECT claim, k, text || ' ' || CASE k {' '.join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FAULTS) if f)} ELSE '' END AS text,
+ CASE k WHEN 0 THEN [] WHEN 1 THEN [cited, 'x:1'] ELSE [cited] END AS cited, CASE k WHEN 4 THEN 'Zeno the elder' WHEN 11 THEN split_part(text, ' ', 1) ELSE '' END AS school FROM cm),
+cx AS (SELECT claim, unnest(cited) AS id FROM c), ct AS (SELECT claim, it.* FROM cx JOIN it USING (id)),
+kinds AS (SELECT * FROM (VALUES {', '.join(f"('{w}', '{k}')" for k, ws in G.RULING_WORDS.items() for w in ws.split())}) v(word, kind)),
+pol AS (SELECT DISTINCT key, g, kind, len(list_filter(w.w_all[greatest(1, i - 2):i - 1], lambda t: list_contains({G.NEGATORS}, t) OR (t[1:1] IN ('و', 'ف') AND list_contains({G.NEGATORS}, t[2:])))) > 0 AS neg2,
+ len(list_filter(w.w_all[greatest(1, i - 4):i - 1], lambda t: list_contains({G.NEGATORS}, t) OR (t[1:1] IN ('و', 'ف') AND list_contains({G.NEGATORS}, t[2:])))) > 0 AS neg4,
+ len(list_filter(w.w_all[greatest(1, i - 2):i - 1], lambda t: list_contains({G.STRICT_NEGATORS}, t) OR (t[1:1] IN ('و', 'ف') AND list_contains({G.STRICT_NEGATORS}, t[2:])))) > 0 AS strict
+ FROM (SELECT key, g, i, w[i] AS word, w AS w_all FROM (SELECT DISTINCT key, g, w, unnest(range(1, len(w) + 1)) AS i FROM (
+  SELECT claim AS key, 's' AS g, string_split({S.normal('text')}, ' ') AS w FROM c UNION ALL SELECT DISTINCT claim, 'p', string_split({S.normal('text')}, ' ') FROM ct))) w
+ JOIN kinds ON kinds.word IN (w.word, CASE WHEN w.word[1:1] IN ('و', 'ف', 'ب', 'ل') AND length(w.word) > 3 THEN w.word[2:] ELSE w.word END, CASE WHEN w.word[1:2] = 'ال' AND length(w.word) > 4 THEN w.word[3:] ELSE w.word END)),
+there AS (SELECT key, kind, neg2 AS neg FROM pol WHERE g = 'p' UNION SELECT key, kind, neg4 FROM pol WHERE g = 'p'),
+mis AS (SELECT DISTINCT key FROM pol s WHERE g = 's' AND NOT neg2 AND key IN (SELECT key FROM there) AND NOT EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind)),
+said AS (SELECT key, kind, true AS neg FROM pol WHERE g = 's' AND strict UNION SELECT key, kind, false FROM pol a WHERE g = 's' AND NOT strict AND EXISTS (SELECT 1 FROM pol b WHERE b.key = a.key AND b.g = 's' AND b.kind = a.kind AND NOT b.neg2)),
+fl AS (SELECT DISTINCT key FROM said s WHERE EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind AND t.neg <> s.neg) AND NOT EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind AND t.neg = s.neg)),
+v AS (SELECT claim, CASE WHEN len(cited) = 0 THEN 'no citation' WHEN claim IN (SELECT claim FROM cx WHERE id NOT IN (SELECT id FROM it)) THEN 'not retrieved'
+ WHEN claim IN (SELECT claim FROM ct WHERE NOT answer_part) THEN 'question without its answer'
+ WHEN contains(text, '«') AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.claim = c.claim AND contains({S.normal('ct.text')}, {S.normal("regexp_extract(c.text, '«([^»]+)»', 1)")})) THEN 'quotation not found verbatim'
+ WHEN school <> '' AND NOT (len({S.tokens('school')}) > 0 AND EXISTS (SELECT 1 FROM ct WHERE ct.claim = c.claim AND list_has_all({S.tokens('ct.text')}, {S.tokens('school')}))) THEN 'school not named'
+ WHEN contains(text, 'هذا الباب') THEN 'book''s own division'
+ WHEN contains(text, 'روى البخاري ومسلم') THEN 'collection not cited'
+ WHEN claim IN (SELECT key FROM mis) THEN 'ruling not in the passages' WHEN claim IN (SELECT key FROM fl) THEN 'ruling turned around' END AS reason FROM c)"""
+
+def _planted(spark, d):
+    claims, k = _claims(spark, d), (F.col("conv_id") + F.col("turn") + F.col("n")) % 12
+    fault = F.coalesce(*[F.when(k == i, F.lit(f)) for i, f in enumerate(_FAULTS)])
+    cited = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("cited", F.lit("x:1"))).otherwise(F.array("cited"))
+    school = F.when(k == 4, "Zeno the elder").when(k == 11, F.substring_index("text", " ", 1)).otherwise("")
+    rows = claims.select("claim", F.concat_ws(" ", "text", fault).alias("text"), cited.alias("cited"), school.alias("school"))
+    ruling = F.when(F.col("location") % 3 == 0, " هذا حرام").when(F.col("location") % 3 == 1, " لا يجوز ذلك").otherwise("")
+    source = F.when(F.col("location") % 5 == 0, "sahih-muslim").otherwise(F.col("source_id"))
+    items = C.passages(spark, d).select("id", source.alias("source_id"), (F.col("rid") % 13 != 0).alias("answer_part"), F.concat("text", ruling).alias("text"))
+    return rows, items
+
+
+@query(f"WITH {_PLANTED} SELECT claim, reason FROM v")
 def h1_verify(spark, d):
-    """H1 to H3 on the assistant's sentences; their text holds no quotation marks, so only citations can fail (fixtures test the rest)."""
-    items = C.passages(spark, d)
-    return E.verify(_claims(spark, d).withColumn("cited", F.array("cited")).withColumn("text", F.translate("text", '"«»', "")), items, items)
+    """H1 to H3, H5, H9 to H12 on the assistant's sentences, one fault of each rule planted among twelve of them."""
+    claims, items = _planted(spark, d)
+    return M.verify(claims, items, items)
+
+
+@query(f"WITH {_PLANTED} SELECT key AS claim, kind FROM pol s WHERE g = 's' AND NOT neg2 AND key IN (SELECT key FROM there) AND NOT EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind) GROUP BY 1, 2")
+def h9_ruling_mismatch(spark, d):
+    claims, items = _planted(spark, d)
+    cited = claims.select("claim", F.explode("cited").alias("id")).join(items, "id").select("claim", "text")
+    return G.mismatched(claims.select("claim", "text"), cited)
+
+
+@query(f"WITH {_PLANTED} SELECT key AS claim, kind FROM said s WHERE EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind AND t.neg <> s.neg) AND NOT EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind AND t.neg = s.neg) GROUP BY 1, 2")
+def h10_ruling_flipped(spark, d):
+    claims, items = _planted(spark, d)
+    cited = claims.select("claim", F.explode("cited").alias("id")).join(items, "id").select("claim", "text")
+    return G.flipped(claims.select("claim", "text"), cited)
+
+
+@query(f"WITH {_PLANTED} SELECT key AS claim, kind, neg2 AS negated FROM pol WHERE g = 's' GROUP BY 1, 2, 3")
+def h8_ruling_polarity(spark, d):
+    claims, _ = _planted(spark, d)
+    return G.polarity(claims.select("claim", "text"), "claim")
+
+
+@query(f"""WITH {_PLANTED}, e AS (SELECT claim, cited, {S.normal("array_to_string(string_split(text, ' ')[1:3], ' ')")} AS w FROM c), x AS (SELECT claim, w, unnest(cited) AS id FROM e)
+SELECT claim, bool_or(w <> '' AND it.id IS NOT NULL AND contains(' ' || {S.normal('it.text')} || ' ', ' ' || w || ' ')) AS held FROM (SELECT claim, w, id FROM x UNION ALL SELECT claim, w, NULL FROM e WHERE len(cited) = 0) LEFT JOIN it USING (id) GROUP BY claim""")
+def h4_evidence_contiguous(spark, d):
+    """A claim's first three words as its witness."""
+    claims, items = _planted(spark, d)
+    return M.evidence_contiguous(claims.withColumn("witness", F.substring_index("text", " ", 3)), items)
+
+
+@query(f"WITH {_PLANTED} SELECT claim, reason FROM v WHERE reason IN ('no citation', 'not retrieved')")
+def h2_citation_integrity(spark, d):
+    claims, items = _planted(spark, d)
+    return M.verify(claims, items, items).filter("reason IN ('no citation', 'not retrieved')")
 
 
 @query(f"""WITH {_CLAIMS} SELECT conv_id, turn, CAST(n AS BIGINT) AS n, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, cited AS ids FROM cl""")
@@ -502,12 +644,16 @@ def h33_source_cards(spark, d):
     return E.source_cards(cites, C.passages(spark, d))
 
 
-@query(f"""WITH {S.PASSAGES}, {_CLAIMS}, v AS (SELECT conv_id || '/' || turn AS answer, n, cited IN (SELECT id FROM p) AS ok FROM cl)
-SELECT answer, count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (ok) = 0 OR NOT arg_min(ok, n) OR count(*) FILTER (NOT ok) >= count(*) FILTER (ok) AS broken FROM v GROUP BY answer""")
+@query(f"""WITH {_PLANTED}, r AS (SELECT split_part(claim, '/', 1) || '/' || split_part(claim, '/', 2) AS answer, CAST(split_part(claim, '/', 3) AS INTEGER) AS pos, reason FROM v),
+k AS (SELECT answer, string_agg(reason || '=' || n, ';' ORDER BY reason) AS reasons FROM (SELECT answer, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY answer, reason) GROUP BY answer)
+SELECT answer, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS rejected, count(*) FILTER (reason IS NULL) = 0 OR NOT arg_min(reason IS NULL, pos) OR count(*) FILTER (reason IS NOT NULL) >= count(*) FILTER (reason IS NULL) AS broken, coalesce(any_value(reasons), '') AS reasons
+FROM r LEFT JOIN k USING (answer) GROUP BY answer""")
 def h35_rejection_rollup(spark, d):
-    items = C.passages(spark, d)
-    verdicts = E.verify(_claims(spark, d).withColumn("cited", F.array("cited")).withColumn("text", F.translate("text", '"«»', "")), items, items)
-    return E.rejection_rollup(verdicts.select(F.substring_index("claim", "/", 2).alias("answer"), F.substring_index("claim", "/", -1).cast("int").alias("pos"), "reason"))
+    claims, items = _planted(spark, d)
+    verdicts = M.verify(claims, items, items)
+    rolled = E.rejection_rollup(verdicts.select(F.substring_index("claim", "/", 2).alias("answer"), F.substring_index("claim", "/", -1).cast("int").alias("pos"), "reason"))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("reasons")), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
+    return rolled.withColumn("reasons", listed)
 
 
 # --- evaluation -----------------------------------------------------------------------------------

@@ -3,8 +3,11 @@
 import math
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.operators import claims as M
 from corpusloom.operators import evaluation as V
 from corpusloom.operators import evidence as E
 from corpusloom.operators import retrieval as R
@@ -47,14 +50,75 @@ def test_phrases(spark, items):
     asked = questions(spark, "palm tree needs water", "water", "camel bears thirst often enough", "degrees boils")
     assert sorted(map(tuple, R.phrase_match(asked, items).collect())) == [(0, 0), (1, 0), (1, 2), (3, 2)]
     assert [tuple(r) for r in R.longest_subphrase(asked.filter("qid = 2"), items).collect()] == [(2, 3, 3)]
-    runs = E.classify(E.longest_runs(asked, items)).filter("qid = 0 AND rid = 0").first()
+    runs = E.classify(E.longest_runs(asked, items)).filter("qid = 0 AND rid = 0").first()  # all four words
     assert (runs.run, runs.status, runs.coverage) == (4, "exact", 1.0)
 
 
 def test_longest_run_of_letters(spark):
-    quote, text = questions(spark, "aa bb cc dd ee"), spark.createDataFrame([(7, "xx bb cc dd yy")], "rid long, text string")
-    (r,) = E.longest_runs(quote, text).collect()
-    assert (r.run, r.qstart, r.start) == (3, 1, 1)
+    quote, text = questions(spark, "a b c d e"), spark.createDataFrame([(7, "x b c d y"), (8, "z e q"), (9, "nothing")], "rid long, text string")
+    assert [(r.rid, r.run, r.qstart, r.start) for r in E.longest_runs(quote, text).collect()] == [(7, 3, 1, 1)]
+    assert sorted((r.rid, r.run, r.qstart, r.start) for r in E.longest_runs(quote, text, least=1).collect()) == [(7, 3, 1, 1), (8, 1, 4, 1)]
+
+
+def test_words_between_are_no_exact_quotation(spark):
+    quote, text = questions(spark, "water of life and fire"), spark.createDataFrame([(1, "water is the life in fire"), (2, "The Water of life, and fire!")], "rid long, text string")
+    hits = spark.createDataFrame([(0, 1), (0, 2)], "qid int, rid long")
+    got = {r.rid: r for r in E.find_quotes(quote, text, hits).collect()}
+    assert set(got) == {2} and (got[2].status, got[2].coverage, got[2].s, got[2].e) == ("exact", 1.0, 4, 28)
+
+
+# a verse with its vowel marks, as a test of misspelt quotations needs one
+VERSE = "قُلْ يَا عِبَادِيَ الَّذِينَ أَسْرَفُوا عَلَىٰ أَنفُسِهِمْ لَا تَقْنَطُوا مِن رَّحْمَةِ اللَّهِ"
+
+
+def test_misspelt_quotations(spark):
+    filler = " ".join(["كلمة"] * 60)
+    far = f"قل {filler} يا {filler} عبادي {filler} الذين {filler} انفسهم"
+    items = spark.createDataFrame([(1, VERSE), (2, far)], "rid long, text string")
+    quote = questions(spark, "قل يا عبادي الذين اسرفو في انفسهم", "يا عبادي")
+    hits = spark.createDataFrame([(q, i) for q in (0, 1) for i in (1, 2)], "qid int, rid long")
+    (r,) = E.find_quotes(quote, items, hits).collect()
+    assert (r.qid, r.rid, r.status) == (0, 1, "close") and r.coverage >= 0.8
+    excerpt = VERSE[r.s : r.e]
+    assert excerpt.startswith("قُلْ يَا عِبَادِيَ") and "أَنفُسِهِمْ" in excerpt
+    assert E.one_letter_apart("اسرفو", "اسرفوا") and E.one_letter_apart("يغفر", "تغفر") and not E.one_letter_apart("في", "من") and not E.one_letter_apart("على", "علي")
+
+
+def fuzzy_by_hand(quote, words):
+    """The same place by a plain table for every stretch."""
+    if 2 * len({q for q in quote if q in words}) < 0.7 * len(set(quote)):
+        return None
+    best = None
+    for start in range(len(words)):
+        if not any(E.one_letter_apart(words[start], q) for q in quote[:3]):
+            continue
+        stretch = words[start : start + len(quote) + 2]
+        for end in range(1, len(stretch) + 1):
+            table = [[0] * (end + 1) for _ in range(len(quote) + 1)]
+            for i, q in enumerate(quote):
+                for j, w in enumerate(stretch[:end]):
+                    table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + E.one_letter_apart(q, w))
+            key = (-table[-1][-1], end, start)
+            best = min(best, key) if best else key
+    return best and (-best[0], best[2], best[2] + best[1] - 1)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["tree", "trees", "true", "a", "water", "watter", "b"]), min_size=3, max_size=7), st.lists(st.sampled_from(["tree", "trees", "true", "a", "water", "watter", "b"]), max_size=14))
+def test_fuzzy_place_equals_a_plain_table(quote, words):
+    assert E.fuzzy_place(quote, words) == fuzzy_by_hand(quote, words)
+
+
+def test_outcomes_of_a_lookup(spark):
+    asked = questions(spark, "found here", "common words", "rare words", "no hits")
+    hits = spark.createDataFrame([(q, k, k + 1, c) for q, c in ((0, 0.9), (1, 0.9), (2, 0.3)) for k in range(12)], "qid int, rid long, rank int, coverage double")
+    found = spark.createDataFrame([(0, "close", 2), (0, "exact", 1)], "qid int, status string, place int")
+    assert {r.qid: r.outcome for r in E.too_generic(asked, hits, found).collect()} == {0: "exact", 1: "too_generic", 2: "not_found", 3: "not_found"}
+    rows = [(1, 5, "exact", 1.0, "other", "b", 3), (1, 6, "close", 0.9, "hadith", "x", 1), (1, 7, "exact", 1.0, "other", "b", 1), (1, 8, "exact", 1.0, "hadith", "y", 5), (1, 9, "exact", 1.0, "hadith", "sahih-muslim", 9)]
+    ranked = E.rank_quotes(spark.createDataFrame(rows, "qid int, rid int, status string, coverage double, kind string, source_id string, rank int"))
+    assert [r.rid for r in ranked.orderBy("place").collect()] == [9, 8, 7, 5, 6]
+    shown = E.collapse_wording(ranked.withColumn("location", F.col("rid") * 10).withColumn("excerpt", F.lit("Some words,")))
+    assert [(r.rid, r.also, r.nth) for r in shown.orderBy("nth").collect()] == [(9, [], 1), (8, [], 2), (7, [50], 3)]
 
 
 def test_fusion_and_turns(spark):
@@ -99,11 +163,25 @@ def test_fingerprint_sees_every_change(spark, items):
     assert digest(items) != digest(items.withColumn("rid", 10 - F.col("rid")))
 
 
-def test_claims(spark, items):
-    rows = [("ok", "He said «Birds migrate to warm lands».", ["test-b:2"]), ("wrong", "He said «Birds migrate to cold lands».", ["test-b:2"]), ("none", "No source.", []), ("outside", "Other.", ["test-z:9"]), ("both", "«nope nope» x", ["test-z:9"])]
-    claims = spark.createDataFrame(rows, "claim string, text string, cited array<string>")
-    got = {r.claim: r.reason for r in E.verify(claims, items, items).collect()}
-    assert got == {"ok": None, "wrong": "quotation not found verbatim", "none": "no citation", "outside": "not retrieved", "both": "not retrieved"}
+def test_claims(spark):
+    """One claim that breaks each rule, in the order of the rules, and the first rule wins where two are broken."""
+    items = spark.createDataFrame(
+        [("a:1", "sahih-muslim", True, "الْمَاءُ طَهُورٌ لا يُنَجِّسُهُ شيء"), ("a:2", "other", False, "سؤال"), ("a:3", "other", True, "قال أبو حنيفة ومالك: يجب ذلك"), ("a:4", "fatawa", True, "لا يجوز هذا"), ("a:5", "other", True, "نص بلا حكم")],
+        "id string, source_id string, answer_part boolean, text string",
+    )
+    persons = spark.createDataFrame([("fatawa", "الشيخ ابن باز")], "source_id string, person string")
+    rows = [
+        ("ok", "قال: «الماء طهور»", ["a:1"], "", None), ("none", "بلا مصدر", [], "", "no citation"), ("null", "بلا مصدر", None, "", "no citation"), ("outside", "غيره «لا»", ["z:9"], "", "not retrieved"), ("asks", "نص", ["a:2"], "", "question without its answer"),
+        ("quote", "قال: «الماء نجس»", ["a:1"], "", "quotation not found verbatim"), ("verse", "﴿كلام آخر﴾", ["a:1", "a:3"], "", "quotation not found verbatim"), ("latin", 'a "word" and «word» here', ["a:1"], "", None), ("school", "يجب ذلك", ["a:3"], "الشافعي", "school not named"),
+        ("named", "يجب ذلك", ["a:3"], "أبي حنيفة وأصحابه", None), ("alias", "يجب ذلك", ["a:3"], "الحنفية", None), ("and", "يجب ذلك", ["a:3"], "مالك", None), ("speaker", "لا يجوز", ["a:4"], "ابن باز", None), ("division", "ذكر في هذا الباب", ["a:5"], "", "book's own division"),
+        ("book", "رواه البخاري", ["a:1"], "", "collection not cited"), ("cited book", "رواه مسلم", ["a:1"], "", None), ("kind", "هو حرام", ["a:3"], "", "ruling not in the passages"), ("flip", "يجوز هذا", ["a:4"], "", "ruling turned around"), ("silent", "هو حرام", ["a:5"], "", None),
+    ]
+    claims = spark.createDataFrame([r[:4] for r in rows], "claim string, text string, cited array<string>, school string")
+    assert {r.claim: r.reason for r in M.verify(claims, items, items, persons).collect()} == {r[0]: r[4] for r in rows}
+    plain = claims.drop("school").filter("claim IN ('ok', 'none')")
+    assert {r.claim: r.reason for r in M.verify(plain, items.drop("answer_part"), items).collect()} == {"ok": None, "none": "no citation"}
+    told = spark.createDataFrame([(1, "طهور لا ينجسه", ["a:1"]), (2, "طهور شيء", ["a:1"]), (3, "", ["a:1"]), (4, "نص", [])], "claim int, witness string, cited array<string>")
+    assert {r.claim: r.held for r in M.evidence_contiguous(told, items).collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
 def test_ids_and_cards(spark, items):
