@@ -44,13 +44,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids)
     padded = np.zeros(n + COUNTS[0], np.uint32)
     padded[:n] = ids
-    cheapest, chosen = np.full(n, np.inf, np.float32), np.zeros(n, np.int8)
-    for s, (count, bits) in enumerate(zip(COUNTS, BITS)):
-        wide = np.cumsum(np.concatenate(([False], padded >= np.uint32(1 << bits) if bits < 32 else np.zeros(len(padded), bool))), dtype=np.int32)
-        cost = (wide[count : count + n] - wide[:n] + 1).astype(np.float32) / count
-        better = cost < cheapest
-        cheapest[better], chosen[better] = cost[better], s
-    sizes = np.array(COUNTS)[chosen].tolist()
+    # bytes an id, escapes included, are in proportion to (escapes + 1) * bits; the selector takes the three lowest bits of the key
+    best = np.full(n, BITS[-1] * 8 + len(BITS) - 1, np.int32)
+    wide = np.zeros(len(padded) + 1, np.int32)
+    for s, (count, bits) in enumerate(zip(COUNTS[:-1], BITS[:-1])):
+        np.cumsum(padded >= np.uint32(1 << bits), out=wide[1:])
+        key = wide[count : count + n] - wide[:n]
+        key += 1
+        key *= 8 * bits
+        key += s
+        np.minimum(best, key, out=best)
+    chosen = (best & 7).astype(np.int8)
+    sizes = np.array(COUNTS, np.uint8)[chosen].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
@@ -164,22 +169,23 @@ class Encoder:
         raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
         return [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]
 
-    def letters(self, word: str) -> bytes:
-        """Ids of a word of letters alone, with a space before it or not: one pre-token, so the model takes it as it is."""
-        chars = word.replace(" ", BYTE_CHARS[32]) if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
-        return array("I", [x.id for x in self.model.tokenize(chars)]).tobytes()
-
     def look_up(self, new: set[str]) -> dict[str, bytes]:
         """Ids of words with what precedes them: "\x02word" starts a text, "\nword" a line, any other has a space before it."""
-        stem = {w: w[:-1] if w[-1] in self.stops and w[-2:-1].isalnum() else w for w in new}
-        lack = list({x for x in stem.values() if x not in self.kept})
-        found = {w: self.letters(" " + w) for w in lack if w.isalpha()}
-        inner, outer = [w for w in lack if w[0] not in "\x02\n" and w not in found], [w for w in lack if w[0] in "\x02\n"]
+        stem = {w: w[:-1] for w in new if w[-1] in self.stops and w[-2:-1].isalnum()}
+        kept = self.kept
+        lack = new.difference(stem)
+        lack.update(x for x in stem.values() if x not in kept)
+        letters, model, space, end = {}, self.model.tokenize, BYTE_CHARS[32], self.line_end
+        inner, outer = [], []
+        for w in lack:
+            if w.isalpha():  # one pre-token with the space before it, so the model takes it as it is
+                letters[w] = array("I", [x.id for x in model(space + w if w.isascii() else space + w.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            else:
+                (outer if w[0] in "\x02\n" else inner).append(w)
+        found = letters
         found.update(zip(inner, self.words([" " + w for w in inner])))
-        found.update((w, self.line_end * (w[0] == "\n") + x) for w, x in zip(outer, self.words([w[1:] for w in outer])))
-        for w, x in stem.items():
-            if w not in found:
-                found[w] = (found[x] if x in found else self.kept[x]) + self.stops[w[-1]]
+        found.update((w, end * (w[0] == "\n") + x) for w, x in zip(outer, self.words([w[1:] for w in outer])))
+        found.update({w: (found[x] if x in found else kept[x]) + self.stops[w[-1]] for w, x in stem.items()})
         return found
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
