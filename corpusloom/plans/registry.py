@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import assembly as A
 from corpusloom.operators import chunking as K
 from corpusloom.operators import claims as M
+from corpusloom.operators import counting as N
 from corpusloom.operators import evaluation as V
 from corpusloom.operators import evidence as E
 from corpusloom.operators import retrieval as R
@@ -411,6 +413,121 @@ def f12_history_window(spark, d):
     return R.history(C.read(spark, d, "conversations"))
 
 
+_LISTS = "l AS (SELECT qid // 4 AS question, CAST(qid % 4 AS BIGINT) AS list_no, rid, rank FROM hits)"
+
+
+def _lists(spark, d, items):
+    """Four questions' hits as the lists of one question."""
+    hits = R.bm25(C.questions(spark, d), items)
+    return hits.select(F.floor(F.col("qid") / 4).alias("question"), (F.col("qid") % 4).alias("list_no"), "rid", "rank")
+
+
+@query(f"""WITH {S.BM25}, {_LISTS}, o AS (SELECT question, rid, min((CASE WHEN list_no >= 2 AND rank <= 3 THEN 0 ELSE 1 END, rank, list_no)) AS a FROM l GROUP BY question, rid)
+SELECT question, rid, place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY a, rid) AS place FROM o) WHERE place <= 20""")
+def f2_reserved_slots(spark, d):
+    """The last two of four lists are parts of the question."""
+    return A.reserved_slots(_lists(spark, d, C.passages(spark, d)).withColumn("part", F.col("list_no") >= 2), 20)
+
+
+@query(f"""WITH {S.BM25}, pw AS (SELECT rid, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n_words FROM p) SELECT qid, hits.rid FROM hits JOIN p ON p.rid = hits.rid JOIN pw ON pw.rid = hits.rid WHERE hits.rid % 5 <> 0 AND (kind = 'de' OR n_words >= 4) AND coverage >= 0.34""")
+def f4_hit_filters(spark, d):
+    """Every fifth passage counts as a question part, German ones as primary."""
+    items = C.passages(spark, d)
+    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", "kind", "text", (F.col("rid") % 5 != 0).alias("answer_part")), "rid")
+    return A.usable_hits(hits, ["de"]).select("qid", "rid")
+
+
+_PLACED = f"""{S.BM25}, {_LISTS}, fo AS (SELECT question, rid, min((rank, list_no)) AS a FROM l GROUP BY question, rid),
+off AS (SELECT question, rid, place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY a, rid) AS place FROM fo) WHERE place <= 20),
+it AS (SELECT *, rid // 1000000 * 1000 + (rid % 1000000) // 4 AS heading, row_number() OVER (PARTITION BY location ORDER BY rid) AS line FROM p)"""
+
+
+def _offered(spark, d):
+    """Offered passages and all of them, four lines of a document under one heading."""
+    items = C.passages(spark, d).withColumn("heading", F.floor(F.col("rid") / C.LINES) * 1000 + F.floor((F.col("rid") % C.LINES) / 4))
+    return R.round_robin(_lists(spark, d, items), 20), items
+
+
+@query(f"""WITH {_PLACED}, k AS (SELECT * FROM (SELECT question, it.location, it.heading, it.line, row_number() OVER (PARTITION BY question ORDER BY place) AS k FROM off JOIN it USING (rid) WHERE kind = 'en') WHERE k <= 4),
+s AS (SELECT question, location, heading, k, step, line + step AS line FROM k, (SELECT unnest([-1, 1]) AS step)),
+f AS (SELECT s.question, it.rid, min((k, step)) AS a FROM s JOIN it USING (location, line, heading) WHERE NOT EXISTS (SELECT 1 FROM off WHERE off.question = s.question AND off.rid = it.rid) GROUP BY s.question, it.rid)
+SELECT question, rid, nth FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY a) AS nth FROM f) WHERE nth <= 4""")
+def f7_neighbour_fill(spark, d):
+    offered, items = _offered(spark, d)
+    return A.neighbour_fill(offered, items, "en")
+
+
+@query(f"""WITH {_PLACED}, b AS (SELECT rid, kind, regexp_matches(text, '^[A-M]') AS opens, CASE WHEN lag(heading) OVER w = heading AND regexp_matches(lag(text) OVER w, '^[A-M]') THEN lag(rid) OVER w WHEN lag(heading, 2) OVER w = heading AND regexp_matches(lag(text, 2) OVER w, '^[A-M]') THEN lag(rid, 2) OVER w END AS opener FROM it WINDOW w AS (PARTITION BY location ORDER BY rid)),
+u AS (SELECT question, rid, place AS pl, 1 AS after FROM off UNION ALL SELECT question, opener, place, 0 FROM off JOIN b USING (rid) WHERE kind = 'en' AND NOT opens AND opener IS NOT NULL),
+o AS (SELECT question, rid, min((pl, after)) AS a FROM u GROUP BY question, rid)
+SELECT question, rid, row_number() OVER (PARTITION BY question ORDER BY a, rid) AS place FROM o""")
+def f8_issue_opener(spark, d):
+    """Lines that begin with A to M open an issue."""
+    offered, items = _offered(spark, d)
+    return A.issue_openers(offered, items, "en", "^[A-M]")
+
+
+@query(f"""WITH {_PLACED}, h AS (SELECT qid, rid, rank, coverage FROM hits), f AS (SELECT b.rid, b.quoted, b.nth FROM (SELECT x.rid, h.rid AS quoted, row_number() OVER (PARTITION BY x.rid ORDER BY h.rank) AS nth FROM (SELECT DISTINCT rid, rid % 40 AS qid FROM off) x JOIN h USING (qid) WHERE coverage >= 0.2) b WHERE nth <= 3),
+q1 AS (SELECT question, quoted, min(place) AS pl FROM off JOIN (SELECT rid, arg_min(quoted, nth) AS quoted FROM f GROUP BY rid) USING (rid) GROUP BY question, quoted),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY pl, quoted) AS k FROM q1) WHERE k <= 2),
+u AS (SELECT question, rid, place AS pl, 1 AS after FROM off UNION ALL SELECT question, quoted, pl, 0 FROM c), o AS (SELECT question, rid, min((pl, after)) AS a FROM u GROUP BY question, rid)
+SELECT question, rid, row_number() OVER (PARTITION BY question ORDER BY a, rid) AS place FROM o""")
+def f9_quoted_source_first(spark, d):
+    """What a hit quotes is taken to be one of the benchmark texts, by its number, and the search's finds for it are the primary texts."""
+    offered, items = _offered(spark, d)
+    hits = R.bm25(C.questions(spark, d), items).filter("coverage >= 0.2").select("qid", F.col("rid").alias("quoted"), "rank")
+    from pyspark.sql import Window
+
+    met = offered.select("rid", (F.col("rid") % 40).alias("qid")).distinct().join(hits, "qid")
+    sources = met.withColumn("nth", F.row_number().over(Window.partitionBy("rid").orderBy("rank"))).filter("nth <= 3")
+    return A.quoted_source_first(offered, sources.select("rid", "quoted", "nth"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS key, split_part(c_name, '#', 1) || ' ' || c_custkey % 30 || '-' || (c_custkey % 30 + c_custkey % 4) || ' and Nobody 3, customer 7' AS text FROM customer),
+r AS (SELECT key, 0 AS pos, c AS number FROM (SELECT c_custkey AS key, unnest(range(c_custkey % 30, c_custkey % 30 + c_custkey % 4 + 1)) AS c FROM customer) UNION ALL SELECT c_custkey, 2, 7 FROM customer),
+k AS (SELECT key, n_nationkey AS number, min((pos, number)) AS a FROM r JOIN nation ON n_nationkey = number GROUP BY key, n_nationkey)
+SELECT key, n.n_name AS id, row_number() OVER (PARTITION BY key ORDER BY a, n.n_name) AS nth FROM k JOIN nation n ON n.n_nationkey = k.number""")
+def f10_verse_references(spark, d):
+    """References like "Customer 4-6" in made sentences, resolved to nations of these numbers."""
+    k = F.col("c_custkey")
+    texts = C.read(spark, d, "customer").select(k.alias("key"), F.concat(F.substring_index("c_name", "#", 1), F.lit(" "), (k % 30).cast("string"), F.lit("-"), (k % 30 + k % 4).cast("string"), F.lit(" and Nobody 3, customer 7")).alias("text"))
+    names = spark.createDataFrame([("customer", "unit")], "name string, unit string")
+    items = C.read(spark, d, "nation").select(F.lit("unit").alias("unit"), F.col("n_nationkey").cast("int").alias("number"), F.col("n_name").alias("id"))
+    return A.verse_references(texts, names, items)
+
+
+@query("""WITH e AS (SELECT DISTINCT s_nationkey AS unit, unnest(range(s_suppkey % 50, s_suppkey % 50 + 4)) AS number FROM supplier)
+SELECT DISTINCT c_nationkey AS unit, c_custkey % 50 AS number FROM customer WHERE (c_nationkey, c_custkey % 50) NOT IN (SELECT (unit, number) FROM e)""")
+def f11_missing_entry_report(spark, d):
+    """Numbers asked for by customers of a nation that no supplier's range covers."""
+    asked = C.read(spark, d, "customer").select(F.col("c_nationkey").alias("unit"), (F.col("c_custkey") % 50).cast("long").alias("number"))
+    first = (F.col("s_suppkey") % 50).cast("long")
+    return A.missing_entries(asked, C.read(spark, d, "supplier").select(F.col("s_nationkey").alias("unit"), first.alias("first"), (first + 3).alias("last")))
+
+
+@query(f"""WITH {S.BM25}, h AS (SELECT qid // 4 AS question, hits.rid, min(rank) AS rank FROM hits JOIN p ON p.rid = hits.rid WHERE kind IN ('de', 'fr') AND coverage >= 0.6 GROUP BY 1, 2)
+SELECT question, rid, nth FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY rank, rid) AS nth FROM h) WHERE nth <= 4""")
+def f13_pinned_hits(spark, d):
+    items = C.passages(spark, d)
+    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", "kind"), "rid").withColumn("question", F.floor(F.col("qid") / 4))
+    return A.pinned(hits, ["de", "fr"])
+
+
+@query(f"""WITH w AS (SELECT DISTINCT conv_id, turn, unnest({S.tokens('text')}) AS word FROM conversations) SELECT conv_id, min(turn) AS turn, word FROM w WHERE length(word) >= 4 GROUP BY conv_id, word""")
+def d16_new_words(spark, d):
+    """Words that a turn brings into its conversation."""
+    return A.new_words(C.read(spark, d, "conversations"))
+
+
+@query(f"""WITH {S.BM25}, h AS (SELECT qid, hits.rid, score, kind, source_id FROM hits JOIN p ON p.rid = hits.rid)
+SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY CASE kind WHEN 'es' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, CASE WHEN source_id IN (SELECT min(source) FROM documents) THEN 0 ELSE 1 END, score DESC, rid) AS place FROM h""")
+def d9_source_priority_rank(spark, d):
+    items = C.passages(spark, d)
+    first = C.read(spark, d, "documents").agg(F.min("source")).first()[0]
+    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", "kind", "source_id"), "rid")
+    return R.by_priority(hits, ["es", "de"], [first]).select("qid", "rid", "place")
+
+
 # --- quotations -----------------------------------------------------------------------------------
 
 _QUOTES = """q AS (SELECT qid, array_to_string(CASE qid % 3 WHEN 0 THEN w WHEN 1 THEN list_concat(list_concat(w[1:len(w) // 2], ['altered']), w[len(w) // 2 + 2:]) ELSE list_concat(['Before:', 'unrelated'], w[1:8]) END, ' ') AS text
@@ -515,6 +632,53 @@ def g11_concordance(spark, d):
     return E.concordance(wanted, C.passages(spark, d))
 
 
+_AFFIXES = "b AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in N.BEFORE) + ") v(b)), a AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in N.AFTER) + ") v(a))"
+_JOINED_CORPUS = """ip AS (SELECT rid, CASE rid % 3 WHEN 0 THEN 'و' || text WHEN 1 THEN text || 'ها' ELSE text END AS text FROM p)"""
+_COUNTED = f"""{S.PASSAGES}, {_JOINED_CORPUS}, {_AFFIXES}, iw AS (SELECT rid, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: {S.normal('x')} <> '') AS w FROM ip),
+ix AS (SELECT rid, w, i - 1 AS pos, {S.normal('w[i]')} AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM iw)),
+t AS (SELECT DISTINCT unnest([list_max(string_split(x, ' ')), list_min(list_filter(string_split(x, ' '), lambda y: y <> ''))]) AS word FROM (SELECT {S.normal('text')} AS x FROM benchmark)),
+forms AS (SELECT DISTINCT word, b || word || a AS form FROM t, b, a WHERE (b <> '' OR a <> '') AND length(word) >= 3)"""
+
+
+def _joined_corpus(spark, d):
+    """Passages with a letter joined to the first word or a pronoun to the last."""
+    n = F.col("rid") % 3
+    return C.passages(spark, d).withColumn("text", F.when(n == 0, F.concat(F.lit("و"), "text")).when(n == 1, F.concat("text", F.lit("ها"))).otherwise(F.col("text")))
+
+
+@query(f"""WITH {_COUNTED}, o AS (SELECT word, rid, pos, 'exact' AS way FROM ix JOIN t USING (word) UNION ALL SELECT forms.word, rid, pos, 'joined' FROM ix JOIN forms ON ix.word = form)
+SELECT word, rid, pos, way, CASE WHEN pos > 4 THEN '… ' ELSE '' END || array_to_string(iw.w[greatest(pos - 4, 0) + 1:pos + 5], ' ') || CASE WHEN pos + 5 < len(iw.w) THEN ' …' ELSE '' END AS snippet FROM o JOIN iw USING (rid)""")
+def g12_joined_occurrences(spark, d):
+    """G11 and G12: words of the benchmark, exact and with joined letters, each with its snippet."""
+    parts = F.split(T.normalize(F.col("text")), " ")
+    words = C.questions(spark, d).select(F.explode(F.array(F.array_max(parts), F.array_min(F.filter(parts, lambda x: x != "")))).alias("word")).distinct()
+    return N.occurrences(words.withColumn("asked", F.col("word")), _joined_corpus(spark, d)).select("word", "rid", "pos", "way", "snippet")
+
+
+@query(f"""WITH {_COUNTED}, ph AS (SELECT DISTINCT array_to_string(x[2:4], ' ') AS phrase FROM (SELECT list_filter(string_split({S.normal('text')}, ' '), lambda y: y <> '') AS x FROM benchmark) WHERE len(x) >= 4),
+pt AS (SELECT phrase, string_split(phrase, ' ') AS t FROM ph), nw AS (SELECT rid, list(word ORDER BY pos) AS n FROM ix GROUP BY rid),
+wn AS (SELECT phrase, t, rid, pos, n[pos + 1:pos + 3] AS win FROM pt, ix JOIN nw USING (rid) WHERE n[pos + 2] = t[2] AND len(n) >= pos + 3)
+SELECT phrase, rid, pos, CASE WHEN win = t THEN 'exact' ELSE 'joined' END AS way FROM wn WHERE (win[1] = t[1] OR (length(t[1]) >= 3 AND win[1] IN (SELECT b || t[1] FROM b))) AND (win[3] = t[3] OR (length(t[3]) >= 3 AND win[3] IN (SELECT t[3] || a FROM a)))""")
+def g11_phrases(spark, d):
+    """Three-word phrases of the benchmark in place, and with letters joined at their ends."""
+    words = C.questions(spark, d).select(F.filter(F.split(T.normalize(F.col("text")), " "), lambda x: x != "").alias("x")).filter("size(x) >= 4")
+    return N.phrases(words.select(F.array_join(F.slice("x", 2, 3), " ").alias("phrase")).distinct(), _joined_corpus(spark, d)).select("phrase", "rid", "pos", "way")
+
+
+@query(f"""WITH {S.PASSAGES}, ip AS (SELECT rid, translate(text, 'a', 'ا') AS text FROM p), ix AS (SELECT rid, i - 1 AS pos, {S.normal('w[i]')} AS form FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT rid, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: {S.normal('x')} <> '') AS w FROM ip))),
+t AS (SELECT DISTINCT replace(x[i], 'a', '') AS word FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT string_split({S.normal('text')}, ' ') AS x FROM benchmark)) WHERE length(replace(x[i], 'a', '')) >= 3 AND regexp_full_match(x[i], '[a-z]+')),
+lost AS (SELECT word, '^' || array_to_string(string_split(word, ''), 'ا{{0,2}}') || '$' AS pattern FROM t WHERE word NOT IN (SELECT form FROM ix)),
+v AS (SELECT DISTINCT form, replace(form, 'ا', '') AS key FROM ix)
+SELECT word, rid, pos, form FROM lost JOIN v ON v.key = lost.word AND length(v.form) - length(word) BETWEEN 1 AND 2 AND regexp_matches(v.form, pattern) JOIN ix USING (form)""")
+def g13_alif_variants(spark, d):
+    """Benchmark words without their a's in passages whose a's are alifs: only words found nowhere are tried with alifs left out."""
+    items = C.passages(spark, d).withColumn("text", F.translate("text", "a", "ا"))
+    words = C.questions(spark, d).select(F.explode(F.split(T.normalize(F.col("text")), " ")).alias("x")).filter("x RLIKE '^[a-z]+$'")
+    targets = words.select(F.regexp_replace("x", "a", "").alias("word")).filter("char_length(word) >= 3").distinct()
+    found = N.places(N.written(items)).join(targets, "word", "left_semi").select("word").distinct()
+    return N.alif_variants(targets, items, found)
+
+
 @query(f"WITH {_WRITTEN} SELECT word, regexp_replace(written, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g') AS written, count(*) AS n FROM wr GROUP BY 1, 2")
 def g14_by_reading(spark, d):
     return E.by_reading(C.passages(spark, d))
