@@ -106,3 +106,46 @@ def parse_traces(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = lines.select(F.regexp_extract("value", "TRACE (.*)$", 1).alias("json")).filter("json <> ''").select("json", F.from_json("json", TRACE).alias("t"))
     good = F.coalesce((F.col("t.schema_version") == 1) & F.col("t.request_id").isNotNull(), F.lit(False))
     return rows.filter(good).select("t.*"), rows.filter(~good).select("json")
+
+
+def one_revision(traces: DataFrame, revision: str) -> DataFrame:
+    """traces, if all come from one revision; else an error, since different deployments must not be pooled."""
+    found = [r[0] for r in traces.select(revision).distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"traces of several revisions: {sorted(map(str, found))}")
+    return traces
+
+
+def revisions(traces: DataFrame, group: str, revision: str) -> DataFrame:
+    """(group, n_revisions, pooled): groups whose traces may be pooled hold one revision."""
+    return traces.groupBy(group).agg(F.count_distinct(revision).alias("n_revisions")).withColumn("pooled", F.col("n_revisions") <= 1)
+
+
+def judgement_diff(together: DataFrame, alone: DataFrame, key: list[str]) -> DataFrame:
+    """(key, together, alone, risky) where two readings (key, ok) differ; risky: accepted together, rejected alone."""
+    both = together.select(*key, F.col("ok").alias("together")).join(alone.select(*key, F.col("ok").alias("alone")), key)
+    return both.filter("together <> alone").withColumn("risky", F.col("together") & ~F.col("alone"))
+
+
+def unanswered_review(replies: DataFrame, hits: DataFrame, since, weak: float = 0.34) -> DataFrame:
+    """(qid, notes) of replies (qid, at, status) that abstained from `since` on: no match, a weak or a strong best match (hits: qid, rank, coverage)."""
+    best = hits.filter("rank = 1").select("qid", "coverage")
+    rows = replies.filter((F.col("at") >= since) & (F.col("status") == "abstained")).join(best, "qid", "left")
+    match = F.when(F.col("coverage").isNull(), "no match").when(F.col("coverage") < weak, "weak match").otherwise("strong match")
+    return rows.select("qid", match.alias("note"))
+
+
+def style_audit(answers: DataFrame, limits: DataFrame, words: list[str]) -> DataFrame:
+    """(answer, flag) of sentences (answer, style, text): more of them or longer ones than the style's limits (style, sentences, longest), or a listed word."""
+    sized = answers.withColumn("n", F.size(F.filter(F.split("text", "\\s+"), lambda w: w != ""))).withColumn("hard", F.col("text").rlike("(?:" + "|".join(words) + ")"))
+    rows = sized.groupBy("answer", "style").agg(F.count("*").alias("n_sentences"), F.max("n").alias("longest_words"), F.bool_or("hard").alias("hard")).join(F.broadcast(limits), "style")
+    flags = F.array_compact(F.array(F.when(F.col("n_sentences") > F.col("sentences"), F.lit("too many sentences")), F.when(F.col("longest_words") > F.col("longest"), F.lit("a sentence too long")), F.when(F.col("hard"), F.lit("hard words"))))
+    return rows.select("answer", F.explode(flags).alias("flag"))
+
+
+def shared_trigrams(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(qid, share): of the three-word pieces of one text (qid, text), how many the other text of the same question holds."""
+    pieces = lambda df, name: df.select("qid", F.array_distinct(F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).otherwise(F.array().cast("array<string>"))).alias(name))
+    split = lambda df: df.select("qid", F.filter(F.split("text", "\\s+"), lambda x: x != "").alias("w"))
+    both = pieces(split(a), "x").join(pieces(split(b), "y"), "qid")
+    return both.select("qid", F.round(F.when(F.size("x") == 0, 0.0).otherwise(F.size(F.array_intersect("x", "y")) / F.size("x")), 6).alias("share"))

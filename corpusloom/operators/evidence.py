@@ -14,6 +14,11 @@ from corpusloom.operators.retrieval import runs_of
 
 CLOSE_COVERAGE, CLOSE_RUN, LEAST_WORDS = 0.6, 4, 3
 FUZZY_WORD, FUZZY_COVERAGE, FUZZY_FOUND, FUZZY_SLACK = 4, 0.7, 4, 2
+# Vowel marks, those that may end a word, and a tanween before a last alif.
+MARK = "[\\u064B-\\u0652\\u0670]"
+ENDING = "[\\u064B-\\u0650]"
+TANWEEN_ALIF = "^(.*)(\\u064B)([اى])$"
+EDGES = "^[^\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_]+$"
 # Kinds and sources that come first among equally exact findings.
 KIND_ORDER = ["quran", "hadith"]
 PRIMARY_SOURCES = ["sahih-bukhari", "sahih-muslim"]
@@ -205,21 +210,63 @@ def by_reading(items: DataFrame) -> DataFrame:
     return forms.groupBy("word", "written").agg(F.count("*").alias("n"))
 
 
+def split_ending(word: Column) -> Column:
+    """A marked word as head, ending and tail: the ending is the vowels after the last letter, or the tanween before a last alif."""
+    tanween = F.regexp_extract(word, TANWEEN_ALIF, 2) != ""
+    part = lambda g, h: F.when(tanween, F.regexp_extract(word, TANWEEN_ALIF, g)).otherwise(h)
+    return F.struct(part(1, F.regexp_replace(word, f"{ENDING}+$", "")).alias("head"), part(2, F.regexp_extract(word, f"({ENDING}*)$", 1)).alias("ending"), part(3, F.lit("")).alias("tail"))
+
+
+def bare(word: Column) -> Column:
+    return F.regexp_replace(word, MARK, "")
+
+
+def marked_words(items: DataFrame) -> DataFrame:
+    """(rid, pos, written, word, marked): words without edge punctuation, and bare of marks."""
+    rows = written_words(items).select("rid", "pos", F.regexp_replace("written", EDGES, "").alias("written"))
+    return rows.select("rid", "pos", "written", bare(F.col("written")).alias("word"), F.col("written").rlike(MARK).alias("marked"))
+
+
+def dominant(words: DataFrame, key: list[str], least: int, share: float) -> DataFrame:
+    """(key, head, tail, ending, n): the head and tail that hold at least that share of a key's marked places, and their most frequent ending; ties to the first seen."""
+    parts = words.filter("marked").select(*key, split_ending(F.col("written")).alias("x"), F.struct("rid", "pos").alias("at")).select(*key, "x.head", "x.ending", "x.tail", "at")
+    endings = parts.groupBy(*key, "head", "tail", "ending").agg(F.count("*").alias("k"), F.min("at").alias("at"))
+    stems = endings.groupBy(*key, "head", "tail").agg(F.sum("k").alias("k"), F.min("at").alias("at"), F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "at", "ending")))[0]["ending"].alias("ending"))  # a few endings a stem
+    whole = Window.partitionBy(*key)
+    ranked = stems.withColumn("n", F.sum("k").over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.col("k").desc(), "at")))
+    return ranked.filter((F.col("r") == 1) & (F.col("n") >= least) & (F.col("k") >= share * F.col("n"))).select(*key, "head", "tail", "ending", "n")
+
+
 def mark_lexicon(items: DataFrame, least: int = 3, share: float = 0.9) -> DataFrame:
-    """(word, written, n): for words seen often enough, the written form that holds at least that share; ties to the first seen."""
-    seen = written_words(items).groupBy("word", "written").agg(F.count("*").alias("k"), F.min(F.struct("rid", "pos")).alias("at"))
-    whole = Window.partitionBy("word")
-    ranked = seen.withColumn("n", F.sum("k").over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.col("k").desc(), "at")))
-    return ranked.filter((F.col("r") == 1) & (F.col("n") >= least) & (F.col("k") >= share * F.col("n"))).select("word", "written", "n")
+    """(word, head, tail, ending, n) for bare words that are marked one way nearly everywhere."""
+    return dominant(marked_words(items), ["word"], least, share)
+
+
+def with_before(words: DataFrame) -> DataFrame:
+    return words.withColumn("before", F.lag("word").over(Window.partitionBy("rid").orderBy("pos")))
 
 
 def bigram_lexicon(items: DataFrame, least: int = 3, share: float = 0.8) -> DataFrame:
-    """(before, word, written, n): mark_lexicon keyed by the word before as well."""
-    words = written_words(items).withColumn("before", F.lag("word").over(Window.partitionBy("rid").orderBy("pos"))).filter("before IS NOT NULL")
-    seen = words.groupBy("before", "word", "written").agg(F.count("*").alias("k"), F.min(F.struct("rid", "pos")).alias("at"))
-    whole = Window.partitionBy("before", "word")
-    ranked = seen.withColumn("n", F.sum("k").over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.col("k").desc(), "at")))
-    return ranked.filter((F.col("r") == 1) & (F.col("n") >= least) & (F.col("k") >= share * F.col("n"))).select("before", "word", "written", "n")
+    """(before, word, head, tail, ending, n): mark_lexicon keyed by the bare word before as well."""
+    return dominant(with_before(marked_words(items)).filter("before IS NOT NULL"), ["before", "word"], least, share)
+
+
+def apply_lexicon(words: DataFrame, lexicon: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """words (rid, pos, written, word) with `fixed`: head and tail of the bigram's entry, else of the word's.
+
+    The word's own ending stays; the entry's is used where it has none; words that the entries never end
+    with a mark get none. A word whose bare letters would change stays as it is.
+    """
+    entry = lambda df, n: df.select(*[c for c in ("before", "word") if c in df.columns], F.struct("head", "tail", "ending").alias(n))
+    found = with_before(words).join(small(entry(bigrams, "two")), ["before", "word"], "left").join(small(entry(lexicon, "one")), "word", "left").withColumn("entry", F.coalesce("two", "one"))
+    own = split_ending(F.col("written"))
+    e = F.col("entry")
+    same = (own["head"] == e["head"]) & (own["tail"] == e["tail"])
+    kept = F.when((own["ending"] == "") | (e["ending"] != ""), F.col("written")).otherwise(F.concat(e["head"], e["tail"]))
+    ending = F.when(e["ending"] == "", "").when(own["ending"] != "", own["ending"]).otherwise(e["ending"])
+    stem = F.concat(e["head"], ending, e["tail"])
+    fixed = F.when(e.isNull(), F.col("written")).when(same, kept).when(bare(stem) == bare(F.col("written")), stem).otherwise(F.col("written"))
+    return found.select("rid", "pos", "written", "word", fixed.alias("fixed"))
 
 
 def cited_prose(texts: DataFrame, key: list[str]) -> DataFrame:

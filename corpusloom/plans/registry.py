@@ -12,6 +12,7 @@ from corpusloom.operators import assembly as A
 from corpusloom.operators import chunking as K
 from corpusloom.operators import claims as M
 from corpusloom.operators import counting as N
+from corpusloom.operators import display as P
 from corpusloom.operators import evaluation as V
 from corpusloom.operators import evidence as E
 from corpusloom.operators import retrieval as R
@@ -689,18 +690,44 @@ def g16_unambiguous_forms(spark, d):
     return E.unambiguous(C.passages(spark, d))
 
 
-_LEX = """SELECT {k}word, written, n FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY {k}word) AS BIGINT) AS n, row_number() OVER (PARTITION BY {k}word ORDER BY c DESC, a) AS r
- FROM (SELECT {k}word, written, count(*) AS c, min((rid, pos)) AS a FROM {src} GROUP BY {k}word, written)) WHERE r = 1 AND n >= 3 AND c >= {share} * n"""
+_MARK, _END = "[\\x{064B}-\\x{0652}\\x{0670}]", "[\\x{064B}-\\x{0650}]"
+_MARKED = f"""{S.PASSAGES.replace('p AS (', 'p0 AS (')}, p AS (SELECT rid, kind, translate(text, 'eiua', 'َُِا') AS text FROM p0), ww AS (SELECT rid, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM p),
+mw AS (SELECT rid, pos, regexp_replace(written, '^[^\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_]+$', '', 'g') AS written FROM (SELECT rid, i - 1 AS pos, w[i] AS written, {S.normal('w[i]')} AS n FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ww)) WHERE n <> ''),
+mb AS (SELECT *, regexp_replace(written, '{_MARK}', '', 'g') AS word, regexp_matches(written, '{_MARK}') AS marked, regexp_matches(written, '\\x{{064B}}[اى]$') AS tan FROM mw),
+mx AS (SELECT *, lag(word) OVER (PARTITION BY rid ORDER BY pos) AS before, CASE WHEN tan THEN left(written, length(written) - 2) ELSE regexp_replace(written, '{_END}+$', '') END AS head,
+ CASE WHEN tan THEN written[-2:-2] ELSE regexp_extract(written, '({_END}*)$', 1) END AS ending, CASE WHEN tan THEN right(written, 1) ELSE '' END AS tail FROM mb)"""
+_LEX = """{name}e AS (SELECT {k}word, head, tail, ending, count(*) AS k, min((rid, pos)) AS a FROM mx WHERE marked{cond} GROUP BY {k}word, head, tail, ending),
+{name}s AS (SELECT {k}word, head, tail, CAST(sum(k) AS BIGINT) AS k, min(a) AS a, arg_min(ending, (-k, a)) AS ending FROM {name}e GROUP BY {k}word, head, tail),
+{name} AS (SELECT {k}word, head, tail, ending, n FROM (SELECT *, CAST(sum(k) OVER (PARTITION BY {k}word) AS BIGINT) AS n, row_number() OVER (PARTITION BY {k}word ORDER BY k DESC, a) AS r FROM {name}s) WHERE r = 1 AND n >= 3 AND k >= {share} * n)"""
+_LEX1 = _LEX.format(name="l1", k="", cond="", share="0.9")
+_LEX2 = _LEX.format(name="l2", k="before, ", cond=" AND before IS NOT NULL", share="0.8")
 
 
-@query(f"WITH {_WRITTEN} " + _LEX.format(k="", src="wr", share="0.9"))
+def _marked(spark, d):
+    """Passages whose vowels e, i, u are vowel marks and whose a's are alifs."""
+    return C.passages(spark, d).withColumn("text", F.translate("text", "eiua", "َُِا"))
+
+
+@query(f"WITH {_MARKED}, {_LEX1} SELECT word, head, tail, ending, n FROM l1")
 def g17_mark_lexicon(spark, d):
-    return E.mark_lexicon(C.passages(spark, d))
+    return E.mark_lexicon(_marked(spark, d))
 
 
-@query(f"WITH {_WRITTEN}, wb AS (SELECT * FROM (SELECT *, lag(word) OVER (PARTITION BY rid ORDER BY pos) AS before FROM wr) WHERE before IS NOT NULL) " + _LEX.format(k="before, ", src="wb", share="0.8"))
+@query(f"WITH {_MARKED}, {_LEX2} SELECT before, word, head, tail, ending, n FROM l2")
 def g18_mark_bigrams(spark, d):
-    return E.bigram_lexicon(C.passages(spark, d))
+    return E.bigram_lexicon(_marked(spark, d))
+
+
+@query(f"""WITH {_MARKED}, {_LEX1}, {_LEX2}, g AS (SELECT rid, pos, word, CASE WHEN pos % 3 = 0 THEN word ELSE written END AS written, before, head AS oh, ending AS oe, tail AS ot FROM mx WHERE rid % 5 = 0),
+o AS (SELECT rid, pos, g.word, g.written, g.before, CASE WHEN pos % 3 = 0 THEN g.word ELSE oh END AS oh, CASE WHEN pos % 3 = 0 THEN '' ELSE oe END AS oe, CASE WHEN pos % 3 = 0 THEN '' ELSE ot END AS ot, coalesce(l2.head, l1.head) AS head,
+ CASE WHEN l2.head IS NOT NULL THEN l2.tail ELSE l1.tail END AS tail, CASE WHEN l2.head IS NOT NULL THEN l2.ending ELSE l1.ending END AS ending FROM g LEFT JOIN l2 ON l2.before = g.before AND l2.word = g.word LEFT JOIN l1 ON l1.word = g.word),
+f AS (SELECT *, head || CASE WHEN ending = '' THEN '' WHEN oe <> '' THEN oe ELSE ending END || tail AS stem FROM o)
+SELECT rid, pos, CASE WHEN head IS NULL THEN written WHEN oh = head AND ot = tail THEN CASE WHEN oe = '' OR ending <> '' THEN written ELSE head || tail END WHEN regexp_replace(stem, '{_MARK}', '', 'g') = regexp_replace(written, '{_MARK}', '', 'g') THEN stem ELSE written END AS fixed FROM f""")
+def g20_apply_mark_lexicon(spark, d):
+    """Every third word of every fifth passage lost its marks; the lexicons give them back where all books agree."""
+    words = E.marked_words(_marked(spark, d))
+    lost = words.filter("rid % 5 = 0").withColumn("written", F.when(F.col("pos") % 3 == 0, F.col("word")).otherwise(F.col("written")))
+    return E.apply_lexicon(lost, E.mark_lexicon(_marked(spark, d)), E.bigram_lexicon(_marked(spark, d))).select("rid", "pos", "fixed")
 
 
 # --- claims ---------------------------------------------------------------------------------------
@@ -820,6 +847,78 @@ def h35_rejection_rollup(spark, d):
     return rolled.withColumn("reasons", listed)
 
 
+_SENTENCES = """ss AS (SELECT conv_id || '/' || turn AS answer, string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss, conv_id, turn FROM conversations),
+st AS (SELECT answer, i - 1 AS pos, ss[i] AS text, CASE conv_id % 4 WHEN 0 THEN 'kids' WHEN 1 THEN 'youth' WHEN 2 THEN 'extended' ELSE 'other' END AS style, turn % 2 = 0 AS listing FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM ss) WHERE trim(ss[i]) <> '')"""
+
+
+def _sentences(spark, d):
+    rows = C.read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "(?<=[.!?])\\s+")).alias("pos", "text")).filter("trim(text) <> ''")
+    n = F.col("conv_id") % 4
+    style = F.when(n == 0, "kids").when(n == 1, "youth").when(n == 2, "extended").otherwise("other")
+    return rows.select(F.concat_ws("/", "conv_id", "turn").alias("answer"), F.col("pos").cast("long").alias("pos"), "text", style.alias("style"), (F.col("turn") % 2 == 0).alias("listing"))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS answer, l_linenumber AS pos, CASE WHEN l_linenumber % 5 = 0 THEN 'some of them' ELSE CAST(l_suppkey % 7 AS VARCHAR) END AS school FROM lineitem), n AS (SELECT *, count(*) OVER (PARTITION BY answer, school) AS same FROM v WHERE NOT regexp_matches(school, '^some '))
+SELECT answer, pos, school FROM (SELECT *, count(*) OVER (PARTITION BY answer) AS k FROM n WHERE same = 1) WHERE k >= 2""")
+def h16_named_views(spark, d):
+    """Lines of an order as views, named by supplier, every fifth without a name."""
+    rows = C.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_linenumber") % 5 == 0, "some of them").otherwise((F.col("l_suppkey") % 7).cast("string")).alias("school"))
+    return P.named_views(rows, "^some ")
+
+
+@query(f"""WITH {_SENTENCES}, c AS (SELECT *, CASE style WHEN 'kids' THEN CASE WHEN listing THEN 10 ELSE 7 END WHEN 'extended' THEN CASE WHEN listing THEN 28 ELSE 18 END ELSE CASE WHEN listing THEN 20 ELSE 12 END END AS most,
+ len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words, count(*) OVER (PARTITION BY answer) AS n FROM st),
+d AS (SELECT *, style = 'kids' AND words > 18 AS lg, row_number() OVER (PARTITION BY answer, style = 'kids' AND words > 18 ORDER BY words DESC, pos) AS r FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY pos) AS place FROM d WHERE NOT (lg AND r <= n - most)) SELECT answer, pos FROM k WHERE place <= most""")
+def h20_length_ceiling(spark, d):
+    return P.length_ceiling(_sentences(spark, d)).select("answer", "pos")
+
+
+@query("""SELECT doc_id, 'see' || substring(text, 1, 20) || ' end' AS text FROM (SELECT doc_id, replace(text, 'x:1', '') AS text FROM documents WHERE doc_id % 10 = 0)""")
+def h21_strip_ids(spark, d):
+    """Ids written into the beginnings of documents, with brackets and without, and taken out again."""
+    rows = C.read(spark, d, "documents").filter("doc_id % 10 = 0")
+    written = F.concat(F.lit("see [f:12:3]"), F.substring("text", 1, 20), F.lit(" end (t4:5.1)"))
+    return rows.select("doc_id", P.strip_ids(written).alias("text"))
+
+
+@query(f"""WITH {S.PASSAGES}, {_CLAIMS} SELECT DISTINCT conv_id || '/' || turn AS answer, cited AS id FROM cl WHERE cited NOT IN (SELECT id FROM p WHERE rid % 3 <> 0)""")
+def h23_missing_cards(spark, d):
+    """Cards are shown for passages whose number three does not divide."""
+    cites = C.claims(spark, d).select(F.concat_ws("/", "conv_id", "turn").alias("answer"), F.col("cited").alias("id"))
+    shown = C.passages(spark, d).filter("rid % 3 <> 0").select("id").join(cites, "id").select("answer", "id").distinct()
+    return P.missing_cards(cites, shown)
+
+
+@query(f"""WITH w AS (SELECT conv_id * 1000 + turn AS qid, string_split({S.normal('text')}, ' ') AS w FROM conversations),
+g AS (SELECT * FROM (VALUES ('crisis', 1, 'a', ['the', 'and']), ('override', 2, 'b', ['of']), ('override', 2, 'c', ['de']), ('judging', 3, 'd', ['thanks'])) v(class, priority, rule, words)),
+m AS (SELECT qid, min((priority, rule, class)) AS x FROM w, g WHERE list_has_all(w, words) GROUP BY qid) SELECT qid, x[3] AS class, x[2] AS rule FROM m""")
+def h24_gate_question(spark, d):
+    rules = spark.createDataFrame([("crisis", 1, "a", ["the", "and"]), ("override", 2, "b", ["of"]), ("override", 2, "c", ["de"]), ("judging", 3, "d", ["thanks"])], "class string, priority int, rule string, words array<string>")
+    asked = C.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    return P.gate(asked, rules)
+
+
+@query("""SELECT o_orderkey AS claim, CASE WHEN o_orderkey % 3 = 0 THEN 'وفي الحديث المتفق عليه (رواه البخاري ومسلم) أن ' || o_orderstatus ELSE 'وروى البخاري ومسلم أن ' || o_orderstatus END AS text FROM orders""")
+def h28_agreed_upon(spark, d):
+    """Every third sentence cites both books, the others one of them."""
+    key = F.col("o_orderkey")
+    sources = F.when(key % 3 == 0, F.array(F.lit("sahih-muslim"), F.lit("sahih-bukhari"))).otherwise(F.array(F.lit("sahih-muslim")))
+    rows = C.read(spark, d, "orders").select(key.alias("claim"), F.concat(F.lit("وروى البخاري ومسلم أن "), F.col("o_orderstatus")).alias("text"), sources.alias("sources"))
+    return P.agreed_upon(rows, ["sahih-bukhari", "sahih-muslim"]).select("claim", "text")
+
+
+@query(f"""WITH {_SENTENCES}, k AS (SELECT answer, pos, text FROM st WHERE pos % 3 <> 1), r AS (SELECT answer, pos, text AS was, 'rewritten ' || text AS text FROM st WHERE pos % 3 = 1),
+h AS (SELECT answer, min(pos) AS pos, text AS was FROM st GROUP BY answer, text), u AS (SELECT k.answer, h.pos, 0 AS new, k.text FROM k JOIN h ON h.answer = k.answer AND h.was = k.text UNION ALL SELECT r.answer, h.pos, 1, r.text FROM r JOIN h ON h.answer = r.answer AND h.was = r.was)
+SELECT answer, row_number() OVER (PARTITION BY answer ORDER BY pos, new, text) AS pos, text FROM u""")
+def h34_merge_repairs(spark, d):
+    """Every third sentence of a draft was rewritten."""
+    draft = _sentences(spark, d)
+    kept = draft.filter("pos % 3 <> 1").select("answer", "text")
+    repaired = draft.filter("pos % 3 = 1").select("answer", F.col("text").alias("was"), F.concat(F.lit("rewritten "), "text").alias("text"))
+    return P.merge_repairs(kept, repaired, draft)
+
+
 # --- evaluation -----------------------------------------------------------------------------------
 
 _QRELS = "qr AS (SELECT DISTINCT qid, rid FROM run WHERE run >= 5)"
@@ -913,6 +1012,49 @@ def i24_label_agreement(spark, d):
     return V.label_agreement(C.read(spark, d, "labels").select("doc_id", F.col("quality").alias("expected")), got, "doc_id")
 
 
+@query("SELECT user_id, count(DISTINCT json_extract_string(props, '$.k')) AS n_revisions, count(DISTINCT json_extract_string(props, '$.k')) <= 1 AS pooled FROM events GROUP BY user_id")
+def i19_mixed_revision_guard(spark, d):
+    return V.revisions(C.read(spark, d, "events").withColumn("revision", F.get_json_object("props", "$.k")), "user_id", "revision")
+
+
+@query("""SELECT doc_id, quality = 1 AS together, n_chars >= 400 AS alone, quality = 1 AND n_chars < 400 AS risky FROM labels JOIN documents USING (doc_id) WHERE (quality = 1) <> (n_chars >= 400)""")
+def i21_judgement_diff(spark, d):
+    """Labels of quality as one reading, length as the other."""
+    labels = C.read(spark, d, "labels").filter("quality IS NOT NULL").select("doc_id", (F.col("quality") == 1).alias("ok"))
+    return V.judgement_diff(labels, C.read(spark, d, "documents").select("doc_id", (F.col("n_chars") >= 400).alias("ok")), ["doc_id"])
+
+
+@query(f"""WITH {S.BM25}, r AS (SELECT qid, qid % 3 = 0 AS gone FROM q WHERE qid >= 10) SELECT qid, CASE WHEN coverage IS NULL THEN 'no match' WHEN coverage < 0.34 THEN 'weak match' ELSE 'strong match' END AS note FROM r LEFT JOIN (SELECT qid, coverage FROM hits WHERE rank = 1) USING (qid) WHERE gone""")
+def i22_unanswered_review(spark, d):
+    """Every third question abstained; questions below 10 are older than the review."""
+    asked = C.questions(spark, d)
+    replies = asked.select("qid", F.col("qid").alias("at"), F.when(F.col("qid") % 3 == 0, "abstained").otherwise("answered").alias("status"))
+    return V.unanswered_review(replies, R.bm25(asked, C.passages(spark, d)), F.lit(10))
+
+
+@query(f"""WITH {_SENTENCES}, a AS (SELECT answer, style, count(*) AS n, max(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))) AS longest, bool_or(regexp_matches(text, '(?:thanks|help)')) AS hard FROM st WHERE style <> 'other' GROUP BY answer, style),
+l AS (SELECT * FROM (VALUES ('kids', 3, 8), ('youth', 5, 12), ('extended', 9, 15)) v(style, most, words))
+SELECT answer, 'too many sentences' AS flag FROM a JOIN l USING (style) WHERE n > most UNION ALL SELECT answer, 'a sentence too long' FROM a JOIN l USING (style) WHERE longest > words UNION ALL SELECT answer, 'hard words' FROM a JOIN l USING (style) WHERE hard""")
+def i25_style_audit(spark, d):
+    limits = spark.createDataFrame([("kids", 3, 8), ("youth", 5, 12), ("extended", 9, 15)], "style string, sentences int, longest int")
+    return V.style_audit(_sentences(spark, d), limits, ["thanks", "help"])
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations WHERE turn IN (0, 1)),
+t AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS t FROM w)
+SELECT a.conv_id AS qid, round(CASE WHEN len(a.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t)) / len(a.t) END, 6) AS share FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1""")
+def i25_shared_trigrams(spark, d):
+    """The first turn of a conversation against the second."""
+    turn = lambda n: C.read(spark, d, "conversations").filter(F.col("turn") == n).select(F.col("conv_id").alias("qid"), "text")
+    return V.shared_trigrams(turn(0), turn(1))
+
+
+@query("""SELECT event_type AS model, count(*) AS calls, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens_in, CAST(sum(floor(value)) AS BIGINT) AS tokens_out FROM events GROUP BY event_type""")
+def i26_token_usage(spark, d):
+    events = C.read(spark, d, "events").select(F.col("event_type").alias("model"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.floor("value").alias("v"))
+    return events.groupBy("model").agg(F.count("*").alias("calls"), F.sum("k").alias("tokens_in"), F.sum("v").alias("tokens_out"))
+
+
 # --- batch twins of the streams -------------------------------------------------------------------
 
 
@@ -925,7 +1067,11 @@ def j1_assemble_traces(spark, d):
     return V.assemble(requests, kinds)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, ts, k, true AS accepted, [t] AS held FROM o WHERE k = 1
+ UNION ALL SELECT o.user_id, o.event_id, o.ts, o.k, ok, CASE WHEN ok THEN list_append(seen, t) ELSE seen END FROM (
+  SELECT o.*, list_filter(held, lambda a: a > t - 3600) AS seen, len(list_filter(held, lambda a: a > t - 60)) < 20 AND len(list_filter(held, lambda a: a > t - 3600)) < 200 AS ok FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) o)
+SELECT user_id, event_id, ts, accepted FROM r""")
 def j2_rate_limit(spark, d):
     return J.rate_limit_batch(C.read(spark, d, "events"))
 

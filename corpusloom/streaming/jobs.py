@@ -52,30 +52,51 @@ def rate_limit(stream: DataFrame) -> DataFrame:
 
 
 def rate_limit_batch(events: DataFrame) -> DataFrame:
-    """The same verdicts for a whole table."""
+    """The same verdicts for a whole table.
+
+    A visitor's events are cut where the longest limit passes without any, since no accepted time is in sight
+    there: each stretch is decided alone, and a visitor of many days is no one task's. Stretches too short
+    to reach any limit pass without Python.
+    """
+    longest = max(s for _, s in LIMITS)
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp")) >= longest * 1_000_000
+    cut = events.select("user_id", "event_id", "ts").withColumn("cut", F.coalesce(gap, F.lit(True)).cast("long"))
+    stretches = cut.withColumn("stretch", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "event_id"])
         verdicts, _ = allow([t.replace(tzinfo=timezone.utc).timestamp() if isinstance(t, datetime) else t for t in rows["ts"]], [])
         return pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "accepted": verdicts})
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(step, "user_id long, event_id long, ts timestamp, accepted boolean")
+    counted = stretches.withColumn("n", F.count("*").over(Window.partitionBy("user_id", "stretch")))
+    fewest = min(most for most, _ in LIMITS)
+    quiet = counted.filter(F.col("n") <= fewest).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(True).alias("accepted"))
+    busy = counted.filter(F.col("n") > fewest).select("user_id", "stretch", "event_id", "ts")
+    return quiet.unionByName(busy.groupBy("user_id", "stretch").applyInPandas(step, "user_id long, event_id long, ts timestamp, accepted boolean"))
 
 
-def merge_replies(kept: DataFrame, new: DataFrame, version: str, now: str, days: int = REPLY_DAYS, most: int = REPLIES) -> DataFrame:
-    """(key, version, kept_at, reply): the last reply of each key, of this version, young enough, the newest `most` of all."""
+def merge_replies(kept: DataFrame, new: DataFrame, version: str, now: str | None, days: int = REPLY_DAYS, most: int = REPLIES) -> DataFrame:
+    """(key, version, kept_at, reply): the last reply of each key, of this version, young enough at `now` (the present if not given), the newest `most` of all."""
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     last = F.row_number().over(Window.partitionBy("key").orderBy(F.col("kept_at").desc(), "reply"))
-    fresh = kept.unionByName(new).withColumn("k", last).filter((F.col("k") == 1) & (F.col("version") == version) & (F.col("kept_at") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))).drop("k")
+    fresh = kept.unionByName(new).withColumn("k", last).filter((F.col("k") == 1) & (F.col("version") == version) & (F.col("kept_at") > at - F.expr(f"INTERVAL {days} DAYS"))).drop("k")
     return fresh.orderBy(F.col("kept_at").desc(), "key").limit(most)
 
 
-def reply_cache(stream: DataFrame, path: str, version: str, now: str, checkpoint: str):
-    """A query that folds each micro-batch of replies into the table at `path` (versions a and b in turn, the newer one marked)."""
+def reply_cache(stream: DataFrame, path: str, version: str, checkpoint: str, now: str | None = None):
+    """A query that folds each micro-batch of replies into the table at `path`, a folder a batch, of which the last two stay.
+
+    Replies expire by the time at which a batch is folded; `now` fixes it, for replays.
+    """
 
     def fold(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         old = spark.read.schema(batch.schema).parquet(f"{path}/{n - 1}") if n else batch.limit(0)
         merge_replies(old, batch, version, now).write.mode("overwrite").parquet(f"{path}/{n}")
+        if n > 1:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n - 2}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
 

@@ -201,6 +201,11 @@ def test_pending(spark):
 
 
 def test_lexicon(spark):
-    rows = [(i, "كِتَابٌ قديم") for i in range(3)] + [(9, "كُتِب علمٌ عِلم عَلم")]
+    rows = [(i, "كِتَابٌ قديم") for i in range(3)] + [(9, "كُتِب علمٌ عِلم عَلم")] + [(20 + i, "غَوْرًا غَوْرٌ") for i in range(2)]
     df = spark.createDataFrame(rows, "rid long, text string")
-    assert {(r.word, r.written) for r in E.mark_lexicon(df).collect()} == {("كتاب", "كِتَابٌ"), ("قديم", "قديم")}
+    got = {(r.word, r.head, r.ending, r.tail, r.n) for r in E.mark_lexicon(df).collect()}
+    assert got == {("كتاب", "كِتَاب", "ٌ", "", 3)}  # unmarked words count nothing; two places are too few
+    pairs = E.bigram_lexicon(df, least=2)
+    assert {(r.before, r.word, r.head, r.ending, r.tail) for r in pairs.collect()} == {("غورا", "غور", "غَوْر", "ٌ", "")}
+    words = spark.createDataFrame([(1, 0, "غورا", "غورا"), (1, 1, "غور", "غور"), (1, 2, "كتابِ", "كتاب"), (1, 3, "كتاب", "كتاب"), (1, 4, "قلم", "قلم")], "rid long, pos int, written string, word string")
+    assert [r.fixed for r in E.apply_lexicon(words, E.mark_lexicon(df), pairs).orderBy("pos").collect()] == ["غورا", "غَوْرٌ", "كِتَابِ", "كِتَابٌ", "قلم"]

@@ -69,7 +69,7 @@ def test_replies(spark, tmp_path):
     now = str(START + timedelta(days=2))
     assert [r.reply for r in J.merge_replies(df.limit(0), df, "v1", now).collect()] == ["new"]
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = J.reply_cache(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/kept", "v1", now, f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q = J.reply_cache(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/kept", "v1", f"{tmp_path}/cp", now).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.reply for r in spark.read.parquet(f"{tmp_path}/kept/0").collect()] == ["new"]
 
