@@ -17,7 +17,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-empty lines of documents in (document, line) order: rid, id, source_id, location, kind, text."""
     lines = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     return lines.filter("text <> ''").select(
-        (F.col("doc_id") * LINES + F.col("line")).alias("rid"),
+        F.when(F.col("line") < LINES, F.col("doc_id") * LINES + F.col("line")).otherwise(F.raise_error(F.lit("a document has more lines than the order key has room for"))).alias("rid"),
         F.concat_ws(":", "doc_id", "line").alias("id"),
         F.col("source").alias("source_id"),
         F.col("doc_id").alias("location"),
