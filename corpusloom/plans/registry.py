@@ -244,8 +244,8 @@ b AS (SELECT qid, rid, 0 AS tier, r FROM (SELECT *, row_number() OVER (PARTITION
 o AS (SELECT qid, rid, min((tier, r)) AS a FROM b GROUP BY qid, rid)
 SELECT qid, rid, a[1] AS tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY a, rid) AS rank FROM o) WHERE rank <= 10""")
 def d10_tiered_search(spark, d):
-    asked, items = C.questions(spark, d), C.passages(spark, d)
-    return R.tiered(R.phrase_match(asked, items), R.bm25(asked, items))
+    asked, index = C.questions(spark, d), R.Index(C.passages(spark, d))
+    return R.tiered(R.phrase_match(asked, index), R.bm25(asked, index))
 
 
 @query(f"WITH {S.PASSAGES}, {S.QUESTIONS}, {S.TOKENS} SELECT qid, rid FROM qt JOIN (SELECT DISTINCT token, rid FROM tok) USING (token) GROUP BY qid, rid HAVING count(*) = max(n_terms)")
@@ -295,7 +295,7 @@ def e4_rerank_exact(spark, d):
 
 @query()
 def e5_ann_recall(spark, d):
-    """E3 to E5: neighbours by codes of 512 hyperplanes, a twentieth of the vectors scored exactly, and their recall against exact ones (0.965 on average at sf0.1, test of 0.9)."""
+    """E3 to E5: neighbours by codes of 512 hyperplanes, a twentieth of the vectors scored exactly (50 at least), and their recall against exact ones."""
     asked, v = _vectors(spark, d)
     return R.recall(W.knn_approx(asked, v, W.codes(v, 64)), W.knn(asked, v))
 
@@ -924,23 +924,24 @@ def h34_merge_repairs(spark, d):
 _QRELS = "qr AS (SELECT DISTINCT qid, rid FROM run WHERE run >= 5)"
 
 
-def _qrels(spark, d):
+def _qrels(spark, d, index):
     """Passages that hold five or more words of a benchmark text in a row are its answers."""
-    return R.diagonals(C.questions(spark, d), C.passages(spark, d)).filter("run >= 5").select("qid", "rid").distinct()
+    return R.diagonals(C.questions(spark, d), index).filter("run >= 5").select("qid", "rid").distinct()
 
 
 @query(f"""WITH {S.BM25}, {S.RUNS[S.RUNS.index('qp AS'):]}, {_QRELS}, g AS (SELECT qid, rank, count(*) OVER (PARTITION BY qid ORDER BY rank) / rank AS pr FROM hits JOIN qr USING (qid, rid)),
 a AS (SELECT qid, sum(pr) AS ap, min(rank) AS first, count(*) AS found FROM g GROUP BY qid)
 SELECT count(*) AS questions, round(avg(coalesce(ap / n, 0)), 6) AS map, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(coalesce(found / n, 0)), 6) AS recall FROM (SELECT qid, count(*) AS n FROM qr GROUP BY qid) LEFT JOIN a USING (qid)""")
 def i1_rank_metrics(spark, d):
-    return V.rank_metrics(R.bm25(C.questions(spark, d), C.passages(spark, d)), _qrels(spark, d))
+    index = R.Index(C.passages(spark, d))
+    return V.rank_metrics(R.bm25(C.questions(spark, d), index), _qrels(spark, d, index))
 
 
 @query(f"""WITH {S.BM25}, {S.RUNS[S.RUNS.index('qp AS'):]}, {_QRELS}, f AS (SELECT qid, min(rank) AS first FROM hits JOIN qr USING (qid, rid) GROUP BY qid)
 SELECT count(*) AS questions, count(*) FILTER (first <= 1) AS hit_1, count(*) FILTER (first <= 5) AS hit_5, count(*) FILTER (first <= 10) AS hit_10, round(avg(CASE WHEN first <= 10 THEN 1 / first ELSE 0 END), 6) AS mrr FROM q LEFT JOIN f USING (qid)""")
 def i2_hit_at(spark, d):
-    asked = C.questions(spark, d)
-    return V.hit_at(R.bm25(asked, C.passages(spark, d)), _qrels(spark, d), asked)
+    asked, index = C.questions(spark, d), R.Index(C.passages(spark, d))
+    return V.hit_at(R.bm25(asked, index), _qrels(spark, d, index), asked)
 
 
 @query("""SELECT qid, count(*) FILTER (d.doc_id IS NULL) AS missing, count(d.doc_id) = 0 AS none_left FROM (SELECT conv_id AS qid, 700 * turn + conv_id AS rid FROM conversations) LEFT JOIN documents d ON d.doc_id = rid GROUP BY qid HAVING count(*) FILTER (d.doc_id IS NULL) > 0""")
