@@ -229,19 +229,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def joined_up(pairs: DataFrame, sequences: DataFrame, least: float, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links and the components they make, after all pairs: each node's likeliest first, then those in different components."""
+def with_links(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after more links: these are taken between the roots they join, so that what is one component already isn't walked again."""
+    if roots is None:
+        return components(links)
+    a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in "ab")
+    rooted = stored(links.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y")), "near-links")
+    over = components(rooted.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    ends = rooted.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return stored(roots.unionByName(ends).join(over, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "near-labels")
+
+
+def joined_up(pairs: DataFrame, sequences: DataFrame, least: float, roots: DataFrame | None = None) -> DataFrame:
+    """The components after all pairs: each node's likeliest is aligned first, then those in different components."""
     likely = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "shared").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p"))
-    first = stored(linked(likely.select("p.a", "p.b").distinct(), sequences, least), "near-links")
-    links = links.unionByName(first) if links is not None else first
-    roots = components(links)
+    roots = with_links(roots, stored(linked(likely.select("p.a", "p.b").distinct(), sequences, least), "near-links"))
     a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in "ab")
     apart = pairs.join(a, "a", "left").join(b, "b", "left").filter("a_root IS NULL OR b_root IS NULL OR a_root <> b_root")
     second = stored(linked(apart, sequences, least), "near-links")
-    if second.limit(1).count():
-        links = links.unionByName(second)
-        roots = components(links)
-    return links, roots
+    return with_links(roots, second) if second.limit(1).count() else roots
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -252,10 +258,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     pairs = stored(candidates(full), "near-pairs")
     sequences = stored(sequences_of(docs, id_col, text_col, distinct, pairs), "near-sequences")
 
-    links, roots = joined_up(pairs, sequences, least)
+    roots = joined_up(pairs, sequences, least)
     late = stored(open_pairs(full, roots, distinct, least), "near-pairs")
     if late.limit(1).count():
-        _, roots = joined_up(late, sequences, least, links)
+        roots = joined_up(late, sequences, least, roots)
 
     named = distinct.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
