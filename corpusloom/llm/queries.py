@@ -1,10 +1,10 @@
-"""The queries op1 to op10: each operator over its whole table, and the SQL of its result where SQL can state it."""
+"""The queries op1 to op13: each operator over its whole table, and the SQL of its result where SQL can state it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe_codec, decontaminate, html_extract, line_dedup, near_dedup, quality_cnn, quality_rules, secret_scan, token_files, toxicity
+from corpusloom.llm import bpe_codec, decontaminate, html_extract, line_dedup, near_dedup, quality_cnn, quality_rules, secret_scan, simhash, token_files, toxicity, vector_codes, whitening
 from corpusloom.llm.common import table
 
 
@@ -59,7 +59,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extract, op3_token_files, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_secret_scan, op8_line_dedup, op9_quality_cnn, op10_near_dedup)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.classes(table(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(*whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_html_extract, op3_token_files, op4_decontaminate, op5_quality_rules, op6_bpe_codec, op7_secret_scan, op8_line_dedup, op9_quality_cnn, op10_near_dedup,
+        op11_simhash, op12_whitening, op13_vector_codes,
+    )
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER.format("coalesce(text, '')") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -100,3 +118,39 @@ SELECT doc_id, count(*) AS n_lines, count(often.k) AS n_dropped,
 FROM l LEFT JOIN often ON l.k = often.k GROUP BY doc_id
 """,
 }
+
+
+def _codes_sql() -> str:
+    """Rounds of nearest entries and of means: a_k are the assignments to the codebooks b_k."""
+    nearest = """a{k} AS MATERIALIZED (
+  SELECT r, vec_id, label, part, x, min(d) AS error, arg_min(entry, d * 256 + entry) AS entry
+  FROM (SELECT r, vec_id, label, v.part, v.x, entry, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - e.x[i]) * (v.x[i] - e.x[i]))) AS d FROM v JOIN b{k} e ON e.part = v.part)
+  GROUP BY r, vec_id, label, part, x
+)"""
+    update = """b{n} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(CAST(floor_sum AS BIGINT) ORDER BY i) AS x FROM (
+      SELECT part, entry, i, (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_sum
+      FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY part, entry, i
+    ) GROUP BY part, entry
+  ) m ON m.part = b.part AND m.entry = b.entry
+)"""
+    steps = [nearest.format(k=0)]
+    for k in range(4):
+        steps += [update.format(k=k, n=k + 1), nearest.format(k=k + 1)]
+    return f"""
+WITH w AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS xs
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+v AS MATERIALIZED (SELECT r, vec_id, label, part, xs[part * len(xs) // 4 + 1:(part + 1) * len(xs) // 4] AS x FROM w, range(4) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM v WHERE r <= 256),
+{", ".join(steps)},
+out AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a4 GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b4) AS codebooks_sha256
+FROM out
+"""
+
+
+SQL["op13_vector_codes"] = _codes_sql()
