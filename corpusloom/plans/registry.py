@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -18,24 +15,13 @@ from corpusloom.operators import evidence as E
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import rulings as G
 from corpusloom.operators import vectors as W
+from corpusloom.plans import lookup  # noqa: F401  registers its queries
 from corpusloom.plans import sql as S
+from corpusloom.plans.base import QUERIES, SQL, query  # noqa: F401
 from corpusloom.sources import corpus as C
 from corpusloom.sources import readers as X
 from corpusloom.streaming import jobs as J
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 # --- corpus ---------------------------------------------------------------------------------------
 

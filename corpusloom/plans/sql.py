@@ -2,7 +2,12 @@
 
 from corpusloom.functions.text import MARKS, PREFIXES, STOPWORDS, TATWEEL, VARIANTS
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+
+def array(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+STOP = array(STOPWORDS)
 
 
 def _re2(pattern: str) -> str:
@@ -20,9 +25,9 @@ def normal(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    raw = f"list_filter(string_split({normal(x)}, ' '), lambda t: NOT list_contains({_STOP}, t))"
+    raw = f"list_filter(string_split({normal(x)}, ' '), lambda t: NOT list_contains({STOP}, t))"
     bare = f"list_transform({raw}, lambda t: regexp_replace(t, '^(?:{'|'.join(PREFIXES)})(.{{2,}})$', '\\1'))"
-    return f"list_filter({bare}, lambda t: length(t) >= 2 AND NOT list_contains({_STOP}, t))"
+    return f"list_filter({bare}, lambda t: length(t) >= 2 AND NOT list_contains({STOP}, t))"
 
 
 PASSAGES = """p AS (
