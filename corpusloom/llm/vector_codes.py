@@ -36,8 +36,10 @@ ENTRIES = 256
 ROUNDS = 4
 #: Coefficients summed between two eliminations.
 STEP = 4
-#: Distances that a task holds at once.
-AT_ONCE = 1 << 20
+#: Entries are summed side by side until this share of them stays, then one by one.
+FEW = 0.1
+#: Distances that a task sums at once: what a processor's cache holds.
+AT_ONCE = 1 << 16
 
 
 def transformed(x: np.ndarray) -> np.ndarray:
@@ -70,24 +72,31 @@ def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     parts, entries = wide(parts, entries)
     c = transformed(entries)
-    size, many = c.shape[1], max(1, AT_ONCE // len(entries))
+    size, columns, many = c.shape[1], np.ascontiguousarray(c.T), max(1, AT_ONCE // len(entries))
     index, distance = [], []
     for lo in range(0, len(parts), many):
         a = transformed(parts[lo : lo + many])
         sums = np.zeros((len(a), len(c)), a.dtype)
-        for k in range(min(STEP, size)):
-            sums += (a[:, k, None] - c[None, :, k]) ** 2
-        rows = np.arange(len(a))
-        bound = ((a - c[sums.argmin(1)]) ** 2).sum(1)
-        row, entry = np.nonzero(sums <= bound[:, None])
+        apart, bound, k = np.empty_like(sums), None, 0
+        while k < size:  # all entries side by side, until few stay
+            for j in range(k, min(k + STEP, size)):
+                np.subtract(a[:, j, None], columns[None, j], out=apart)
+                np.multiply(apart, apart, out=apart)
+                np.add(sums, apart, out=sums)
+            k += STEP
+            bound = ((a - c[sums.argmin(1)]) ** 2).sum(1) if bound is None else bound
+            stays = sums <= bound[:, None]
+            if np.count_nonzero(stays) < FEW * stays.size:
+                break
+        row, entry = np.nonzero(stays)
         sums = sums[row, entry]
-        for k in range(STEP, size, STEP):
-            sums = sums + ((a[row, k : k + STEP] - c[entry, k : k + STEP]) ** 2).sum(1)
+        for j in range(k, size, STEP):  # then each pair that is left by itself
+            sums = sums + ((a[row, j : j + STEP] - c[entry, j : j + STEP]) ** 2).sum(1)
             stays = sums <= bound[row]
             row, entry, sums = row[stays], entry[stays], sums[stays]
         order = np.lexsort((entry, sums, row)) if sums.dtype != object else np.array(sorted(range(len(row)), key=lambda i: (row[i], sums[i], entry[i])))
         row, entry, sums = row[order], entry[order], sums[order]
-        first = np.searchsorted(row, rows)
+        first = np.searchsorted(row, np.arange(len(a)))
         index.append(entry[first])
         distance.append(sums[first] // size)
     return np.concatenate(index), np.concatenate(distance)
