@@ -21,7 +21,13 @@ contradict themselves.
 About SAMPLE_PAGES pages and SAMPLE_NODES nodes are learned from; rows that repeat a page count as one
 there. A page without any tag is its own text. Null and empty pages give an empty text; scripts,
 styles, templates, comments and the head never reach it. Every row, repeated or not, is extracted from
-its own html alone; a column named as the result gives way to it, all others stay as they are.
+its own html alone; a column named as the result gives way to it, all others stay as they are. A script
+or style that is never closed takes the rest of the page; of any other unclosed element only the tag goes.
+Quotes open an attribute's value after "=" only. A table whose sampled pages tell nothing (no names, no
+long blocks, or all names alike) teaches no trees: then all stays that a page's own names do not speak against.
+
+For training, a page of more than SAMPLE_NODES / 100 nodes gives that many, drawn at random; extraction
+always looks at all nodes.
 """
 
 from __future__ import annotations
@@ -45,6 +51,8 @@ TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 5, 0.25, 16, 1.0
 BUCKETS = 128
 #: A page as it is weighs as much as its layouts together.
 OWN_WEIGHT = 3.0
+#: Nodes of a task's pages that are measured together, and those whose odds are taken at once; a page of more is measured alone.
+NODES, SLICE = 50_000, 20_000
 #: Starts the article's text in pages laid out for training.
 MARK = "\ue000"
 
@@ -52,6 +60,7 @@ MARK = "\ue000"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object textarea select option button head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CODE = frozenset("script style".split())
 KEPT_TAGS = frozenset("article main".split())
 DROPPED_TAGS = frozenset("nav footer header aside form menu dialog".split())
 KEPT_NAMES = frozenset("article content entry main post story body text".split())
@@ -60,7 +69,7 @@ DROPPED_NAMES = frozenset(
     "notice cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login form search comment comments reply replies discussion disqus feedback share sharing social "
     "related recommended widget toolbar pagination pager tags copyright legal disclaimer skip toc alert".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANK = re.compile(r"\s+")
 #: What an open element of the first kind ends when one of the second starts.
@@ -74,18 +83,14 @@ class Page:
         self.tag, self.parent, self.names, self.own, self.marked = ["root"], [-1], [()], [0], [0]
         self.links, self.inline, self.inputs, self.signs, self.pieces = [0], [0], [0], [0], []  # pieces: (block, text or None for a line end)
         stack: list[tuple[str, int]] = [("root", 0)]
-        pos, in_link, skip = 0, 0, None
+        pos, in_link, unclosed = 0, 0, set()
         for m in _TAG.finditer(source):
-            if m.start() > pos and skip is None:
+            if m.start() > pos:
                 self.add(stack[-1][1], source[pos : m.start()], in_link)
             if m.start() < pos:
                 continue
             pos = m.end()
             name = (m.group(2) or "").lower()
-            if skip is not None:
-                if m.group(1) and name == skip:
-                    skip = None
-                continue
             if not name:
                 continue
             if m.group(1):
@@ -94,10 +99,12 @@ class Page:
                 continue
             if name in RAW:
                 self.inputs[stack[-1][1]] += name in ("button", "select", "textarea")
-                if not m.group(3).endswith("/"):
+                if not m.group(3).endswith("/") and name not in unclosed:
                     close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, pos)
-                    if close or name != "head":
+                    if close or name in CODE:
                         pos = close.end() if close else len(source)
+                    else:  # never closed: nothing tells where it ends, so what follows is read as part of the page
+                        unclosed.add(name)
                 continue
             if name in VOID:
                 self.inputs[stack[-1][1]] += name == "input"
@@ -126,7 +133,7 @@ class Page:
                 in_link += name == "a"
                 self.inline[stack[-1][1]] += 1
                 stack.append((name, stack[-1][1]))
-        if pos < len(source) and skip is None:
+        if pos < len(source):
             self.add(stack[-1][1], source[pos:], in_link)
 
     def add(self, block: int, text: str, in_link: int) -> None:
@@ -149,7 +156,8 @@ class Page:
             if stack[k][0] in BLOCK and name not in BLOCK:
                 return
 
-    def features(self) -> np.ndarray:
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """Measures of each node, and the hashed tags and attribute tokens of it and of all above it as 0 and 1."""
         n, parent = len(self.tag), self.parent
         own = np.array(self.own, float)
         text, links, tags, blocks, inputs, signs = (np.array(x, float) for x in (own, self.links, self.inline, [1] * n, self.inputs, self.signs))
@@ -170,7 +178,7 @@ class Page:
         at = np.maximum(parent, 0)
         lead = text / np.maximum(1, most[at])  # against the largest sibling
         least_lead, before, last = lead.copy(), np.zeros(n), {}
-        hashed = np.zeros((n, 2 * BUCKETS), np.float32)
+        hashed = np.zeros((n, 2 * BUCKETS), np.uint8)
         for i in range(1, n):
             p = parent[i]
             least_lead[i] = min(lead[i], least_lead[p])
@@ -186,7 +194,7 @@ class Page:
         rest = most[at] - second[at]
         own_columns = [depth, np.log1p(text), text / max(1.0, text[0]), text / (1 + tags + blocks), links / (1 + text), np.log1p(blocks), own / (1 + text), inputs > 0, signs / (1 + text), paragraph, heading, item, count]
         among = [text / (1 + text[at]), lead, least_lead, index, count[at], np.log1p(before), np.log1p(after), np.log1p(rest), lead[at], text[at] / max(1.0, text[0]), links[at] / (1 + text[at]), np.log1p(blocks[at]), paragraph[at], inputs[at] > 0]
-        return np.column_stack([*own_columns, *among, hashed]).astype(np.float32)
+        return np.column_stack([*own_columns, *among]).astype(np.float32), hashed
 
     def labels(self) -> np.ndarray:
         """1 article, 0 not, -1 unknown: what the nearest node with a name that tells says, by tag or tokens; unknown where they contradict each other."""
@@ -248,7 +256,10 @@ class Trees:
         self.start = 0.0
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(self.edges)]) if len(x) else np.zeros((0, len(self.edges)), int)
+        out = np.empty((len(x), len(self.edges)), np.uint8)
+        for f, e in enumerate(self.edges):
+            out[:, f] = np.searchsorted(e, x[:, f], side="left")
+        return out
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
         self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
@@ -286,15 +297,18 @@ class Trees:
             f += value[at]
         return self
 
-    def odds(self, x: np.ndarray) -> np.ndarray:
-        b, rows = self.bins(x), np.arange(len(x))
-        out = np.full(len(x), self.start)
-        for feature, cut, value in self.trees:
-            at = np.zeros(len(x), int)
-            for level in range(DEPTH):
-                node = 2**level - 1 + at
-                at = 2 * at + (b[rows, feature[node]] > cut[node])
-            out += value[at]
+    def odds(self, measures: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        out = np.full(len(measures), self.start)
+        for lo in range(0, len(out), SLICE):
+            part = slice(lo, lo + SLICE)
+            b = self.bins(np.hstack([measures[part], hashed[part]]).astype(np.float32))
+            rows = np.arange(len(b))
+            for feature, cut, value in self.trees:
+                at = np.zeros(len(b), int)
+                for level in range(DEPTH):
+                    node = 2**level - 1 + at
+                    at = 2 * at + (b[rows, feature[node]] > cut[node])
+                out[part] += value[at]
         return out
 
 
@@ -363,13 +377,13 @@ def shortened(source: str) -> str:
     return re.sub(r"<p\b.*?(?:</p>|(?=<p\b))", cut, source, flags=re.S | re.I)
 
 
-def examples(source: str) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(features, labels, weight) of a page as it is, of its short form, and of layouts made of its blocks."""
+def examples(source: str) -> Iterator[tuple[Page, np.ndarray, float]]:
+    """(page, labels, weight) of a page as it is, of its short form, and of layouts made of its blocks."""
     page = Page(source)
     told = page.labels()
-    yield page.features()[1:], told[1:], OWN_WEIGHT
+    yield page, told, OWN_WEIGHT
     short = Page(shortened(source))
-    yield short.features()[1:], short.labels()[1:], OWN_WEIGHT
+    yield short, short.labels(), OWN_WEIGHT
     lines: dict[int, str] = {}
     for block, text in page.pieces:
         lines[block] = lines.get(block, "") + (text or "")
@@ -380,7 +394,7 @@ def examples(source: str) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     for _ in range(LAYOUTS if article else 0):
         some = draw.sample(article, min(len(article), draw.randint(1, 3))) if draw.random() < 0.3 else article
         page = Page(laid_out(draw, some, bits))
-        yield page.features()[1:], page.truth()[1:], 1.0
+        yield page, page.truth(), 1.0
 
 
 def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_nodes: int = SAMPLE_NODES) -> Trees:
@@ -392,42 +406,61 @@ def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_P
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for source in b["html"]:
-                for x, y, weight in examples(source):
-                    known = np.flatnonzero(y >= 0)
+                for page, y, weight in examples(source):
+                    known = np.flatnonzero(y[1:] >= 0) + 1
                     # a page of very many nodes gives some of them, drawn by itself
                     known = np.random.default_rng(len(source)).choice(known, sample_nodes // 100, replace=False) if len(known) > sample_nodes // 100 else known
-                    yield pd.DataFrame({"n": [len(known)], "h": [zlib.crc32(source.encode())], "x": [np.column_stack([x[known], y[known], np.full(len(known), weight)]).astype("<f4").tobytes()]})
+                    x = np.column_stack([*(f[known] for f in page.features()), y[known], np.full(len(known), weight)])
+                    yield pd.DataFrame({"n": [len(known)], "h": [zlib.crc32(source.encode())], "x": [x.astype("<f4").tobytes()]})
 
     found = stored(drawn.mapInPandas(measure, "n long, h long, x binary"), "page-nodes")
     total = found.agg(F.sum("n")).first()[0] or 0
     kept = found.filter(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_nodes / max(1, total)))).toPandas()["x"]  # bounded by sample_nodes
     got = np.concatenate([np.frombuffer(x, "<f4").reshape(-1, N_FEATURES + 2) for x in sorted(kept)]) if len(kept) else np.zeros((0, N_FEATURES + 2))
     trees = Trees()
-    if not len(got):
+    if len(np.unique(got[:, -2])) < 2:  # nothing, or one kind of node only, to tell apart
         trees.edges = [np.zeros(0)] * N_FEATURES
         return trees
     return trees.fit(got[:, :-2], got[:, -2].astype(float), got[:, -1].astype(float))
 
 
-def extract_pages(sources: list[str | None], trees: Trees) -> list[str]:
-    """The article text of each page; the trees see the nodes of all pages at once."""
-    pages = [Page(s or "") for s in sources]
-    odds = trees.odds(np.concatenate([p.features() for p in pages])) if pages else np.zeros(0)
-    out, at = [], 0
+def extract_pages(pages: list[Page], trees: Trees) -> list[str]:
+    """The article text of each page; the trees see the nodes of all pages at once.
+
+    Trees without examples say nothing. Then all stays that the page's own names do not speak against.
+    """
+    odds, out, at = np.zeros(0), [], 0
+    if pages and trees.trees:
+        odds = trees.odds(*(np.concatenate(x) for x in zip(*(p.features() for p in pages))))
     for page in pages:
-        own = odds[at : at + len(page.tag)].copy()
-        at += len(page.tag)
-        own[0] = 0.0 if len(page.tag) > 1 else 1.0  # a page without elements is its own text
+        n = len(page.tag)
+        own = odds[at : at + n].copy() if trees.trees else np.where(page.labels() == 0, -1.0, 1.0)
+        at += n
+        if trees.trees:
+            own[0] = 0.0 if n > 1 else 1.0  # a page without elements is its own text
         out.append(page.text(page.decode(own)))
     return out
 
 
+def extract_all(sources: list[str | None], trees: Trees) -> list[str]:
+    """The article text of each source, so many pages at a time as NODES allows."""
+    out, pages, nodes = [], [], 0
+    for source in sources:
+        page = Page(source or "")
+        if pages and nodes + len(page.tag) > NODES:
+            out += extract_pages(pages, trees)
+            pages, nodes = [], 0
+        pages.append(page)
+        nodes += len(page.tag)
+    return out + extract_pages(pages, trees)
+
+
 def extract(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """pages with _main, the article text of each."""
     shared = pages.sparkSession.sparkContext.broadcast(train(pages, html_col, sample_pages))
 
     def make():
         trees = shared.value
-        return lambda sources: [[x for lo in range(0, len(sources), 500) for x in extract_pages(sources[lo : lo + 500], trees)]]
+        return lambda sources: [extract_all(sources, trees)]
 
     return with_columns(pages, html_col, make, {"_main": "string"})

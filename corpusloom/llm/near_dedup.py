@@ -22,9 +22,10 @@ nodes, without those that their lengths or the parities of their k-mers prove to
 `similarity`. So no two nodes that share a sketch are left unaligned unless they are already in one
 class or cannot reach `similarity`. Components are found by label propagation over stored tables.
 
-Texts without words (null, empty) are classes of their own. Repeated rows and ids fall into the class
-of their words; class_id is the lowest id of the class. Rows without an id belong to the class of their
-words as well, and a class without any id has none for its class_id. Only the id and the text are
+Texts without words (null, empty) are classes of their own. Repeated rows fall into the class of their
+words, whatever their ids, and so do rows without an id. class_id is the lowest id of the class, null where
+it has none; several classes can share that where ids repeat or are null, so class_key tells them apart, and
+one row of each stays. Only the id and the text are
 read, so extra columns of any name play no part; keep_one() returns them as they are.
 """
 
@@ -250,8 +251,8 @@ def joined_up(pairs: DataFrame, sequences: DataFrame, least: float, roots: DataF
     return with_links(roots, second) if second.limit(1).count() else roots
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: id, node (null without words) and class_id."""
+def classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of each row, and (node, first_id, root) of each node: root is the node by which its class goes."""
     rows = stored(sketched(nodes(docs, id_col, text_col)), "near-sketches")
     distinct = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("sigs").alias("sigs"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("first_id"))
     full = stored(buckets(distinct.select("node", "sigs")), "near-buckets")
@@ -264,20 +265,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         roots = joined_up(late, sequences, least, roots)
 
     named = distinct.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select("id", "node"), named
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: id, node (null without words), class_id and class_key.
+
+    class_key tells all classes apart, those too that have no id or share their lowest id; null without words.
+    """
+    rows, named = classed(docs, id_col, text_col, least)
     lowest = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    ids = named.select("node", "root").join(lowest, "root").select("node", "class_id")
-    return rows.select("id", "node").join(ids, "node", "left").select(F.col("id").alias(id_col), "node", F.coalesce("class_id", F.when(F.col("node").isNull(), F.col("id"))).alias("class_id"))
+    ids = named.select("node", "root").join(lowest, "root").select("node", "class_id", F.col("root").alias("class_key"))
+    return rows.join(ids, "node", "left").select(F.col("id").alias(id_col), "node", F.coalesce("class_id", F.when(F.col("node").isNull(), F.col("id"))).alias("class_id"), "class_key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: that of the lowest id, one of them if several rows hold it."""
-    found = classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", least)
-    first = found.filter(F.col("node").isNotNull() & F.col("id").eqNullSafe(F.col("class_id")))
-    # a class without any id keeps one row of its words
-    chosen = first.groupBy(F.col("class_id").alias("first_id")).agg(F.min("node").alias("first_node"))
+    """docs with one row of each class: that of its lowest id, one of them where several rows hold it or no row has one. Rows without words all stay."""
+    _, named = classed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", least)
+    chosen = named.groupBy("root").agg(F.min_by(F.struct("node", "first_id"), F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("c")).select(F.col("c.node").alias("first_node"), "c.first_id")
     inner, (doc, text) = numbered(docs, id_col, text_col)
     marked = inner.withColumn("w", words(F.col(text)))
     marked = marked.withColumn("node", F.when(F.size("w") > 0, F.md5(F.concat_ws(" ", "w").cast("binary")))).drop("w")
     alone = marked.filter("node IS NULL")
     kept = marked.join(chosen, (F.col("node") == F.col("first_node")) & F.col(doc).eqNullSafe(F.col("first_id")), "left_semi")
-    return named_again(kept.dropDuplicates([doc, "node"]).unionByName(alone), docs, {})
+    return named_again(kept.dropDuplicates(["node"]).unionByName(alone), docs, {})

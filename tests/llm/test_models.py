@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -217,3 +218,68 @@ def test_a_page_of_very_many_nodes_is_bounded(spark):
     rows = [(1, "<article>" + "<p>word here.</p>" * 30_000 + "</article>"), (2, PAGE.replace("{i}", "1"))]
     pages = spark.createDataFrame(rows, "page_id long, html string")
     assert len(html_extract.train(pages, sample_nodes=2_000).trees) == html_extract.TREES
+
+
+def test_text_is_not_lost_with_odd_markup(spark):
+    """Unclosed raw elements, stray quotes in attributes, and tables without anything to learn from."""
+    kept = lambda *pages: [r._main for r in html_extract.extract(spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "page_id long, html string")).orderBy("page_id").collect()]
+    assert kept("<div><p>Hello world this is short.</p></div>") == ["Hello world this is short."]
+    assert kept("<p title=it's>One here.</p><p>Two here.</p>") == ["One here.\nTwo here."]
+    for raw in ("svg", "button", "select", "math"):
+        assert kept(f"<div><p>One here.</p><{raw} class='x'><p>Two here.</p></div>") == ["One here.\nTwo here."]
+    assert kept("<p>One.</p><script>var x = '<p>no</p>'") == ["One."]
+    assert kept("<nav><p>Menu here</p></nav><div>Text here.</div>bare", None) == ["Text here.\nbare", ""]
+    assert kept('<p data-x="a > b" title=\'c > d\'>Quoted.</p>') == ["Quoted."]
+
+
+def plain_odds(trees, row):
+    """A node's odds, tree by tree and level by level."""
+    total = trees.start
+    for feature, cut, value in trees.trees:
+        at = 0
+        for level in range(html_extract.DEPTH):
+            node = 2**level - 1 + at
+            place = sum(1 for e in trees.edges[feature[node]] if e < row[feature[node]])
+            at = 2 * at + (place > cut[node])
+        total += value[at]
+    return total
+
+
+def plain_split(x, y, p, weight, edges):
+    """The best first cut by gain, over all features and edges."""
+    g, h = weight * (y - p), weight * p * (1 - p)
+    best = (1e-6, None, None)
+    for f in range(x.shape[1]):
+        for k, e in enumerate(edges[f]):
+            left = x[:, f] <= e
+            if min(h[left].sum(), h[~left].sum()) < html_extract.LEAST_LEAF:
+                continue
+            gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+            if gain > best[0] + 1e-9:
+                best = (gain, f, k)
+    return best
+
+
+def test_trees_equal_a_plain_version(monkeypatch):
+    draw = np.random.default_rng(8)
+    x = draw.standard_normal((400, 5)).astype(np.float32)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 3] > -0.2)).astype(float)
+    weight = draw.choice([1.0, 3.0], 400)
+    monkeypatch.setattr(html_extract, "SLICE", 37)
+    trees = html_extract.Trees().fit(x, y, weight)
+    got = trees.odds(x[:, :2], x[:, 2:])
+    assert np.allclose(got, [plain_odds(trees, row) for row in x])
+    assert ((got > 0) == (y == 1)).mean() > 0.97
+    # the first tree's first cut is the best of the features it tried, and its leaves are Newton steps
+    feature, cut, value = trees.trees[0]
+    p = (weight * y).sum() / weight.sum()
+    tried = np.random.default_rng(3).choice(np.arange(5), 3, replace=False)
+    gain, _, _ = plain_split(x[:, tried], y, p, weight, [trees.edges[f] for f in tried])
+    left = x[:, feature[0]] <= trees.edges[feature[0]][cut[0]]
+    g, h = weight * (y - p), weight * p * (1 - p)
+    assert feature[0] in tried and np.isclose(sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1), gain)
+    leaf = np.zeros(400, int)
+    for level in range(html_extract.DEPTH):
+        node = 2**level - 1 + leaf
+        leaf = 2 * leaf + np.array([(trees.edges[feature[k]] < x[i, feature[k]]).sum() > cut[k] for i, k in enumerate(node)])
+    assert np.allclose(value[leaf], [html_extract.RATE * g[leaf == k].sum() / (h[leaf == k].sum() + 1) for k in leaf])

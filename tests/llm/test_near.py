@@ -87,6 +87,35 @@ def test_odd_rows(spark):
     assert near_dedup.classes(empty(spark)).count() == 0
 
 
+def test_no_class_is_lost_where_ids_are_null_or_repeat(spark):
+    draw = random.Random(12)
+    body = lambda: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(60))
+    a, b, c, d, e = (body() for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (5, a + " x"), (7, d), (7, e), (7, e), (9, d + " y"), (None, b), (3, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.classes(docs).collect()
+    keys = {r.class_key for r in got if r.node}
+    assert len(keys) == 5 and len(got) == len(rows)
+    assert sorted(str(r.class_id) for r in got) == sorted(["5", "5", "None", "None", "None", "7", "7", "7", "7", "3", "None"])
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(5, a + " x"), (None, b), (None, c), (7, d), (7, e), (3, ""), (None, None)], key=str)
+
+
+def test_pipeline_keeps_documents_without_ids(spark, tmp_path):
+    draw = random.Random(13)
+    body = lambda: " ".join(draw.choice([f"w{i}" for i in range(300)]) for _ in range(60))
+    docs = [(None if i % 2 else i, body(), "en", "s", 0) for i in range(60)] + [(4, body(), "en", "s", 0)]
+    labels = [(i, 1, int(i % 8 == 0)) for i in range(0, 60, 2)]
+    docs = [(i, t + " nincompoop nincompoop" if i is not None and i % 8 == 0 else t, *r) for i, t, *r in docs]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [t for _, t, *_ in docs if "nincompoop" not in t]
+    near = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    assert near.count() == len(docs)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(clean)
+
+
 def test_pipeline(spark, tmp_path):
     draw = random.Random(4)
     words = [f"w{i}" for i in range(300)]
