@@ -1,25 +1,12 @@
 """Counting words and phrases, and putting candidates together, on small tables with known results."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import assembly as A
 from corpusloom.operators import counting as N
 
-LINES = [
-    (1, "قَدْ ظَهَرَ الْفَجْرُ مِنَ اللَّيْلِ ۖ وَالْفَجْرُ جَمِيلٌ"),
-    (2, "يَمْشِي إِلَى الْفَجْرِ فَقَامَ بِهِ"),
-    (3, "وَكَتَبْنَا لَهُ فَجْرَهُ وَاللَّيْلَ"),
-    (4, "رَسَمَ السَّمَاوَاتِ وَالْبَحْرَ بِالْفَجْرِ"),
-    (5, "وَفُتِحَتِ الْجَنَّةُ لِلْفَجْرِ وَخَلَقَ الْجِنَّ رَحْمَةً"),
-    (6, "وَمَنْ رَحِمَهُ اللَّهُ فِي الْجِنِّ"),
-    (7, "نالوا رَحْمَتَهُ"),
-]
-
-
-@pytest.fixture(scope="module")
-def lines(spark):
-    return spark.createDataFrame(LINES, "rid long, text string")
+def lines_of(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
 
 
 def count(spark, lines, asked, word):
@@ -27,32 +14,45 @@ def count(spark, lines, asked, word):
     return [sorted(r.rid for r in rows if r.way == way) for way in ("exact", "joined")]
 
 
-def test_exact_and_joined_places(spark, lines):
-    assert count(spark, lines, "الفجر", "الفجر") == [[1, 2], [1, 4, 5]]  # and l + the article
-    assert count(spark, lines, "فجر", "فجر") == [[], [3]]
+def test_every_joined_form_of_a_word(spark):
+    """All that may stand before and after a word, each in a line of its own, among words that only look alike."""
+    forms = sorted({b + "مركب" + a for b in N.BEFORE for a in N.AFTER})
+    others = ["مراكب", "مركبة", "مركبات", "المركب", "سمركب", "مركبون", "مرك", "لمراكب"]
+    lines = lines_of(spark, *forms, *others)
+    exact, joined = count(spark, lines, "مركب", "مركب")
+    assert exact == [forms.index("مركب")]
+    assert [forms[k] for k in joined if k < len(forms)] == [f for f in forms if f != "مركب"] and max(joined) < len(forms)
+
+
+def test_the_article_after_l_and_marks(spark):
+    lines = lines_of(spark, "رَبَطَ الحَبلَ", "لِلحَبلِ طرفان", "وبالحبل", "فللحبل عقدة", "لالحبل", "حبل", "كَالحَبلِ وَالحَبلِ")
+    assert count(spark, lines, "الحبل", "الحبل") == [[0], [1, 2, 3, 4, 6, 6]]
 
 
-def test_round_taa_is_no_pronoun(spark, lines):
-    assert count(spark, lines, "الجن", "الجن") == [[5, 6], []]
-    assert count(spark, lines, "رحمة", "رحمه") == [[5], [7]]  # written t before a pronoun
-    assert count(spark, lines, "رحمه", "رحمه") == [[5, 6], [7]]
+def test_round_taa(spark):
+    """It is written t before a pronoun, and is none itself."""
+    lines = lines_of(spark, "خَيْمَةٌ", "خيمتهم", "خيمته", "خيمه", "خيم", "بخيمة", "خيمات")
+    assert count(spark, lines, "خيمة", "خيمه") == [[0], [1, 2, 5]]
+    assert count(spark, lines, "خيم", "خيم") == [[4], [3]]
 
 
-def test_long_alif(spark, lines):
-    targets = spark.createDataFrame([("السموات",), ("فجر",), ("لليل",), ("فقم",), ("قم",)], "word string")
-    found = spark.createDataFrame([("فجر",)], "word string")
-    assert sorted((r.word, r.rid) for r in N.alif_variants(targets, lines, found).collect()) == [("السموات", 4), ("فقم", 2)]
-    edges = spark.createDataFrame([(1, "نار انر ناار نرا")], "rid long, text string")
-    got = N.alif_variants(spark.createDataFrame([("نر",)], "word string"), edges, found)
-    assert sorted(r.form for r in got.collect()) == ["ناار", "نار"]  # no alif is added at an edge
+def test_long_alif(spark):
+    lines = lines_of(spark, "طاولات", "طولات", "طاولت", "اطولت", "طولتا", "طااولت")
+    asked = spark.createDataFrame([("طولت",), ("غرفه",)], "word string")
+    none = spark.createDataFrame([], "word string")
+    got = sorted(r.form for r in N.alif_variants(asked, lines, none).collect())
+    assert got == sorted(["طاولات", "طولات", "طاولت", "طااولت"])  # alifs inside the word, none at an edge
+    found = spark.createDataFrame([("طولت",)], "word string")
+    assert not N.alif_variants(asked, lines, found).count()
 
 
-def test_phrases_with_joined_ends(spark, lines):
-    targets = spark.createDataFrame([("الفجر فقام به",), ("كتبنا له فجر",), ("الفجر جميل",)], "phrase string")
-    got = {(r.phrase, r.rid, r.way) for r in N.phrases(targets, lines).collect()}
-    assert got == {("الفجر فقام به", 2, "exact"), ("كتبنا له فجر", 3, "joined"), ("الفجر جميل", 1, "joined")}
-    (r,) = N.phrases(targets.filter("phrase LIKE '%به'"), lines).collect()
-    assert r.snippet == " ".join(LINES[1][1].split())
+def test_phrases_with_joined_ends(spark):
+    lines = lines_of(spark, "ثُمَّ حَمَلَ البَحَّارُ شِراعَهُ وعاد", "والبحار شراع", "حمل شراع", "البحار شراع جديد")
+    targets = spark.createDataFrame([("البحار شراع",), ("حمل شراع",), ("حمل البحار",)], "phrase string")
+    got = sorted((r.phrase, r.rid, r.way) for r in N.phrases(targets, lines).collect())
+    assert got == sorted([("البحار شراع", 0, "joined"), ("البحار شراع", 1, "joined"), ("البحار شراع", 3, "exact"), ("حمل شراع", 2, "exact"), ("حمل البحار", 0, "exact")])
+    (r,) = N.phrases(targets.filter("phrase = 'حمل البحار'"), lines).collect()
+    assert r.snippet == "ثُمَّ حَمَلَ البَحَّارُ شِراعَهُ وعاد"
 
 
 def test_lookalikes_quotations_and_references(spark):
