@@ -43,6 +43,14 @@ def tokenize(col: Column) -> Column:
     return let(let(normalize(col), both), kept)
 
 
+def normalized_words(col: Column) -> Column:
+    """The words of words_with_offsets() without their places, normalised in the text as a whole: what stands between blanks is one word."""
+    bare = F.translate(F.regexp_replace(F.coalesce(col, F.lit("")), MARKS, ""), TATWEEL, "")
+    parted = F.regexp_replace(F.lower(F.translate(bare, *VARIANTS)), "\\s+", "\x01")
+    clean = F.regexp_replace(F.regexp_replace(parted, "[^\\p{L}\\p{N}_\x01]+", " "), " ?\x01[ \x01]*", "\x01")
+    return F.filter(F.split(F.trim(clean), "\x01"), lambda w: w != "")
+
+
 def words_with_offsets(col: Column) -> Column:
     """(w, s, e): words as normalised, with code-point offsets; words that normalise to nothing are left out.
 

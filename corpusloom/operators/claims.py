@@ -28,7 +28,7 @@ SCHOOLS = [
     ("شافعي شافعيه", "شافعي شافعيه"),
     ("احمد بن حنبل حنبلي حنبليه حنابله", "احمد حنبل حنابله"),
 ]
-REASONS = ["no citation", "not retrieved", "question without its answer", "quotation not found verbatim", "school not named", "book's own division", "collection not cited", "ruling not in the passages", "ruling turned around"]
+REASONS = ["nothing cited", "passage of another answer", "question without its answer", "quotation not in the passages", "school not named", "book's own division", "collection not cited", "ruling not in the passages", "ruling turned around"]
 
 
 def words(*names: str) -> Column:
@@ -100,40 +100,42 @@ def evidence_contiguous(claims: DataFrame, items: DataFrame) -> DataFrame:
 def verify(claims: DataFrame, items: DataFrame, allowed: DataFrame, persons: DataFrame | None = None) -> DataFrame:
     """(claim, reason), reason null where kept.
 
-    claims: (claim, text, cited) and, if present, school, section and label. items: (id, source_id, text)
-    and, if present, answer_part. allowed: (id). persons: (source_id, person).
+    claims: (claim, text, cited) and, if present, answer, school, section and label. items: (id, source_id, text)
+    and, if present, answer_part. allowed: (answer, id), the passages retrieved for each answer, or (id) for all.
+    persons: (source_id, person). A rule is a flag of the claim; claims meet their passages once for all of them.
     """
     spark = claims.sparkSession
     extra = [c for c in ("section", "label", "school") if c in claims.columns]
+    own = ["answer"] if "answer" in allowed.columns else []
     school = F.coalesce(F.col("school"), F.lit("")) if "school" in extra else F.lit("")
     shown = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in (*extra, "text")])
-    claims = saved(claims.select("claim", "text", "cited", school.alias("school"), shown.alias("shown")), "claims")
-    cites = claims.select("claim", F.explode("cited").alias("id"))
+    told = F.filter(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(NAMES_COLLECTION), F.lit(g)) for g in (1, 2)])), lambda x: x != "")
+    books = F.transform(told, lambda x: F.coalesce(*[F.when(x == k, F.lit(v)) for k, v in COLLECTIONS.items()]))
+    claims = claims.select("claim", *own, "text", "cited", school.alias("school"), shown.alias("shown")).withColumn("quotes", quotations(F.col("shown"))).withColumn("books", books)
+    claims = saved(claims, "claims")
+    cites = claims.select("claim", *own, F.explode("cited").alias("id")).distinct()
     answer = F.col("answer_part") if "answer_part" in items.columns else F.lit(True)
-    texts = saved(cites.join(items.select("id", "source_id", answer.alias("answer_part"), "text"), "id"), "cited-texts")  # nine rules read it
-
-    flag = lambda df, name: df.select("claim").distinct().withColumn(name, F.lit(True))
-    outside = flag(cites.join(allowed.select("id"), "id", "left_anti"), "outside")
-    asks = flag(texts.filter("NOT answer_part"), "asks")
-    quotes = claims.select("claim", F.posexplode(quotations(F.col("shown"))).alias("q", "quote"))
-    bodies = texts.select("claim", normalize(F.col("text")).alias("body"))
-    held = quotes.join(bodies, "claim", "left").groupBy("claim", "q").agg(F.bool_or((F.col("quote") != "") & F.coalesce(F.contains("body", "quote"), F.lit(False))).alias("held"))
-    loose = flag(held.filter("NOT held"), "loose")
-
-    labelled = claims.filter("school <> ''").select("claim", "school")
-    tokens = labelled.join(texts.select("claim", names_of(F.col("text")).alias("t")), "claim", "left").groupBy("claim", "school").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("held"))  # a claim's few passages
+    offered = allowed.select(*own, "id").distinct().withColumn("offered", F.lit(True))
+    held = cites.join(offered, [*own, "id"], "left").join(items.select("id", "source_id", answer.alias("answer_part"), "text"), "id", "left")
+    held = saved(held, "cited-texts")
+
+    asked = claims.select("claim", "quotes", "school")
+    bodies = held.filter("text IS NOT NULL").join(asked, "claim").select("claim", "source_id", "school", "text", normalize(F.col("text")).alias("body"), "quotes")
+    found = bodies.select("claim", "source_id", F.filter("quotes", lambda q: (q != "") & F.contains(F.col("body"), q)).alias("found"), F.when(F.col("school") != "", names_of(F.col("text"))).alias("names"))
+    texts = found.groupBy("claim").agg(  # a claim's few passages
+        F.flatten(F.collect_list("found")).alias("found"), F.collect_set("source_id").alias("sources"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names")
+    )
+    flags = held.groupBy("claim").agg(F.bool_or(F.col("offered").isNull()).alias("outside"), F.bool_or(~F.coalesce("answer_part", F.lit(True))).alias("asks"))
     spoken = speakers(cites, items, persons if persons is not None else spark.createDataFrame([], "source_id string, person string"))
-    unnamed = flag(tokens.join(spoken, "claim", "left").filter(~name_attested(F.col("school"), F.col("held")) & ~F.coalesce(names_speaker(F.col("school"), F.col("speaker")), F.lit(False))), "unnamed")
-
-    told = F.explode(F.filter(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(NAMES_COLLECTION), F.lit(g)) for g in (1, 2)])), lambda x: x != "")).alias("name")
-    book = F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in COLLECTIONS.items()]).alias("source_id")
-    elsewhere = flag(claims.select("claim", told).select("claim", book).join(texts.select("claim", "source_id"), ["claim", "source_id"], "left_anti"), "elsewhere")
-
-    said, cited = claims.select("claim", F.col("shown").alias("text")), texts.select("claim", "text")
-    mismatch, flipped = flag(rulings.mismatched(said, cited), "mismatch"), flag(rulings.flipped(said, cited), "flipped")
+    ruled = rulings.against_passages(claims.select("claim", F.col("shown").alias("text")), held.filter("text IS NOT NULL").select("claim", "text"))
 
     joined = claims
-    for one in (outside, asks, loose, unnamed, elsewhere, mismatch, flipped):
+    for one in (flags, texts, spoken, ruled):
         joined = joined.join(one, "claim", "left")
-    conditions = [F.coalesce(F.size("cited"), F.lit(0)) <= 0, F.col("outside"), F.col("asks"), F.col("loose"), F.col("unnamed"), normalize(F.col("shown")).rlike(BOOK_DIVISION), F.col("elsewhere"), F.col("mismatch"), F.col("flipped")]
+    none = F.array().cast("array<string>")
+    loose = F.size(F.array_except("quotes", F.coalesce("found", none))) > 0
+    unnamed = (F.col("school") != "") & ~name_attested(F.col("school"), F.coalesce("names", none)) & ~F.coalesce(names_speaker(F.col("school"), F.col("speaker")), F.lit(False))
+    elsewhere = F.size(F.array_except("books", F.coalesce("sources", none))) > 0
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    conditions = [F.coalesce(F.size("cited"), F.lit(0)) <= 0, F.col("outside"), F.col("asks"), loose, unnamed, normalize(F.col("shown")).rlike(BOOK_DIVISION), elsewhere, some("mismatch"), some("flipped")]
     return joined.select("claim", F.coalesce(*[F.when(c, F.lit(r)) for c, r in zip(conditions, REASONS)]).alias("reason"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tables import saved, small
-from corpusloom.functions.text import collapse_spaces, normalize, words_with_offsets
+from corpusloom.functions.text import collapse_spaces, normalize, normalized_words, words_with_offsets
 from corpusloom.operators.retrieval import runs_of
 
 CLOSE_COVERAGE, CLOSE_RUN, LEAST_WORDS = 0.6, 4, 3
@@ -40,7 +40,7 @@ def longest_runs(quotes: DataFrame, items: DataFrame, least: int = 2) -> DataFra
 
     With least = 1 single words in common count as well where nothing longer is found; they meet on the word itself.
     """
-    asked, held = quote_words(quotes), item_words(items)
+    asked, held = quote_words(quotes), saved(items.select("rid", normalized_words(F.col("text")).alias("t")), "item-words")
     return longest_of(runs_of(asked, held), asked, held, least)
 
 
@@ -227,19 +227,33 @@ def marked_words(items: DataFrame) -> DataFrame:
     return rows.select("rid", "pos", "written", bare(F.col("written")).alias("word"), F.col("written").rlike(MARK).alias("marked"))
 
 
-def dominant(words: DataFrame, key: list[str], least: int, share: float) -> DataFrame:
-    """(key, head, tail, ending, n): the head and tail that hold at least that share of a key's marked places, and their most frequent ending; ties to the first seen."""
-    parts = words.filter("marked").select(*key, split_ending(F.col("written")).alias("x"), F.struct("rid", "pos").alias("at")).select(*key, "x.head", "x.ending", "x.tail", "at")
-    endings = parts.groupBy(*key, "head", "tail", "ending").agg(F.count("*").alias("k"), F.min("at").alias("at"))
+def dominant(forms: DataFrame, key: list[str], least: int, share: float) -> DataFrame:
+    """(key, head, tail, ending, n): the head and tail that hold at least that share of a key's marked places, and their most frequent ending; ties to the first seen.
+
+    forms: (key, written, k, at), how often a marked form occurs and where first.
+    """
+    parts = forms.select(*key, split_ending(F.col("written")).alias("x"), "k", "at").select(*key, "x.head", "x.ending", "x.tail", "k", "at")
+    endings = parts.groupBy(*key, "head", "tail", "ending").agg(F.sum("k").alias("k"), F.min("at").alias("at"))
     stems = endings.groupBy(*key, "head", "tail").agg(F.sum("k").alias("k"), F.min("at").alias("at"), F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "at", "ending")))[0]["ending"].alias("ending"))  # a few endings a stem
     whole = Window.partitionBy(*key)
     ranked = stems.withColumn("n", F.sum("k").over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.col("k").desc(), "at")))
     return ranked.filter((F.col("r") == 1) & (F.col("n") >= least) & (F.col("k") >= share * F.col("n"))).select(*key, "head", "tail", "ending", "n")
 
 
+def counted(words: DataFrame, *key: str) -> DataFrame:
+    """words (rid, pos, key) as (key, k, at)"""
+    return words.groupBy(*key).agg(F.count("*").alias("k"), F.min(F.struct("rid", "pos")).alias("at"))
+
+
 def mark_lexicon(items: DataFrame, least: int = 3, share: float = 0.9) -> DataFrame:
-    """(word, head, tail, ending, n) for bare words that are marked one way nearly everywhere."""
-    return dominant(marked_words(items), ["word"], least, share)
+    """(word, head, tail, ending, n) for bare words that are marked one way nearly everywhere.
+
+    Words are counted as written first; the rules then look at each written form once.
+    """
+    raw = items.select("rid", F.posexplode(F.split("text", "\\s+")).alias("pos", "raw")).filter("raw <> ''")
+    forms = counted(raw.filter(F.col("raw").rlike(MARK)), "raw").filter(normalize(F.col("raw")) != "")
+    forms = forms.select(F.regexp_replace("raw", EDGES, "").alias("written"), "k", "at").filter(F.col("written").rlike(MARK))
+    return dominant(forms.select(bare(F.col("written")).alias("word"), "written", "k", "at"), ["word"], least, share)
 
 
 def with_before(words: DataFrame) -> DataFrame:
@@ -248,7 +262,8 @@ def with_before(words: DataFrame) -> DataFrame:
 
 def bigram_lexicon(items: DataFrame, least: int = 3, share: float = 0.8) -> DataFrame:
     """(before, word, head, tail, ending, n): mark_lexicon keyed by the bare word before as well."""
-    return dominant(with_before(marked_words(items)).filter("before IS NOT NULL"), ["before", "word"], least, share)
+    words = with_before(marked_words(items)).filter("marked AND before IS NOT NULL")
+    return dominant(counted(words, "before", "word", "written"), ["before", "word"], least, share)
 
 
 def apply_lexicon(words: DataFrame, lexicon: DataFrame, bigrams: DataFrame) -> DataFrame:

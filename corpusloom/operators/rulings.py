@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import normalize
+from corpusloom.functions.text import let, normalize
 
 # Ruling words by kind, in normalised spelling, and negators.
 RULING_WORDS = {
@@ -20,50 +20,68 @@ NEGATORS = "لا ليس ليست لم لن غير ما".split()
 STRICT_NEGATORS = "لا ليس ليست لم لن".split()
 
 
-def lexicon(spark: SparkSession) -> DataFrame:
-    """(word, kind), a few dozen rows"""
-    return spark.createDataFrame([(w, k) for k, words in RULING_WORDS.items() for w in words.split()], "word string, kind string")
+def _stated(text: Column) -> Column:
+    """(kind, near, wide, strict) of each ruling word: whether a negator stands among the two or four words before it, and a strict one among the two.
 
+    Words are looked up where they stand, so nothing but the few ruling words leaves a text.
+    """
+    kinds = F.create_map(*[F.lit(x) for k, words in RULING_WORDS.items() for w in words.split() for x in (w, k)])
+    no = lambda w, words: w.isin(words) | (F.substring(w, 1, 1).isin("و", "ف") & F.substring(w, 2, 1_000).isin(words))
+    before = lambda w, i, reach, words: F.exists(F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), lambda x: no(x, words))
+    n = F.char_length
 
-def polarity(texts: DataFrame, key: str, negators: list[str] = NEGATORS, reach: int = 2) -> DataFrame:
-    """(key, kind, negated): ruling words, negated where a negator stands among the `reach` words before."""
-    words = texts.select(key, F.posexplode(F.split(normalize(F.col("text")), " ")).alias("pos", "w"))
-    no = F.col("w").isin(negators) | (F.substring("w", 1, 1).isin("و", "ف") & F.expr("substring(w, 2)").isin(negators))
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(-reach, -1)
-    marked = words.withColumn("negated", F.coalesce(F.max(no).over(before), F.lit(False)))
-    n = F.char_length("w")
-    forms = F.array_distinct(F.array(
-        F.col("w"),
-        F.when(F.substring("w", 1, 1).isin("و", "ف", "ب", "ل") & (n > 3), F.expr("substring(w, 2)")).otherwise(F.col("w")),
-        F.when((F.substring("w", 1, 2) == "ال") & (n > 4), F.expr("substring(w, 3)")).otherwise(F.col("w")),
-    ))
-    spread = marked.select(key, "negated", F.explode(forms).alias("word"))
-    return spread.join(F.broadcast(lexicon(texts.sparkSession)), "word").select(key, "kind", "negated").distinct()
+    def of(w: Column, x: Column, i: Column) -> Column:
+        forms = F.array_distinct(F.array(
+            x,
+            F.when(F.substring(x, 1, 1).isin("و", "ف", "ب", "ل") & (n(x) > 3), F.substring(x, 2, 1_000)).otherwise(x),
+            F.when((F.substring(x, 1, 2) == "ال") & (n(x) > 4), F.substring(x, 3, 1_000)).otherwise(x),
+        ))
+        found = F.filter(F.transform(forms, lambda f: F.try_element_at(kinds, f)), lambda k: k.isNotNull())
+        flags = [before(w, i, 2, NEGATORS).alias("near"), before(w, i, 4, NEGATORS).alias("wide"), before(w, i, 2, STRICT_NEGATORS).alias("strict")]
+        return F.transform(found, lambda k: F.struct(k.alias("kind"), *flags))
 
+    any_ = normalize(text).rlike("|".join(w for words in RULING_WORDS.values() for w in words.split()))
+    every = let(F.split(normalize(text), " "), lambda w: F.array_distinct(F.flatten(F.transform(w, lambda x, i: of(w, x, i)))))
+    return F.when(any_, every).otherwise(F.array().cast("array<struct<kind:string,near:boolean,wide:boolean,strict:boolean>>"))
 
-def mismatched(claims: DataFrame, cited: DataFrame) -> DataFrame:
-    """(claim, kind): kinds that a claim states plainly and its passages do not, where they state any. cited: (claim, text)."""
-    said = polarity(claims, "claim").filter("NOT negated").select("claim", "kind")
-    there = polarity_of_cited(cited)
-    stated = there.select("claim", "kind").distinct()
-    return said.join(stated, ["claim", "kind"], "left_anti").join(stated.select("claim").distinct(), "claim", "left_semi")
 
+def stated(texts: DataFrame, key: str) -> DataFrame:
+    """(key, kind, near, wide, strict): ruling words of a text and the negators before them."""
+    return texts.select(key, F.explode(_stated(F.col("text"))).alias("x")).select(key, "x.*").distinct()
 
-def polarity_of_cited(cited: DataFrame, reach: int = 2) -> DataFrame:
-    """(claim, kind, negated) over all passages a claim cites; negators do not reach from one passage into the next."""
-    keyed = cited.select(F.struct("claim", F.xxhash64("text").alias("h")).alias("key"), "text").distinct()
-    return polarity(keyed, "key", reach=reach).select(F.col("key.claim").alias("claim"), "kind", "negated").distinct()
 
+def polarity(texts: DataFrame, key: str) -> DataFrame:
+    """(key, kind, negated): ruling words, negated where a negator stands among the two words before."""
+    return stated(texts, key).select(key, "kind", F.col("near").alias("negated")).distinct()
 
-def flipped(claims: DataFrame, cited: DataFrame) -> DataFrame:
-    """(claim, kind): kinds that a claim negates or affirms against its passages, none of which says the same.
 
-    Passages are read with a reach of two and of four words; a plain statement counts only if no negator
-    at all stands before it.
+def against_passages(claims: DataFrame, cited: DataFrame) -> DataFrame:
+    """(claim, mismatch, flipped): kinds that a claim states plainly and its passages do not, where they state any; and kinds that it negates or affirms against its passages, none of which says the same.
+
+    claims: (claim, text). cited: (claim, text), negators not reaching from one passage into the next; these are read
+    with a reach of two and of four words. A plain statement counts only if no negator at all stands before it.
+    Each text is looked at once, and claims meet their passages once.
     """
-    strict = polarity(claims, "claim", STRICT_NEGATORS)
-    plain = polarity(claims, "claim").filter("NOT negated").select("claim", "kind", F.lit(False).alias("negated"))
-    said = strict.filter("negated").unionByName(strict.filter("NOT negated").join(plain, ["claim", "kind", "negated"], "left_semi"))
-    there = polarity_of_cited(cited).unionByName(polarity_of_cited(cited, 4)).distinct()
-    against = there.select("claim", "kind", (~F.col("negated")).alias("negated"))
-    return said.join(against, ["claim", "kind", "negated"], "left_semi").join(there, ["claim", "kind", "negated"], "left_anti").select("claim", "kind").distinct()
+    signed = lambda kind, no: F.concat(F.when(no, "-").otherwise("+"), kind)
+    own = stated(claims, "claim").groupBy("claim").agg(
+        F.collect_set(F.when(~F.col("near"), F.col("kind"))).alias("plain"),
+        F.collect_set(signed(F.col("kind"), F.col("strict"))).alias("said"),
+    )
+    theirs = stated(cited, "claim").groupBy("claim").agg(
+        F.collect_set("kind").alias("kinds"), F.array_union(F.collect_set(signed(F.col("kind"), F.col("near"))), F.collect_set(signed(F.col("kind"), F.col("wide")))).alias("there")
+    )
+    said = F.filter("said", lambda x: F.startswith(x, F.lit("-")) | F.array_contains(F.col("plain"), F.substring(x, 2, 1_000)))
+    other = lambda x: F.concat(F.translate(F.substring(x, 1, 1), "+-", "-+"), F.substring(x, 2, 1_000))
+    flipped = F.filter(said, lambda x: F.array_contains(F.col("there"), other(x)) & ~F.array_contains(F.col("there"), x))
+    joined = own.join(theirs, "claim")
+    return joined.select("claim", F.array_except("plain", "kinds").alias("mismatch"), F.array_distinct(F.transform(flipped, lambda x: F.substring(x, 2, 1_000))).alias("flipped"))
+
+
+def mismatched(claims: DataFrame, cited: DataFrame) -> DataFrame:
+    """(claim, kind) of against_passages()."""
+    return against_passages(claims, cited).select("claim", F.explode("mismatch").alias("kind"))
+
+
+def flipped(claims: DataFrame, cited: DataFrame) -> DataFrame:
+    """(claim, kind) of against_passages()."""
+    return against_passages(claims, cited).select("claim", F.explode("flipped").alias("kind"))

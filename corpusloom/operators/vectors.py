@@ -15,6 +15,8 @@ from corpusloom.operators.retrieval import DECIMALS, rrf, top
 #: Bytes of query vectors that go to every task at once; more queries are answered in several passes over the corpus.
 BLOCK_BYTES = 64 << 20
 BITS = 512
+#: Of each batch of vectors, the part that approximate search scores exactly.
+SHARE, LEAST_SCORED = 0.05, 50
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -39,40 +41,90 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-scores, axis=1, kind="stable")[:, :k]
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, rid, score, rank): the k vectors of highest cosine; vectors without length score -1, ties in id order.
+class Nearest:
+    """The k best vectors of each query that a task has seen so far, equal scores in order of ids."""
 
-    The corpus stays where it is: every task multiplies its Arrow batches with the block of queries and
-    gives the best k of each batch, a window merges them.
-    """
-    usable = F.size("embedding") > 0
-    asked = queries.filter(usable).select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    corpus = vectors.filter(usable).select(F.col("vec_id").alias("rid"), "embedding")
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.rids = k, np.zeros((n, 0)), np.zeros((n, 0), np.int64)
+
+    def add(self, scores: np.ndarray, rids: np.ndarray) -> None:
+        """scores and rids: a row each query."""
+        scores, rids = np.hstack([self.scores, scores]), np.hstack([self.rids, rids])
+        if scores.shape[1] > self.k:
+            order = np.lexsort((rids, -scores), axis=1)[:, : self.k]
+            scores, rids = np.take_along_axis(scores, order, 1), np.take_along_axis(rids, order, 1)
+        self.scores, self.rids = scores, rids
+
+    def batch(self, qids: np.ndarray) -> pa.RecordBatch:
+        keep = self.scores.ravel() > -np.inf
+        columns = [np.repeat(qids, self.scores.shape[1]), self.rids.ravel(), self.scores.ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["qid", "rid", "score"])
+
+
+def of_length(vectors: DataFrame, dim: int) -> DataFrame:
+    """Vectors that can be compared with those of dim components; normalize_vectors() says what is wrong with others."""
+    return vectors.filter((F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull()))
+
+
+def asked_blocks(queries: DataFrame) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """The queries' length (the longest one's; others are left out), and (ids, vectors) of each block of BLOCK_BYTES at most."""
+    asked = queries.select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     dim = asked.agg(F.max(F.size("embedding"))).first()[0] or 0
-    found = None
-    for block in blocks(asked, dim):
+    out = []
+    for block in blocks(of_length(asked, dim), dim) if dim > 0 else []:
         rows = block.toPandas()  # BLOCK_BYTES at most
-        qids = rows["qid"].to_numpy()
-        shared = queries.sparkSession.sparkContext.broadcast(unit(np.array(rows["embedding"].tolist(), float).reshape(len(rows), dim)))
+        if len(rows):
+            out.append((rows["qid"].to_numpy(), np.array(rows["embedding"].tolist(), float).reshape(len(rows), dim)))
+    return dim, out
+
 
-        def multiply(batches: Iterator[pa.RecordBatch], qids=qids, shared=shared) -> Iterator[pa.RecordBatch]:
-            q, q0 = shared.value
+def searched(index: DataFrame, queries: DataFrame, k: int, score) -> DataFrame:
+    """(qid, rid, score, rank): the k best of what score(unit queries, which have no length, the queries as given) offers of a batch as (scores, rids).
+
+    The corpus stays where it is: a task goes through its batches and gives the k best of each query once, at
+    its end, so that no more than k rows a query and task are shuffled.
+    """
+    dim, asked = asked_blocks(queries)
+    found = None
+    for qids, raw in asked:
+        shared = queries.sparkSession.sparkContext.broadcast((*unit(raw), raw))
+
+        def run(batches: Iterator[pa.RecordBatch], qids=qids, shared=shared) -> Iterator[pa.RecordBatch]:
+            nearest = Nearest(len(qids), k)
+            work = score(*shared.value)
             for batch in batches:
-                if not len(qids) or not batch.num_rows:
-                    continue
-                rids = batch.column(0).to_numpy(zero_copy_only=False)
-                order = np.argsort(rids, kind="stable")
-                m, m0 = unit(matrix(batch.column(1))[order])
-                scores = np.round(q @ m.T, DECIMALS)
-                scores[q0] = -1
-                scores[:, m0] = -1
-                at = best(scores, k)
-                out = [np.repeat(qids, at.shape[1]), rids[order][at].ravel(), np.take_along_axis(scores, at, 1).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["qid", "rid", "score"])
-
-        one = corpus.mapInArrow(multiply, "qid long, rid long, score double")
+                if batch.num_rows:
+                    nearest.add(*work(batch))
+            yield nearest.batch(qids)
+
+        one = index.mapInArrow(run, "qid long, rid long, score double")
         found = one if found is None else found.unionByName(one)
-    return top(found, k)
+    return top(found, k) if found is not None else top(queries.sparkSession.createDataFrame([], "qid long, rid long, score double"), k)
+
+
+def cosines(q: np.ndarray, q0: np.ndarray, m: np.ndarray, m0: np.ndarray) -> np.ndarray:
+    scores = np.round(q @ m.T, DECIMALS)
+    scores[q0] = -1
+    scores[:, m0] = -1
+    return scores
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, rid, score, rank): the k vectors of highest cosine; vectors without length score -1, ties in id order.
+
+    Vectors of another length than the queries' can't be compared and are left out.
+    """
+    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    corpus = of_length(vectors, dim).select(F.col("vec_id").alias("rid"), "embedding")
+
+    def score(q: np.ndarray, q0: np.ndarray, raw: np.ndarray):
+        def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            scores = cosines(q, q0, *unit(matrix(batch.column(1))))
+            return scores, np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), scores.shape)
+
+        return work
+
+    return searched(corpus, queries, k, score)
 
 
 def planes(dim: int, bits: int = BITS) -> np.ndarray:
@@ -81,48 +133,44 @@ def planes(dim: int, bits: int = BITS) -> np.ndarray:
 
 
 def codes(vectors: DataFrame, dim: int, bits: int = BITS) -> DataFrame:
-    """(rid, code): on which side of each hyperplane a vector lies. Every vector is indexed; no label or sample is needed."""
+    """(rid, code, embedding): on which side of each hyperplane a vector lies. Every vector is indexed; no label or sample is needed."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = planes(dim, bits)
         for batch in batches:
             if batch.num_rows:
                 packed = np.packbits(matrix(batch.column(1)) @ p > 0, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], ["rid", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), batch.column(1)], ["rid", "code", "embedding"])
 
-    usable = vectors.filter(F.size("embedding") == dim)
-    return saved(usable.select(F.col("vec_id").alias("rid"), "embedding").mapInArrow(sign, "rid long, code binary"), "vector-codes")
+    usable = of_length(vectors, dim).select(F.col("vec_id").alias("rid"), "embedding")
+    return saved(usable.mapInArrow(sign, f"rid long, code binary, embedding {usable.schema['embedding'].dataType.simpleString()}"), "vector-codes")
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, index: DataFrame, k: int = 10, share: float = 0.05, least: int = 50) -> DataFrame:
-    """(qid, rid, score, rank) among the vectors whose codes differ least from the query's: `share` of them, `least` at least, are scored exactly.
+def knn_approx(queries: DataFrame, index: DataFrame, k: int = 10, share: float = SHARE, least: int = LEAST_SCORED) -> DataFrame:
+    """(qid, rid, score, rank): of codes(), in each batch the `share` whose codes differ least from a query's, `least` at least, are scored exactly where they lie.
 
-    A code is a quarter of a 64-dimensional vector of floats, and comparing two takes one pass over 64 bytes.
+    A comparison of codes is eight operations on words, whatever the vectors' length; a cosine takes as many as they
+    have components. Neither leaves the task: it gives k rows a query at its end.
     """
-    asked = queries.select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    n_candidates = max(least, int(share * index.count()))
-    dim = asked.agg(F.max(F.size("embedding"))).first()[0] or 1
-    found = None
-    for block in blocks(asked.filter(F.size("embedding") == dim), dim):
-        rows = block.toPandas()
-        qids = rows["qid"].to_numpy()
-        shared = queries.sparkSession.sparkContext.broadcast(np.packbits(np.array(rows["embedding"].tolist(), float).reshape(len(rows), dim) @ planes(dim) > 0, axis=1).view(np.uint64))
 
-        def compare(batches: Iterator[pa.RecordBatch], qids=qids, shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(qids) or not batch.num_rows:
-                    continue
-                rids = batch.column(0).to_numpy(zero_copy_only=False)
-                own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(rids), -1)
-                far = np.stack([np.bitwise_count(own ^ q).sum(1, dtype=np.int32) for q in shared.value])
-                at = best(-far, n_candidates)
-                out = [np.repeat(qids, at.shape[1]), rids[at].ravel(), np.take_along_axis(far, at, 1).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["qid", "rid", "far"])
-
-        one = index.mapInArrow(compare, "qid long, rid long, far int")
-        found = one if found is None else found.unionByName(one)
-    nearest = found.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("far", "rid"))).filter(F.col("nth") <= n_candidates)
-    return rerank(nearest.select("qid", "rid"), queries, vectors, k)
+    def score(q: np.ndarray, q0: np.ndarray, raw: np.ndarray):
+        signs = np.packbits(raw @ planes(raw.shape[1]) > 0, axis=1).view(np.uint64)
+
+        def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            rids = batch.column(0).to_numpy(zero_copy_only=False)
+            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(rids), -1)
+            m, m0 = unit(matrix(batch.column(2)))
+            n = min(len(rids), max(least, k, int(share * len(rids))))
+            scores, found = np.empty((len(q), n)), np.empty((len(q), n), np.int64)
+            for i, code in enumerate(signs):
+                far = np.bitwise_count(own ^ code).sum(1, dtype=np.int32)
+                at = np.argpartition(far, n - 1)[:n] if n < len(rids) else np.arange(n)
+                scores[i], found[i] = cosines(q[i : i + 1], q0[i : i + 1], m[at], m0[at])[0], rids[at]
+            return scores, found
+
+        return work
+
+    return searched(index, queries, k, score)
 
 
 def cosine(a: str, b: str):

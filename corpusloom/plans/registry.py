@@ -187,41 +187,41 @@ def c2_split_sentences(spark, d):
 
 @query(f"WITH {S.PASSAGES}, {S.QUESTIONS}, {S.TOKENS} SELECT token, rid, count(*) AS tf FROM tok GROUP BY token, rid")
 def d1_postings(spark, d):
-    return R.postings(C.passages(spark, d))
+    return R.postings(C.passage_index(spark, d))
 
 
 @query(f"WITH {S.BM25} SELECT qid, rid, score, coverage, rank FROM hits")
 def d2_bm25(spark, d):
     """D2 and D3: the best ten passages for every question, with coverage."""
-    return R.bm25(C.questions(spark, d), C.passages(spark, d))
+    return R.bm25(C.questions(spark, d), C.passage_index(spark, d))
 
 
 @query(f"WITH {S.BM25} SELECT qid, coalesce(score >= 1.0 AND coverage >= 0.5, false) AS answered FROM q LEFT JOIN (SELECT * FROM hits WHERE rank = 1) USING (qid)")
 def d4_sufficient(spark, d):
     asked = C.questions(spark, d)
-    return R.sufficient(asked, R.bm25(asked, C.passages(spark, d)))
+    return R.sufficient(asked, R.bm25(asked, C.passage_index(spark, d)))
 
 
 @query(f"WITH {S.PASSAGES}, {S.QUESTIONS}, {S.TOKENS} SELECT token, count(DISTINCT rid) AS df, count(DISTINCT rid) <= 5 AS rare FROM tok WHERE token IN (SELECT token FROM qt) GROUP BY token")
 def d5_doc_frequency(spark, d):
     wanted = R.query_terms(C.questions(spark, d)).select("token").distinct()
-    return R.postings(C.passages(spark, d)).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")).withColumn("rare", F.col("df") <= R.RARE)
+    return R.postings(C.passage_index(spark, d)).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")).withColumn("rare", F.col("df") <= R.RARE)
 
 
 @query(f"WITH {S.RUNS}, {S.PHRASES} SELECT qid, rid FROM ph")
 def d6_phrase_match(spark, d):
-    return R.phrase_match(C.questions(spark, d), C.passages(spark, d))
+    return R.phrase_match(C.questions(spark, d), C.passage_index(spark, d))
 
 
 @query(f"""WITH {S.RUNS}, b AS (SELECT *, max(run) OVER (PARTITION BY qid) AS best FROM run WHERE run >= CASE WHEN n < 4 THEN n ELSE greatest(3, CAST(ceil(n / 2) AS BIGINT)) END)
 SELECT DISTINCT qid, rid, run FROM b WHERE run = best""")
 def d7_longest_subphrase(spark, d):
-    return R.longest_subphrase(C.questions(spark, d), C.passages(spark, d))
+    return R.longest_subphrase(C.questions(spark, d), C.passage_index(spark, d))
 
 
 @query(f"WITH {S.RUNS}, h AS (SELECT DISTINCT qid, rid FROM run WHERE run >= 4), c AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n_items FROM h) SELECT qid, rid, n_items FROM c WHERE n_items <= 60")
 def d8_drop_common_phrases(spark, d):
-    found = R.diagonals(C.questions(spark, d), C.passages(spark, d)).filter("run >= 4").select("qid", "rid").distinct()
+    found = R.diagonals(C.questions(spark, d), C.passage_index(spark, d)).filter("run >= 4").select("qid", "rid").distinct()
     return R.drop_common(found)
 
 
@@ -230,13 +230,13 @@ b AS (SELECT qid, rid, 0 AS tier, r FROM (SELECT *, row_number() OVER (PARTITION
 o AS (SELECT qid, rid, min((tier, r)) AS a FROM b GROUP BY qid, rid)
 SELECT qid, rid, a[1] AS tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY a, rid) AS rank FROM o) WHERE rank <= 10""")
 def d10_tiered_search(spark, d):
-    asked, index = C.questions(spark, d), R.Index(C.passages(spark, d))
+    asked, index = C.questions(spark, d), C.passage_index(spark, d)
     return R.tiered(R.phrase_match(asked, index), R.bm25(asked, index))
 
 
 @query(f"WITH {S.PASSAGES}, {S.QUESTIONS}, {S.TOKENS} SELECT qid, rid FROM qt JOIN (SELECT DISTINCT token, rid FROM tok) USING (token) GROUP BY qid, rid HAVING count(*) = max(n_terms)")
 def d20_all_words_match(spark, d):
-    return R.all_words(C.questions(spark, d), C.passages(spark, d))
+    return R.all_words(C.questions(spark, d), C.passage_index(spark, d))
 
 
 _COS = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])) * list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))"
@@ -283,7 +283,7 @@ def e4_rerank_exact(spark, d):
 def e5_ann_recall(spark, d):
     """E3 to E5: neighbours by codes of 512 hyperplanes, a twentieth of the vectors scored exactly (50 at least), and their recall against exact ones."""
     asked, v = _vectors(spark, d)
-    return R.recall(W.knn_approx(asked, v, W.codes(v, 64)), W.knn(asked, v))
+    return R.recall(W.knn_approx(asked, W.codes(v, 64)), W.knn(asked, v))
 
 
 @query(f"""WITH {S.BM25}, {_KNN},
@@ -295,7 +295,7 @@ def e6_rrf(spark, d):
     items = C.passages(spark, d)
     near = W.knn(*_vectors(spark, d)).select((F.col("qid") / 100).cast("long").alias("qid"), F.col("rid").alias("location"), "rank")
     vector = near.join(items.select("rid", "location"), "location").groupBy("qid", "rid").agg(F.min("rank").alias("rank"))
-    return R.rrf([R.bm25(C.questions(spark, d), items), vector])
+    return R.rrf([R.bm25(C.questions(spark, d), C.passage_index(spark, d)), vector])
 
 
 @query(f"""WITH {S.BM25}, {_KNN}, v AS (SELECT k.qid // 100 AS qid, p.rid, min(k.rank) AS rank FROM knn k JOIN p ON p.location = k.rid WHERE (k.qid // 100) % 2 = 0 GROUP BY 1, 2),
@@ -308,7 +308,7 @@ def e7_keyword_fallback(spark, d):
     items = C.passages(spark, d)
     near = W.knn(*_vectors(spark, d)).select((F.col("qid") / 100).cast("long").alias("qid"), F.col("rid").alias("location"), "rank").filter("qid % 2 = 0")
     vector = near.join(items.select("rid", "location"), "location").groupBy("qid", "rid").agg(F.min("rank").alias("rank"))
-    return W.hybrid(R.bm25(C.questions(spark, d), items), vector)
+    return W.hybrid(R.bm25(C.questions(spark, d), C.passage_index(spark, d)), vector)
 
 
 @query(f"""WITH {S.BM25}, h AS (SELECT qid, rid // 1000000 AS location, (rid % 1000000) // 5 AS part, rank FROM hits),
@@ -318,7 +318,7 @@ def e8_map_to_units(spark, d):
     """Keyword hits mapped to units of five lines of a document."""
     items = C.passages(spark, d)
     line = F.col("rid") % C.LINES
-    hits = R.bm25(C.questions(spark, d), items).select("qid", F.floor(F.col("rid") / C.LINES).alias("location"), line.alias("line"), "rank")
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d)).select("qid", F.floor(F.col("rid") / C.LINES).alias("location"), line.alias("line"), "rank")
     parts = items.select("location", F.floor(line / 5).alias("part")).distinct()
     ranges = parts.select(F.concat_ws("/", "location", "part").alias("unit"), "location", (F.col("part") * 5).alias("first"), (F.col("part") * 5 + 4).alias("last"))
     return W.map_to_units(hits, ranges)
@@ -359,7 +359,7 @@ o AS (SELECT question, rid, min((rank, list_no)) AS a FROM l GROUP BY question,
 SELECT question, rid, place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY a, rid) AS place FROM o) WHERE place <= 20""")
 def f1_round_robin_merge(spark, d):
     """Four questions' hits taken in turns as one."""
-    hits = R.bm25(C.questions(spark, d), C.passages(spark, d))
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d))
     return R.round_robin(hits.select(F.floor(F.col("qid") / 4).alias("question"), (F.col("qid") % 4).alias("list_no"), "rid", "rank"), 20)
 
 
@@ -368,7 +368,7 @@ i AS (SELECT *, row_number() OVER (PARTITION BY qid, inside ORDER BY rank) AS i
 SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN inside THEN (i - 1) // 3 ELSE i - 1 END, inside DESC, i) AS place FROM i""")
 def f3_domain_interleave(spark, d):
     items = C.passages(spark, d)
-    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", (F.col("kind") == "en").alias("inside")), "rid")
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d)).join(items.select("rid", (F.col("kind") == "en").alias("inside")), "rid")
     return R.interleave(hits)
 
 
@@ -377,7 +377,7 @@ t AS (SELECT *, CASE WHEN w AND row_number() OVER (PARTITION BY qid, w ORDER BY
 SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY tier, rank) AS place FROM t""")
 def f5_wanted_first(spark, d):
     items = C.passages(spark, d)
-    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", (F.col("kind") == "de").alias("wanted")), "rid")
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d)).join(items.select("rid", (F.col("kind") == "de").alias("wanted")), "rid")
     return R.wanted_first(hits)
 
 
@@ -385,7 +385,7 @@ def f5_wanted_first(spark, d):
 b AS (SELECT *, row_number() OVER (PARTITION BY question, list_no ORDER BY rank, rid) AS k FROM l ANTI JOIN f USING (question, rid))
 SELECT question, rid, min(list_no) AS list_no FROM b WHERE k <= 4 GROUP BY question, rid""")
 def f14_gap_hits(spark, d):
-    hits = R.bm25(C.questions(spark, d), C.passages(spark, d))
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d))
     lists = hits.select(F.floor(F.col("qid") / 4).alias("question"), (F.col("qid") % 4).alias("list_no"), "rid", "rank")
     return R.gap_hits(lists, lists.filter("rank <= 2").select("question", "rid").distinct())
 
@@ -405,7 +405,7 @@ _LISTS = "l AS (SELECT qid // 4 AS question, CAST(qid % 4 AS BIGINT) AS list_no,
 
 def _lists(spark, d, items):
     """Four questions' hits as the lists of one question."""
-    hits = R.bm25(C.questions(spark, d), items)
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d))
     return hits.select(F.floor(F.col("qid") / 4).alias("question"), (F.col("qid") % 4).alias("list_no"), "rid", "rank")
 
 
@@ -420,7 +420,7 @@ def f2_reserved_slots(spark, d):
 def f4_hit_filters(spark, d):
     """Every fifth passage counts as a question part, German ones as primary."""
     items = C.passages(spark, d)
-    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", "kind", "text", (F.col("rid") % 5 != 0).alias("answer_part")), "rid")
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d)).join(items.select("rid", "kind", "text", (F.col("rid") % 5 != 0).alias("answer_part")), "rid")
     return A.usable_hits(hits, ["de"]).select("qid", "rid")
 
 
@@ -462,7 +462,7 @@ SELECT question, rid, row_number() OVER (PARTITION BY question ORDER BY a, rid)
 def f9_quoted_source_first(spark, d):
     """What a hit quotes is taken to be one of the benchmark texts, by its number, and the search's finds for it are the primary texts."""
     offered, items = _offered(spark, d)
-    hits = R.bm25(C.questions(spark, d), items).filter("coverage >= 0.2").select("qid", F.col("rid").alias("quoted"), "rank")
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d)).filter("coverage >= 0.2").select("qid", F.col("rid").alias("quoted"), "rank")
     from pyspark.sql import Window
 
     met = offered.select("rid", (F.col("rid") % 40).alias("qid")).distinct().join(hits, "qid")
@@ -496,7 +496,7 @@ def f11_missing_entry_report(spark, d):
 SELECT question, rid, nth FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY rank, rid) AS nth FROM h) WHERE nth <= 4""")
 def f13_pinned_hits(spark, d):
     items = C.passages(spark, d)
-    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", "kind"), "rid").withColumn("question", F.floor(F.col("qid") / 4))
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d)).join(items.select("rid", "kind"), "rid").withColumn("question", F.floor(F.col("qid") / 4))
     return A.pinned(hits, ["de", "fr"])
 
 
@@ -511,7 +511,7 @@ SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY CASE kind WHEN 'es
 def d9_source_priority_rank(spark, d):
     items = C.passages(spark, d)
     first = C.read(spark, d, "documents").agg(F.min("source")).first()[0]
-    hits = R.bm25(C.questions(spark, d), items).join(items.select("rid", "kind", "source_id"), "rid")
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d)).join(items.select("rid", "kind", "source_id"), "rid")
     return R.by_priority(hits, ["es", "de"], [first]).select("qid", "rid", "place")
 
 
@@ -548,7 +548,7 @@ def _quotes(spark, d):
 
 def _found_quotes(spark, d, fuzzy=False):
     items, quotes = C.passages(spark, d), _quotes(spark, d)
-    hits = R.bm25(quotes, items)
+    hits = R.bm25(quotes, C.passage_index(spark, d))
     found = E.find_quotes(quotes, items, hits, fuzzy).join(hits.select("qid", "rid", "rank"), ["qid", "rid"])
     named = found.join(items.select("rid", "source_id", "kind", "location", "text"), "rid")
     return quotes, hits, E.rank_quotes(named.withColumn("excerpt", F.expr("substring(text, s + 1, e - s)")), kinds=["fr", "de"])
@@ -570,7 +570,7 @@ def g3_fuzzy_span(spark, d):
     """Spans of the search's candidates that hold most words of a quotation in order, one letter apart at most (a dynamic programme, tested against a plain one)."""
     items, quotes = C.passages(spark, d), _quotes(spark, d)
     asked = E.quote_words(quotes).filter(F.size("t") >= E.LEAST_WORDS).select("qid", F.col("t").alias("asked"))
-    pairs = R.bm25(quotes, items).select("qid", "rid")
+    pairs = R.bm25(quotes, C.passage_index(spark, d)).select("qid", "rid")
     held = E.item_words(items.join(pairs.select("rid").distinct(), "rid", "left_semi")).select("rid", F.col("t").alias("held"))
     return E.fuzzy_spans(pairs.join(asked, "qid").join(held, "rid"))
 
@@ -730,9 +730,10 @@ def _claims(spark, d):
 _FAULTS = ["", "", "", "«كلام لا يوجد»", "", "في هذا الباب", "روى البخاري ومسلم", "وهو واجب", "يجوز ذلك", "لا يجوز ذلك", "«هذا حرام»", ""]
 _PLANTED = f"""{S.PASSAGES}, {_CLAIMS},
 it AS (SELECT id, CASE WHEN location % 5 = 0 THEN 'sahih-muslim' ELSE source_id END AS source_id, rid % 13 <> 0 AS answer_part, text || CASE location % 3 WHEN 0 THEN ' هذا حرام' WHEN 1 THEN ' لا يجوز ذلك' ELSE '' END AS text FROM p),
-cm AS (SELECT conv_id || '/' || turn || '/' || n AS claim, (conv_id + turn + n) % 12 AS k, text, cited FROM cl),
+cm AS (SELECT conv_id || '/' || turn || '/' || n AS claim, conv_id || '/' || turn AS answer, (conv_id + turn + n) % 12 AS k, text, cited, (conv_id + 500 + n) || ':0' AS far FROM cl),
+al AS (SELECT DISTINCT answer, cited AS id FROM cm),
 c AS (SELECT claim, k, text || ' ' || CASE k {' '.join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FAULTS) if f)} ELSE '' END AS text,
- CASE k WHEN 0 THEN [] WHEN 1 THEN [cited, 'x:1'] ELSE [cited] END AS cited, CASE k WHEN 4 THEN 'Zeno the elder' WHEN 11 THEN split_part(text, ' ', 1) ELSE '' END AS school FROM cm),
+ CASE k WHEN 0 THEN [] WHEN 1 THEN [cited, 'x:1'] WHEN 2 THEN [cited, far] ELSE [cited] END AS cited, CASE k WHEN 4 THEN 'Zeno the elder' WHEN 11 THEN split_part(text, ' ', 1) ELSE '' END AS school FROM cm),
 cx AS (SELECT claim, unnest(cited) AS id FROM c), ct AS (SELECT claim, it.* FROM cx JOIN it USING (id)),
 kinds AS (SELECT * FROM (VALUES {', '.join(f"('{w}', '{k}')" for k, ws in G.RULING_WORDS.items() for w in ws.split())}) v(word, kind)),
 pol AS (SELECT DISTINCT key, g, kind, len(list_filter(w.w_all[greatest(1, i - 2):i - 1], lambda t: list_contains({G.NEGATORS}, t) OR (t[1:1] IN ('و', 'ف') AND list_contains({G.NEGATORS}, t[2:])))) > 0 AS neg2,
@@ -745,20 +746,25 @@ there AS (SELECT key, kind, neg2 AS neg FROM pol WHERE g = 'p' UNION SELECT key,
 mis AS (SELECT DISTINCT key FROM pol s WHERE g = 's' AND NOT neg2 AND key IN (SELECT key FROM there) AND NOT EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind)),
 said AS (SELECT key, kind, true AS neg FROM pol WHERE g = 's' AND strict UNION SELECT key, kind, false FROM pol a WHERE g = 's' AND NOT strict AND EXISTS (SELECT 1 FROM pol b WHERE b.key = a.key AND b.g = 's' AND b.kind = a.kind AND NOT b.neg2)),
 fl AS (SELECT DISTINCT key FROM said s WHERE EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind AND t.neg <> s.neg) AND NOT EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind AND t.neg = s.neg)),
-v AS (SELECT claim, CASE WHEN len(cited) = 0 THEN 'no citation' WHEN claim IN (SELECT claim FROM cx WHERE id NOT IN (SELECT id FROM it)) THEN 'not retrieved'
+v AS (SELECT claim, CASE WHEN len(cited) = 0 THEN 'nothing cited' WHEN claim IN (SELECT claim FROM cx JOIN cm USING (claim) WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.answer = cm.answer AND al.id = cx.id)) THEN 'passage of another answer'
  WHEN claim IN (SELECT claim FROM ct WHERE NOT answer_part) THEN 'question without its answer'
- WHEN contains(text, '«') AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.claim = c.claim AND contains({S.normal('ct.text')}, {S.normal("regexp_extract(c.text, '«([^»]+)»', 1)")})) THEN 'quotation not found verbatim'
+ WHEN contains(text, '«') AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.claim = c.claim AND contains({S.normal('ct.text')}, {S.normal("regexp_extract(c.text, '«([^»]+)»', 1)")})) THEN 'quotation not in the passages'
  WHEN school <> '' AND NOT (len({S.tokens('school')}) > 0 AND EXISTS (SELECT 1 FROM ct WHERE ct.claim = c.claim AND list_has_all({S.tokens('ct.text')}, {S.tokens('school')}))) THEN 'school not named'
  WHEN contains(text, 'هذا الباب') THEN 'book''s own division'
  WHEN contains(text, 'روى البخاري ومسلم') THEN 'collection not cited'
  WHEN claim IN (SELECT key FROM mis) THEN 'ruling not in the passages' WHEN claim IN (SELECT key FROM fl) THEN 'ruling turned around' END AS reason FROM c)"""
 
+def _offered(spark, d):
+    """(answer, id): what the sentences of an answer cite by rule is what was retrieved for it."""
+    return C.claims(spark, d).select(F.concat_ws("/", "conv_id", "turn").alias("answer"), F.col("cited").alias("id")).distinct()
+
+
 def _planted(spark, d):
     claims, k = _claims(spark, d), (F.col("conv_id") + F.col("turn") + F.col("n")) % 12
     fault = F.coalesce(*[F.when(k == i, F.lit(f)) for i, f in enumerate(_FAULTS)])
-    cited = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("cited", F.lit("x:1"))).otherwise(F.array("cited"))
+    cited = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("cited", F.lit("x:1"))).when(k == 2, F.array("cited", F.concat(F.col("conv_id") + 500 + F.col("n"), F.lit(":0")))).otherwise(F.array("cited"))
     school = F.when(k == 4, "Zeno the elder").when(k == 11, F.substring_index("text", " ", 1)).otherwise("")
-    rows = claims.select("claim", F.concat_ws(" ", "text", fault).alias("text"), cited.alias("cited"), school.alias("school"))
+    rows = claims.select("claim", F.concat_ws("/", "conv_id", "turn").alias("answer"), F.concat_ws(" ", "text", fault).alias("text"), cited.alias("cited"), school.alias("school"))
     ruling = F.when(F.col("location") % 3 == 0, " هذا حرام").when(F.col("location") % 3 == 1, " لا يجوز ذلك").otherwise("")
     source = F.when(F.col("location") % 5 == 0, "sahih-muslim").otherwise(F.col("source_id"))
     items = C.passages(spark, d).select("id", source.alias("source_id"), (F.col("rid") % 13 != 0).alias("answer_part"), F.concat("text", ruling).alias("text"))
@@ -767,9 +773,9 @@ def _planted(spark, d):
 
 @query(f"WITH {_PLANTED} SELECT claim, reason FROM v")
 def h1_verify(spark, d):
-    """H1 to H3, H5, H9 to H12 on the assistant's sentences, one fault of each rule planted among twelve of them."""
+    """H1 to H3, H5, H9 to H12 on the assistant's sentences, one fault of each rule planted among twelve of them; one of the faults is a passage retrieved for another answer."""
     claims, items = _planted(spark, d)
-    return M.verify(claims, items, items)
+    return M.verify(claims, items, _offered(spark, d))
 
 
 @query(f"WITH {_PLANTED} SELECT key AS claim, kind FROM pol s WHERE g = 's' AND NOT neg2 AND key IN (SELECT key FROM there) AND NOT EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind) GROUP BY 1, 2")
@@ -800,10 +806,10 @@ def h4_evidence_contiguous(spark, d):
     return M.evidence_contiguous(claims.withColumn("witness", F.substring_index("text", " ", 3)), items)
 
 
-@query(f"WITH {_PLANTED} SELECT claim, reason FROM v WHERE reason IN ('no citation', 'not retrieved')")
+@query(f"WITH {_PLANTED} SELECT claim, reason FROM v WHERE reason IN ('nothing cited', 'passage of another answer')")
 def h2_citation_integrity(spark, d):
     claims, items = _planted(spark, d)
-    return M.verify(claims, items, items).filter("reason IN ('no citation', 'not retrieved')")
+    return M.verify(claims, items, _offered(spark, d)).filter("reason IN ('nothing cited', 'passage of another answer')")
 
 
 @query(f"""WITH {_CLAIMS} SELECT conv_id, turn, CAST(n AS BIGINT) AS n, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, cited AS ids FROM cl""")
@@ -827,7 +833,7 @@ SELECT answer, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason
 FROM r LEFT JOIN k USING (answer) GROUP BY answer""")
 def h35_rejection_rollup(spark, d):
     claims, items = _planted(spark, d)
-    verdicts = M.verify(claims, items, items)
+    verdicts = M.verify(claims, items, _offered(spark, d))
     rolled = E.rejection_rollup(verdicts.select(F.substring_index("claim", "/", 2).alias("answer"), F.substring_index("claim", "/", -1).cast("int").alias("pos"), "reason"))
     listed = F.array_join(F.transform(F.array_sort(F.map_entries("reasons")), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
     return rolled.withColumn("reasons", listed)
@@ -919,14 +925,14 @@ def _qrels(spark, d, index):
 a AS (SELECT qid, sum(pr) AS ap, min(rank) AS first, count(*) AS found FROM g GROUP BY qid)
 SELECT count(*) AS questions, round(avg(coalesce(ap / n, 0)), 6) AS map, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(coalesce(found / n, 0)), 6) AS recall FROM (SELECT qid, count(*) AS n FROM qr GROUP BY qid) LEFT JOIN a USING (qid)""")
 def i1_rank_metrics(spark, d):
-    index = R.Index(C.passages(spark, d))
+    index = C.passage_index(spark, d)
     return V.rank_metrics(R.bm25(C.questions(spark, d), index), _qrels(spark, d, index))
 
 
 @query(f"""WITH {S.BM25}, {S.RUNS[S.RUNS.index('qp AS'):]}, {_QRELS}, f AS (SELECT qid, min(rank) AS first FROM hits JOIN qr USING (qid, rid) GROUP BY qid)
 SELECT count(*) AS questions, count(*) FILTER (first <= 1) AS hit_1, count(*) FILTER (first <= 5) AS hit_5, count(*) FILTER (first <= 10) AS hit_10, round(avg(CASE WHEN first <= 10 THEN 1 / first ELSE 0 END), 6) AS mrr FROM q LEFT JOIN f USING (qid)""")
 def i2_hit_at(spark, d):
-    asked, index = C.questions(spark, d), R.Index(C.passages(spark, d))
+    asked, index = C.questions(spark, d), C.passage_index(spark, d)
     return V.hit_at(R.bm25(asked, index), _qrels(spark, d, index), asked)
 
 
@@ -942,7 +948,7 @@ def i5_compare_runs(spark, d):
     """BM25 order against the same hits ordered by coverage."""
     from pyspark.sql import Window
 
-    hits = R.bm25(C.questions(spark, d), C.passages(spark, d))
+    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d))
     other = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("coverage").desc(), F.col("score").desc(), "rid")).cast("long"))
     return V.compare_runs(hits, other)
 
@@ -1016,7 +1022,7 @@ def i22_unanswered_review(spark, d):
     """Every third question abstained; questions below 10 are older than the review."""
     asked = C.questions(spark, d)
     replies = asked.select("qid", F.col("qid").alias("at"), F.when(F.col("qid") % 3 == 0, "abstained").otherwise("answered").alias("status"))
-    return V.unanswered_review(replies, R.bm25(asked, C.passages(spark, d)), F.lit(10))
+    return V.unanswered_review(replies, R.bm25(asked, C.passage_index(spark, d)), F.lit(10))
 
 
 @query(f"""WITH {_SENTENCES}, a AS (SELECT answer, style, count(*) AS n, max(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))) AS longest, bool_or(regexp_matches(text, '(?:thanks|help)')) AS hard FROM st WHERE style <> 'other' GROUP BY answer, style),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.tables import shared_dir
+from corpusloom.operators.retrieval import Index
+
 #: Lines of one document that the order key has room for.
 LINES = 1_000_000
 
@@ -26,6 +29,21 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def passage_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The keyword index of passages(), built once in a session for what the table of documents holds now, and shared by all searches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listStatus(path)
+    state = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, state)
+    if key not in _INDEXES:
+        _INDEXES[key] = Index(passages(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 

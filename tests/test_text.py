@@ -29,6 +29,12 @@ def test_words_with_offsets(spark):
     assert one(spark, T.words_with_offsets(F.lit(None).cast("string"))) == []
 
 
+def test_normalized_words_are_those_with_offsets(spark):
+    texts = ["well-known  facts,\tand  (more)", " - ", "", None, "a\u064b\u064c b", "x\n\n--y z--", "«سفينة-بحر» ؛ موج", "--a--", "tab\x0bform"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalized_words(F.col("t")).alias("a"), F.transform(T.words_with_offsets(F.col("t")), lambda w: w["w"]).alias("b"))
+    assert all(r.a == r.b for r in df.collect())
+
+
 def test_identity_keeps_vowels(spark):
     assert one(spark, T.answer_identity(F.lit(" «البُـــرّ»؟ "))) == "البُرّ"
     assert one(spark, T.answer_identity(F.lit("آية"))) == "آية"
