@@ -272,3 +272,13 @@ def same_word_form(tokens: DataFrame, held: DataFrame, lemmas: DataFrame | None
         found = found.unionByName(by_synonym)
     found = found.distinct().withColumn("found", F.lit(True))
     return tokens.join(found, ["key", "token"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def keyboard_reading(queries: DataFrame, index: Index | DataFrame) -> DataFrame:
+    """(qid, reading): what a question (qid, text) of Latin keys alone, three letters at least, would have been on an Arabic keyboard, where all tokens of that are words of the corpus."""
+    keys = F.col("text").rlike("^[A-Za-z\\[\\];',./`\\s]+$") & (F.char_length(F.regexp_replace("text", "[^A-Za-z]", "")) >= 3)
+    read = saved(queries.filter(keys).select("qid", forms.keyboard_remap(F.col("text")).alias("reading")), "keyboard")
+    tokens = read.select("qid", F.explode(tokenize(F.col("reading"))).alias("token")).distinct()
+    known = as_index(index).frequencies().join(small(tokens.select("token").distinct()), "token", "left_semi").select("token", F.lit(True).alias("known"))
+    whole = tokens.join(small(known), "token", "left").groupBy("qid").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known")).filter("all_known")
+    return read.join(whole, "qid", "left_semi")

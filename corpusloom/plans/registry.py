@@ -15,7 +15,7 @@ from corpusloom.operators import evidence as E
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import rulings as G
 from corpusloom.operators import vectors as W
-from corpusloom.plans import lookup  # noqa: F401  registers its queries
+from corpusloom.plans import drafting, lookup  # noqa: F401  they register their queries
 from corpusloom.plans import sql as S
 from corpusloom.plans.base import QUERIES, SQL, query  # noqa: F401
 from corpusloom.sources import corpus as C
