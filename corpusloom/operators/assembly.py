@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.tables import small
+from corpusloom.functions.tables import saved, small
 from corpusloom.functions.text import normalize, tokenize
+from corpusloom.operators.retrieval import bm25
 
 MIN_COVERAGE, MIN_WORDS = 0.34, 4
 PART_SLOTS, NEIGHBOUR_OF, MAX_NEIGHBOURS = 3, 4, 4
@@ -75,6 +76,16 @@ def quotations_in(text: Column, least_words: int = 4, most: int = 12) -> Column:
     return F.slice(F.filter(all_, lambda q: F.size(F.filter(F.split(normalize(q), " "), lambda w: w != "")) >= least_words), 1, most)
 
 
+def quoted_sources(texts: DataFrame, index, most: int = 3, coverage: float = 0.9) -> DataFrame:
+    """(rid, quoted, nth): for each text (rid, text), the items that hold nearly all words of its quotations, the first quotation's best first."""
+    quotes = saved(texts.select("rid", F.posexplode(quotations_in(F.col("text"))).alias("k", "quote")), "quotations")
+    asked = quotes.select("quote").distinct().select(F.xxhash64("quote").alias("qid"), F.col("quote").alias("text"))
+    hits = bm25(asked, index).filter(F.col("coverage") >= coverage).select("qid", F.col("rid").alias("quoted"), "rank")
+    met = quotes.select("rid", "k", F.xxhash64("quote").alias("qid")).join(hits, "qid")
+    nth = F.row_number().over(Window.partitionBy("rid").orderBy("k", "rank"))
+    return met.withColumn("nth", nth).filter(F.col("nth") <= most).select("rid", "quoted", "nth")
+
+
 def quoted_source_first(hits: DataFrame, sources: DataFrame, most: int = 2) -> DataFrame:
     """(question, rid, place): before a hit that quotes a primary text, that text, for `most` hits of a question.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -80,7 +81,8 @@ def a16_merge_corpora(spark, d):
     return C.merge(live, turns)
 
 
-@query(f"""WITH {S.PASSAGES} SELECT CAST(floor(rid / 10000000) AS BIGINT) AS stretch, count(*) AS n_rows, sha256(string_agg(sha256(id || chr(9) || text), '' ORDER BY rid)) AS digest FROM p GROUP BY 1""")
+@query(f"""WITH {S.PASSAGES}, b AS (SELECT CAST(floor(rid / 100000) AS BIGINT) AS part, count(*) AS n, sha256(string_agg(sha256(id || chr(9) || text), '' ORDER BY rid)) AS h FROM p GROUP BY 1)
+SELECT CAST(floor(part / 100) AS BIGINT) AS stretch, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(h, '' ORDER BY part)) AS digest FROM b GROUP BY 1""")
 def a17_corpus_fingerprint(spark, d):
     return C.fingerprint(C.passages(spark, d))
 
@@ -454,20 +456,26 @@ def f8_issue_opener(spark, d):
     return A.issue_openers(offered, items, "en", "^[A-M]")
 
 
-@query(f"""WITH {_PLACED}, h AS (SELECT qid, rid, rank, coverage FROM hits), f AS (SELECT b.rid, b.quoted, b.nth FROM (SELECT x.rid, h.rid AS quoted, row_number() OVER (PARTITION BY x.rid ORDER BY h.rank) AS nth FROM (SELECT DISTINCT rid, rid % 40 AS qid FROM off) x JOIN h USING (qid) WHERE coverage >= 0.2) b WHERE nth <= 3),
-q1 AS (SELECT question, quoted, min(place) AS pl FROM off JOIN (SELECT rid, arg_min(quoted, nth) AS quoted FROM f GROUP BY rid) USING (rid) GROUP BY question, quoted),
+@query(f"""WITH {_PLACED}, nq AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark),
+tx AS (SELECT o.rid, coalesce(p.text, '') || ' «' || translate(nq.text, '«»"“”', '') || '»' AS text FROM (SELECT DISTINCT rid FROM off) o JOIN p USING (rid) JOIN nq ON o.rid % nq.n = nq.k),
+alq AS (SELECT rid, list_transform(regexp_extract_all(text, '[«"“]([^«»"“”]+)[»"”]', 1), lambda x: trim(x)) AS qs FROM tx),
+qts AS (SELECT rid, (list_filter(qs, lambda x: len(list_filter(string_split({S.normal('x')}, ' '), lambda w: w <> '')) >= 4))[1:12] AS qs FROM alq),
+qu AS MATERIALIZED (SELECT rid, unnest(qs) AS quote, generate_subscripts(qs, 1) AS nth FROM qts),
+dq AS MATERIALIZED (SELECT row_number() OVER (ORDER BY quote) AS qid, quote FROM (SELECT DISTINCT quote FROM qu)),
+qhits AS MATERIALIZED (WITH {S.BM25.replace(S.QUESTIONS, "q AS (SELECT qid, quote AS text FROM dq)")} SELECT qid, rid, rank FROM hits WHERE coverage >= 0.9),
+f AS (SELECT qu.rid, h.rid AS quoted, row_number() OVER (PARTITION BY qu.rid ORDER BY qu.nth, h.rank) AS nth FROM qu JOIN dq USING (quote) JOIN qhits h USING (qid)),
+q1 AS (SELECT question, quoted, min(place) AS pl FROM off JOIN (SELECT rid, arg_min(quoted, nth) AS quoted FROM f WHERE nth <= 3 GROUP BY rid) USING (rid) GROUP BY question, quoted),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY pl, quoted) AS k FROM q1) WHERE k <= 2),
 u AS (SELECT question, rid, place AS pl, 1 AS after FROM off UNION ALL SELECT question, quoted, pl, 0 FROM c), o AS (SELECT question, rid, min((pl, after)) AS a FROM u GROUP BY question, rid)
 SELECT question, rid, row_number() OVER (PARTITION BY question ORDER BY a, rid) AS place FROM o""")
 def f9_quoted_source_first(spark, d):
-    """What a hit quotes is taken to be one of the benchmark texts, by its number, and the search's finds for it are the primary texts."""
+    """Every offered passage quotes a benchmark text besides what it quotes itself; quotations are taken out of the texts and searched for."""
     offered, items = _offered(spark, d)
-    hits = R.bm25(C.questions(spark, d), C.passage_index(spark, d)).filter("coverage >= 0.2").select("qid", F.col("rid").alias("quoted"), "rank")
-    from pyspark.sql import Window
-
-    met = offered.select("rid", (F.col("rid") % 40).alias("qid")).distinct().join(hits, "qid")
-    sources = met.withColumn("nth", F.row_number().over(Window.partitionBy("rid").orderBy("rank"))).filter("nth <= 3")
-    return A.quoted_source_first(offered, sources.select("rid", "quoted", "nth"))
+    asked = C.questions(spark, d).select("qid", F.translate("text", "«»\"“”", "").alias("quote"))
+    n = asked.count()
+    placed = asked.withColumn("k", F.row_number().over(Window.orderBy("qid")) - 1).drop("qid")  # the questions: a stated set
+    texts = offered.select("rid").distinct().join(items.select("rid", "text"), "rid").join(placed, F.col("rid") % n == F.col("k"))
+    return A.quoted_source_first(offered, A.quoted_sources(texts.select("rid", F.concat("text", F.lit(" «"), "quote", F.lit("»")).alias("text")), C.passage_index(spark, d)))
 
 
 @query("""WITH t AS (SELECT c_custkey AS key, split_part(c_name, '#', 1) || ' ' || c_custkey % 30 || '-' || (c_custkey % 30 + c_custkey % 4) || ' and Nobody 3, customer 7' AS text FROM customer),
@@ -704,15 +712,15 @@ def g18_mark_bigrams(spark, d):
     return E.bigram_lexicon(_marked(spark, d))
 
 
-@query(f"""WITH {_MARKED}, {_LEX1}, {_LEX2}, g AS (SELECT rid, pos, word, CASE WHEN pos % 3 = 0 THEN word ELSE written END AS written, before, head AS oh, ending AS oe, tail AS ot FROM mx WHERE rid % 5 = 0),
+@query(f"""WITH {_MARKED}, {_LEX1}, {_LEX2}, g AS (SELECT rid, pos, word, CASE WHEN pos % 3 = 0 THEN word ELSE written END AS written, before, head AS oh, ending AS oe, tail AS ot FROM mx),
 o AS (SELECT rid, pos, g.word, g.written, g.before, CASE WHEN pos % 3 = 0 THEN g.word ELSE oh END AS oh, CASE WHEN pos % 3 = 0 THEN '' ELSE oe END AS oe, CASE WHEN pos % 3 = 0 THEN '' ELSE ot END AS ot, coalesce(l2.head, l1.head) AS head,
  CASE WHEN l2.head IS NOT NULL THEN l2.tail ELSE l1.tail END AS tail, CASE WHEN l2.head IS NOT NULL THEN l2.ending ELSE l1.ending END AS ending FROM g LEFT JOIN l2 ON l2.before = g.before AND l2.word = g.word LEFT JOIN l1 ON l1.word = g.word),
 f AS (SELECT *, head || CASE WHEN ending = '' THEN '' WHEN oe <> '' THEN oe ELSE ending END || tail AS stem FROM o)
 SELECT rid, pos, CASE WHEN head IS NULL THEN written WHEN oh = head AND ot = tail THEN CASE WHEN oe = '' OR ending <> '' THEN written ELSE head || tail END WHEN regexp_replace(stem, '{_MARK}', '', 'g') = regexp_replace(written, '{_MARK}', '', 'g') THEN stem ELSE written END AS fixed FROM f""")
 def g20_apply_mark_lexicon(spark, d):
-    """Every third word of every fifth passage lost its marks; the lexicons give them back where all books agree."""
+    """Every third word of every passage lost its marks; the lexicons give them back where all books agree."""
     words = E.marked_words(_marked(spark, d))
-    lost = words.filter("rid % 5 = 0").withColumn("written", F.when(F.col("pos") % 3 == 0, F.col("word")).otherwise(F.col("written")))
+    lost = words.withColumn("written", F.when(F.col("pos") % 3 == 0, F.col("word")).otherwise(F.col("written")))
     return E.apply_lexicon(lost, E.mark_lexicon(_marked(spark, d)), E.bigram_lexicon(_marked(spark, d))).select("rid", "pos", "fixed")
 
 
@@ -754,7 +762,7 @@ v AS (SELECT claim, CASE WHEN len(cited) = 0 THEN 'nothing cited' WHEN claim IN
  WHEN contains(text, 'روى البخاري ومسلم') THEN 'collection not cited'
  WHEN claim IN (SELECT key FROM mis) THEN 'ruling not in the passages' WHEN claim IN (SELECT key FROM fl) THEN 'ruling turned around' END AS reason FROM c)"""
 
-def _offered(spark, d):
+def _retrieved(spark, d):
     """(answer, id): what the sentences of an answer cite by rule is what was retrieved for it."""
     return C.claims(spark, d).select(F.concat_ws("/", "conv_id", "turn").alias("answer"), F.col("cited").alias("id")).distinct()
 
@@ -775,7 +783,7 @@ def _planted(spark, d):
 def h1_verify(spark, d):
     """H1 to H3, H5, H9 to H12 on the assistant's sentences, one fault of each rule planted among twelve of them; one of the faults is a passage retrieved for another answer."""
     claims, items = _planted(spark, d)
-    return M.verify(claims, items, _offered(spark, d))
+    return M.verify(claims, items, _retrieved(spark, d))
 
 
 @query(f"WITH {_PLANTED} SELECT key AS claim, kind FROM pol s WHERE g = 's' AND NOT neg2 AND key IN (SELECT key FROM there) AND NOT EXISTS (SELECT 1 FROM there t WHERE t.key = s.key AND t.kind = s.kind) GROUP BY 1, 2")
@@ -809,7 +817,7 @@ def h4_evidence_contiguous(spark, d):
 @query(f"WITH {_PLANTED} SELECT claim, reason FROM v WHERE reason IN ('nothing cited', 'passage of another answer')")
 def h2_citation_integrity(spark, d):
     claims, items = _planted(spark, d)
-    return M.verify(claims, items, _offered(spark, d)).filter("reason IN ('nothing cited', 'passage of another answer')")
+    return M.verify(claims, items, _retrieved(spark, d)).filter("reason IN ('nothing cited', 'passage of another answer')")
 
 
 @query(f"""WITH {_CLAIMS} SELECT conv_id, turn, CAST(n AS BIGINT) AS n, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, cited AS ids FROM cl""")
@@ -833,7 +841,7 @@ SELECT answer, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason
 FROM r LEFT JOIN k USING (answer) GROUP BY answer""")
 def h35_rejection_rollup(spark, d):
     claims, items = _planted(spark, d)
-    verdicts = M.verify(claims, items, _offered(spark, d))
+    verdicts = M.verify(claims, items, _retrieved(spark, d))
     rolled = E.rejection_rollup(verdicts.select(F.substring_index("claim", "/", 2).alias("answer"), F.substring_index("claim", "/", -1).cast("int").alias("pos"), "reason"))
     listed = F.array_join(F.transform(F.array_sort(F.map_entries("reasons")), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
     return rolled.withColumn("reasons", listed)
@@ -866,12 +874,11 @@ def h20_length_ceiling(spark, d):
     return P.length_ceiling(_sentences(spark, d)).select("answer", "pos")
 
 
-@query("""SELECT doc_id, 'see' || substring(text, 1, 20) || ' end' AS text FROM (SELECT doc_id, replace(text, 'x:1', '') AS text FROM documents WHERE doc_id % 10 = 0)""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace('see [f:12:3]' || coalesce(text, '') || ' end (t4:5.1)', '\s*[\[(]?\b[a-z]\d*(?::\d+(?:\.\d+)?){1,5}\b[\])]?', '', 'g'), '\s*[\[(]\s*[\])]', '', 'g') AS text FROM documents""")
 def h21_strip_ids(spark, d):
-    """Ids written into the beginnings of documents, with brackets and without, and taken out again."""
-    rows = C.read(spark, d, "documents").filter("doc_id % 10 = 0")
-    written = F.concat(F.lit("see [f:12:3]"), F.substring("text", 1, 20), F.lit(" end (t4:5.1)"))
-    return rows.select("doc_id", P.strip_ids(written).alias("text"))
+    """Ids written around whole documents, with brackets and without, and taken out again with what the texts hold of the like."""
+    written = F.concat(F.lit("see [f:12:3]"), F.coalesce("text", F.lit("")), F.lit(" end (t4:5.1)"))
+    return C.read(spark, d, "documents").select("doc_id", P.strip_ids(written).alias("text"))
 
 
 @query(f"""WITH {S.PASSAGES}, {_CLAIMS} SELECT DISTINCT conv_id || '/' || turn AS answer, cited AS id FROM cl WHERE cited NOT IN (SELECT id FROM p WHERE rid % 3 <> 0)""")
@@ -1033,13 +1040,14 @@ def i25_style_audit(spark, d):
     return V.style_audit(_sentences(spark, d), limits, ["thanks", "help"])
 
 
-@query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations WHERE turn IN (0, 1)),
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations),
 t AS (SELECT conv_id, turn, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS t FROM w)
-SELECT a.conv_id AS qid, round(CASE WHEN len(a.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t)) / len(a.t) END, 6) AS share FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1""")
+SELECT a.conv_id || '/' || a.turn AS qid, round(CASE WHEN len(a.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t)) / len(a.t) END, 6) AS share FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def i25_shared_trigrams(spark, d):
-    """The first turn of a conversation against the second."""
-    turn = lambda n: C.read(spark, d, "conversations").filter(F.col("turn") == n).select(F.col("conv_id").alias("qid"), "text")
-    return V.shared_trigrams(turn(0), turn(1))
+    """Each turn of a conversation against the next."""
+    turns = C.read(spark, d, "conversations")
+    key = lambda back: F.concat_ws("/", "conv_id", F.col("turn") - back).alias("qid")
+    return V.shared_trigrams(turns.select(key(0), "text"), turns.select(key(1), "text"))
 
 
 @query("""SELECT event_type AS model, count(*) AS calls, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens_in, CAST(sum(floor(value)) AS BIGINT) AS tokens_out FROM events GROUP BY event_type""")
@@ -1078,7 +1086,10 @@ def j3_reply_cache(spark, d):
     return J.merge_replies(replies.limit(0), replies, "view", now)
 
 
-@query("""SELECT key, event_id, ts FROM (SELECT user_id || event_type AS key, event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR ts - b > INTERVAL 86400 SECOND""")
+@query("""WITH RECURSIVE e AS (SELECT user_id || event_type AS key, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+nx AS MATERIALIZED (SELECT a.event_id, arg_min(b.event_id, (b.ts, b.event_id)) AS nxt FROM e a JOIN e b ON a.key = b.key AND b.ts - a.ts > INTERVAL 86400 SECOND GROUP BY a.event_id),
+c AS (SELECT event_id FROM e WHERE k = 1 UNION ALL SELECT nxt FROM c JOIN nx USING (event_id))
+SELECT key, event_id, ts FROM c JOIN e USING (event_id)""")
 def j4_single_flight(spark, d):
     return J.single_flight_batch(C.read(spark, d, "events").select(F.concat("user_id", "event_type").alias("key"), "event_id", "ts"), 86_400)
 

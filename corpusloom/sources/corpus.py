@@ -100,11 +100,17 @@ def merge(live: DataFrame, candidate: DataFrame, rid: str = "rid") -> DataFrame:
     return live.unionByName(placed.withColumn(rid, F.col("offset") + F.col("k")).select(live.columns))
 
 
-def fingerprint(items: DataFrame, bucket: int = 10_000_000) -> DataFrame:
-    """One digest per stretch of the order: changes with any id, text or place of a row in it."""
-    rows = items.select((F.col("rid") / bucket).cast("long").alias("stretch"), "rid", F.sha2(F.concat(F.col("id"), F.lit("\t"), F.col("text")), 256).alias("h"))
-    packed = rows.groupBy("stretch").agg(F.sort_array(F.collect_list(F.struct("rid", "h"))).alias("x"), F.count("*").alias("n_rows"))
-    return packed.select("stretch", "n_rows", F.sha2(F.array_join(F.transform("x", lambda r: r["h"]), ""), 256).alias("digest"))
+def fingerprint(items: DataFrame, bucket: int = 100_000, wide: int = 100) -> DataFrame:
+    """One digest per stretch of the order, of `wide` buckets each: changes with any id, text or place of a row in it.
+
+    A bucket's digests are put together first, a stretch is the digest of its buckets', so no row holds more than a bucket.
+    """
+    rows = items.select((F.col("rid") / bucket).cast("long").alias("part"), "rid", F.sha2(F.concat(F.col("id"), F.lit("\t"), F.col("text")), 256).alias("h"))
+    packed = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("rid", "h"))).alias("x"), F.count("*").alias("n"))
+    joined = lambda: F.sha2(F.array_join(F.transform("x", lambda r: r["h"]), ""), 256)
+    parts = packed.select((F.col("part") / wide).cast("long").alias("stretch"), "part", "n", joined().alias("h"))
+    whole = parts.groupBy("stretch").agg(F.sort_array(F.collect_list(F.struct("part", "h"))).alias("x"), F.sum("n").alias("n_rows"))
+    return whole.select("stretch", "n_rows", joined().alias("digest"))
 
 
 def ordered_distinct(values: str, order: list[str], by: list[str], df: DataFrame, sep: str) -> DataFrame:

@@ -102,14 +102,33 @@ def reply_cache(stream: DataFrame, path: str, version: str, checkpoint: str, now
 
 
 def single_flight(stream: DataFrame, late: str = "1 minute") -> DataFrame:
-    """The first request of each key (key, ts) while it is in flight."""
+    """The first request of each key (key, ts) while it is in flight.
+
+    A stream closes a key until its watermark has passed the first request by `late`, and a watermark trails the latest
+    event by `late` as well; so it lets a later request of a chain pass up to twice as late as single_flight_batch().
+    """
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["key"])
 
 
 def single_flight_batch(requests: DataFrame, seconds: int = 60) -> DataFrame:
-    """Requests of a key that come more than `seconds` after the one before them."""
-    before = F.lag("ts").over(Window.partitionBy("key").orderBy("ts", "event_id"))
-    return requests.withColumn("before", before).filter(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr(f"INTERVAL {seconds} SECONDS"))).drop("before")
+    """Requests that come more than `seconds` after the last one of their key that was let pass.
+
+    A request so long after the one before it always passes, so each stretch without such a pause is gone through by itself.
+    """
+    order = Window.partitionBy("key").orderBy("ts", "event_id")
+    apart = lambda a, b: F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp")) > seconds * 1_000_000
+    cut = requests.withColumn("_cut", F.coalesce(apart(F.col("ts"), F.lag("ts").over(order)), F.lit(True)).cast("long"))
+    stretched = cut.withColumn("_stretch", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    listed = stretched.groupBy("key", "_stretch").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("x"))
+
+    def step(acc, r):
+        passes = acc["last"].isNull() | apart(r["ts"], acc["last"])
+        return F.struct(F.when(passes, r["ts"]).otherwise(acc["last"]).alias("last"), F.when(passes, F.concat(acc["out"], F.array(r["event_id"]))).otherwise(acc["out"]).alias("out"))
+
+    kinds = dict(requests.dtypes)
+    start = F.struct(F.lit(None).cast(kinds["ts"]).alias("last"), F.array().cast(f"array<{kinds['event_id']}>").alias("out"))
+    kept = listed.select("key", F.explode(F.aggregate("x", start, step)["out"]).alias("event_id"))
+    return requests.join(kept, ["key", "event_id"], "left_semi")
 
 
 def counters(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:

@@ -77,3 +77,13 @@ def test_replies(spark, tmp_path):
 def test_forget(spark):
     rows = spark.createDataFrame([(1, ["secret", "name", "x"]), (2, ["secret"])], "id int, tokens array<string>")
     assert [r.id for r in J.forget(rows, ["secret", "name"], "tokens").collect()] == [2]
+
+
+def test_single_flight_follows_chains(spark, tmp_path):
+    """Requests 40 s apart under a limit of 60 s: every other one passes. A stream that sees them all at once holds the key closed."""
+    rows = [("a", k, START + timedelta(seconds=40 * k)) for k in range(9)] + [("b", 100, START), ("b", 101, START + timedelta(seconds=60)), ("b", 102, START + timedelta(seconds=61)), ("c", 103, START + timedelta(hours=1))]
+    df = spark.createDataFrame(rows, "key string, event_id long, ts timestamp")
+    assert sorted(r.event_id for r in J.single_flight_batch(df).collect()) == [0, 2, 4, 6, 8, 100, 102, 103]
+    df.write.parquet(f"{tmp_path}/in")
+    drained(J.single_flight(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), "chain")
+    assert {r.key for r in spark.table("chain").collect()} == {"a", "b", "c"}
