@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tables import saved, small
-from corpusloom.functions.text import collapse_spaces, normalize, normalized_words, words_with_offsets
+from corpusloom.functions.text import collapse_spaces, let, normalize, normalized_words, words_with_offsets
 from corpusloom.operators.retrieval import runs_of
 
 CLOSE_COVERAGE, CLOSE_RUN, LEAST_WORDS = 0.6, 4, 3
@@ -18,6 +18,9 @@ FUZZY_WORD, FUZZY_COVERAGE, FUZZY_FOUND, FUZZY_SLACK = 4, 0.7, 4, 2
 MARK = "[\\u064B-\\u0652\\u0670]"
 ENDING = "[\\u064B-\\u0650]"
 TANWEEN_ALIF = "^(.*)(\\u064B)([اى])$"
+#: A word of Arabic letters with its marks, and a quotation, to its end or the text's.
+LETTER_WORD = "[\\u0621-\\u063a\\u0641-\\u064a\\u0671][\\u0621-\\u063a\\u0641-\\u064a\\u0671\\u064b-\\u0652\\u0670]*"
+QUOTED = "«[^»]*(?:»|$)|﴿[^﴾]*(?:﴾|$)|“[^”]*(?:”|$)|\"[^\"\\n]*(?:\"|$)"
 EDGES = "^[^\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_]+$"
 # Kinds and sources that come first among equally exact findings.
 KIND_ORDER = ["quran", "hadith"]
@@ -284,6 +287,58 @@ def apply_lexicon(words: DataFrame, lexicon: DataFrame, bigrams: DataFrame) -> D
     return found.select("rid", "pos", "written", "word", fixed.alias("fixed"))
 
 
+def spans_of(text: Column, pattern: str) -> Column:
+    """(s, e) of each match of a pattern in a text."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("w"), F.split(text, pattern, -1).alias("gap"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.char_length(x["gap"])
+        e = s + F.char_length(x["w"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    of = lambda f: F.aggregate(F.filter(F.arrays_zip(f["w"].alias("w"), f["gap"].alias("gap")), lambda x: x["w"].isNotNull()), start, step)["out"]
+    return let(found, of)
+
+
+def letter_words(items: DataFrame) -> DataFrame:
+    """(rid, pos, s, e, written, word): Arabic words with their marks, where they stand, and bare of marks; stored."""
+    rows = items.select("rid", F.coalesce("text", F.lit("")).alias("text")).select("rid", F.arrays_zip(F.regexp_extract_all("text", F.lit(LETTER_WORD), F.lit(0)).alias("w"), spans_of(F.col("text"), LETTER_WORD).alias("at")).alias("x"))
+    flat = rows.select("rid", F.posexplode("x").alias("pos", "x")).select("rid", "pos", "x.at.s", "x.at.e", F.col("x.w").alias("written"))
+    return saved(flat.withColumn("word", bare(F.col("written"))), "letter-words")
+
+
+def protected_spans(texts: DataFrame, sources: DataFrame, least: int = 3, share: float = 0.8) -> DataFrame:
+    """(rid, pos, s, e, written, kept): the words of a text (rid, text) whose vowels are given: marked ones, those inside quotation marks, and those that run as in one of its sources (rid, k, text).
+
+    A run is `least` words that follow each other in both, or a whole source; its words take the source's marks, unless they
+    have marks, where that share of them has. All runs count, the longest first where several hold a word, then the first
+    source. Runs are looked for between a text and its own sources only.
+    """
+    words = letter_words(texts)
+    quotes = texts.select("rid", F.explode(spans_of(F.coalesce("text", F.lit("")), QUOTED)).alias("q"))
+    inside = words.join(quotes, "rid").filter((F.col("s") >= F.col("q.s")) & (F.col("e") <= F.col("q.e"))).select("rid", "pos", F.lit(True).alias("quoted")).distinct()
+
+    held = letter_words(sources.select(F.struct("rid", "k").alias("rid"), "text"))
+    own = lambda rid: F.concat_ws("\x02", rid.cast("string"), "word")
+    listed = lambda df, key, rid: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", own(rid).alias("w")))).alias("x")).select(key, F.transform("x", lambda r: r["w"]).alias("t"))
+    asked, theirs = listed(words.withColumnRenamed("rid", "qid"), "qid", F.col("qid")), listed(held, "rid", F.col("rid.rid"))
+    sizes = theirs.select("rid", F.size("t").alias("size"))
+    runs = runs_of(asked, theirs).select("qid", "rid", "start", "qstart", "run")
+    one = asked.select("qid", F.posexplode("t").alias("qstart", "w")).join(theirs.filter(F.size("t") == 1).select("rid", F.col("t")[0].alias("w")), "w").select("qid", "rid", F.lit(0).cast("long").alias("start"), F.col("qstart").cast("long").alias("qstart"), F.lit(1).cast("long").alias("run"))
+    runs = runs.unionByName(one).join(sizes, "rid").filter((F.col("run") >= least) | (F.col("run") == F.col("size")))
+    placed = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("run") - 1))).withColumn("dpos", F.col("start") + F.col("i"))
+    given = placed.join(held.select("rid", F.col("pos").alias("dpos"), F.col("written").alias("source_form")), ["rid", "dpos"])
+    marked = given.groupBy("qid", "rid", "start", "qstart", "run").agg((F.count_if(F.col("source_form").rlike(MARK)) >= share * F.col("run")).alias("marked"))
+    fit = given.join(marked.filter("marked").drop("marked"), ["qid", "rid", "start", "qstart", "run"])
+    best = fit.groupBy(F.col("qid").alias("rid"), (F.col("qstart") + F.col("i")).cast("int").alias("pos")).agg(F.min_by("source_form", F.struct(-F.col("run"), "rid.k", "dpos")).alias("source_form"))
+
+    every = words.join(inside, ["rid", "pos"], "left").join(best, ["rid", "pos"], "left")
+    has = F.col("written").rlike(MARK)
+    kept = F.when(has | F.col("source_form").isNull(), F.col("written")).otherwise(F.col("source_form"))
+    return every.filter(has | F.coalesce("quoted", F.lit(False)) | F.col("source_form").isNotNull()).select("rid", "pos", "s", "e", "written", kept.alias("kept"))
+
+
 def cited_prose(texts: DataFrame, key: list[str]) -> DataFrame:
     """(key, n, text, ids): sentences that carry [id, id]; others are dropped."""
     sentences = texts.select(*key, F.posexplode(F.split("text", "(?<=[.!?])\\s+")).alias("n", "sentence"))

@@ -134,6 +134,22 @@ def d11_heading_lookup(spark, d):
     return D.heading_lookup(questions(spark, d).select("qid", "text"), D.Headings(entries(spark, d).select("rid", "heading", "text")))
 
 
+_BM25_WORDS = S.BM25.replace(S.PASSAGES, f"{_P.replace('p AS (', 'p0 AS (')}, p AS (SELECT rid, {arabic_sql('text')} AS text FROM p0)").replace(S.QUESTIONS, "q AS (SELECT qid, 'ما معنى ' || word AS text FROM asked)")
+
+
+@query(f"""WITH RECURSIVE found_by_heading AS MATERIALIZED (WITH RECURSIVE {ENTRIES}, {_FOUND} SELECT qid, rid, rank FROM looked), asked AS MATERIALIZED (WITH {ENTRIES} SELECT qid, word FROM q),
+ranked AS MATERIALIZED (WITH {_BM25_WORDS} SELECT qid, rid, rank FROM hits),
+both_ AS (SELECT qid, rid, 1 AS tier, rank AS r FROM found_by_heading UNION ALL SELECT qid, rid, 2, rank FROM ranked),
+once AS (SELECT qid, rid, min((tier, r)) AS a, min(tier) AS tier FROM both_ GROUP BY qid, rid)
+SELECT qid, rid, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY a, rid) AS rank FROM once) WHERE rank <= 10""")
+def d10_heading_tier(spark, d):
+    """Questions about a word: entries under its root before those that hold it."""
+    rows, asked = entries(spark, d), questions(spark, d).select("qid", "text")
+    found = D.heading_lookup(asked, D.Headings(rows.select("rid", "heading", "text")))
+    none = asked.select("qid", F.lit(0).cast("long").alias("rid")).limit(0)
+    return R.tiered(none, R.bm25(asked, R.Index(rows)), headings=found)
+
+
 @query(f"""WITH c0 AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'ما معنى ' || text ELSE text END AS text FROM conversations),
 c AS (SELECT conv_id, turn, string_split({S.normal(arabic_sql('text'))}, ' ') AS ws, {S.tokens(arabic_sql('text'))} AS tk FROM c0)
 SELECT conv_id, turn, list_has_any(ws, {S.array(D.FRAME)}) AS meaning,

@@ -19,6 +19,7 @@ from corpusloom.operators import vectors as W
 from corpusloom.plans import drafting, lookup  # noqa: F401  they register their queries
 from corpusloom.plans import sql as S
 from corpusloom.plans.base import QUERIES, SQL, query  # noqa: F401
+from corpusloom.plans.lookup import arabic, arabic_sql
 from corpusloom.sources import corpus as C
 from corpusloom.sources import readers as X
 from corpusloom.streaming import jobs as J
@@ -724,6 +725,25 @@ def g20_apply_mark_lexicon(spark, d):
     return E.apply_lexicon(lost, E.mark_lexicon(_marked(spark, d)), E.bigram_lexicon(_marked(spark, d))).select("rid", "pos", "fixed")
 
 
+_LETTER_WORD = "[\\x{0621}-\\x{063a}\\x{0641}-\\x{064a}\\x{0671}][\\x{0621}-\\x{063a}\\x{0641}-\\x{064a}\\x{0671}\\x{064b}-\\x{0652}\\x{0670}]*"
+
+
+@query(f"""WITH {S.PASSAGES}, a AS (SELECT rid, translate({arabic_sql('text')}, '«»﴿﴾“”"', '') AS text FROM p), m AS (SELECT rid, text, translate(text, 'نر', 'َُ') AS marked FROM a),
+w AS (SELECT rid, list_transform(regexp_extract_all(marked, '{_LETTER_WORD}'), lambda x, i: x || 'ط' || translate((i - 1) || '', '0123456789', 'ابتثجحخدذس')) AS src FROM m), g AS (SELECT rid, src, len(src) AS n, list_transform(src, lambda x: regexp_replace(x, '{_MARK}', '', 'g')) AS own FROM w WHERE len(src) > 0),
+k AS (SELECT *, CASE WHEN rid % 2 = 0 THEN len(list_filter(src, lambda x: regexp_matches(x, '{_MARK}'))) >= 0.8 * n ELSE false END AS fits FROM g),
+o AS (SELECT rid, i - 1 AS pos, own[i] AS written, CASE WHEN fits THEN src[i] ELSE own[i] END AS kept, fits FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM k))
+SELECT rid, pos, written, kept FROM o WHERE fits OR pos = 0""")
+def g19_protected_spans(spark, d):
+    """Passages without their marks, the first word in quotation marks, each word with its number in letters; every second one has the marked passage for its source."""
+    text = F.translate(arabic(F.col("text")), "«»﴿﴾“”\"", "")
+    number = lambda i: F.concat(F.lit("ط"), F.translate(i.cast("string"), "0123456789", "ابتثجحخدذس"))
+    marked = F.transform(F.regexp_extract_all(F.translate("text", "نر", "َُ"), F.lit(E.LETTER_WORD), F.lit(0)), lambda w, i: F.concat(w, number(i)))
+    rows = C.passages(spark, d).select("rid", text.alias("text")).select("rid", marked.alias("marked")).filter("size(marked) > 0")
+    texts = rows.select("rid", F.transform("marked", E.bare).alias("w")).select("rid", F.concat(F.lit("«"), F.col("w")[0], F.lit("» "), F.array_join(F.slice("w", F.lit(2), F.size("w")), " ")).alias("text"))
+    sources = rows.filter("rid % 2 = 0").select("rid", F.lit(0).alias("k"), F.array_join("marked", " ").alias("text"))
+    return E.protected_spans(texts, sources).select("rid", "pos", "written", "kept")
+
+
 # --- claims ---------------------------------------------------------------------------------------
 
 _CLAIMS = """cs AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: true) AS ss FROM conversations WHERE role = 'assistant'),

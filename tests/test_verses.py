@@ -2,6 +2,8 @@
 
 import random
 
+from corpusloom.operators import evidence as E
+from corpusloom.operators import retrieval as R
 from corpusloom.operators import verses as Z
 
 WORDS = "نجم قمر سماء بحار جبال انهار اشجار طيور رياح امطار مسافرون مسافرين كاتبون كاتبين وادي".split()
@@ -115,3 +117,31 @@ def test_closest_by_words(spark):
     assert got == {1: (1, 4, 4), 3: (1, 3, 4)}
     offered = spark.createDataFrame([(3, 2, 1), (3, 1, 2)], "qid long, rid long, rank int")
     assert {r.qid: r.rid for r in Z.closest_by_words(asked, items, offered).collect()} == {3: 2}
+
+
+def test_protected_spans(spark):
+    texts = [
+        (1, "ذهب الولدُ إلى البحر «ركب سفينة» وعاد"),  # a marked word, a quotation
+        (2, "قال إن السفن تجري في البحر ليلا"),  # four words as in a source
+        (3, "السفن تجري"),  # a whole source
+        (4, "السفن تجري في الليل"),  # a source without marks
+        (5, 'x "سفن بحر'),
+        (6, None),
+    ]
+    sources = [(2, 0, "السُّفُنُ تَجْرِي فِي البَحْرِ"), (2, 1, "إنَّ السُّفُنَ تجري"), (3, 0, "السُّفُنُ تَجْرِي"), (4, 0, "السفن تجري في البحر"), (1, 0, "السُّفُنُ تَجْرِي"), (9, 0, "ذَهَبَ الوَلَدُ إلَى")]
+    got = E.protected_spans(spark.createDataFrame(texts, "rid long, text string"), spark.createDataFrame(sources, "rid long, k int, text string")).collect()
+    by = {(r.rid, r.written): r.kept for r in got}
+    assert by == {
+        (1, "الولدُ"): "الولدُ", (1, "ركب"): "ركب", (1, "سفينة"): "سفينة",
+        (2, "السفن"): "السُّفُنُ", (2, "تجري"): "تَجْرِي", (2, "في"): "فِي", (2, "البحر"): "البَحْرِ",
+        (3, "السفن"): "السُّفُنُ", (3, "تجري"): "تَجْرِي", (5, "سفن"): "سفن", (5, "بحر"): "بحر",
+    }
+    held = dict(texts)
+    assert all(held[r.rid][r.s : r.e] == r.written for r in got)
+
+
+def test_heading_tier(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "qid long, rid long, rank long")
+    phrases = spark.createDataFrame([(1, 7)], "qid long, rid long")
+    got = R.tiered(phrases, rows((1, 5, 1), (1, 6, 2), (2, 5, 1)), 3, headings=rows((1, 6, 1), (1, 7, 2))).collect()
+    assert sorted((r.qid, r["rank"], r.rid, r.tier) for r in got) == [(1, 1, 7, 0), (1, 2, 6, 1), (1, 3, 5, 2), (2, 1, 5, 2)]
