@@ -14,6 +14,7 @@ the end id alone. Null ids come first; rows with equal ids follow each other, al
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from array import array
@@ -129,6 +130,14 @@ def plain(text: str) -> bool:
     return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and text.replace("\n", "").isprintable() and not any(x in text for x in ("  ", " \n", "\n ", "\n\n", "<|"))
 
 
+def byte_level(file: dict) -> bool:
+    """Whether a tokenizer's file describes what words can be encoded apart for."""
+    first, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    usual = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+    plain_model = model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix"))
+    return bool(usual and plain_model and not file.get("normalizer") and not file.get("truncation") and not file.get("padding"))
+
+
 class Kept(dict):
     """Words with their ids; a word that isn't kept is looked up in what was found for the batch at hand."""
 
@@ -139,6 +148,9 @@ class Kept(dict):
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each distinct word of a batch once.
 
+    That rests on what the file says: byte-level pre-tokens by the usual pattern without a space put before a text, no
+    normaliser, and a model without dropout. Of any other tokenizer texts are encoded whole, by the library alone.
+
     With byte-level pre-tokens no merge crosses a single space or line end between two words, or a
     letter or digit and a comma or full stop that ends the word; so a text's ids are those of its
     words, each with the space or line end before it. Texts with other blanks go to the tokenizer
@@ -149,6 +161,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = byte_level(json.loads(self.tokenizer.to_str()))
         self.line_end = self.whole("\n")
         self.stops = {x: self.whole(x) for x in ",."}
         self.kept = Kept()
@@ -189,6 +202,8 @@ class Encoder:
         return found
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            return [self.whole(t or "") for t in texts]
         split = [("\x02" + t.replace("\n", " \n")).split(" ") if t and plain(t) else None for t in texts]
         kept = self.kept
         kept.found = self.look_up(set().union(*filter(None, split)).difference(kept))
@@ -233,7 +248,9 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id"
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first()).mapInPandas(blocks, BLOCKS).write.parquet(out)
+    # rows without an id, or with one id and many texts, are dealt out by their texts as well
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(blocks, BLOCKS).write.parquet(out)
 
 
 def read(spark, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:

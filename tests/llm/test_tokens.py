@@ -72,3 +72,29 @@ def test_words_round_trip(ids):
 def test_encoder_on_any_blanks(text):
     e = token_files.encoder(JSON)
     assert e.batch([text])[0] == e.whole(text)
+
+
+def test_other_tokenizers_are_asked_for_whole_texts():
+    """What cannot be cut at words is told by the tokenizer's file."""
+    import json
+
+    file = json.loads(Tokenizer.from_file(JSON).to_str())
+    assert token_files.byte_level(file) and token_files.encoder(JSON).by_words
+    changed = [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": file["model"] | {"dropout": 0.1}}, {"model": file["model"] | {"end_of_word_suffix": "</w>"}}]
+    assert not any(token_files.byte_level(file | c) for c in changed)
+    other = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some Words, here.\nAnd more", "", None, "one  two"]
+    assert not other.by_words
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.batch(texts)] == [other.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_of_one_id_are_dealt_out_by_their_texts(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(5, f"text number {k}") for k in range(400)] + [(None, f"no id {k}") for k in range(200)] + [(9, "last")]
+    out = token_files.scratch_path(spark, "one-id")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), JSON, out)
+    shards = spark.read.schema(token_files.BLOCKS).parquet(out).groupBy("shard").count().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards > 2
+    back = token_files.read(spark, out).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [None] * 200 + [5] * 400 + [9]
