@@ -23,6 +23,23 @@ DANGLING = """
 لمن من الذي التي الذين ان انه انها في علي الي عن ل ب ك و ف ثم او لكن بل الا اذا لو كما حتي مع عند هو هي ما لا لم لن
 """.split()
 LEAST_KEPT = 4
+# How sentences begin that conclude, that stop half-way, that hang on the one before; words that say nothing
+# by themselves, and those among them that point elsewhere; what likens, labels a case, names no holder of a view, or
+# speaks of disagreement.
+CONCLUDES = "(?i)^\\s*(?:thus|therefore|hence|consequently)(?:[^\\p{L}\\p{N}_]|$)"
+HALVES = "اما واما".split()
+LINKS = "(?i)^\\s*(?:كما|وكذلك|كذلك|وأيضًا|وأيضا|أيضًا|أيضا|ثم|وكما|also,?|moreover,?)\\s+"
+POINTERS = "ذلك هذا هذه تلك this that".split()
+EMPTY = [*POINTERS, *"في من علي الي عن هو هي و ف ثم او the a an of in is it and to".split()]
+LIKENS = "(?:يشبه|تشبه|يشابه|تشابه|مثلما|كما لو|تماما مثل)"
+EXAMPLE = "مثلا"
+LABELS_CASE = "(?i)(?:[،,؛:]\\s*[فو]?(?:هذا|هذه|ذلك|تلك)|[,;:]\\s*(?:so\\s+|and\\s+)?(?:this|that)\\s+is)(?:\\s+\\S+){1,6}\\s*[.!]?\\s*$"
+UNNAMED = (
+    "(?i)^\\s*(?:(?:بعض|بعضهم|آخرون|اخرون|فريق|طائفة|قوم|غيرهم|some|others|العلماء)(?:[^\\p{L}\\p{N}_]|$)"
+    "|(?:ال)?(?:قول|رأي|راي|مذهب|view|opinion)\\s+(?:ال)?(?:اول|أول|ثاني|ثالث|رابع|خامس|first|second|third|fourth))"
+)
+DISAGREES = "(?i)(?:ا|ي|ت)ختلف\\s+(?:ال)?(?:علماء|فقهاء)|خلاف\\s+بين\\s+(?:ال)?(?:علماء|فقهاء)|(?:^|[^\\p{L}\\p{N}_])scholars\\s+(?:differ|disagree)"
+LEAST_SAID = 3
 # A quotation of five words or more, and what a notice on a hadith's grade looks for.
 COPIED = '«(?:[^»\\s]+\\s+){4,}[^»]*»|"(?:[^"\\s]+\\s+){4,}[^"]*"|“(?:[^”\\s]+\\s+){4,}[^”]*”|﴿(?:[^﴾\\s]+\\s+){4,}[^﴾]*﴾'
 COPIED_SHARE = 0.5
@@ -185,6 +202,31 @@ def cut_inference(text: Column) -> Column:
     return let(F.struct(words.alias("raw"), F.transform(words, normalize).alias("plain")), cut)
 
 
+def sentence_flags(text: Column, school: Column | None = None) -> Column:
+    """What may be wrong with a sentence, as a struct of booleans: concludes (opens with a conclusion of its own), unfinished (stops half-way), says_little (points at what it doesn't say), likens (an example that likens), links (hangs on the sentence before), labels_case (an example that ends by naming what it is), disagrees (speaks of disagreement), and unnamed, whether the view it is given under names no one."""
+    said = F.coalesce(text, F.lit(""))
+
+    def flags(w: Column) -> Column:
+        one, two = F.coalesce(F.get(w, F.lit(0)), F.lit("")), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
+        concludes = one.isin(ALONE) | (one.isin([x for x in LEADS if x not in ("ما", "مما")]) & two.isin(INFERRING)) | ((one == "ومن") & (two == "ثم")) | said.rlike(CONCLUDES)
+        half = one.isin(HALVES) & ~F.exists(F.slice(w, F.lit(3), F.greatest(F.size(w), F.lit(1))), lambda x: F.startswith(x, F.lit("ف")) & (F.char_length(x) > 2))
+        points = (F.size(w) > 0) & F.coalesce(F.try_element_at(w, F.lit(-1)).isin(POINTERS), F.lit(False))
+        little = (F.size(F.filter(w, lambda x: ~x.isin(EMPTY))) < LEAST_SAID) & points
+        plain = F.array_join(w, " ")
+        return F.struct(
+            concludes.alias("concludes"),
+            half.alias("unfinished"),
+            (little | half).alias("says_little"),
+            (F.startswith(plain, F.lit(EXAMPLE)) & plain.rlike(LIKENS)).alias("likens"),
+            said.rlike(LINKS).alias("links"),
+            said.rlike(LABELS_CASE).alias("labels_case"),
+            said.rlike(DISAGREES).alias("disagrees"),
+            F.coalesce(school, F.lit("")).rlike(UNNAMED).alias("unnamed") if school is not None else F.lit(False).alias("unnamed"),
+        )
+
+    return let(F.filter(F.split(normalize(said), " "), lambda x: x != ""), flags)
+
+
 def copied_share(claims: DataFrame, approved: DataFrame | None = None) -> DataFrame:
     """(claim, share, copies): the words of a claim's long quotations over all its words, and whether these are more than half; quotations whose words stand in a text approved for it (claim, text) don't count."""
     quotes = claims.select("claim", F.explode(F.regexp_extract_all("text", F.lit(COPIED), F.lit(0))).alias("quote"))

@@ -80,6 +80,24 @@ def h30_cut_inference(spark, d):
     return C.claims(spark, d).select("conv_id", "turn", F.col("n").cast("long").alias("n"), P.cut_inference(F.concat_ws(" ", "text", tail)).alias("text"))
 
 
+_SAYS = ["وبالتالي {}", "{} في ذلك", "كما {}", "مثلا {} يشبه ذلك", "{}، فهذا مثال على ذلك.", "واما {}", "{} وقد اختلف العلماء", "Thus {}", "{}"]
+
+
+@query(f"""WITH {_CLAIMS}, s AS (SELECT conv_id, turn, n, CASE n % 9 {' '.join(f"WHEN {i} THEN '{t.split('{}')[0]}' || text || '{t.split('{}')[1]}'" for i, t in enumerate(_SAYS))} END AS text, CASE WHEN n % 4 = 0 THEN 'Some scholars' WHEN n % 4 = 1 THEN 'القول الأول' ELSE split_part(text, ' ', 1) END AS school FROM cl),
+w AS (SELECT *, list_filter(string_split({S.normal('text')}, ' '), lambda x: x <> '') AS w FROM s),
+h AS (SELECT *, list_contains({S.array(P.HALVES)}, w[1]) AND len(list_filter(w[3:], lambda x: starts_with(x, 'ف') AND length(x) > 2)) = 0 AS half FROM w)
+SELECT conv_id, turn, n, list_contains({S.array(P.ALONE)}, coalesce(w[1], '')) OR regexp_matches(text, '{P.CONCLUDES}') AS concludes, coalesce(half, false) AS unfinished,
+ coalesce(half, false) OR (len(list_filter(w, lambda x: NOT list_contains({S.array(P.EMPTY)}, x))) < 3 AND list_contains({S.array(P.POINTERS)}, coalesce(w[len(w)], ''))) AS says_little,
+ starts_with(array_to_string(w, ' '), '{P.EXAMPLE}') AND regexp_matches(array_to_string(w, ' '), '{P.LIKENS}') AS likens, regexp_matches(text, '{P.LINKS}') AS links,
+ regexp_matches(text, '{P.LABELS_CASE}') AS labels_case, regexp_matches(text, '{P.DISAGREES}') AS disagrees, regexp_matches(school, '{P.UNNAMED}') AS unnamed FROM h""")
+def h15_sentence_flags(spark, d):
+    """The assistant's sentences, one of eight faults planted in each nine, and views that name no one."""
+    n = F.col("n")
+    text = F.coalesce(*[F.when(n % 9 == i, F.concat(F.lit(t.split("{}")[0]), F.col("text"), F.lit(t.split("{}")[1]))) for i, t in enumerate(_SAYS)])
+    school = F.when(n % 4 == 0, "Some scholars").when(n % 4 == 1, "القول الأول").otherwise(F.substring_index("text", " ", 1))
+    return C.claims(spark, d).select("conv_id", "turn", n.cast("long").alias("n"), P.sentence_flags(text, school).alias("f")).select("conv_id", "turn", "n", "f.*")
+
+
 _COPIED = P.COPIED.replace("'", "''")
 
 

@@ -119,3 +119,18 @@ def test_product_filter(spark):
     products = spark.createDataFrame([("(?i)leaseback", ["lease", "rent"])], "pattern string, words array<string>")
     cited = spark.createDataFrame([(1, "A lease of land"), (2, "A loan"), (2, "no"), (3, "snow")], "claim int, text string")
     assert sorted(r.claim for r in P.product_filter(claims, cited, products, questions).collect()) == [1, 3]
+
+
+def test_sentence_flags(spark):
+    cases = {
+        "وهذا يدل على المطر": {"concludes"}, "Hence it rains.": {"concludes"}, "Hencefort it rains.": set(), "مما يدل على المطر": set(), "ومن ثم نزل المطر": {"concludes"},
+        "أما من خرج في المطر": {"unfinished", "says_little"}, "أما من خرج فقد ابتل": set(), "سبب النزول في ذلك.": {"says_little"}, "ويزداد نزول المطر كثيرا في ذلك": set(), "خمس مرات.": set(),
+        "مثلًا المطر يشبه الثلج": {"likens"}, "المطر يشبه الثلج": set(), "كما نزل المطر": {"links"}, "Also, it rains": {"links"}, "كمال الأمر": set(),
+        "نزل المطر، فهذا مثال على الشتاء.": {"labels_case"}, "It rains, and this is winter": {"labels_case"}, "هذا مثال": set(),
+        "وقد اختلف العلماء فيه": {"disagrees"}, "Here scholars disagree.": {"disagrees"}, "": set(), None: set(),
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", P.sentence_flags(F.col("t")).alias("f")).collect()
+    assert {r.t: {k for k, v in r.f.asDict().items() if v} for r in rows} == cases
+    views = {"بعض العلماء": True, "Some say": True, "Somerset": False, "القول الأول": True, "رأي ثالث": True, "المالكية": False, "العلماء": True, None: False}
+    rows = spark.createDataFrame([(v,) for v in views], "v string").select("v", P.sentence_flags(F.lit("x"), F.col("v")).alias("f")).collect()
+    assert {r.v: r.f.unnamed for r in rows} == views
