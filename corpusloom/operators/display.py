@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import normalize
+from corpusloom.functions.text import let, normalize
 
 # Sentences a style allows in prose and in lists, and the longest one for children.
 CEILINGS = {"kids": (7, 10), "youth": (12, 20), "newcomer": (12, 20), "extended": (18, 28)}
@@ -83,3 +83,64 @@ def merge_repairs(kept: DataFrame, repaired: DataFrame, draft: DataFrame, head:
     placed = rows.withColumn("start", start("was")).join(exact, ["answer", "was"], "left").join(loose, ["answer", "start"], "left")
     at = F.coalesce("exact", "loose", F.lit(1 << 30))
     return placed.withColumn("pos", F.row_number().over(Window.partitionBy("answer").orderBy(at, "new", "text")).cast("long")).select("answer", "pos", "text")
+
+
+# Fixed values, in normalised spelling: what attributes words to the Prophet, how far before them it may stand, kinds whose
+# text is never one of a hadith, and a source's own notice that nothing sound is known of a matter.
+ATTRIBUTES = "صلي الله عليه وسلم|ﷺ|رسول الله|النبي|عليه الصلاه والسلام"
+ATTRIBUTED_WITHIN = 200
+NOT_HADITH = ["quran", "gharib", "takhrij"]
+NOTICE = "لم\\s+يرد\\s+(?:في\\s+ذلك|فيه)\\s+حديث\\s+ثابت"
+NOTICE_KINDS = ["fiqh", "tafsir", "takhrij"]
+
+
+def found_at(quote: Column, body: Column) -> Column:
+    """Where a quotation begins in a normalised text, from 1, or 0; one shortened by an ellipsis is found by its parts, of two words or more, in order."""
+    parts = F.filter(F.transform(F.split(quote, "\\s*(?:…|\\.{3,})\\s*"), normalize), lambda p: p != "")
+
+    def step(acc: Column, part: Column) -> Column:
+        at = F.when(acc["at"] < 0, F.lit(-1)).otherwise(F.call_function("locate", part, body, acc["at"] + 1))
+        at = F.when(at > 0, at).otherwise(-1).cast("int")
+        return F.struct(at.alias("at"), F.coalesce(acc["first"], at).alias("first"))
+
+    def place(p: Column) -> Column:
+        short = (F.size(p) > 1) & F.exists(p, lambda x: ~F.contains(x, F.lit(" ")))
+        found = F.aggregate(p, F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("first")), step)
+        return F.when((F.size(p) == 0) | short, 0).otherwise(let(found, lambda f: F.when(f["at"] > 0, f["first"]).otherwise(0)))
+
+    return let(parts, place)
+
+
+def requested_text_first(claims: DataFrame, cited: DataFrame, requests: DataFrame) -> DataFrame:
+    """(answer, claim, place): of each answer's claims (answer, pos, claim, school, text), the first that shows the text asked for moves to the front, others keep their order.
+
+    requests: (answer, form), form verse_text, verse_evidence or hadith_text. cited: (claim, kind, text). A claim shows a verse
+    by a quotation that stands in a cited verse, and a hadith by one that stands in a cited hadith, or, of three words or
+    more, in another book's text shortly after the Prophet is named. Claims of a school are passed over.
+    """
+    forms = requests.filter(F.col("form").isin("verse_text", "verse_evidence", "hadith_text")).select("answer", "form")
+    asked = claims.filter(F.coalesce("school", F.lit("")) == "").join(forms, "answer")
+    inner = lambda g: F.regexp_extract_all("text", F.lit("«([^»]+)»|﴿([^﴾]+)﴾"), F.lit(g))
+    quotes = asked.select("claim", "form", F.explode(F.filter(F.concat(inner(1), inner(2)), lambda q: normalize(q) != "")).alias("quote"))
+    met = quotes.join(cited.select("claim", "kind", normalize(F.col("text")).alias("body")), "claim").withColumn("at", found_at(F.col("quote"), F.col("body"))).filter("at > 0")
+    before = F.substr("body", F.greatest(F.col("at") - ATTRIBUTED_WITHIN, F.lit(1)), F.least(F.col("at") - 1, F.lit(ATTRIBUTED_WITHIN)))
+    other = ~F.col("kind").isin(NOT_HADITH) & (F.size(F.split(normalize(F.col("quote")), " ")) >= 3) & before.rlike(ATTRIBUTES)
+    shows = F.when(F.col("form") == "hadith_text", (F.col("kind") == "hadith") | other).otherwise(F.col("kind") == "quran")
+    shown = met.filter(shows).select("claim").distinct().withColumn("shows", F.lit(True))
+    marked = claims.join(shown, "claim", "left")
+    first = marked.filter("shows").groupBy("answer").agg(F.min_by("claim", "pos").alias("lead"))
+    order = Window.partitionBy("answer").orderBy((F.coalesce(F.col("claim") == F.col("lead"), F.lit(False))).desc(), "pos")
+    return marked.join(first, "answer", "left").select("answer", "claim", F.row_number().over(order).cast("long").alias("place"))
+
+
+def carry_source_notice(claims: DataFrame, cited: DataFrame) -> DataFrame:
+    """(claim, text): claims (claim, text), with a cited source's own notice that nothing sound is known, where the claim quotes the only quotation of that source (claim, kind, text), of four words or more, and doesn't say so already."""
+    quotes = F.regexp_extract_all("text", F.lit("«([^»]+)»"), F.lit(1))
+    notices = F.filter(F.transform(F.split("text", "[.\\n؟]"), lambda x: F.trim(x)), lambda x: x.rlike(NOTICE))
+    sources = cited.filter(F.col("kind").isin(NOTICE_KINDS)).select("claim", quotes.alias("q"), notices.alias("n"))
+    sources = sources.filter((F.size("q") == 1) & (F.size("n") > 0)).filter(F.size(F.split(F.trim(F.col("q")[0]), "\\s+")) >= 4)
+    held = sources.join(claims.select("claim", normalize(F.col("text")).alias("said")), "claim").filter(F.contains("said", normalize(F.col("q")[0])))
+    new = held.select("claim", F.explode(F.filter("n", lambda x: ~F.contains(F.col("said"), normalize(x)))).alias("notice"))
+    listed = new.groupBy("claim").agg(F.array_sort(F.collect_set("notice")).alias("notices"))
+    added = F.aggregate("notices", F.col("text"), lambda t, x: F.concat(F.rtrim(t, F.lit(" .")), F.lit(". ويذكر المصدر: "), x, F.lit(".")))
+    return claims.join(listed, "claim", "left").select("claim", F.when(F.col("notices").isNull(), F.col("text")).otherwise(added).alias("text"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import display as S
 from corpusloom.operators import drafts as P
 
 
@@ -134,3 +135,26 @@ def test_sentence_flags(spark):
     views = {"بعض العلماء": True, "Some say": True, "Somerset": False, "القول الأول": True, "رأي ثالث": True, "المالكية": False, "العلماء": True, None: False}
     rows = spark.createDataFrame([(v,) for v in views], "v string").select("v", P.sentence_flags(F.lit("x"), F.col("v")).alias("f")).collect()
     assert {r.v: r.f.unnamed for r in rows} == views
+
+
+def test_requested_text_first(spark):
+    claims = [(1, 0, "a", "", "تمهيد عام"), (1, 1, "b", "مذهب", "«النجوم في السماء»"), (1, 2, "c", "", "قال «النجوم … السماء العالية»"), (1, 3, "d", "", "قال «في السماء العالية»"), (2, 0, "e", "", "قول"), (2, 1, "f", "", "«البحر واسع جدا»"), (3, 0, "g", "", "«البحر واسع جدا»"), (3, 1, "h", "", "«البحر واسع جدا»")]
+    cited = [("b", "quran", "النجوم في السماء"), ("c", "quran", "إن النجوم في السماء العالية"), ("d", "quran", "إن النجوم في السماء العالية"), ("f", "fiqh", "قال رسول الله: البحر واسع جدا"), ("g", "fiqh", "البحر واسع جدا"), ("h", "hadith", "البحر واسع جدا")]
+    requests = [(1, "verse_text"), (2, "hadith_text"), (3, "hadith_text"), (4, "other")]
+    got = S.requested_text_first(spark.createDataFrame(claims, "answer int, pos int, claim string, school string, text string"), spark.createDataFrame(cited, "claim string, kind string, text string"), spark.createDataFrame(requests, "answer int, form string"))
+    order = {}
+    for r in got.orderBy("answer", "place").collect():
+        order.setdefault(r.answer, []).append(r.claim)
+    # one word before the ellipsis is too little for c
+    assert order == {1: ["d", "a", "b", "c"], 2: ["f", "e"], 3: ["h", "g"]}
+    at = lambda q, b: spark.createDataFrame([(q, b)], "q string, b string").select(S.found_at(F.col("q"), F.col("b")).alias("x")).first()["x"]
+    assert [at("a b", "x a b c"), at("a b … d e", "a b c d e"), at("d e … a b", "a b c d e"), at("", "a"), at("a b...b c", "a b c")] == [3, 1, 0, 0, 1]
+
+
+def test_carry_source_notice(spark):
+    claims = spark.createDataFrame([(1, "ورد «من سار في البحر وصل»."), (2, "ورد «من سار في البحر وصل» ولم يرد فيه حديث ثابت عندهم"), (3, "قول آخر"), (4, "ورد «من سار في البحر وصل»")], "claim int, text string")
+    source = "يقال «من سار في البحر وصل». ولم يرد فيه حديث ثابت عندهم. وهو مشهور"
+    cited = spark.createDataFrame([(1, "fiqh", source), (2, "fiqh", source), (3, "fiqh", source), (4, "hadith", source), (4, "fiqh", source + " «وقول آخر فيه كلام»")], "claim int, kind string, text string")
+    got = {r.claim: r.text for r in S.carry_source_notice(claims, cited).collect()}
+    before = {r.claim: r.text for r in claims.collect()}
+    assert got == before | {1: "ورد «من سار في البحر وصل». ويذكر المصدر: ولم يرد فيه حديث ثابت عندهم."}
