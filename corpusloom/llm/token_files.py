@@ -138,13 +138,6 @@ def byte_level(file: dict) -> bool:
     return bool(usual and plain_model and not file.get("normalizer") and not file.get("truncation") and not file.get("padding"))
 
 
-class Kept(dict):
-    """Words with their ids; a word that isn't kept is looked up in what was found for the batch at hand."""
-
-    def __missing__(self, word: str) -> bytes:
-        return self.found[word]
-
-
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each distinct word of a batch once.
 
@@ -164,7 +157,7 @@ class Encoder:
         self.by_words = byte_level(json.loads(self.tokenizer.to_str()))
         self.line_end = self.whole("\n")
         self.stops = {x: self.whole(x) for x in ",."}
-        self.kept = Kept()
+        self.kept: dict[str, bytes] = {}
         self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
@@ -206,10 +199,15 @@ class Encoder:
             return [self.whole(t or "") for t in texts]
         split = [("\x02" + t.replace("\n", " \n")).split(" ") if t and plain(t) else None for t in texts]
         kept = self.kept
-        kept.found = self.look_up(set().union(*filter(None, split)).difference(kept))
-        if len(kept) < CACHE_WORDS:
-            kept.update(islice(kept.found.items(), CACHE_WORDS - len(kept)))
-        return [b"".join(map(kept.__getitem__, words)) if words else self.whole(t or "") for words, t in zip(split, texts)]
+        ids = [list(map(kept.get, words)) if words else None for words in split]
+        lacking = [k for k, x in enumerate(ids) if x is not None and None in x]
+        if lacking:
+            found = self.look_up({w for k in lacking for w, x in zip(split[k], ids[k]) if x is None})
+            for k in lacking:
+                ids[k] = [found[w] if x is None else x for w, x in zip(split[k], ids[k])]
+            if len(kept) < CACHE_WORDS:
+                kept.update(islice(found.items(), CACHE_WORDS - len(kept)))
+        return [self.whole(t or "") if x is None else b"".join(x) for x, t in zip(ids, texts)]
 
 
 def encoder(path: str) -> Encoder:
