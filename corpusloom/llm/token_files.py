@@ -37,6 +37,8 @@ BLOCK_IDS = 65_536
 END_ID = 0
 CACHE_WORDS = 700_000
 BATCH_DOCS = 2_048
+#: Words that wait for others to be looked up with, beyond which they are at once.
+WORDS_AT_ONCE = 250_000
 BLOCKS = "shard int, block int, first_id long, n_ids long, payload binary"
 
 
@@ -197,17 +199,32 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_words:
             return [self.whole(t or "") for t in texts]
-        split = [("\x02" + t.replace("\n", " \n")).split(" ") if t and plain(t) else None for t in texts]
-        kept = self.kept
-        ids = [list(map(kept.get, words)) if words else None for words in split]
-        lacking = [k for k, x in enumerate(ids) if x is not None and None in x]
-        if lacking:
-            found = self.look_up({w for k in lacking for w, x in zip(split[k], ids[k]) if x is None})
-            for k in lacking:
-                ids[k] = [found[w] if x is None else x for w, x in zip(split[k], ids[k])]
-            if len(kept) < CACHE_WORDS:
-                kept.update(islice(found.items(), CACHE_WORDS - len(kept)))
-        return [self.whole(t or "") if x is None else b"".join(x) for x, t in zip(ids, texts)]
+        kept, found, out, waiting, held = self.kept, {}, [b""] * len(texts), [], 0
+
+        def fill() -> None:
+            found.update(self.look_up({w for _, words, ids in waiting for w, x in zip(words, ids) if x is None and w not in found}))
+            for k, words, ids in waiting:
+                out[k] = b"".join([found[w] if x is None else x for w, x in zip(words, ids)])
+            waiting.clear()
+
+        for k, t in enumerate(texts):
+            if not (t and plain(t)):
+                out[k] = self.whole(t or "")
+                continue
+            words = ("\x02" + t.replace("\n", " \n")).split(" ")
+            ids = list(map(kept.get, words))
+            if None not in ids:
+                out[k] = b"".join(ids)
+                continue
+            waiting.append((k, words, ids))
+            held += len(words)
+            if held > WORDS_AT_ONCE:
+                fill()
+                held = 0
+        fill()
+        if len(kept) < CACHE_WORDS:
+            kept.update(islice(found.items(), CACHE_WORDS - len(kept)))
+        return out
 
 
 def encoder(path: str) -> Encoder:
