@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tables import saved, small
-from corpusloom.functions.text import normalize
+from corpusloom.functions.text import collapse_spaces, let, normalize
 
 # What may be joined before a word, the pronouns after it, and the marks a written form is compared without.
 BEFORE = ["", "و", "ف", "ب", "ل", "ك", "وب", "فب", "ول", "فل", "وك", "فك"]
@@ -113,3 +113,46 @@ def alif_variants(targets: DataFrame, items: DataFrame, found: DataFrame) -> Dat
     fewer = F.forall(F.zip_with(runs("word"), runs("form"), lambda a, b: b - a), lambda d: d >= 0)
     edges = (F.substring("form", 1, 1) == F.substring("word", 1, 1)) & (F.element_at(runs("form"), -1) == F.element_at(runs("word"), -1))
     return met.filter((more >= 1) & (more <= 2) & fewer & edges).select("word", "rid", "pos", "form")
+
+
+# How a message asks to count, names the book or a chapter of it, another source, or a root; where it names the
+# word (in quotation marks, after "the word", after the verb), where the chapter; and words that are never the word counted.
+ASKS_COUNT = "(?i)كم\\s*(?:مر[ةه]|مرات|عدد)|عدد\\s*(?:مرات|ورود|تكرار|ذكر)|كم\\s*(?:وردت?|ذكرت?|تكررت?|جاءت?|جات|جت|اجت|انذكرت?|اتذكرت?)|how\\s+(?:many\\s+times|often)"
+IN_BOOK = "(?i)القرآن|القران|المصحف|سور[ةه]\\s|qur'?an|koran"
+OTHER_SOURCE = "(?i)حديث|الحديث|البخاري|مسلم|السنة|السنه|تفسير|الطبري|ابن\\s|كتاب|hadith|bukhari|muslim|book"
+ROOT_ASKED = "(?i)جذر|مشتقات|مادة|تصاريف|اشتقاق|root|derivatives?"
+QUOTED_WORD = "[«\"“'(﴿]([^»\"”')﴾]{2,40})[»\"”')﴾]"
+NAMED_WORD = "(?i)(?:كلم[ةه]|لفظ[ةه]?|اسم|word)\\s+([\\u0600-\\u06FF\\u0750-\\u077F ]{2,40}?)(?:\\s+(?:في|ف|بال|من|داخل|in)(?:[^\\p{L}\\p{N}_]|$)|[؟?.،,]|$)"
+AFTER_VERB = "(?:وردت?|ذكرت?|تكررت?|جاءت?|جات|جت|اجت|انذكرت?|اتذكرت?|ذكر|ورود|تكرار)\\s+([\\u0600-\\u06FF ]{2,40}?)(?:\\s+(?:في|ف)\\s|\\s*[؟?.،,]|\\s*$)"
+IN_CHAPTER = "(?:في|ف)\\s+سور[ةه]\\s+([\\u0600-\\u06FF ]{2,30}?)\\s*(?:[؟?.،,]|$|\\s(?:في|من)\\s)"
+NEVER_COUNTED = "كلمه لفظ لفظه اسم الكلمه اللفظ جذر الجذر ماده مشتقات الجلاله word the root".split()
+_LETTER = "\\u0621-\\u064A"
+
+
+def count_request(text: Column) -> Column:
+    """(word, scope, root) of a message that asks how often a word stands in the book, null for any other: the word as written, the chapter it is limited to or "", and whether its root or derivatives are asked for.
+
+    A question put in quotation marks as a whole is read without them; letters drawn out, digits, Latin letters and signs
+    stuck to the word are typing slips. Without the book's name a word asked for by a noun or a verb counts, unless
+    another source is named.
+    """
+    q = collapse_spaces(text)
+    q = F.regexp_replace(q, "^[«\"“']\\s*(.*?)\\s*[»\"”']\\s*([؟?.]?)\\s*$", "$1$2")
+    q = F.replace(q, F.lit("\u0640"), F.lit(""))
+    slip = "[A-Za-z0-9\\u0660-\\u0669\\u06F0-\\u06F9]+"
+    q = F.regexp_replace(q, f"(?<=[{_LETTER}\\u064B-\\u0652]){slip}|{slip}(?=[{_LETTER}])", "")
+    q = F.regexp_replace(q, f"(?<=[{_LETTER}])[-_*~^|/\\\\+=#@&%$!]+(?=[{_LETTER}])", "")
+    q = collapse_spaces(F.regexp_replace(q, "[-_*~^|/\\\\+=#@&%$!(){}\\[\\]<>]+", " "))
+    q = F.regexp_replace(q, "(?<![\\p{L}\\p{N}_])ب(القرآن|القران|المصحف)(?![\\p{L}\\p{N}_])", "في $1")
+
+    def read(q: Column) -> Column:
+        about = q.rlike(ASKS_COUNT) & (q.rlike(IN_BOOK) | ((q.rlike(NAMED_WORD) | q.rlike(AFTER_VERB)) & ~q.rlike(OTHER_SOURCE)))
+        named = [F.regexp_extract(q, p, 1) for p in (QUOTED_WORD, NAMED_WORD, AFTER_VERB)]
+        fit = lambda w: (normalize(w) != "") & (normalize(w) != "القران") & ~w.rlike(ASKS_COUNT)
+        word = F.coalesce(*[F.when(fit(w), w) for w in named], F.lit(""))
+        word = F.regexp_replace(word, f"(?:^|(?<=\\s))ال\\s+(?=[{_LETTER}])", "ال")
+        words = F.filter(F.split(F.trim(word), "\\s+"), lambda w: (normalize(w) != "") & ~normalize(w).isin(NEVER_COUNTED))
+        found = F.struct(F.array_join(words, " ").alias("word"), F.trim(F.regexp_extract(q, IN_CHAPTER, 1)).alias("scope"), q.rlike(ROOT_ASKED).alias("root"))
+        return F.when(about & (F.size(words) > 0) & F.exists(words, lambda w: w.rlike("[\\u0600-\\u06FF]")), found)
+
+    return let(q, read)

@@ -72,3 +72,25 @@ def test_openers_and_neighbours(spark):
     hits = spark.createDataFrame([(1, 3, 1), (1, 4, 2)], "question int, rid long, place int")
     assert [r.rid for r in A.issue_openers(hits, items, "law", "^Issue").orderBy("place").collect()] == [1, 3, 4]
     assert [r.rid for r in A.neighbour_fill(hits, items, "law").orderBy("nth").collect()] == [2, 5]
+
+
+def test_count_requests(spark):
+    asked = {
+        "كم مرة وردت كلمة الجبل في القرآن؟": ("الجبل", "", False),
+        "كم مره ذكرت السفينة في سورة النجم": ("السفينة", "النجم", False),
+        "عدد مرات ذكر البحر": ("البحر", "", False),
+        "كم عدد مشتقات «قلم» في المصحف؟": ("قلم", "", True),
+        "«كم مرة وردت لفظة المطر بالقرآن؟»": ("المطر", "", False),
+        "كم مرة تكررت كلمة الجـــبل2 في القرآن": ("الجبل", "", False),
+        "كم مرة وردت كلمة ال نهر في القرآن": ("النهر", "", False),
+        "كم مرة وردت كلمة الج-بل": ("الجبل", "", False),
+        "How many times is the word شجر in the Quran?": ("شجر", "", False),
+        "كم مرة وردت كلمة الجبل في صحيح البخاري": None,
+        "كم عدد الكواكب": None,
+        "ما معنى الجبل في القرآن": None,
+        "كم مرة وردت كلمة «word» في القرآن": None,
+        "": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in asked], "t string").select("t", N.count_request(F.col("t")).alias("r")).collect()
+    assert {r.t: r.r and tuple(r.r) for r in rows} == asked
