@@ -38,7 +38,7 @@ END_ID = 0
 CACHE_WORDS = 700_000
 BATCH_DOCS = 2_048
 #: Words that wait for others to be looked up with, beyond which they are at once.
-WORDS_AT_ONCE = 250_000
+WORDS_AT_ONCE = 600_000
 BLOCKS = "shard int, block int, first_id long, n_ids long, payload binary"
 
 
