@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tables import saved, small
-from corpusloom.functions.text import collapse_spaces, let, normalize, normalized_words, words_with_offsets
+from corpusloom.functions.text import collapse_spaces, matches_with_offsets, normalize, normalized_words, words_with_offsets
 from corpusloom.operators.retrieval import runs_of
 
 CLOSE_COVERAGE, CLOSE_RUN, LEAST_WORDS = 0.6, 4, 3
@@ -289,22 +289,13 @@ def apply_lexicon(words: DataFrame, lexicon: DataFrame, bigrams: DataFrame) -> D
 
 def spans_of(text: Column, pattern: str) -> Column:
     """(s, e) of each match of a pattern in a text."""
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("w"), F.split(text, pattern, -1).alias("gap"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.char_length(x["gap"])
-        e = s + F.char_length(x["w"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    of = lambda f: F.aggregate(F.filter(F.arrays_zip(f["w"].alias("w"), f["gap"].alias("gap")), lambda x: x["w"].isNotNull()), start, step)["out"]
-    return let(found, of)
+    return F.transform(matches_with_offsets(text, pattern), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
 
 def letter_words(items: DataFrame) -> DataFrame:
     """(rid, pos, s, e, written, word): Arabic words with their marks, where they stand, and bare of marks; stored."""
-    rows = items.select("rid", F.coalesce("text", F.lit("")).alias("text")).select("rid", F.arrays_zip(F.regexp_extract_all("text", F.lit(LETTER_WORD), F.lit(0)).alias("w"), spans_of(F.col("text"), LETTER_WORD).alias("at")).alias("x"))
-    flat = rows.select("rid", F.posexplode("x").alias("pos", "x")).select("rid", "pos", "x.at.s", "x.at.e", F.col("x.w").alias("written"))
+    rows = items.select("rid", F.posexplode(matches_with_offsets(F.coalesce("text", F.lit("")), LETTER_WORD)).alias("pos", "x"))
+    flat = rows.select("rid", "pos", "x.s", "x.e", F.col("x.w").alias("written"))
     return saved(flat.withColumn("word", bare(F.col("written"))), "letter-words")
 
 
