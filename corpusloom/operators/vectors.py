@@ -14,6 +14,8 @@ from corpusloom.operators.retrieval import DECIMALS, rrf, top
 
 #: Bytes of query vectors that go to every task at once; more queries are answered in several passes over the corpus.
 BLOCK_BYTES = 64 << 20
+#: Queries that a task holds a batch's scores of at once.
+SLICE = 256
 BITS = 512
 #: Of each batch of vectors, the part that approximate search scores exactly.
 SHARE, LEAST_SCORED = 0.05, 50
@@ -79,10 +81,11 @@ def asked_blocks(queries: DataFrame) -> tuple[int, list[tuple[np.ndarray, np.nda
 
 
 def searched(index: DataFrame, queries: DataFrame, k: int, score) -> DataFrame:
-    """(qid, rid, score, rank): the k best of what score(unit queries, which have no length, the queries as given) offers of a batch as (scores, rids).
+    """(qid, rid, score, rank): the k best of what score(unit queries, which have no length, the queries as given) offers of a batch, for a slice of the queries, as (scores, rids).
 
     The corpus stays where it is: a task goes through its batches and gives the k best of each query once, at
-    its end, so that no more than k rows a query and task are shuffled.
+    its end, so that no more than k rows a query and task are shuffled. SLICE queries meet a batch at a time, so a task's
+    memory grows with k rows a query and not with the scores of a whole batch.
     """
     dim, asked = asked_blocks(queries)
     found = None
@@ -90,12 +93,16 @@ def searched(index: DataFrame, queries: DataFrame, k: int, score) -> DataFrame:
         shared = queries.sparkSession.sparkContext.broadcast((*unit(raw), raw))
 
         def run(batches: Iterator[pa.RecordBatch], qids=qids, shared=shared) -> Iterator[pa.RecordBatch]:
-            nearest = Nearest(len(qids), k)
+            slices = [slice(lo, min(lo + SLICE, len(qids))) for lo in range(0, len(qids), SLICE)]
+            nearest = [Nearest(x.stop - x.start, k) for x in slices]
             work = score(*shared.value)
             for batch in batches:
                 if batch.num_rows:
-                    nearest.add(*work(batch))
-            yield nearest.batch(qids)
+                    offered = work(batch)
+                    for x, some in zip(slices, nearest):
+                        some.add(*offered(x))
+            for x, some in zip(slices, nearest):
+                yield some.batch(qids[x])
 
         one = index.mapInArrow(run, "qid long, rid long, score double")
         found = one if found is None else found.unionByName(one)
@@ -118,9 +125,14 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     corpus = of_length(vectors, dim).select(F.col("vec_id").alias("rid"), "embedding")
 
     def score(q: np.ndarray, q0: np.ndarray, raw: np.ndarray):
-        def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            scores = cosines(q, q0, *unit(matrix(batch.column(1))))
-            return scores, np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), scores.shape)
+        def work(batch: pa.RecordBatch):
+            rids, (m, m0) = batch.column(0).to_numpy(zero_copy_only=False), unit(matrix(batch.column(1)))
+
+            def offered(x: slice) -> tuple[np.ndarray, np.ndarray]:
+                scores = cosines(q[x], q0[x], m, m0)
+                return scores, np.broadcast_to(rids, scores.shape)
+
+            return offered
 
         return work
 
@@ -156,17 +168,21 @@ def knn_approx(queries: DataFrame, index: DataFrame, k: int = 10, share: float =
     def score(q: np.ndarray, q0: np.ndarray, raw: np.ndarray):
         signs = np.packbits(raw @ planes(raw.shape[1]) > 0, axis=1).view(np.uint64)
 
-        def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        def work(batch: pa.RecordBatch):
             rids = batch.column(0).to_numpy(zero_copy_only=False)
             own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(rids), -1)
             m, m0 = unit(matrix(batch.column(2)))
             n = min(len(rids), max(least, k, int(share * len(rids))))
-            scores, found = np.empty((len(q), n)), np.empty((len(q), n), np.int64)
-            for i, code in enumerate(signs):
-                far = np.bitwise_count(own ^ code).sum(1, dtype=np.int32)
-                at = np.argpartition(far, n - 1)[:n] if n < len(rids) else np.arange(n)
-                scores[i], found[i] = cosines(q[i : i + 1], q0[i : i + 1], m[at], m0[at])[0], rids[at]
-            return scores, found
+
+            def offered(x: slice) -> tuple[np.ndarray, np.ndarray]:
+                scores, found = np.empty((x.stop - x.start, n)), np.empty((x.stop - x.start, n), np.int64)
+                for k, i in enumerate(range(x.start, x.stop)):
+                    far = np.bitwise_count(own ^ signs[i]).sum(1, dtype=np.int32)
+                    at = np.argpartition(far, n - 1)[:n] if n < len(rids) else np.arange(n)
+                    scores[k], found[k] = cosines(q[i : i + 1], q0[i : i + 1], m[at], m0[at])[0], rids[at]
+                return scores, found
+
+            return offered
 
         return work
 
