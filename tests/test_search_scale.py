@@ -51,3 +51,52 @@ def test_hits_are_stored_and_tasks_give_k_rows_a_query(spark):
     weighed = spark.createDataFrame([(0, "water", True, 1, 3.0, math.log(2))], "qid int, token string, counts boolean, n_terms int, avgdl double, idf double")
     assert R.scored(weighed, items.items, 5).count() <= 5 * items.items.rdd.getNumPartitions()
     assert sorted(r.rid for r in R.all_words(asked, items).filter("qid = 0").collect()) == list(range(400))
+
+
+def test_closest_verse_shuffles_few_pairs(spark, monkeypatch):
+    """Verses that share a quotation's rarest word alone are left out where they meet, before a pair is stored or order is looked at."""
+    from corpusloom.operators import verses as Z
+
+    stored = {}
+    monkeypatch.setattr(Z, "saved", lambda df, name, f=Z.saved: stored.setdefault(name, f(df, name)))
+    rows = [(i, " ".join([f"w{i}a{j}" for j in range(6)] + ["rare"])) for i in range(300)] + [(999, "one two three five six seven rare eight")]
+    got = Z.closest_verse(spark.createDataFrame([(1, "one two three four five six seven rare")], "qid long, text string"), spark.createDataFrame(rows, "rid long, text string"))
+    assert [tuple(r) for r in got.collect()] == [(1, 999, 7, 8)]
+    assert stored["verse-pairs"].count() < 5  # 301 verses hold the word
+
+
+def test_quotations_are_cut_once_and_looked_up_by_hashes(spark, monkeypatch):
+    from corpusloom.operators import verses as Z
+
+    stored = {}
+    monkeypatch.setattr(Z, "saved", lambda df, name, f=Z.saved: stored.setdefault(name, f(df, name)))
+    quotes = spark.createDataFrame([(1, "alpha beta gammas delta"), (2, "eta theta iota")], "qid long, text string")
+    verses = spark.createDataFrame([(5, "zero alpha beta gammat delta"), (6, "و eta theta iota")], "rid long, text string")
+    assert [tuple(r) for r in Z.misquoted(quotes, verses).collect()] == [(1, 5, 1, "gammas", "gammat")]
+    assert {"asked-words", "rarest-grams", "places"} <= set(stored) and dict(stored["held-grams"].dtypes)["gram"] == "bigint"
+
+
+def test_spans_of_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import evidence as E
+
+    text = "كلم " * 40_000 + "«نص»"
+    rows = spark.createDataFrame([(1, text)], "rid long, text string")
+    words = E.letter_words(rows)
+    assert words.count() == 40_001 and words.filter("s <> pos * 4 AND pos < 40000").count() == 0
+    assert rows.select(F.explode(E.spans_of(F.col("text"), E.QUOTED)).alias("q")).select("q.*").collect() == [(160_000, 160_004)]
+
+
+def test_a_task_meets_a_batch_a_slice_of_queries_at_a_time(spark):
+    import numpy as np
+
+    from corpusloom.operators import vectors as W
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(900)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = W.knn(v, v, 2).filter("rank = 1").collect()
+    assert len(got) == 900 and all(r.qid == r.rid for r in got)
+    q, q0 = W.unit(np.array([r[1] for r in rows]))
+    assert W.SLICE < 900 and W.cosines(q[: W.SLICE], q0[: W.SLICE], q, q0).shape == (W.SLICE, 900)
