@@ -100,3 +100,13 @@ def test_a_task_meets_a_batch_a_slice_of_queries_at_a_time(spark):
     assert len(got) == 900 and all(r.qid == r.rid for r in got)
     q, q0 = W.unit(np.array([r[1] for r in rows]))
     assert W.SLICE < 900 and W.cosines(q[: W.SLICE], q0[: W.SLICE], q, q0).shape == (W.SLICE, 900)
+
+
+def test_words_before_are_taken_from_the_item(spark):
+    from corpusloom.operators import evidence as E
+
+    rows = spark.createDataFrame([(1, " كِتاب  ! (قَلَم) باب"), (2, "باب"), (3, None)], "rid long, text string")
+    words = E.marked_words(rows)
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString() and E.with_before(words) is words
+    got = [(r.rid, r.pos, r.written, r.word, r.before, r.marked) for r in words.orderBy("rid", "pos").collect()]
+    assert got == [(1, 0, "كِتاب", "كتاب", None, True), (1, 2, "قَلَم", "قلم", "كتاب", True), (1, 3, "باب", "باب", "قلم", False), (2, 0, "باب", "باب", None, False)]
