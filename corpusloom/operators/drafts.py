@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.tables import saved, small
 from corpusloom.functions.text import let, normalize, tokenize
-from corpusloom.operators.dictionary import same_word_form
+from corpusloom.operators.dictionary import same_word_form, synonym_roots, words_lacking
 from corpusloom.operators.evidence import cited_prose
 
 #: What may surround an id, and how much of a section's or a label's name is kept.
@@ -273,20 +273,27 @@ def invented_definition(claims: DataFrame, cited: DataFrame, lemmas: DataFrame |
         F.when(defines, F.slice("w", F.lit(2), F.lit(1))).otherwise(F.slice("w", F.lit(1), F.greatest(F.col("at"), F.lit(1)))).alias("subject"),
         F.when(defines, F.slice("w", F.lit(3), n)).otherwise(F.slice("w", F.coalesce("at", F.lit(0)) + 2, n)).alias("defining"),
     )
-    tokens = lambda c: F.explode(tokenize(F.array_join(c, " "))).alias("token")
-    split = saved(split, "definitions")
-    subject = split.select(F.col("claim").alias("key"), tokens("subject"))
+    tokens = lambda c: tokenize(F.array_join(c, " "))
+    content = F.filter(tokens("defining"), lambda t: ~t.isin(FILLER))
+    split = split.select("claim", tokens("subject").alias("subject"), F.explode(F.array(content)).alias("words"))  # exploded, so that the filter takes it as it is
+    split = saved(split.filter(F.size("words") >= DEFINING_WORDS), "definitions")
     if questions is not None:
         asked = questions.select(F.col("claim").alias("key"), F.explode(tokenize(F.col("text"))).alias("token"))
+        subject = split.select(F.col("claim").alias("key"), F.explode("subject").alias("token"))
         about = same_word_form(asked, subject, lemmas).filter("found").select(F.col("key").alias("claim")).distinct()
         split = saved(split.join(about, "claim", "left_semi"), "definitions")
-    content = split.select(F.col("claim").alias("key"), F.posexplode(tokenize(F.array_join("defining", " "))).alias("pos", "token")).filter(~F.col("token").isin(FILLER))
-    content = same_word_form(content, subject, lemmas).filter("NOT found").drop("found")
-    held = cited.select(F.col("claim").alias("key"), F.explode(tokenize(F.col("text"))).alias("token")).distinct()
-    judged = same_word_form(content, held, lemmas)
-    rolled = judged.groupBy("key").agg(F.count("*").alias("n"), F.count_if("found").alias("there"), F.sort_array(F.collect_list(F.when(~F.col("found"), F.struct("pos", "token")))).alias("x"))  # a clause's words
-    bad = rolled.filter((F.col("n") >= DEFINING_WORDS) & (F.col("there") < DEFINING_SHARE * F.col("n")))
-    return bad.select(F.col("key").alias("claim"), F.transform("x", lambda r: r["token"]).alias("missing"))
+    if lemmas is None:
+        split = split.withColumn("also", F.lit(None).cast("map<string,array<string>>"))
+    else:
+        each = split.select("claim", F.explode(F.array_distinct("words")).alias("word")).distinct()
+        other = each.join(small(saved(synonym_roots(lemmas, each.select("word")), "synonym-roots")), "word")
+        split = split.join(other.groupBy("claim").agg(F.map_from_entries(F.collect_list(F.struct("word", "roots"))).alias("also")), "claim", "left")
+    met = split.join(cited.select("claim", "text"), "claim", "left").withColumn("held", tokenize(F.col("text")))
+    judged = words_lacking(met).groupBy("claim", "words").agg(F.collect_list("lacking").alias("x"))  # a claim's few passages
+    lacking = judged.select("claim", "words", F.aggregate("x", F.get("x", F.lit(0)), F.array_intersect).alias("lacking"))
+    n = F.size("words")
+    bad = lacking.filter((n >= DEFINING_WORDS) & (n - F.size("lacking") < DEFINING_SHARE * n))
+    return bad.select("claim", F.transform("lacking", lambda k: F.get("words", k)).alias("missing"))
 
 
 def product_filter(claims: DataFrame, cited: DataFrame, products: DataFrame, questions: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Replies read into claims, and rules on sentences, on cases with known results."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import forms
 from corpusloom.operators import display as S
 from corpusloom.operators import drafts as P
 
@@ -114,6 +116,20 @@ def test_invented_definition(spark):
     assert {r.claim for r in P.invented_definition(claims, cited, None, asked).collect()} == {2}
 
 
+def test_words_meet_in_their_row(spark):
+    """What reach() says of a word is what roots() says; a definition is judged without spreading its passages' words out."""
+    draw = random.Random(3)
+    words = ["", "ال", "الت", "تت", "كتب", "abc", "𐍈ته"] + ["".join(draw.choices("والفبلكتمنيهةسءأ", k=draw.randint(1, 9))) for _ in range(1500)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", forms.roots(F.col("w")).alias("r")).collect()
+    assert all(forms.reach(r.w)[0] == set(r.r) for r in rows) and forms.reach("المركبات")[1] == {"مرك", "مركب"}
+    claims = spark.createDataFrame([(1, "السفينة هي بيت خشبي ملون")], "claim int, text string")
+    passages = [(1, "بيت جميل"), (1, "خشبية"), (1, None), (2, "ملون")]
+    assert [r.missing for r in P.invented_definition(claims, spark.createDataFrame(passages, "claim int, text string")).collect()] == [["ملون"]]
+    many = spark.createDataFrame([(k, f"السفينة هي بيت خشبي ملون {k}") for k in range(50)], "claim long, text string")
+    plan = P.invented_definition(many, many.withColumn("text", F.lit("بيت"))).select("claim")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 def test_product_filter(spark):
     claims = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 1)], "claim int, question int")
     questions = spark.createDataFrame([(1, "Is a leaseback allowed?"), (2, "Rain?")], "question int, text string")
