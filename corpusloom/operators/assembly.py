@@ -40,17 +40,25 @@ def without_lookalikes(hits: DataFrame, guards: DataFrame) -> DataFrame:
     return hits.join(confused, ["qid", "rid"], "left_anti")
 
 
+def lines_around(hits: DataFrame, items: DataFrame, *columns: str) -> DataFrame:
+    """The columns of all items in the documents of hits (question, rid, place), stored: what is ordered within documents needs no others."""
+    rids = small(saved(hits.select("rid").distinct(), "offered-items"))
+    locations = small(saved(items.join(rids, "rid", "left_semi").select("location").distinct(), "offered-documents"))
+    return saved(items.select(*columns).join(locations, "location", "left_semi"), "offered-lines")
+
+
 def neighbour_fill(hits: DataFrame, items: DataFrame, kind: str, best: int = NEIGHBOUR_OF, most: int = MAX_NEIGHBOURS) -> DataFrame:
     """(question, rid, nth): up to `most` items next to the first `best` hits (question, rid, place) of a kind, under the same heading, not offered already.
 
     items: (rid, location, kind, heading). Neighbours are looked up by place in their document.
     """
     line = F.row_number().over(Window.partitionBy("location").orderBy("rid"))
-    numbered = items.select("rid", "location", "kind", "heading", line.alias("line"))
+    near = lines_around(hits, items, "rid", "location", "kind", "heading")
+    numbered = near.select("rid", "location", "kind", "heading", line.alias("line"))
     of_kind = hits.join(numbered.filter(F.col("kind") == kind), "rid").withColumn("k", F.row_number().over(Window.partitionBy("question").orderBy("place"))).filter(F.col("k") <= best)
     steps = of_kind.select("question", "location", "heading", "k", "line", F.explode(F.array(F.lit(-1), F.lit(1))).alias("step")).withColumn("line", F.col("line") + F.col("step"))
-    near = numbered.select(F.col("rid").alias("near"), "location", "heading", "line")
-    found = steps.join(near, ["location", "line", "heading"]).join(hits.select("question", F.col("rid").alias("near")), ["question", "near"], "left_anti")
+    beside = numbered.select(F.col("rid").alias("near"), "location", "heading", "line")
+    found = steps.join(beside, ["location", "line", "heading"]).join(hits.select("question", F.col("rid").alias("near")), ["question", "near"], "left_anti")
     first = found.groupBy("question", "near").agg(F.min(F.struct("k", "step")).alias("at"))
     nth = F.row_number().over(Window.partitionBy("question").orderBy("at")).cast("long")
     return first.withColumn("nth", nth).filter(F.col("nth") <= most).select("question", F.col("near").alias("rid"), "nth")
@@ -64,7 +72,8 @@ def issue_openers(hits: DataFrame, items: DataFrame, kind: str, opener: str) ->
     """
     order = Window.partitionBy("location").orderBy("rid")
     before = [F.when((F.lag("heading", n).over(order) == F.col("heading")) & F.lag("text", n).over(order).rlike(opener), F.lag("rid", n).over(order)) for n in (1, 2)]
-    openers = items.select("rid", "kind", F.col("text").rlike(opener).alias("opens"), F.coalesce(*before).alias("opener"))
+    near = lines_around(hits, items, "rid", "location", "kind", "heading", "text")
+    openers = near.select("rid", "kind", F.col("text").rlike(opener).alias("opens"), F.coalesce(*before).alias("opener"))
     joined = hits.join(openers, "rid", "left")
     wanted = joined.filter((F.col("kind") == kind) & ~F.col("opens") & F.col("opener").isNotNull()).select("question", F.col("opener").alias("rid"), F.col("place").alias("at"), F.lit(0).alias("after"))
     return placed(hits.select("question", "rid", F.col("place").alias("at"), F.lit(1).alias("after")).unionByName(wanted), 1 << 30, "at", "after")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.tables import saved
+from corpusloom.functions.tables import saved, small
 from corpusloom.operators.retrieval import DECIMALS, rrf, top
 
 #: Bytes of query vectors that go to every task at once; more queries are answered in several passes over the corpus.
@@ -212,7 +212,8 @@ def hybrid(keyword: DataFrame, vector: DataFrame, k: int = 10) -> DataFrame:
 
 def map_to_units(hits: DataFrame, ranges: DataFrame) -> DataFrame:
     """(qid, unit, rank) of hits (qid, location, line, rank): each goes to the unit (unit, location, first, last) whose lines hold it; a unit's first hit counts and ranks close up."""
-    held = ranges.select("unit", "location", F.explode(F.sequence("first", "last")).alias("line"))
+    asked = small(hits.select("location").distinct())
+    held = ranges.join(asked, "location", "left_semi").select("unit", "location", F.explode(F.sequence("first", "last")).alias("line"))
     units = hits.join(held, ["location", "line"]).groupBy("qid", "unit").agg(F.min("rank").alias("first_rank"))
     return units.select("qid", "unit", F.row_number().over(Window.partitionBy("qid").orderBy("first_rank", "unit")).cast("long").alias("rank"))
 

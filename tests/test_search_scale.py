@@ -110,3 +110,23 @@ def test_words_before_are_taken_from_the_item(spark):
     assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString() and E.with_before(words) is words
     got = [(r.rid, r.pos, r.written, r.word, r.before, r.marked) for r in words.orderBy("rid", "pos").collect()]
     assert got == [(1, 0, "كِتاب", "كتاب", None, True), (1, 2, "قَلَم", "قلم", "كتاب", True), (1, 3, "باب", "باب", "قلم", False), (2, 0, "باب", "باب", None, False)]
+
+
+def test_only_documents_of_hits_are_put_in_order(spark, monkeypatch):
+    """Neighbours, openers and units are looked for in the documents that hits lie in; the lines of all others stay unread by any shuffle."""
+    from corpusloom.operators import assembly as A
+    from corpusloom.operators import vectors as W
+
+    stored, keep = {}, A.saved
+    monkeypatch.setattr(A, "saved", lambda df, name: stored.setdefault(name, keep(df, name)))
+    items = spark.range(4000).selectExpr("id AS rid", "id div 10 AS location", "'en' AS kind", "id div 5 AS heading", "if(id % 5 = 0, 'A', 'b') AS text")
+    hits = spark.createDataFrame([(1, 11, 1), (1, 42, 2)], "question int, rid long, place int")
+    assert sorted(tuple(r) for r in A.neighbour_fill(hits, items, "en").collect()) == [(1, 10, 1), (1, 12, 2), (1, 41, 3), (1, 43, 4)]
+    assert stored.pop("offered-lines").count() == 20
+    stored.clear()
+    assert [r.rid for r in A.issue_openers(hits, items, "en", "^A").orderBy("place").collect()] == [10, 11, 40, 42]
+    assert stored["offered-lines"].count() == 20
+    ranges = items.selectExpr("concat(location, '/', heading) AS unit", "location", "0L AS first", "9L AS last").distinct()
+    found = W.map_to_units(spark.createDataFrame([(1, 3, 2, 1)], "qid int, location long, line long, rank int"), ranges)
+    assert sorted(r.unit for r in found.collect()) == ["3/6", "3/7"]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
