@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import sliced
+
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 SCHEMA = "n_tokens long, ids binary, decoded binary"
@@ -89,10 +91,10 @@ def encode(
 
     def finish(ids: pd.Series, encoded: list[bytes]) -> pd.DataFrame:
         series = pd.Series(encoded, dtype=object)
-        return pd.DataFrame({"id": ids, "n_tokens": [len(x) // 4 for x in encoded], "ids": series, "decoded": decode_ids(series, ranks_path) if decode else pd.Series([b""] * len(encoded), dtype=object)})
+        return pd.DataFrame({"id": ids.reset_index(drop=True), "n_tokens": [len(x) // 4 for x in encoded], "ids": series, "decoded": decode_ids(series, ranks_path) if decode else pd.Series([b""] * len(encoded), dtype=object)})
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             yield finish(b["id"], list(encode_whole(b["text"], ranks_path)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side is broadcast only when it has at most so many rows and bytes; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
+#: Rows of a batch that Python works on at once.
+SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +108,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sliced(batches: Iterator) -> Iterator:
+    """Arrow or pandas batches in slices of SLICE_ROWS rows, so that a worker holds copies and results of one slice, not of Spark's whole batch.
+
+    At a task's end Arrow gives back the memory it keeps, which a worker would hold for its life.
+    """
+    for b in batches:
+        for lo in range(0, len(b), SLICE_ROWS):
+            yield b.slice(lo, SLICE_ROWS) if isinstance(b, pa.RecordBatch) else b.iloc[lo : lo + SLICE_ROWS]
+        del b
+    pa.default_memory_pool().release_unused()
+
+
 def with_columns(df: DataFrame, of: str, make: Callable[[], Callable[[list], list[list]]], new: dict[str, str]) -> DataFrame:
     """df with columns that Python makes of column `of`; all others pass through as they are, but for those that a new one replaces.
 
@@ -119,7 +133,7 @@ def with_columns(df: DataFrame, of: str, make: Callable[[], Callable[[list], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in sliced(batches):
             made = work(b.column(b.schema.get_field_index(column)).to_pylist())
             for k, (kind, values) in enumerate(zip(new.values(), made)):
                 b = b.append_column(f"new{k}", pa.array(values, kinds[kind]))

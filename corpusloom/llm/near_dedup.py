@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, named_again, numbered, small, stored
+from corpusloom.llm.common import discard, named_again, numbered, sliced, small, stored
 from corpusloom.llm.decontaminate import words
 
 SHINGLE = 5
@@ -133,7 +133,7 @@ def nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sketched(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             labelled = [kmers(np.asarray(h, np.int64)) for h in b["hashes"]]
             columns = {"sigs": map(order_sketches, labelled), "n": map(len, labelled), "bits": map(parities, labelled)}
             yield pd.DataFrame({"id": b["id"], "node": b["node"], **{k: pd.Series(list(v), dtype=object, index=b.index) for k, v in columns.items()}})
@@ -207,7 +207,7 @@ def linked(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             keep = [similarity(kmers(np.asarray(x, np.int64)), kmers(np.asarray(y, np.int64)), least) >= least for x, y in zip(b["a_h"], b["b_h"])]
             yield b.loc[keep, ["a", "b"]]
 

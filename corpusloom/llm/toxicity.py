@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import with_columns
+from corpusloom.llm.common import sliced, with_columns
 from corpusloom.llm.labelled import fold, training_rows
 
 SAMPLE = 12_000
@@ -105,7 +105,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CLASSES**3, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             total += count_trigrams(b["text"].dropna())
         at = np.flatnonzero(total)
         yield pd.DataFrame({"at": at, "n": total[at]})
@@ -257,7 +257,7 @@ def lexicon(rows: DataFrame, model: np.ndarray) -> dict[str, float]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         restorer, kept = Restorer(model), {}
-        for b in batches:
+        for b in sliced(batches):
             for text, label in zip(b["text"], b["label"]):
                 tokens, own = text.split(), set()
                 for t in set(tokens):
@@ -340,7 +340,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = ready()
-        for b in batches:
+        for b in sliced(batches):
             yield pd.DataFrame([[*evidence(t, weights), y] for t, y in zip(b["text"], b["label"])], columns=[*"abcde", "y"])
 
     held = rows.filter(F.col("fold") == CALIBRATION_FOLD).select("text", "label").mapInPandas(measure, "a double, b double, c double, d double, e double, y double").toPandas().to_numpy(float)
