@@ -1,5 +1,7 @@
 """Dictionary search and close spellings against plain Python."""
 
+import ast
+import inspect
 import random
 
 import numpy as np
@@ -160,3 +162,8 @@ def test_gate_report(spark):
     unrelated = spark.createDataFrame([(1, 2), (2, 4)], "qid long, rid long")
     row = D.gate_report(cases, D.Headings(rows), rows, rows, unrelated).first()
     assert (row["first"], row["in_three"], row["true_kept"], row["unrelated_kept"]) == (pytest.approx(2 / 3), pytest.approx(2 / 3), pytest.approx(2 / 3), 0)
+
+
+def test_no_name_of_the_module_is_given_twice():
+    names = [n.name for n in ast.parse(inspect.getsource(D)).body if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+    assert len(names) == len(set(names))
