@@ -75,31 +75,36 @@ def one_letter_apart(a: str, b: str) -> bool:
     return a[same + (len(a) >= len(b)) :] == b[same + (len(b) >= len(a)) :]
 
 
-def fuzzy_place(quote: list[str], words: list[str]) -> tuple[int, int, int] | None:
-    """(found, first, last): where most of the quotation's words stand in order among n + FUZZY_SLACK words of the item.
+def _places(quote: set[str], words: list[str]) -> dict[str, int]:
+    """For each word of the quotation, one bit a word of the item that is one letter apart at most."""
+    held: dict[str, int] = {}
+    for k, w in enumerate(words):
+        held[w] = held.get(w, 0) | 1 << k
+    return {q: sum(at for w, at in held.items() if one_letter_apart(q, w)) for q in quote}
+
+
+def _best_stretch(quote: list[str], size: int, places: dict[str, int], starts: int, least: int = 0) -> tuple[int, int, int] | None:
+    """(found, first, last) of the stretch of an item of `size` words, begun at a bit of `starts`, that holds most of the quotation in order, `least` words at least.
 
-    A stretch begins where one of the first three words occurs. The longest common subsequence of the
-    quotation and a stretch is kept as one bit a word of the stretch; on ties the shortest stretch wins, then the first.
+    The longest common subsequence of the quotation and a stretch is kept as one bit a word of the stretch; on ties the
+    shortest stretch wins, then the first. A stretch with fewer words of the quotation in any order cannot win.
     """
-    n, held = len(quote), set(words)
-    distinct = set(quote)
-    if 2 * len(distinct & held) < FUZZY_COVERAGE * len(distinct):
-        return None
-    places = {q: sum(1 << k for k, w in enumerate(words) if one_letter_apart(q, w)) for q in distinct}
-    starts = 0
-    for q in quote[:3]:
-        starts |= places[q]
-    best = None
-    for start in (k for k in range(len(words)) if starts >> k & 1):
-        width = min(n + FUZZY_SLACK, len(words) - start)
-        full = (1 << width) - 1
+    n, anywhere, best = len(quote), 0, None
+    for at in places.values():
+        anywhere |= at
+    while starts:
+        start = (starts & -starts).bit_length() - 1
+        starts &= starts - 1
+        full = (1 << min(n + FUZZY_SLACK, size - start)) - 1
+        if (anywhere >> start & full).bit_count() < max(least, -best[0][0] if best else 0):
+            continue
         row = full  # a zero bit marks where the common subsequence grows
         for q in quote:
             hit = row & (places[q] >> start)
             row = ((row + hit) | (row & ~hit)) & full
         grown = full & ~row
         found, length = grown.bit_count(), grown.bit_length()
-        if best is None or (-found, length) < best[0]:
+        if found >= least and (best is None or (-found, length) < best[0]):
             best = (-found, length), start
     if best is None:
         return None
@@ -107,6 +112,27 @@ def fuzzy_place(quote: list[str], words: list[str]) -> tuple[int, int, int] | No
     return -found, start, start + length - 1
 
 
+def fuzzy_place(quote: list[str], words: list[str]) -> tuple[int, int, int] | None:
+    """(found, first, last) of the best stretch that begins with one of the first three words, in an item that holds a third of the words as written: a quick look, which no search uses. closest_stretch() looks everywhere."""
+    held, distinct = set(words), set(quote)
+    if 2 * len(distinct & held) < FUZZY_COVERAGE * len(distinct):
+        return None
+    places, starts = _places(distinct, words), 0
+    for q in quote[:3]:
+        starts |= places[q]
+    return _best_stretch(quote, len(words), places, starts)
+
+
+def closest_stretch(quote: list[str], words: list[str], least: int) -> tuple[int, int, int] | None:
+    """(found, first, last): where most of the quotation's words stand in order among n + FUZZY_SLACK words of the item, `least` of them at least, wherever the stretch begins."""
+    places, starts = _places(set(quote), words), 0
+    if sum(places[q] != 0 for q in quote) < least:
+        return None
+    for at in places.values():
+        starts |= at
+    return _best_stretch(quote, len(words), places, starts, least)
+
+
 def fuzzy_spans(pairs: DataFrame) -> DataFrame:
     """(qid, rid, found, first, last) of candidate pairs (qid, rid, asked, held): those whose span holds enough of the quotation."""
 
@@ -114,8 +140,9 @@ def fuzzy_spans(pairs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for qid, rid, asked, held in zip(b["qid"], b["rid"], b["asked"], b["held"]):
-                place = fuzzy_place(list(asked), list(held))
-                if place and place[0] >= FUZZY_FOUND and place[0] >= FUZZY_COVERAGE * len(asked):
+                least = next(k for k in range(FUZZY_FOUND, FUZZY_FOUND + len(asked) + 1) if k >= FUZZY_COVERAGE * len(asked))
+                place = closest_stretch(list(asked), list(held), least)
+                if place:
                     rows.append((qid, rid, *place))
             yield pd.DataFrame(rows, columns=["qid", "rid", "found", "first", "last"])
 

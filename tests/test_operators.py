@@ -159,6 +159,36 @@ def test_fuzzy_place_equals_a_plain_table(quote, words):
     assert E.fuzzy_place(quote, words) == fuzzy_by_hand(quote, words)
 
 
+def stretch_by_hand(quote, words, least):
+    """From the definition: of all stretches of n + 2 words at most, the one with most of the quotation in order, the shortest, the first."""
+
+    def in_order(part):
+        row = [0] * (len(part) + 1)
+        for q in quote:
+            before = row[:]
+            for j, w in enumerate(part, 1):
+                row[j] = max(before[j], row[j - 1], before[j - 1] + E.one_letter_apart(q, w))
+        return row[-1]
+
+    spans = [(-in_order(words[a:b]), b - a, a) for a in range(len(words)) for b in range(a + 1, min(len(words), a + len(quote) + 2) + 1)]
+    found, length, a = min(spans, default=(0, 0, 0))
+    return (-found, a, a + length - 1) if -found >= least else None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["tree", "trees", "true", "a", "water", "watter", "b"]), min_size=3, max_size=7), st.lists(st.sampled_from(["tree", "trees", "true", "a", "water", "watter", "b"]), max_size=14), st.integers(1, 5))
+def test_closest_stretch_equals_a_plain_table(quote, words, least):
+    assert E.closest_stretch(quote, words, least) == stretch_by_hand(quote, words, least)
+
+
+def test_spans_without_their_first_words_or_with_every_word_respelt(spark):
+    quote = "alpha bravo carol delta eagle foxes grand hotel india julie".split()
+    respelt = [w + "s" for w in quote]
+    rows = [(1, 1, quote, ["x", "y", *quote[3:], "z"]), (1, 2, quote, ["x", *respelt]), (1, 3, quote, quote[4:])]
+    got = {r.rid: (r.found, r.first, r.last) for r in E.fuzzy_spans(spark.createDataFrame(rows, "qid int, rid long, asked array<string>, held array<string>")).collect()}
+    assert got == {1: (7, 2, 8), 2: (10, 1, 10)}
+
+
 def test_outcomes_of_a_lookup(spark):
     asked = questions(spark, "found here", "common words", "rare words", "no hits")
     hits = spark.createDataFrame([(q, k, k + 1, c) for q, c in ((0, 0.9), (1, 0.9), (2, 0.3)) for k in range(12)], "qid int, rid long, rank int, coverage double")
