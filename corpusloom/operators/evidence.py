@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,9 @@ TANWEEN_ALIF = "^(.*)(\\u064B)([اى])$"
 LETTER_WORD = "[\\u0621-\\u063a\\u0641-\\u064a\\u0671][\\u0621-\\u063a\\u0641-\\u064a\\u0671\\u064b-\\u0652\\u0670]*"
 QUOTED = "«[^»]*(?:»|$)|﴿[^﴾]*(?:﴾|$)|“[^”]*(?:”|$)|\"[^\"\\n]*(?:\"|$)"
 EDGES = "^[^\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_]+$"
+_LETTER_WORD, _QUOTED, _MARKS = re.compile(LETTER_WORD), re.compile(QUOTED), re.compile(f"{MARK}+")
+#: Texts whose words a task holds at once.
+ROWS_AT_ONCE = 512
 # Kinds and sources that come first among equally exact findings.
 KIND_ORDER = ["quran", "hadith"]
 PRIMARY_SOURCES = ["sahih-bukhari", "sahih-muslim"]
@@ -332,35 +340,80 @@ def letter_words(items: DataFrame) -> DataFrame:
     return saved(flat.withColumn("word", bare(F.col("written"))), "letter-words")
 
 
+def bare_words(text: str) -> list[str]:
+    """The words of a text bare of marks. A mark that no letter precedes is in no word, so all can be taken out first."""
+    return _LETTER_WORD.findall(_MARKS.sub("", text))
+
+
+def common_runs(a: list[str], b: list[str], least: int) -> list[tuple[int, int, int]]:
+    """(run, start in b, start in a): maximal runs of `least` words, two at least, that follow each other in both, and runs that are the whole of b."""
+    if len(b) == 1:
+        return [(1, 0, i) for i, w in enumerate(a) if w == b[0]]
+    places: dict[tuple[str, str], list[int]] = {}
+    for j, pair in enumerate(zip(b, b[1:])):
+        places.setdefault(pair, []).append(j)
+    enough, out, open_ = min(max(least, 2), len(b)), [], {}
+    for i, pair in enumerate([*zip(a, a[1:]), ("", "")]):  # the last pair stands nowhere and ends all runs
+        went_on = {j: open_.pop(j - 1, 1) + 1 for j in places.get(pair, ())}
+        out += [(run, j + 2 - run, i + 1 - run) for j, run in open_.items() if run >= enough]
+        open_ = went_on
+    return out
+
+
+def protected_words(text: str, sources: list[str], least: int, share: float) -> list[tuple[int, int, int, str, str]]:
+    """(pos, s, e, written, kept) of one text, its sources in order."""
+    words, own = list(_LETTER_WORD.finditer(text)), bare_words(text)
+    form: list[str | None] = [None] * len(words)
+    runs, forms = [], []
+    for k, source in enumerate(sources):
+        theirs, plain = _LETTER_WORD.findall(source), bare_words(source)
+        marked = list(accumulate((len(w) != len(o) for w, o in zip(theirs, plain)), initial=0))
+        forms.append(theirs)
+        runs += [(-run, k, start - at, at) for run, start, at in common_runs(own, plain, least) if marked[start + run] - marked[start] >= share * run]
+    free = list(range(len(words) + 1))  # the next word that no run holds yet
+
+    def next_free(i: int) -> int:
+        while free[i] != i:
+            free[i] = free[free[i]]
+            i = free[i]
+        return i
+
+    for run, k, diagonal, at in sorted(runs):
+        i = next_free(at)
+        while i < at - run:
+            form[i] = forms[k][i + diagonal]
+            free[i] = i = i + 1
+            i = i if free[i] == i else next_free(i)
+    quotes = [m.span() for m in _QUOTED.finditer(text)]
+    begins, out = [s for s, _ in quotes], []
+    for i, (word, plain, given) in enumerate(zip(words, own, form)):
+        (s, e), w = word.span(), word.group()
+        has = e - s != len(plain)
+        if has or given is not None or (begins and (q := bisect_right(begins, s)) and e <= quotes[q - 1][1]):
+            out.append((i, s, e, w, w if has or given is None else given))
+    return out
+
+
 def protected_spans(texts: DataFrame, sources: DataFrame, least: int = 3, share: float = 0.8) -> DataFrame:
     """(rid, pos, s, e, written, kept): the words of a text (rid, text) whose vowels are given: marked ones, those inside quotation marks, and those that run as in one of its sources (rid, k, text).
 
     A run is `least` words that follow each other in both, or a whole source; its words take the source's marks, unless they
     have marks, where that share of them has. All runs count, the longest first where several hold a word, then the first
-    source. Runs are looked for between a text and its own sources only.
+    source. A text meets its own sources only, so both are dealt out by rid once, and words are cut where they met.
     """
-    words = letter_words(texts)
-    quotes = texts.select("rid", F.explode(spans_of(F.coalesce("text", F.lit("")), QUOTED)).alias("q"))
-    inside = words.join(quotes, "rid").filter((F.col("s") >= F.col("q.s")) & (F.col("e") <= F.col("q.e"))).select("rid", "pos", F.lit(True).alias("quoted")).distinct()
-
-    held = letter_words(sources.select(F.struct("rid", "k").alias("rid"), "text"))
-    own = lambda rid: F.concat_ws("\x02", rid.cast("string"), "word")
-    listed = lambda df, key, rid: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", own(rid).alias("w")))).alias("x")).select(key, F.transform("x", lambda r: r["w"]).alias("t"))
-    asked, theirs = listed(words.withColumnRenamed("rid", "qid"), "qid", F.col("qid")), listed(held, "rid", F.col("rid.rid"))
-    sizes = theirs.select("rid", F.size("t").alias("size"))
-    runs = runs_of(asked, theirs).select("qid", "rid", "start", "qstart", "run")
-    one = asked.select("qid", F.posexplode("t").alias("qstart", "w")).join(theirs.filter(F.size("t") == 1).select("rid", F.col("t")[0].alias("w")), "w").select("qid", "rid", F.lit(0).cast("long").alias("start"), F.col("qstart").cast("long").alias("qstart"), F.lit(1).cast("long").alias("run"))
-    runs = runs.unionByName(one).join(sizes, "rid").filter((F.col("run") >= least) | (F.col("run") == F.col("size")))
-    placed = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("run") - 1))).withColumn("dpos", F.col("start") + F.col("i"))
-    given = placed.join(held.select("rid", F.col("pos").alias("dpos"), F.col("written").alias("source_form")), ["rid", "dpos"])
-    marked = given.groupBy("qid", "rid", "start", "qstart", "run").agg((F.count_if(F.col("source_form").rlike(MARK)) >= share * F.col("run")).alias("marked"))
-    fit = given.join(marked.filter("marked").drop("marked"), ["qid", "rid", "start", "qstart", "run"])
-    best = fit.groupBy(F.col("qid").alias("rid"), (F.col("qstart") + F.col("i")).cast("int").alias("pos")).agg(F.min_by("source_form", F.struct(-F.col("run"), "rid.k", "dpos")).alias("source_form"))
-
-    every = words.join(inside, ["rid", "pos"], "left").join(best, ["rid", "pos"], "left")
-    has = F.col("written").rlike(MARK)
-    kept = F.when(has | F.col("source_form").isNull(), F.col("written")).otherwise(F.col("source_form"))
-    return every.filter(has | F.coalesce("quoted", F.lit(False)) | F.col("source_form").isNotNull()).select("rid", "pos", "s", "e", "written", kept.alias("kept"))
+    own = sources.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))  # a text's sources
+    met = texts.select("rid", F.coalesce("text", F.lit("")).alias("text")).join(own, "rid", "left").select("rid", "text", F.transform("x", lambda r: r["text"]).alias("sources"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(lo, ROWS_AT_ONCE)
+                rows = [protected_words(t, s or [], least, share) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                rid = pc.take(b.column(0), pa.array([i for i, r in enumerate(rows) for _ in r], pa.int64()))
+                columns = list(zip(*(w for r in rows for w in r))) or [()] * 5
+                yield pa.RecordBatch.from_arrays([rid, *[pa.array(c, kind) for c, kind in zip(columns, [pa.int32()] * 3 + [pa.string()] * 2)]], ["rid", "pos", "s", "e", "written", "kept"])
+
+    return met.mapInArrow(search, f"rid {dict(met.dtypes)['rid']}, pos int, s int, e int, written string, kept string")
 
 
 def cited_prose(texts: DataFrame, key: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.tables import small
+from corpusloom.functions.tables import saved, small
 from corpusloom.operators import assembly as A
 from corpusloom.operators import chunking as K
 from corpusloom.operators import claims as M
@@ -739,9 +739,10 @@ def g19_protected_spans(spark, d):
     text = F.translate(arabic(F.col("text")), "«»﴿﴾“”\"", "")
     number = lambda i: F.concat(F.lit("ط"), F.translate(i.cast("string"), "0123456789", "ابتثجحخدذس"))
     marked = F.transform(F.regexp_extract_all(F.translate("text", "نر", "َُ"), F.lit(E.LETTER_WORD), F.lit(0)), lambda w, i: F.concat(w, number(i)))
-    rows = C.passages(spark, d).select("rid", text.alias("text")).select("rid", marked.alias("marked")).filter("size(marked) > 0")
-    texts = rows.select("rid", F.transform("marked", E.bare).alias("w")).select("rid", F.concat(F.lit("«"), F.col("w")[0], F.lit("» "), F.array_join(F.slice("w", F.lit(2), F.size("w")), " ")).alias("text"))
-    sources = rows.filter("rid % 2 = 0").select("rid", F.lit(0).alias("k"), F.array_join("marked", " ").alias("text"))
+    rows = saved(C.passages(spark, d).select("rid", text.alias("text")).select("rid", F.array_join(marked, " ").alias("marked")), "marked-passages").filter("marked <> ''")
+    w = F.split(E.bare(F.col("marked")), " ", 2)
+    texts = rows.select("rid", F.concat(F.lit("«"), F.get(w, F.lit(0)), F.lit("» "), F.coalesce(F.get(w, F.lit(1)), F.lit(""))).alias("text"))
+    sources = rows.filter("rid % 2 = 0").select("rid", F.lit(0).alias("k"), F.col("marked").alias("text"))
     return E.protected_spans(texts, sources).select("rid", "pos", "written", "kept")
 
 
