@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import claims as M
 from corpusloom.operators import evaluation as V
 from corpusloom.operators import evidence as E
@@ -321,3 +322,14 @@ def test_lexicon(spark):
     assert {(r.before, r.word, r.head, r.ending, r.tail) for r in pairs.collect()} == {("غورا", "غور", "غَوْر", "ٌ", "")}
     words = spark.createDataFrame([(1, 0, "غورا", "غورا"), (1, 1, "غور", "غور"), (1, 2, "كتابِ", "كتاب"), (1, 3, "كتاب", "كتاب"), (1, 4, "قلم", "قلم")], "rid long, pos int, written string, word string")
     assert [r.fixed for r in E.apply_lexicon(words, E.mark_lexicon(df), pairs).orderBy("pos").collect()] == ["غورا", "غَوْرٌ", "كِتَابِ", "كِتَابٌ", "قلم"]
+
+
+def test_lexicons_are_counted_once(spark):
+    rows = [(k, "كِتَابٌ جَدِيدٌ ـ كِتَابٌ قَدِيمٌ، ۥ « بَيْتًا") for k in range(3)] + [(9, None), (10, "كِتَابًا جَدِيدٌ x_1 —"), (11, " ـَـ ١ جَدِيدٌ")]
+    df = spark.createDataFrame(rows, "rid long, text string")
+    words = E.marked_words(df)
+    one, two = E.lexicons(words)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, E.mark_lexicon(df).collect())) and one.count() > 1
+    assert sorted(map(tuple, two.collect())) == sorted(map(tuple, E.bigram_lexicon(df).collect())) and two.count() > 1
+    listed = df.select("rid", F.posexplode(F.filter(F.split("text", "\\s+"), lambda w: w != "")).alias("pos", "raw"))
+    assert words.count() == listed.filter(T.normalize(F.col("raw")) != "").count()
